@@ -1 +1,176 @@
-"""placeholder"""
+"""Queries: truncation, centroids, nearest-centroid classification, metrics, sweep, split, residual controls."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from textcontrols.operators import embed as E
+from textcontrols.plans.registry import query
+from textcontrols.sources.tables import load_table
+
+# Fixed parameters: truncation sizes searched, top-k, hold-out seed and folds.
+SWEEP = (16, 32, 64)
+TOPK = 5
+SEED = 42
+FOLDS = 10
+
+
+def _emb(spark, sf):
+    return load_table(spark, sf, "embeddings")
+
+
+EXPLODED_SQL = """(SELECT vec_id, label, CAST(v AS DOUBLE) AS v, CAST(i - 1 AS BIGINT) AS dim
+  FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))"""
+CENTROIDS_SQL = f"(SELECT label, dim, avg(v) AS centroid, CAST(count(*) AS BIGINT) AS n FROM {EXPLODED_SQL} GROUP BY label, dim)"
+
+
+def _dists_sql(m: int | None = None) -> str:
+    cond = f" AND x.dim < {m}" if m else ""
+    return f"""(SELECT x.vec_id, x.label, c.label AS cls, sum((x.v - c.centroid) * (x.v - c.centroid)) AS dist
+  FROM {EXPLODED_SQL} x JOIN {CENTROIDS_SQL} c ON c.dim = x.dim{cond} GROUP BY x.vec_id, x.label, c.label)"""
+
+
+def _ranked_sql(m: int | None = None) -> str:
+    return f"""(SELECT vec_id, label,
+       max(CASE WHEN rn = 1 THEN cls END) AS prediction,
+       CAST(max(CASE WHEN cls = label THEN rn END) AS INTEGER) AS true_rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cls) AS rn FROM {_dists_sql(m)})
+  GROUP BY vec_id, label)"""
+
+
+@query("embedding_truncate", sql=f"""
+SELECT x.vec_id, CAST(ms.m AS INTEGER) AS m, round(sum(x.v * x.v), 6) AS sq_norm
+FROM {EXPLODED_SQL} x JOIN (SELECT unnest([16, 32, 64]) AS m) ms ON x.dim < ms.m
+GROUP BY x.vec_id, ms.m""")
+def embedding_truncate(spark, sf):
+    e = _emb(spark, sf).select("vec_id", "embedding", F.explode(F.array(*[F.lit(m) for m in SWEEP])).alias("m"))
+    t = F.transform(F.slice("embedding", 1, F.col("m")), lambda x: x.cast("double"))
+    sq = F.aggregate(t, F.lit(0.0), lambda acc, x: acc + x * x)
+    return e.select("vec_id", "m", F.round(sq, 6).alias("sq_norm"))
+
+
+@query("class_centroids", sql=f"SELECT label, dim, round(centroid, 6) AS centroid, n FROM {CENTROIDS_SQL}")
+def class_centroids(spark, sf):
+    c = E.class_centroids(_emb(spark, sf), "label")
+    return c.select("label", F.col("dim").cast("long").alias("dim"), F.round("centroid", 6).alias("centroid"), "n")
+
+
+def _classified(spark, sf, m=None):
+    e = _emb(spark, sf)
+    model = E.centroid_model(E.class_centroids(e, "label"))
+    return E.nearest_centroid(e.select("vec_id", "label", "embedding"), model, "label", m=m, k=TOPK)
+
+
+@query("centroid_classify", sql=f"SELECT vec_id, label, prediction, true_rank FROM {_ranked_sql()}")
+def centroid_classify(spark, sf):
+    return _classified(spark, sf).select("vec_id", "label", "prediction", "true_rank")
+
+
+@query("classification_metrics", sql=f"""
+WITH p AS {_ranked_sql()},
+ sup AS (SELECT label AS cls, count(*) AS support FROM p GROUP BY label),
+ prd AS (SELECT prediction AS cls, count(*) AS predicted FROM p GROUP BY prediction),
+ tp AS (SELECT label AS cls, count(*) AS tp FROM p WHERE label = prediction GROUP BY label),
+ per AS (SELECT cls, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted, coalesce(tp, 0) AS tp
+         FROM sup FULL JOIN prd USING (cls) LEFT JOIN tp USING (cls)),
+ f AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS pr,
+              CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rc FROM per),
+ g AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1 FROM f)
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1,
+       round(sum(f1 * support) / sum(support), 6) AS weighted_f1,
+       CAST(count_if(support > 0) AS BIGINT) AS num_classes_in_data, CAST(sum(support) AS BIGINT) AS num_samples,
+       (SELECT round(avg(CASE WHEN true_rank <= {TOPK} THEN 1.0 ELSE 0.0 END), 6) FROM p) AS top_5_accuracy,
+       (SELECT CAST(count(DISTINCT label) AS BIGINT) FROM embeddings) AS num_classes
+FROM g""")
+def classification_metrics(spark, sf):
+    pred = _classified(spark, sf)
+    nc = None
+    out = E.classification_metrics(pred, "label", "prediction", nc, f"in_top{TOPK}")
+    k = _emb(spark, sf).agg(F.countDistinct("label").alias("num_classes"))
+    out = out.drop("num_classes").crossJoin(k)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "top_5_accuracy")],
+                      F.col("num_classes_in_data").cast("long").alias("num_classes_in_data"),
+                      F.col("num_samples").cast("long").alias("num_samples"), "num_classes")
+
+
+@query("topk_accuracy", sql=f"""
+SELECT label, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN true_rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1,
+       round(avg(CASE WHEN true_rank <= {TOPK} THEN 1.0 ELSE 0.0 END), 6) AS top5
+FROM {_ranked_sql()} GROUP BY label""")
+def topk_accuracy(spark, sf):
+    p = _classified(spark, sf)
+    return p.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("true_rank") == 1).cast("double")), 6).alias("top1"),
+        F.round(F.avg(F.col(f"in_top{TOPK}").cast("double")), 6).alias("top5"))
+
+
+@query("truncation_sweep", sql=f"""
+SELECT m, accuracy, CAST(rank() OVER (ORDER BY accuracy DESC, m) AS INTEGER) AS rank FROM (
+""" + " UNION ALL ".join(
+    f"SELECT {m} AS m, round(avg(CASE WHEN true_rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {_ranked_sql(m)}"
+    for m in SWEEP) + ")")
+def truncation_sweep(spark, sf):
+    e = _emb(spark, sf)
+    model = E.centroid_model(E.class_centroids(e, "label"))  # full centroids; truncation = first m dims
+    rows = e.select("vec_id", "label", "embedding", F.explode(F.array(*[F.lit(m) for m in SWEEP])).alias("m"))
+    parts = []
+    for m in SWEEP:
+        p = E.nearest_centroid(rows.where(F.col("m") == m), model, "label", m=m, k=TOPK)
+        parts.append(p.select("m", (F.col("true_rank") == 1).cast("double").alias("ok")))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    acc = allp.groupBy("m").agg(F.round(F.avg("ok"), 6).alias("accuracy"))
+    # a window over one row per m (3 rows), not over data rows
+    return acc.select("m", "accuracy", F.rank().over(Window.orderBy(F.desc("accuracy"), "m")).alias("rank"))
+
+
+@query("holdout_split", sql=f"""
+SELECT label, CAST(count_if(fold <> 0) AS BIGINT) AS n_train, CAST(count_if(fold = 0) AS BIGINT) AS n_test
+FROM (SELECT label, ((vec_id * 2654435761 + {SEED}) % {FOLDS} + {FOLDS}) % {FOLDS} AS fold FROM embeddings)
+GROUP BY label""")
+def holdout_split(spark, sf):
+    f = _emb(spark, sf).select("label", E.holdout_fold("vec_id", SEED, FOLDS).alias("fold"))
+    return f.groupBy("label").agg(F.count_if(F.col("fold") != 0).alias("n_train"),
+                                  F.count_if(F.col("fold") == 0).alias("n_test"))
+
+
+RESID_SQL = f"""(SELECT x.vec_id, x.dim, x.v - c.centroid AS r FROM {EXPLODED_SQL} x
+  JOIN {CENTROIDS_SQL} c ON c.label = x.label AND c.dim = x.dim)"""
+
+
+@query("residual_embedding", sql=f"SELECT vec_id, round(sum(r * r), 6) AS sq_norm FROM {RESID_SQL} GROUP BY vec_id")
+def residual_embedding(spark, sf):
+    e = _emb(spark, sf)
+    r = E.residualize(e.select("vec_id", "label", "embedding"), E.class_centroids(e, "label"), "label")
+    return r.select("vec_id", F.round(F.aggregate("residual", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
+
+
+@query("residual_gram", sql=f"""
+SELECT a.dim AS i, b.dim AS j, round(sum(a.r * b.r), 6) AS g
+FROM {RESID_SQL} a JOIN {RESID_SQL} b ON a.vec_id = b.vec_id GROUP BY a.dim, b.dim""")
+def residual_gram(spark, sf):
+    e = _emb(spark, sf)
+    r = E.residualize(e.select("vec_id", "label", "embedding"), E.class_centroids(e, "label"), "label")
+    d = E.embedding_dim(e)
+    return E.gram_matrix(r, "residual", d).withColumn("g", F.round("g", 6))
+
+
+@query("nuisance_svd")
+def nuisance_svd(spark, sf):
+    e = _emb(spark, sf).select("vec_id", "label", "embedding")
+    out, sigma, k = E.nuisance_controls(spark, e, "label")
+    return out.select("vec_id", "label", *[F.round(f"INTN{j + 1}", 6).alias(f"INTN{j + 1}") for j in range(k)])
+
+
+@query("svd_elbow")
+def svd_elbow(spark, sf):
+    e = _emb(spark, sf).select("vec_id", "label", "embedding")
+    r = E.residualize(e, E.class_centroids(e, "label"), "label")
+    d = E.embedding_dim(e)
+    sigma, _ = E.svd_from_gram(E.gram_to_numpy(E.gram_matrix(r, "residual", d), d))
+    k = E.elbow_index(sigma)
+    total = float((sigma ** 2).sum()) or 1.0
+    rows = [(i + 1, float(s), float(s * s / total), i + 1 <= k) for i, s in enumerate(sigma)]
+    return spark.createDataFrame(rows, "component int, sigma double, explained double, selected boolean")
