@@ -6,9 +6,9 @@ means, their Gram matrix and its eigen-decomposition (the SVD of the
 residuals), projected back onto the rows.
 
 Plans: centroids come from one aggregate over ``posexplode`` (partial
-aggregation leaves labels x dims rows per task).  The centroid model is one
-row (array of (label, vector)) joined to every row as a broadcast of a
-checked size, so scoring needs no pairs of rows.  The Gram matrix is summed
+aggregation leaves labels x dims rows per task).  The centroid model (labels x
+dims, a size-checked summary) is collected and enters the plan as one
+literal array, so scoring needs no join and no pairs of rows.  The Gram matrix is summed
 from per-partition NumPy partials (``mapInPandas``), d rows per partition;
 only the d x d result reaches the driver for the eigen-decomposition.
 """
@@ -44,33 +44,39 @@ def class_centroids(df: DataFrame, label: str, emb: str = "embedding") -> DataFr
                                          F.count(F.lit(1)).alias("n"))
 
 
-def centroid_model(centroids: DataFrame) -> DataFrame:
-    """One row, column ``model``: array<struct<label, vec>> sorted by label.
+def centroid_model(centroids: DataFrame) -> list[tuple]:
+    """The centroid model as a driver-side list [(label, [values...]), ...] sorted by label.
 
-    Size-checked: labels x dims must stay under MAX_MODEL_VALUES.
+    A labels x dims summary (like a p x p moment matrix), collected after a
+    size check; it enters the plan as one literal, so scoring needs no join.
     """
     n_values = centroids.count()
     if n_values > MAX_MODEL_VALUES:
-        raise ValueError(f"centroid model has {n_values} values, above the broadcast bound")
+        raise ValueError(f"centroid model has {n_values} values, above the bound")
     per = centroids.groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "centroid"))), lambda s: s["centroid"]).alias("vec"))
-    return per.agg(F.array_sort(F.collect_list(F.struct("label", "vec"))).alias("model"))
+    return sorted((r["label"], [float(v) for v in r["vec"]]) for r in per.collect())
 
 
 def _sqdist(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z)
 
 
-def score_centroids(df: DataFrame, model: DataFrame, emb: str = "embedding", m: int | None = None) -> DataFrame:
+def _model_literal(model: list[tuple], m: int | None = None):
+    return F.array(*[F.struct(F.lit(lab).alias("label"),
+                              F.array(*[F.lit(v) for v in (vec[:m] if m else vec)]).alias("vec"))
+                     for lab, vec in model])
+
+
+def score_centroids(df: DataFrame, model: list[tuple], emb: str = "embedding", m: int | None = None) -> DataFrame:
     """Adds ``dists``: array<struct<dist, label>> (sorted: nearest first, ties by label)."""
     e = as_double(emb, m)
-    j = df.crossJoin(F.broadcast(model))  # one model row: no pairs of data rows
-    dists = F.transform("model", lambda c: F.struct(
-        _sqdist(e, F.slice(c["vec"], 1, m) if m is not None else c["vec"]).alias("dist"), c["label"].alias("label")))
-    return j.withColumn("dists", F.array_sort(dists)).drop("model")
+    dists = F.transform(_model_literal(model, m), lambda c: F.struct(_sqdist(e, c["vec"]).alias("dist"),
+                                                                     c["label"].alias("label")))
+    return df.withColumn("dists", F.array_sort(dists))
 
 
-def nearest_centroid(df: DataFrame, model: DataFrame, label: str, emb: str = "embedding",
+def nearest_centroid(df: DataFrame, model: list[tuple], label: str, emb: str = "embedding",
                      m: int | None = None, k: int = 5) -> DataFrame:
     """Prediction, the rank of the true label, and whether it is in the top ``k``."""
     s = score_centroids(df, model, emb, m)
@@ -88,7 +94,8 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
     on that small table.  F1 is 0 for a class with zero precision and recall;
     the macro mean runs over the classes seen as label or prediction.
     """
-    conf = pred.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("c"))
+    topk = [F.sum(F.col(topk_col).cast("long")).alias("_top")] if topk_col else []
+    conf = pred.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("c"), *topk)
     sup = conf.groupBy(F.col(label).alias("cls")).agg(F.sum("c").alias("support"))
     prd = conf.groupBy(F.col(prediction).alias("cls")).agg(F.sum("c").alias("predicted"))
     tp = conf.where(F.col(label) == F.col(prediction)).select(F.col(label).alias("cls"), F.col("c").alias("tp"))
@@ -98,15 +105,17 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
     per = per.withColumn("f1", f1)
-    agg = per.agg(
-        (F.sum("tp") / F.sum("support")).alias("accuracy"),
-        F.avg("f1").alias("macro_f1"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
-        F.count_if(F.col("support") > 0).alias("num_classes_in_data"),
-        F.sum("support").alias("num_samples"))
     if topk_col:
-        topk = pred.agg(F.avg(F.col(topk_col).cast("double")).alias("top_5_accuracy"))
-        agg = agg.crossJoin(topk)  # two one-row aggregates side by side
+        top = conf.groupBy(F.col(label).alias("cls")).agg(F.sum("_top").alias("_top"))
+        per = per.join(top, "cls", "left")
+    aggs = [(F.sum("tp") / F.sum("support")).alias("accuracy"),
+            F.avg("f1").alias("macro_f1"),
+            (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
+            F.count_if(F.col("support") > 0).alias("num_classes_in_data"),
+            F.sum("support").alias("num_samples")]
+    if topk_col:
+        aggs.append((F.sum("_top") / F.sum("support")).alias("top_5_accuracy"))
+    agg = per.agg(*aggs)
     nc = F.lit(num_classes).cast("long") if num_classes is not None else F.col("num_classes_in_data")
     return agg.withColumn("num_classes", nc)
 

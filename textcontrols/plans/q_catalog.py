@@ -1 +1,153 @@
-"""placeholder"""
+"""Queries: catalog scan and merge, variation expansion and assembly, worklist, originals, design check.
+
+Catalog stand-in from ``part``: description_id = 'p' || p_partkey, description =
+p_name, treatment = p_brand, profile = p_type, length_condition by p_size,
+experiment by p_retailprice.  Generated text stand-in: "<strategy>: <text>".
+The response cache holds the summarize requests of parts with p_size <= 25;
+identical requests (same strategy, text and variation) share one cache entry.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textcontrols.functions.text import word_count
+from textcontrols.operators import catalog as C
+from textcontrols.plans.registry import query
+from textcontrols.plans.sqltext import wc
+from textcontrols.sources.tables import load_table
+
+N = C.N_VARIATIONS
+S = len(C.STRATEGIES)
+ATTRS = ["treatment", "profile", "length_condition", "experiment"]
+
+
+def catalog(spark, sf):
+    p = load_table(spark, sf, "part")
+    return p.select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("description_id"),
+        F.col("p_partkey").alias("base_key"), F.col("p_size").alias("size"),
+        F.col("p_name").alias("description"), F.col("p_brand").alias("treatment"), F.col("p_type").alias("profile"),
+        F.when(F.col("p_size") <= 15, "short").when(F.col("p_size") <= 35, "medium").otherwise("long")
+         .alias("length_condition"),
+        F.when(F.col("p_retailprice") < 1500, "fairtrade").otherwise("organic").alias("experiment"),
+        word_count("p_name").alias("word_count"))
+
+
+CATALOG_SQL = f"""(SELECT 'p' || CAST(p_partkey AS VARCHAR) AS description_id, p_partkey AS base_key, p_size AS size,
+  p_name AS description, p_brand AS treatment, p_type AS profile,
+  CASE WHEN p_size <= 15 THEN 'short' WHEN p_size <= 35 THEN 'medium' ELSE 'long' END AS length_condition,
+  CASE WHEN p_retailprice < 1500 THEN 'fairtrade' ELSE 'organic' END AS experiment,
+  {wc('p_name')} AS word_count FROM part)"""
+
+
+@query("catalog_scan", sql=f"""SELECT description_id, description, treatment, profile, length_condition,
+  experiment, word_count FROM {CATALOG_SQL}""")
+def catalog_scan(spark, sf):
+    return catalog(spark, sf).drop("base_key", "size")
+
+
+@query("catalog_merge", sql=f"""
+SELECT description_id, CASE WHEN size >= 20 THEN upper(description) ELSE description END AS description,
+       treatment, size >= 20 AS from_right
+FROM {CATALOG_SQL}""")
+def catalog_merge(spark, sf):
+    c = catalog(spark, sf).select("description_id", "description", "treatment", "size")
+    left = c.where(F.col("size") <= 30).drop("size")
+    right = c.where(F.col("size") >= 20).withColumn("description", F.upper("description")).drop("size")
+    return C.merge_catalogs(left, right, "description_id")
+
+
+def _expanded(spark, sf):
+    cat = C.dense_index(catalog(spark, sf), "base_key").withColumnRenamed("_pos", "base_pos")
+    return C.expand_variations(cat, C.STRATEGIES, "description_id", "base_pos", N)
+
+
+_STRAT_SQL = "(SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{n}', {t}, {m})" for i, (n, t, m) in enumerate(C.STRATEGIES)) + \
+    ") AS s(strategy_pos, strategy, temperature, max_tokens))"
+EXPANDED_SQL = f"""(SELECT c.*, s.strategy, s.strategy_pos, v.variation,
+  CAST(c.base_pos * {S * N} + s.strategy_pos * {N} + v.variation - 1 AS BIGINT) AS running_index
+FROM (SELECT *, row_number() OVER (ORDER BY base_key) - 1 AS base_pos FROM {CATALOG_SQL}) c,
+     {_STRAT_SQL} s, (SELECT unnest(range(1, {N + 1})) AS variation) v)"""
+
+
+@query("variation_expand", sql=f"""
+SELECT description_id || '_' || strategy || '_' || CAST(running_index AS VARCHAR) AS augmented_id,
+       description_id AS base_description_id, strategy AS augmentation_strategy,
+       CAST(variation AS INTEGER) AS variation, running_index
+FROM {EXPANDED_SQL}""")
+def variation_expand(spark, sf):
+    x = _expanded(spark, sf)
+    return x.select("augmented_id", F.col("description_id").alias("base_description_id"),
+                    F.col("strategy").alias("augmentation_strategy"), "variation", "running_index")
+
+
+def _requests(spark, sf):
+    x = _expanded(spark, sf)
+    return x.withColumn("request_hash", C.request_hash("strategy", "instruction", "description", "variation"))
+
+
+def _generated(spark, sf):
+    """Stand-in generated texts for every request (no model call)."""
+    r = _requests(spark, sf)
+    return r.select("augmented_id", F.col("description_id").alias("base_description_id"), "strategy",
+                    F.concat(F.col("strategy"), F.lit(": "), F.col("description")).alias("description"))
+
+
+def _assembled(spark, sf):
+    return C.assemble(catalog(spark, sf), _generated(spark, sf), "description_id", ATTRS)
+
+
+ASSEMBLED_SQL = f"""(SELECT strategy || ': ' || description AS description,
+   description_id || '_' || strategy || '_' || CAST(running_index AS VARCHAR) AS augmented_id,
+   description_id AS base_description_id, treatment, profile, length_condition, experiment,
+   strategy AS augmentation_strategy, false AS is_original FROM {EXPANDED_SQL}
+ UNION ALL
+ SELECT description, description_id, description_id, treatment, profile, length_condition, experiment,
+   'original', true FROM {CATALOG_SQL})"""
+
+
+@query("variation_assemble", sql=f"""
+SELECT augmented_id, base_description_id, treatment, profile, augmentation_strategy, is_original,
+       md5(description) AS description_md5 FROM {ASSEMBLED_SQL}""")
+def variation_assemble(spark, sf):
+    a = _assembled(spark, sf)
+    return a.select("augmented_id", "base_description_id", "treatment", "profile", "augmentation_strategy",
+                    "is_original", F.md5("description").alias("description_md5"))
+
+
+_GOALS = "CASE strategy " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.STRATEGY_GOALS.items()) + " END"
+
+
+@query("prompt_worklist", sql=f"""
+WITH r AS (SELECT description_id || '_' || strategy || '_' || CAST(running_index AS VARCHAR) AS augmented_id,
+       sha256(concat_ws(chr(1), strategy, {_GOALS}, description, CAST(variation AS VARCHAR))) AS request_hash,
+       size, strategy FROM {EXPANDED_SQL})
+SELECT augmented_id, request_hash FROM r
+WHERE request_hash NOT IN (SELECT request_hash FROM r WHERE size <= 25 AND strategy = 'summarize')""")
+def prompt_worklist(spark, sf):
+    r = _requests(spark, sf)
+    cache = r.where((F.col("size") <= 25) & (F.col("strategy") == "summarize")).select("request_hash", F.lit("cached").alias("response"))
+    return C.worklist(r, cache).select("augmented_id", "request_hash")
+
+
+@query("originals_only", sql=f"""
+SELECT base_description_id AS description_id, description, treatment, profile FROM {ASSEMBLED_SQL} WHERE is_original""")
+def originals_only(spark, sf):
+    a = _assembled(spark, sf).where("is_original")
+    return a.select(F.col("base_description_id").alias("description_id"), "description", "treatment", "profile")
+
+
+@query("design_check", sql=f"""
+WITH a AS {ASSEMBLED_SQL}, nb AS (SELECT count(*) AS nb FROM part),
+obs AS (SELECT augmentation_strategy AS cell, count(*) AS observed FROM a GROUP BY augmentation_strategy
+        UNION ALL SELECT 'per_base_mismatch', count_if(c <> {S * N + 1}) FROM
+          (SELECT base_description_id, count(*) AS c FROM a GROUP BY base_description_id))
+SELECT cell, CAST(observed AS BIGINT) AS observed,
+       CAST(CASE WHEN cell = 'original' THEN nb WHEN cell = 'per_base_mismatch' THEN 0 ELSE nb * {N} END AS BIGINT) AS expected,
+       observed = CASE WHEN cell = 'original' THEN nb WHEN cell = 'per_base_mismatch' THEN 0 ELSE nb * {N} END AS ok
+FROM obs, nb""")
+def design_check(spark, sf):
+    n_bases = load_table(spark, sf, "part").count()
+    return C.design_check(_assembled(spark, sf), n_bases, S, N)

@@ -85,10 +85,8 @@ SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_
 FROM g""")
 def classification_metrics(spark, sf):
     pred = _classified(spark, sf)
-    nc = None
-    out = E.classification_metrics(pred, "label", "prediction", nc, f"in_top{TOPK}")
-    k = _emb(spark, sf).agg(F.countDistinct("label").alias("num_classes"))
-    out = out.drop("num_classes").crossJoin(k)
+    model = E.centroid_model(E.class_centroids(_emb(spark, sf), "label"))
+    out = E.classification_metrics(pred, "label", "prediction", len(model), f"in_top{TOPK}")
     return out.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "top_5_accuracy")],
                       F.col("num_classes_in_data").cast("long").alias("num_classes_in_data"),
                       F.col("num_samples").cast("long").alias("num_samples"), "num_classes")
