@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The reported interval probabilities.
@@ -41,22 +41,41 @@ def paired_draw_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str
             .select(*on, (F.col("_a") - F.col("_b")).alias(value)))
 
 
-def split_rhat(draws: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Split-R-hat per group: each chain cut into halves by draw index, then B/W.
+def _halves(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_half`` (0/1): the draw index range of each chain cut at its midpoint.
 
-    Only aggregates: per (group, chain) the draw count, then per half-chain mean
-    and variance, then the between/within ratio over the half-chains.
+    Draw indices of a chain are consecutive in a draws table, so the midpoint
+    of their range halves the chain without a window over the draws.
     """
-    w = Window.partitionBy(*keys, "chain")
-    half = draws.withColumn("_nc", F.count(F.lit(1)).over(w)) if False else draws
-    lens = draws.groupBy(*keys, "chain").agg(F.min("draw").alias("_d0"), F.count(F.lit(1)).alias("_nc"))
-    d = draws.join(lens, [*keys, "chain"], "inner")
-    pos = F.col("draw") - F.col("_d0")
-    d = d.where(~((F.col("_nc") % 2 == 1) & (pos == (F.col("_nc") - 1) / 2)))  # odd length: drop middle draw
-    d = d.withColumn("_half", F.when(pos < F.col("_nc") / 2, F.lit(0)).otherwise(F.lit(1)))
+    rng = draws.groupBy(*keys, "chain").agg(F.min("draw").alias("_d0"), F.max("draw").alias("_d1"))
+    d = draws.join(rng, [*keys, "chain"], "inner")
+    return d.withColumn("_half", F.when(F.col("draw") * 2 <= F.col("_d0") + F.col("_d1"), 0).otherwise(1))
+
+
+def split_rhat(draws: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Split-R-hat per group from per-half-chain means and variances (aggregates only)."""
+    d = _halves(draws, keys)
     hc = d.groupBy(*keys, "chain", "_half").agg(F.count(F.lit(1)).alias("m"), F.avg(value).alias("mu"),
                                                 F.var_samp(value).alias("s2"))
-    g = hc.groupBy(*keys).agg(F.min("m").alias("n"), F.var_samp("mu").alias("b_over_n"),
+    g = hc.groupBy(*keys).agg(F.avg("m").alias("n"), F.var_samp("mu").alias("b_over_n"),
                               F.avg("s2").alias("w"), F.count(F.lit(1)).alias("n_half"))
     var_plus = (F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b_over_n")
     return g.select(*keys, "n_half", F.sqrt(var_plus / F.col("w")).alias("rhat"))
+
+
+def batch_means_ess(draws: DataFrame, keys: Sequence[str], value: str = "value", n_batches: int = 20) -> DataFrame:
+    """Effective sample size by batch means: n * var / (b * var(batch means)), b = batch length.
+
+    Each chain is cut into ``n_batches`` batches over its draw index range; only
+    aggregates, no lagged self-joins.
+    """
+    rng = draws.groupBy(*keys, "chain").agg(F.min("draw").alias("_d0"), F.max("draw").alias("_d1"))
+    d = draws.join(rng, [*keys, "chain"], "inner")
+    width = (F.col("_d1") - F.col("_d0") + 1) / n_batches
+    d = d.withColumn("_batch", F.least(F.floor((F.col("draw") - F.col("_d0")) / width), F.lit(n_batches - 1)))
+    bm = d.groupBy(*keys, "chain", "_batch").agg(F.avg(value).alias("mu"), F.count(F.lit(1)).alias("m"))
+    tot = draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.var_samp(value).alias("v"))
+    b = bm.groupBy(*keys).agg(F.var_samp("mu").alias("vb"), F.avg("m").alias("bl"))
+    j = tot.join(b, list(keys), "inner")
+    return j.select(*keys, "n", F.least(F.col("n").cast("double"),
+                                        F.col("n") * F.col("v") / (F.col("bl") * F.col("vb"))).alias("ess"))

@@ -1 +1,126 @@
-"""placeholder"""
+"""Queries: key coverage, null guard, golden check against independent aggregates, fit worklist, draws diagnostics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textcontrols.operators import validate as V
+from textcontrols.operators.draws import batch_means_ess, split_rhat
+from textcontrols.plans.q_models import FRAME_SQL, MODELS, Suite, model_frame
+from textcontrols.plans.q_recode import ANALYSIS_SQL, analysis_rows
+from textcontrols.plans.registry import query
+from textcontrols.sources.tables import load_table
+
+
+@query("key_coverage", sql="""
+WITH l AS (SELECT DISTINCT doc_id FROM documents), r AS (SELECT DISTINCT doc_id FROM labels)
+SELECT CAST(count_if(r.doc_id IS NULL) AS BIGINT) AS n_left_only, CAST(count_if(l.doc_id IS NULL) AS BIGINT) AS n_right_only,
+       CAST(count_if(l.doc_id IS NOT NULL AND r.doc_id IS NOT NULL) AS BIGINT) AS n_both
+FROM l FULL JOIN r ON l.doc_id = r.doc_id""")
+def key_coverage(spark, sf):
+    return V.key_coverage(load_table(spark, sf, "documents"), load_table(spark, sf, "labels"), "doc_id")
+
+
+_NG_COLS = ["rating", "base_on_left", "Pref", "value"]
+
+
+@query("null_guard", sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS column, CAST(count_if({c} IS NULL) AS BIGINT) AS n_null, "
+    f"CAST(count_if(isnan({c})) AS BIGINT) AS n_nan FROM {ANALYSIS_SQL}" for c in _NG_COLS))
+def null_guard(spark, sf):
+    return V.null_counts(analysis_rows(spark, sf), _NG_COLS)
+
+
+def _golden(spark, sf):
+    """Golden values from independent aggregates: plain cell means and Spark's regr_* functions."""
+    f = model_frame(spark, sf)
+    cells = (f.where(F.col("condition").isNotNull()).groupBy("experiment", "condition")
+             .agg(F.round(F.avg("y"), 3).alias("gt_est"))
+             .select("experiment", F.lit("oracle").alias("model"), F.col("condition").alias("parameter"), "gt_est"))
+    reg = f.groupBy("experiment").agg(F.round(F.regr_intercept("y", "wc_diff"), 3).alias("i"),
+                                      F.round(F.regr_slope("y", "wc_diff"), 3).alias("s"),
+                                      F.round(F.regr_intercept("y", "INTN1"), 3).alias("i1"))
+    wc = reg.select("experiment", F.explode(F.array(
+        F.struct(F.lit("wc").alias("model"), F.lit("Intercept").alias("parameter"), F.col("i").alias("gt_est")),
+        F.struct(F.lit("wc").alias("model"), F.lit("wc_diff").alias("parameter"), F.col("s").alias("gt_est")),
+        F.struct(F.lit("controls_1").alias("model"), F.lit("Intercept").alias("parameter"), F.col("i1").alias("gt_est")),
+        F.struct(F.lit("controls_3").alias("model"), F.lit("Intercept").alias("parameter"), F.col("i1").alias("gt_est")),
+    )).alias("_g")).select("experiment", "_g.*")
+    return cells.unionByName(wc).withColumn("gt_se", F.lit(None).cast("double"))
+
+
+_GOLDEN_SQL = f"""(SELECT experiment, 'oracle' AS model, condition AS parameter, round(avg(y), 3) AS gt_est
+  FROM {FRAME_SQL} WHERE condition IS NOT NULL GROUP BY experiment, condition
+  UNION ALL SELECT experiment, 'wc', 'Intercept', round(regr_intercept(y, wc_diff), 3) FROM {FRAME_SQL} GROUP BY experiment
+  UNION ALL SELECT experiment, 'wc', 'wc_diff', round(regr_slope(y, wc_diff), 3) FROM {FRAME_SQL} GROUP BY experiment
+  UNION ALL SELECT experiment, 'controls_1', 'Intercept', round(regr_intercept(y, INTN1), 3) FROM {FRAME_SQL} GROUP BY experiment
+  UNION ALL SELECT experiment, 'controls_3', 'Intercept', round(regr_intercept(y, INTN1), 3) FROM {FRAME_SQL} GROUP BY experiment)"""
+
+
+def _suite_sql_for_golden():
+    from textcontrols.plans.q_models import _suite_sql
+    return _suite_sql(12)
+
+
+_CHECK_SQL = f"""(SELECT g.experiment, g.model, g.parameter, g.gt_est, round(a.estimate, 3) AS estimate,
+  CASE WHEN a.estimate IS NULL THEN 'MISSING' WHEN abs(round(a.estimate, 3) - g.gt_est) < {V.EST_TOL} THEN 'MATCH'
+       ELSE 'MISMATCH' END AS status
+FROM {_GOLDEN_SQL} g LEFT JOIN {_suite_sql_for_golden()} a
+  ON a.experiment = g.experiment AND a.model = g.model AND a.parameter = g.parameter)"""
+
+
+@query("golden_check", sql=f"SELECT * FROM {_CHECK_SQL}")
+def golden_check(spark, sf):
+    return V.golden_check(_golden(spark, sf), Suite(spark, sf).long(), ["experiment", "model", "parameter"])
+
+
+@query("golden_summary", sql=f"""
+SELECT CAST(count(*) AS BIGINT) AS n_checked, CAST(count_if(status = 'MATCH') AS BIGINT) AS n_match,
+       CAST(count_if(status = 'MISMATCH') AS BIGINT) AS n_mismatch, CAST(count_if(status = 'MISSING') AS BIGINT) AS n_missing,
+       count(*) > 0 AND count_if(status = 'MATCH') = count(*) AS all_ok
+FROM {_CHECK_SQL}""")
+def golden_summary(spark, sf):
+    return V.golden_summary(golden_check(spark, sf))
+
+
+def _fingerprints(spark, sf):
+    li = load_table(spark, sf, "lineitem")
+    fp = li.groupBy(F.col("l_linestatus").alias("experiment")).agg(
+        F.concat_ws("-", F.count(F.lit(1)).cast("string"),
+                    F.sum(F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string")).alias("fingerprint"))
+    models = F.explode(F.array(*[F.lit(m) for m in ["oracle", *MODELS]]))
+    return fp.select("experiment", models.alias("model"), "fingerprint")
+
+
+@query("fit_worklist", sql=f"""
+WITH fp AS (SELECT l_linestatus AS experiment,
+                   CAST(count(*) AS VARCHAR) || '-' || CAST(sum(l_orderkey * 8 + l_linenumber) AS VARCHAR) AS fingerprint
+            FROM lineitem GROUP BY l_linestatus),
+w AS (SELECT experiment, m.model, fingerprint FROM fp,
+      (SELECT unnest(['oracle', {', '.join(repr(m) for m in MODELS)}]) AS model) m),
+cache AS (SELECT experiment, model, fingerprint FROM w WHERE experiment = 'F' AND model <> 'controls_2'
+          UNION ALL SELECT experiment, model, 'stale' FROM w WHERE experiment = 'O')
+SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.experiment = w.experiment
+                                   AND c.model = w.model AND c.fingerprint = w.fingerprint)""")
+def fit_worklist(spark, sf):
+    w = _fingerprints(spark, sf)
+    cache = (w.where((F.col("experiment") == "F") & (F.col("model") != "controls_2"))
+             .unionByName(w.where(F.col("experiment") == "O").withColumn("fingerprint", F.lit("stale"))))
+    return V.fit_worklist(w, cache, ["experiment", "model"])
+
+
+def _draws(spark, sf):
+    """events as a draws table: parameter = event_type, chain = user_id mod 4, draw = event_id."""
+    e = load_table(spark, sf, "events")
+    return e.select(F.col("event_type").alias("parameter"), F.pmod("user_id", F.lit(4)).alias("chain"),
+                    F.col("event_id").alias("draw"), "value")
+
+
+@query("draws_rhat")
+def draws_rhat(spark, sf):
+    return split_rhat(_draws(spark, sf), ["parameter"], "value").withColumn("rhat", F.round("rhat", 6))
+
+
+@query("draws_ess")
+def draws_ess(spark, sf):
+    return batch_means_ess(_draws(spark, sf), ["parameter"], "value").withColumn("ess", F.round("ess", 2))
