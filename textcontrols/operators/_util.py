@@ -33,3 +33,19 @@ def text_key(c) -> list:
 
 def double_array(cols) -> "F.Column":
     return F.array(*[F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in cols])
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a small intermediate (moments, lookups) that several branches read.
+
+    Written once to the shared folder named by ``spark.checkpoint.dir`` (set by
+    the cluster; only tests set their own), so branches do not recompute it,
+    the lineage is cut, and a lost executor does not lose it.
+    """
+    from textcontrols.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist()  # computed once, then written from the cache
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

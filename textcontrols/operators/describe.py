@@ -94,7 +94,7 @@ def partial_correlations(df: DataFrame, keys: Sequence[str], xs: Sequence[str],
     rows = []
     for i, x in enumerate(xs):
         rxy, rxz, ryz = F.col(f"_rxy{i}"), F.col(f"_rxz{i}"), F.col("_ryz")
-        pr = (rxy - rxz * ryz) / F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz))
+        pr = F.try_divide(rxy - rxz * ryz, F.sqrt((1 - rxz * rxz) * (1 - ryz * ryz)))
         rows.append(F.struct(F.lit(x).alias("x"), pr.alias("partial_r")))
     return w.select(*keys, F.explode(F.array(*rows)).alias("_r")).select(*keys, "_r.*")
 

@@ -60,7 +60,7 @@ def split_rhat(draws: DataFrame, keys: Sequence[str], value: str = "value") -> D
     g = hc.groupBy(*keys).agg(F.avg("m").alias("n"), F.var_samp("mu").alias("b_over_n"),
                               F.avg("s2").alias("w"), F.count(F.lit(1)).alias("n_half"))
     var_plus = (F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b_over_n")
-    return g.select(*keys, "n_half", F.sqrt(var_plus / F.col("w")).alias("rhat"))
+    return g.select(*keys, "n_half", F.sqrt(F.try_divide(var_plus, F.col("w"))).alias("rhat"))
 
 
 def batch_means_ess(draws: DataFrame, keys: Sequence[str], value: str = "value", n_batches: int = 20) -> DataFrame:
@@ -78,4 +78,4 @@ def batch_means_ess(draws: DataFrame, keys: Sequence[str], value: str = "value",
     b = bm.groupBy(*keys).agg(F.var_samp("mu").alias("vb"), F.avg("m").alias("bl"))
     j = tot.join(b, list(keys), "inner")
     return j.select(*keys, "n", F.least(F.col("n").cast("double"),
-                                        F.col("n") * F.col("v") / (F.col("bl") * F.col("vb"))).alias("ess"))
+                                        F.try_divide(F.col("n") * F.col("v"), F.col("bl") * F.col("vb"))).alias("ess"))

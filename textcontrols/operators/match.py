@@ -25,22 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcontrols.functions.text import normalize_text, word_count
-from textcontrols.operators._util import DEFAULT_BROADCAST_ROWS, bounded_broadcast, text_key
+from textcontrols.operators._util import DEFAULT_BROADCAST_ROWS, bounded_broadcast, materialize_small, text_key
 
 
-def build_lookup(catalog: DataFrame, text_col: str, pos_col: str, value_cols: list[str]) -> DataFrame:
+def build_lookup(catalog: DataFrame, text_col: str, pos_col: str, value_cols: list[str],
+                 materialize: bool = True) -> DataFrame:
     """Lookup (key, pos, vec): normalised text -> vector of ``value_cols`` (double).
 
     A key repeated in the catalog keeps its first position and the vector of
     its last occurrence (dictionary-update rule).  One aggregate on the key.
+    The lookup is read by several joins and size checks, so it is checkpointed
+    once (``materialize``).
     """
     vec = F.array(*[F.col(c).cast("double") for c in value_cols])
-    return (
+    lk = (
         catalog.select(normalize_text(text_col).alias("key"), F.col(pos_col).cast("long").alias("pos"),
                        vec.alias("vec"))
         .groupBy("key")
         .agg(F.min("pos").alias("pos"), F.max_by("vec", "pos").alias("vec"))
     )
+    return materialize_small(lk) if materialize else lk
 
 
 def _contains_candidates(texts: DataFrame, lookup_kp: DataFrame, empty_matches: bool,
@@ -73,6 +77,9 @@ def match_distinct_texts(texts: DataFrame, lookup: DataFrame, empty_matches: boo
 
     Only texts with a match are returned.
     """
+    # read by the exact, anti and containment branches: written once to the shared folder
+    # (filters pushed into each branch would otherwise defeat exchange reuse)
+    texts = materialize_small(texts)
     lk_keys = lookup.select("key", "pos")
     lk_b, _ = bounded_broadcast(lk_keys, max_rows)
     exact = (texts.join(lk_b, texts["n"] == lk_b["key"], "inner")
@@ -91,8 +98,8 @@ def distinct_normalized(df: DataFrame, text_cols: list[str]) -> DataFrame:
         n = normalize_text(c)
         part = df.select(*text_key(n), n.alias("n"))
         out = part if out is None else out.unionByName(part)
-    # partial aggregation collapses repeated texts before the shuffle
-    return out.groupBy("_h1", "_h2").agg(F.first("n").alias("n"))
+    # hash aggregate on (hash, text): repeated texts collapse map-side before the shuffle
+    return out.distinct()
 
 
 def match_column(df: DataFrame, text_col: str, lookup: DataFrame, empty_matches: bool = True,
@@ -100,9 +107,10 @@ def match_column(df: DataFrame, text_col: str, lookup: DataFrame, empty_matches:
     """Add ``{prefix}pos`` and ``{prefix}exact`` (null when unmatched) to ``df``."""
     texts = distinct_normalized(df, [text_col])
     m = match_distinct_texts(texts, lookup, empty_matches, max_rows)
-    m_b, _ = bounded_broadcast(m, max_rows)
     keyed = df.select("*", *text_key(normalize_text(text_col)))
-    return (keyed.join(m_b, ["_h1", "_h2"], "left")
+    # matched texts -> rows: an equi-join on the 16-byte text key; AQE broadcasts the
+    # match table when its runtime size is small and splits skewed keys otherwise
+    return (keyed.join(m, ["_h1", "_h2"], "left")
             .withColumnRenamed("pos", f"{prefix}pos").withColumnRenamed("exact", f"{prefix}exact")
             .drop("_h1", "_h2"))
 
@@ -118,8 +126,7 @@ def enrich_pairs(df: DataFrame, base_col: str, comp_col: str, lookup: DataFrame,
     texts = distinct_normalized(df, [base_col, comp_col])
     m = match_distinct_texts(texts, lookup, empty_matches, max_rows)
     lk_vec, _ = bounded_broadcast(lookup.select("pos", "vec"), max_rows)
-    mv = m.join(lk_vec, "pos", "inner").select("_h1", "_h2", "vec")
-    mv_b, _ = bounded_broadcast(mv, max_rows)
+    mv_b = m.join(lk_vec, "pos", "inner").select("_h1", "_h2", "vec")  # joined to rows below; AQE sizes it
     nb, nc = normalize_text(base_col), normalize_text(comp_col)
     kb, kc = text_key(nb), text_key(nc)
     rows = df.select("*", kb[0].alias("_bh1"), kb[1].alias("_bh2"), kc[0].alias("_ch1"), kc[1].alias("_ch2"))

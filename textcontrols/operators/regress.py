@@ -27,6 +27,12 @@ from textcontrols.functions.stats import t_quantile
 LOG_PI = math.log(math.pi)
 
 
+def _div(a, b) -> Column:
+    """a / b, null when b is 0 (ANSI mode raises on a plain division by zero)."""
+    a = F.lit(a) if isinstance(a, (int, float)) else a
+    return F.try_divide(a, b)
+
+
 def _m(c: str) -> str:
     return f"m__{c}"
 
@@ -75,28 +81,28 @@ def ols_wide(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) ->
     syy = F.col(_s(y, y))
     if len(xs) == 0:
         b, rss = [my], syy
-        cov = {(0, 0): 1.0 / n}
+        cov = {(0, 0): _div(1.0, n)}
     elif len(xs) == 1:
         x = xs[0]
         sxx, sxy, mx = F.col(_s(x, x)), F.col(_s(x, y)), F.col(_m(x))
-        b1 = sxy / sxx
+        b1 = _div(sxy, sxx)
         b = [my - b1 * mx, b1]
         rss = syy - b1 * sxy
-        cov = {(1, 1): 1.0 / sxx, (0, 1): -mx / sxx, (0, 0): 1.0 / n + mx * mx / sxx}
+        cov = {(1, 1): _div(1.0, sxx), (0, 1): _div(-mx, sxx), (0, 0): _div(1.0, n) + _div(mx * mx, sxx)}
     elif len(xs) == 2:
         x1, x2 = xs
         s11, s22, s12 = F.col(_s(x1, x1)), F.col(_s(x2, x2)), F.col(_s(x1, x2))
         s1y, s2y = F.col(_s(x1, y)), F.col(_s(x2, y))
         m1, m2 = F.col(_m(x1)), F.col(_m(x2))
         det = s11 * s22 - s12 * s12
-        i11, i22, i12 = s22 / det, s11 / det, -s12 / det
+        i11, i22, i12 = _div(s22, det), _div(s11, det), _div(-s12, det)
         b1 = i11 * s1y + i12 * s2y
         b2 = i12 * s1y + i22 * s2y
         b = [my - b1 * m1 - b2 * m2, b1, b2]
         rss = syy - b1 * s1y - b2 * s2y
         cov = {(1, 1): i11, (2, 2): i22, (1, 2): i12,
                (0, 1): -(i11 * m1 + i12 * m2), (0, 2): -(i12 * m1 + i22 * m2),
-               (0, 0): 1.0 / n + m1 * m1 * i11 + 2 * m1 * m2 * i12 + m2 * m2 * i22}
+               (0, 0): _div(1.0, n) + m1 * m1 * i11 + 2 * m1 * m2 * i12 + m2 * m2 * i22}
     else:
         raise ValueError("ols_wide solves up to two regressors; use ols_general for more")
     nu = F.col("n") - p
@@ -182,48 +188,71 @@ def lgamma_col(x: Column) -> Column:
     return series - F.log(prod)
 
 
-def _log_t(r: Column, scale2: Column, nu: Column) -> Column:
-    return (lgamma_col((nu + 1.0) / 2.0) - lgamma_col(nu / 2.0) - 0.5 * (F.log(nu) + LOG_PI + F.log(scale2))
-            - (nu + 1.0) / 2.0 * F.log1p(r * r / (nu * scale2)))
+def loo_constants(wide: DataFrame, p: int | None = None) -> DataFrame:
+    """Per-group constants of the LOO t density: ``nu1`` and lgamma((nu1+1)/2) - lgamma(nu1/2).
+
+    ``p`` = number of coefficients of an ``ols_wide`` table (nu1 = n - 1 - p);
+    ``None`` for a ``cell_mean_wide`` table (nu1 = nu - 1).  Computed once per
+    group, not per row.
+    """
+    nu1 = (F.col("n") - 1 - p) if p is not None else (F.col("nu") - 1)
+    w = wide.withColumn("nu1", nu1.cast("double"))
+    return w.withColumn("lgc", F.when(F.col("nu1") >= 1, lgamma_col((F.col("nu1") + 1.0) / 2.0)
+                                      - lgamma_col(F.col("nu1") / 2.0)))
+
+
+def add_loo_elpd(df: DataFrame, y: str, xs: Sequence[str] | None, prefix: str, out: str) -> DataFrame:
+    """Adds column ``out``: exact leave-one-out log predictive density of each row.
+
+    ``xs`` = regressors of ``y ~ 1 + xs`` (fit columns from ``ols_wide`` +
+    ``loo_constants``), or ``None`` for the cell-mean model (``cell_mean_wide``
+    + ``loo_constants``).  Fit columns carry ``prefix``.  Built in stages
+    (residual and leverage first) so no subexpression is repeated.  Null when
+    the leverage is 1 or no residual degree of freedom is left.
+    """
+    c = lambda name: F.col(f"{prefix}{name}")
+    t_e, t_h = f"{out}__e", f"{out}__h"
+    if xs is None:
+        e = F.col(y) - c("mean")
+        h = _div(1.0, c("n"))
+        rss = c("s2") * c("nu")
+    else:
+        p = len(xs) + 1
+        fit = c("b_0")
+        for i, x in enumerate(xs, start=1):
+            fit = fit + c(f"b_{i}") * F.col(x)
+        e = F.col(y) - fit
+        # leverage h = 1/n + d' S^-1 d with d = x - mean (centred: no cancellation)
+        h = _div(1.0, c("n"))
+        d = [F.col(x).cast("double") - c(_m(x)) for x in xs]
+        for a in range(1, p):
+            for b in range(1, p):
+                h = h + d[a - 1] * d[b - 1] * c(f"v_{min(a, b)}_{max(a, b)}")
+        rss = c("rss")
+    x = df.withColumn(t_e, e).withColumn(t_h, h)
+    ok = (F.col(t_h) < 1 - 1e-12) & (c("nu1") >= 1)
+    one_h = F.lit(1.0) - F.col(t_h)
+    r = F.col(t_e) / one_h
+    scale2 = (rss - F.col(t_e) * r) / c("nu1") / one_h
+    nu = c("nu1")
+    log_t = (c("lgc") - 0.5 * (F.log(nu) + LOG_PI + F.log(scale2))
+             - (nu + 1.0) / 2.0 * F.log1p(r * r / (nu * scale2)))
+    return x.withColumn(out, F.when(ok, log_t)).drop(t_e, t_h)
+
+
+def prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
 
 
 def loo_pointwise(df: DataFrame, wide: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
-    """Exact leave-one-out log predictive density per row for ``y ~ 1 + xs``.
+    """Per-row elpd for one model: the rows joined to their group's fit on the keys.
 
-    Null when the row has leverage 1 or fewer than one residual degree of freedom
-    is left.  The per-group coefficients are joined to the rows on the keys;
-    Spark broadcasts that table by its own size estimate (one row per group).
+    The fit table has one row per group; Spark broadcasts it by its size
+    (planner estimate or AQE runtime statistics), otherwise shuffles.
     """
-    p = len(xs) + 1
-    j = df.join(wide, list(keys), "inner") if keys else df.crossJoin(F.broadcast(wide))
-    fit = F.col("b_0")
-    for i, x in enumerate(xs, start=1):
-        fit = fit + F.col(f"b_{i}") * F.col(x)
-    e = F.col(y) - fit
-    # leverage h = 1/n + d' S^-1 d with d = x - mean (centred: no cancellation)
-    h = 1.0 / F.col("n")
-    d = [F.col(x).cast("double") - F.col(_m(x)) for x in xs]
-    for a in range(1, p):
-        for b in range(1, p):
-            h = h + d[a - 1] * d[b - 1] * F.col(f"v_{min(a, b)}_{max(a, b)}")
-    nu1 = F.col("n") - 1 - p
-    rss_i = F.col("rss") - e * e / (1 - h)
-    scale2 = rss_i / nu1 / (1 - h)
-    ok = (h < 1 - 1e-12) & (nu1 >= 1)
-    elpd = F.when(ok, _log_t(e / (1 - h), scale2, nu1.cast("double")))
-    return j.select(*keys, elpd.alias("elpd"))
-
-
-def loo_pointwise_cells(df: DataFrame, cmw: DataFrame, keys: Sequence[str], cell: str, y: str) -> DataFrame:
-    """Exact LOO for the cell-mean model (leverage 1/n_cell)."""
-    j = df.where(F.col(cell).isNotNull()).join(cmw, [*keys, cell], "inner")
-    h = 1.0 / F.col("n")
-    e = F.col(y) - F.col("mean")
-    nu1 = F.col("nu") - 1
-    rss_i = F.col("s2") * F.col("nu") - e * e / (1 - h)
-    scale2 = rss_i / nu1 / (1 - h)
-    ok = (F.col("n") > 1) & (nu1 >= 1)
-    return j.select(*keys, F.when(ok, _log_t(e / (1 - h), scale2, nu1.cast("double"))).alias("elpd"))
+    fit = prefixed(loo_constants(wide, len(xs) + 1), keys, "_f_")
+    j = df.join(fit, list(keys), "inner")
+    return add_loo_elpd(j, y, xs, "_f_", "elpd").select(*keys, "elpd")
 
 
 def looic(pointwise: DataFrame, keys: Sequence[str]) -> DataFrame:
