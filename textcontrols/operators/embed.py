@@ -192,7 +192,11 @@ def svd_from_gram(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def elbow_index(sigma: Sequence[float]) -> int:
-    """Number of components at the elbow: the point farthest from the chord first -> last."""
+    """Number of components before the elbow.
+
+    The elbow is the point farthest from the chord between the first and the
+    last singular value; the components before it are kept (at least one).
+    """
     s = np.asarray(sigma, dtype=float)
     n = len(s)
     if n <= 2:
@@ -200,7 +204,7 @@ def elbow_index(sigma: Sequence[float]) -> int:
     x = np.arange(n, dtype=float)
     x0, y0, x1, y1 = 0.0, s[0], float(n - 1), s[-1]
     dist = np.abs((y1 - y0) * x - (x1 - x0) * s + x1 * y0 - y1 * x0) / np.hypot(y1 - y0, x1 - x0)
-    return int(np.argmax(dist)) + 1
+    return max(1, int(np.argmax(dist)))
 
 
 def project(df: DataFrame, vec: str, vectors: np.ndarray, prefix: str = "INTN", scale=None) -> DataFrame:

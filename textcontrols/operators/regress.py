@@ -255,6 +255,13 @@ def loo_pointwise(df: DataFrame, wide: DataFrame, keys: Sequence[str], y: str, x
     return add_loo_elpd(j, y, xs, "_f_", "elpd").select(*keys, "elpd")
 
 
+def loo_pointwise_cells(df: DataFrame, cmw: DataFrame, keys: Sequence[str], cell: str, y: str) -> DataFrame:
+    """Per-row elpd for the cell-mean model; rows with a null cell are not in the model."""
+    fit = prefixed(loo_constants(cmw), [*keys, cell], "_f_")
+    j = df.where(F.col(cell).isNotNull()).join(fit, [*keys, cell], "inner")
+    return add_loo_elpd(j, y, None, "_f_", "elpd").select(*keys, "elpd")
+
+
 def looic(pointwise: DataFrame, keys: Sequence[str]) -> DataFrame:
     """LOOIC = -2 * sum(elpd) over the rows with a defined value; undefined rows counted."""
     return pointwise.groupBy(*keys).agg(

@@ -38,6 +38,13 @@ def read_survey_csv(spark: SparkSession, path: str, date_col: str = "StartDate",
 
 
 def read_analysis_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Analysis CSV with R reader semantics: only "NA" is missing, "" stays ""."""
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("nullValue", "NA").option("emptyValue", "").csv(path))
+    """Analysis CSV with R reader semantics: only "NA" is missing, an empty field is "".
+
+    Spark's CSV reader turns an unquoted empty field into null, so the file is
+    read with a null marker that never occurs; every null then came from an
+    empty field and becomes "", and the literal "NA" becomes null.
+    """
+    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+          .option("nullValue", "\u0000").csv(path))
+    return df.select(*[F.when(F.col(c).isNull(), F.lit("")).when(F.col(c) == "NA", F.lit(None))
+                       .otherwise(F.col(c)).alias(c) for c in df.columns])
