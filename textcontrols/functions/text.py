@@ -7,9 +7,13 @@ white space, so the separators are added to the class explicitly.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Python's white-space set (str.isspace), derived by rule over all code points.
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(sys.maxunicode + 1)) if ch.isspace())
 # Blank class equal to Python's str.isspace(): Unicode White_Space + U+001C..U+001F.
 BLANK_CLASS = "[\\s\\x1c-\\x1f]"
 _STRIP_RE = "(?U)\\A" + BLANK_CLASS + "+|" + BLANK_CLASS + "+\\z"
@@ -34,8 +38,12 @@ def _col(c) -> Column:
 
 
 def strip_text(c) -> Column:
-    """Remove leading and trailing blanks (Python ``str.strip`` semantics)."""
-    return F.regexp_replace(_col(c), _STRIP_RE, "")
+    """Remove leading and trailing blanks (Python ``str.strip`` semantics).
+
+    ``trim`` with an explicit character set only looks at the two ends of the
+    string (a regular expression would scan every blank of the text).
+    """
+    return F.trim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def normalize_text(c, deletions=NORMALIZE_DELETIONS) -> Column:

@@ -9,9 +9,11 @@ Semantics (a dictionary lookup followed by a linear scan):
    the query or the query contains the key;
 4. otherwise no match.
 
-Plan: normalise once, hash, deduplicate texts (a text repeated in a third of
-all rows is matched once), exact equi-join first, and only the distinct texts
-left unmatched go to the containment join against the lookup.  The lookup is
+Plan: rows are only hashed; distinct raw texts (a text repeated in a third
+of all rows collapses map-side) are normalised once and written to the
+shared folder; the exact equi-join runs first, and only the distinct texts
+left unmatched go to the containment join against the lookup.  Matches go
+back to the rows by an equi-join on the 16-byte raw-text key.  The lookup is
 broadcast behind a row-count check; a lookup above the bound is cut into
 hash chunks that are each under it, and the per-chunk candidates are unioned
 before the minimum is taken, so the result stays exact.
@@ -72,14 +74,15 @@ def _contains_candidates(texts: DataFrame, lookup_kp: DataFrame, empty_matches:
 
 
 def match_distinct_texts(texts: DataFrame, lookup: DataFrame, empty_matches: bool = True,
-                         max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                         max_rows: int = DEFAULT_BROADCAST_ROWS, materialize: bool = True) -> DataFrame:
     """Match distinct normalised texts ``(_h1, _h2, n)`` -> ``(_h1, _h2, pos, exact)``.
 
     Only texts with a match are returned.
     """
     # read by the exact, anti and containment branches: written once to the shared folder
     # (filters pushed into each branch would otherwise defeat exchange reuse)
-    texts = materialize_small(texts)
+    if materialize:
+        texts = materialize_small(texts)
     lk_keys = lookup.select("key", "pos")
     lk_b, _ = bounded_broadcast(lk_keys, max_rows)
     exact = (texts.join(lk_b, texts["n"] == lk_b["key"], "inner")
@@ -91,28 +94,53 @@ def match_distinct_texts(texts: DataFrame, lookup: DataFrame, empty_matches: boo
     return exact.unionByName(cont)
 
 
+def raw_key(c) -> list:
+    """Hash key of the raw text (cheap; computed on every row)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return [F.xxhash64(c).alias("_r1"), F.xxhash64(F.lit("textcontrols"), c).alias("_r2")]
+
+
+def distinct_raw_texts(df: DataFrame, text_cols: list[str]) -> DataFrame:
+    """(_r1, _r2, _h1, _h2, n): each distinct raw text once, with its normalised text and key.
+
+    Rows only pay a hash; normalisation runs once per distinct raw text.  The
+    hash aggregate collapses repeated texts map-side (a text in a third of all
+    rows leaves one row per task).  Written once: the match and the mapping
+    back to rows both read it.
+    """
+    raw = None
+    for c in text_cols:
+        part = df.select(*raw_key(c), F.col(c).alias("_raw"))
+        raw = part if raw is None else raw.unionByName(part)
+    raw = raw.distinct()
+    n = normalize_text("_raw")
+    return materialize_small(raw.select("_r1", "_r2", *text_key(n), n.alias("n")))
+
+
 def distinct_normalized(df: DataFrame, text_cols: list[str]) -> DataFrame:
     """Distinct normalised texts over one or more text columns, with their hash key."""
-    out = None
-    for c in text_cols:
-        n = normalize_text(c)
-        part = df.select(*text_key(n), n.alias("n"))
-        out = part if out is None else out.unionByName(part)
-    # hash aggregate on (hash, text): repeated texts collapse map-side before the shuffle
-    return out.distinct()
+    return distinct_raw_texts(df, text_cols).select("_h1", "_h2", "n").distinct()
+
+
+def _raw_matches(df: DataFrame, text_cols: list[str], lookup: DataFrame, empty_matches: bool,
+                 max_rows: int) -> DataFrame:
+    """(_r1, _r2, pos, exact) for every distinct raw text that matches."""
+    norm = distinct_raw_texts(df, text_cols)
+    texts = norm.select("_h1", "_h2", "n").distinct()
+    m = match_distinct_texts(texts, lookup, empty_matches, max_rows, materialize=False)
+    return norm.select("_r1", "_r2", "_h1", "_h2").join(m, ["_h1", "_h2"], "inner").drop("_h1", "_h2")
 
 
 def match_column(df: DataFrame, text_col: str, lookup: DataFrame, empty_matches: bool = True,
                  max_rows: int = DEFAULT_BROADCAST_ROWS, prefix: str = "") -> DataFrame:
     """Add ``{prefix}pos`` and ``{prefix}exact`` (null when unmatched) to ``df``."""
-    texts = distinct_normalized(df, [text_col])
-    m = match_distinct_texts(texts, lookup, empty_matches, max_rows)
-    keyed = df.select("*", *text_key(normalize_text(text_col)))
-    # matched texts -> rows: an equi-join on the 16-byte text key; AQE broadcasts the
+    m = _raw_matches(df, [text_col], lookup, empty_matches, max_rows)
+    keyed = df.select("*", *raw_key(text_col))
+    # matched texts -> rows: an equi-join on the 16-byte raw-text key; AQE broadcasts the
     # match table when its runtime size is small and splits skewed keys otherwise
-    return (keyed.join(m, ["_h1", "_h2"], "left")
+    return (keyed.join(m, ["_r1", "_r2"], "left")
             .withColumnRenamed("pos", f"{prefix}pos").withColumnRenamed("exact", f"{prefix}exact")
-            .drop("_h1", "_h2"))
+            .drop("_r1", "_r2"))
 
 
 def enrich_pairs(df: DataFrame, base_col: str, comp_col: str, lookup: DataFrame, n_dims: int,
@@ -123,15 +151,13 @@ def enrich_pairs(df: DataFrame, base_col: str, comp_col: str, lookup: DataFrame,
     Adds INTN1..k (0.0 unless both sides matched), ``nuisance_matched``,
     ``base_matched``, ``comp_matched``, ``wc_base``, ``wc_comparison``, ``wc_diff``.
     """
-    texts = distinct_normalized(df, [base_col, comp_col])
-    m = match_distinct_texts(texts, lookup, empty_matches, max_rows)
+    m = _raw_matches(df, [base_col, comp_col], lookup, empty_matches, max_rows)
     lk_vec, _ = bounded_broadcast(lookup.select("pos", "vec"), max_rows)
-    mv_b = m.join(lk_vec, "pos", "inner").select("_h1", "_h2", "vec")  # joined to rows below; AQE sizes it
-    nb, nc = normalize_text(base_col), normalize_text(comp_col)
-    kb, kc = text_key(nb), text_key(nc)
+    mv = m.join(lk_vec, "pos", "inner").select("_r1", "_r2", "vec")  # joined to rows below; AQE sizes it
+    kb, kc = raw_key(base_col), raw_key(comp_col)
     rows = df.select("*", kb[0].alias("_bh1"), kb[1].alias("_bh2"), kc[0].alias("_ch1"), kc[1].alias("_ch2"))
-    mb = mv_b.select(F.col("_h1").alias("_bh1"), F.col("_h2").alias("_bh2"), F.col("vec").alias("_bvec"))
-    mc = mv_b.select(F.col("_h1").alias("_ch1"), F.col("_h2").alias("_ch2"), F.col("vec").alias("_cvec"))
+    mb = mv.select(F.col("_r1").alias("_bh1"), F.col("_r2").alias("_bh2"), F.col("vec").alias("_bvec"))
+    mc = mv.select(F.col("_r1").alias("_ch1"), F.col("_r2").alias("_ch2"), F.col("vec").alias("_cvec"))
     j = rows.join(mb, ["_bh1", "_bh2"], "left").join(mc, ["_ch1", "_ch2"], "left")
     both = F.col("_bvec").isNotNull() & F.col("_cvec").isNotNull()
     diff = F.when(both, F.zip_with("_cvec", "_bvec", lambda a, b: a - b)).otherwise(

@@ -234,22 +234,33 @@ def _loo_sql():
 
 
 def _looic(s: Suite):
-    """LOOIC of all four models in one pass over the rows (fits joined as small per-group tables)."""
-    rows = s.frame
+    """LOOIC of the four models in two passes over the rows.
+
+    The regression fits form one small table (one row per experiment,
+    prefixed columns) and the cell fits another; both are written once and
+    broadcast.  The three regressions share one pass; the cell model runs in a
+    second pass (all four in one generated stage exceed the code-size limits
+    of whole-stage codegen and fall back to a much slower path).
+    """
+    fits = None
     for m, xs in MODELS.items():
-        rows = rows.join(R.prefixed(R.loo_constants(s.wide(xs), len(xs) + 1), KEYS, f"_{m}_"), KEYS, "inner")
-    rows = rows.join(R.prefixed(R.loo_constants(s.cmw), [*KEYS, "condition"], "_oracle_"),
-                     [*KEYS, "condition"], "left")
+        w = R.prefixed(R.loo_constants(s.wide(xs), len(xs) + 1), KEYS, f"_{m}_")
+        fits = w if fits is None else fits.join(w, KEYS, "inner")
+    fits = materialize_small(fits)
+    cells = materialize_small(R.prefixed(R.loo_constants(s.cmw), [*KEYS, "condition"], "_oracle_"))
+
+    rows = s.frame.join(F.broadcast(fits), KEYS, "inner")  # one row per experiment, written above
     for m, xs in MODELS.items():
         rows = R.add_loo_elpd(rows, "y", xs, f"_{m}_", f"elpd__{m}")
-    rows = R.add_loo_elpd(rows, "y", None, "_oracle_", "elpd__oracle")
-    in_model = {m: F.lit(True) for m in MODELS}
-    in_model["oracle"] = F.col("condition").isNotNull()
-    aggs = []
-    for m in ["oracle", *MODELS]:
-        e = F.col(f"elpd__{m}")
-        aggs += [(-2.0 * F.sum(e)).alias(f"looic__{m}"), F.count_if(in_model[m] & e.isNull()).alias(f"undef__{m}")]
-    g = rows.groupBy(*KEYS).agg(*aggs)
+    reg = rows.groupBy(*KEYS).agg(*[x for m in MODELS for x in (
+        (-2.0 * F.sum(f"elpd__{m}")).alias(f"looic__{m}"),
+        F.count_if(F.col(f"elpd__{m}").isNull()).alias(f"undef__{m}"))])
+
+    crow = s.frame.where(F.col("condition").isNotNull()).join(F.broadcast(cells), [*KEYS, "condition"], "inner")
+    crow = R.add_loo_elpd(crow, "y", None, "_oracle_", "elpd__oracle")
+    cel = crow.groupBy(*KEYS).agg((-2.0 * F.sum("elpd__oracle")).alias("looic__oracle"),
+                                  F.count_if(F.col("elpd__oracle").isNull()).alias("undef__oracle"))
+    g = reg.join(cel, KEYS, "full")
     long = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"looic__{m}").alias("looic"),
                                         F.col(f"undef__{m}").alias("n_undefined")) for m in ["oracle", *MODELS]]))
     return g.select(*KEYS, long.alias("_l")).select(*KEYS, "_l.*")
