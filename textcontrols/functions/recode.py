@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -79,3 +80,10 @@ def role_of_condition(c, roles: Sequence[str] = ("Base", "Short", "Long")) -> Co
     """Role part of a condition name ("ShortFT" -> "Short"); null when none."""
     r = F.regexp_extract(_col(c), "^(" + "|".join(roles) + ")", 1)
     return F.when(r != "", r)
+
+
+def control_columns(columns: Sequence[str], prefix: str = "INTN") -> list[str]:
+    """Columns named ``{prefix}<number>`` in numeric order (INTN10 after INTN9)."""
+    pat = re.compile("^" + re.escape(prefix) + "([0-9]+)$")
+    hits = [(int(m.group(1)), c) for c in columns if (m := pat.match(c))]
+    return [c for _, c in sorted(hits)]

@@ -71,3 +71,17 @@ def golden_summary(checked: DataFrame) -> DataFrame:
 def fit_worklist(wanted: DataFrame, cache: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fits to run: wanted (keys + fingerprint) without a cached result under the same fingerprint."""
     return wanted.join(cache.select(*keys, "fingerprint"), [*keys, "fingerprint"], "left_anti")
+
+
+def golden_check_values(golden: DataFrame, actual: DataFrame, keys: Sequence[str], digits: int = 1,
+                        tol: float = LOOIC_TOL) -> DataFrame:
+    """Scalar golden values (e.g. LOOIC): ``abs(round(value, digits) - gt) < tol``; MISSING without actual.
+
+    golden: keys + gt; actual: keys + value.  With ``digits=None`` and
+    ``tol=0`` this is an exact check (sample sizes).
+    """
+    j = golden.join(actual.select(*keys, "value"), list(keys), "left")
+    v = F.round("value", digits) if digits is not None else F.col("value")
+    ok = (F.abs(v - F.col("gt")) < tol) if tol > 0 else (v == F.col("gt"))
+    status = F.when(F.col("value").isNull(), "MISSING").when(ok, "MATCH").otherwise("MISMATCH")
+    return j.select(*keys, "gt", "value", status.alias("status"))

@@ -28,3 +28,14 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
             w = w.partitionBy(*partition_by)
         w.parquet(path)
     return spark.read.parquet(path)
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
+    """Write a result table (Parquet by default; ``csv`` writes a header row)."""
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    if fmt == "csv":
+        w.option("header", True).option("escape", '"').csv(path)
+    else:
+        w.format(fmt).save(path)
