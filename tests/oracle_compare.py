@@ -33,7 +33,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.9g}")
+        return v if os.environ.get("ORACLE_EXACT") else float(f"{v:.9g}")
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return _norm(v.item())
@@ -61,6 +61,18 @@ def compare(spark, con, name, q, sql, sf_dir):
     drows = res.fetchall()
     t2 = time.time()
     ok_cols = sorted(scols) == sorted(dcols)
+    tmap = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+    stypes = {f.name: tmap.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    dtypes = {d[0]: str(d[1]) for d in res.description} if False else None
+    try:
+        dtypes = dict(con.execute(f"DESCRIBE ({sql})").fetchall() and
+                      [(r[0], r[1]) for r in con.execute(f"DESCRIBE ({sql})").fetchall()])
+    except Exception:
+        dtypes = {}
+    tdiff = {c: (stypes.get(c), dtypes.get(c)) for c in stypes if dtypes and stypes.get(c) != dtypes.get(c)}
+    if tdiff:
+        print(f"TYPE {name:28} {tdiff}")
     ok_n = len(srows) == len(drows)
     a, b = rows_of(scols, srows), rows_of(dcols, drows)
     ok_v = ok_cols and a == b

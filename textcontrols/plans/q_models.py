@@ -84,8 +84,8 @@ def cell_mean_model(spark, sf):
 
 @query("pooled_effect", sql=f"""
 SELECT experiment, n, nu, {interval_cols('est', 's2 / n', 'nu', 4)}
-FROM (SELECT experiment, sum(n) AS n, sum(n * mean) / sum(n) AS est, first(nu) AS nu, first(s2) AS s2
-      FROM {CELL_SQL} GROUP BY experiment)""")
+FROM (SELECT experiment, CAST(sum(n) AS BIGINT) AS n, sum(n * mean) / sum(n) AS est, first(nu) AS nu,
+             first(s2) AS s2 FROM {CELL_SQL} GROUP BY experiment)""")
 def pooled_effect(spark, sf):
     return _rounded(R.pooled_effect(Suite(spark, sf).cmw, KEYS))
 

@@ -58,8 +58,8 @@ def cell_wide_sql(frame: str, keys: list[str], cell: str, y: str) -> str:
     """Per cell: n, mean, n_total, nu, s2 (pooled over the cells of the group)."""
     kk = "".join(f"{k}, " for k in keys)
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
-    return (f"(SELECT {kk}{cell}, n, mean, sum(n) OVER ({part}) AS n_total,"
-            f" sum(n) OVER ({part}) - count(*) OVER ({part}) AS nu,"
+    return (f"(SELECT {kk}{cell}, n, mean, CAST(sum(n) OVER ({part}) AS BIGINT) AS n_total,"
+            f" CAST(sum(n) OVER ({part}) - count(*) OVER ({part}) AS BIGINT) AS nu,"
             f" sum(ss) OVER ({part}) / (sum(n) OVER ({part}) - count(*) OVER ({part})) AS s2"
             f" FROM (SELECT {kk}{cell}, count(*) AS n, avg({y}) AS mean, var_pop({y}) * count(*) AS ss"
             f"       FROM {frame} WHERE {cell} IS NOT NULL GROUP BY {kk}{cell}))")
