@@ -88,3 +88,24 @@ def test_lgamma_column(spark):
     got = [r[0] for r in df.select(R.lgamma_col(F.col("x"))).collect()]
     for x, g in zip([0.5, 1.0, 2.5, 7.0, 150.5, 30000.0], got):
         assert abs(g - math.lgamma(x)) < 1e-9 * max(1.0, abs(math.lgamma(x)))
+
+
+def test_ols_general_matches_closed_form_and_numpy(spark):
+    n = 60
+    X = RNG.normal(size=(n, 4))
+    y = 0.5 + X @ np.array([1.0, -2.0, 0.3, 0.0]) + RNG.normal(scale=0.5, size=n)
+    rows = [("g", float(y[i]), *map(float, X[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, y double, a double, b double, c double, d double")
+    # p = 3 through the general path equals the closed form
+    mom = R.group_moments(df, ["g"], ["y", "a", "b"])
+    gen = {r.parameter: r.estimate for r in R.ols_general(mom, ["g"], "y", ["a", "b"]).collect()}
+    closed = {r.parameter: r.estimate for r in R.fit_ols(df, ["g"], "y", ["a", "b"]).collect()}
+    assert all(abs(gen[k] - closed[k]) < 1e-9 for k in closed)
+    out = {r.parameter: r for r in R.fit_ols(df, ["g"], "y", ["a", "b", "c", "d"]).collect()}
+    A = np.column_stack([np.ones(n), X])
+    b, *_ = np.linalg.lstsq(A, y, rcond=None)
+    nu = n - 5
+    cov = float(((y - A @ b) ** 2).sum()) / nu * np.linalg.inv(A.T @ A)
+    for j, name in enumerate(["Intercept", "a", "b", "c", "d"]):
+        assert abs(out[name].estimate - b[j]) < 1e-9
+        assert abs(out[name].est_error - math.sqrt(cov[j, j] * nu / (nu - 2))) < 1e-9

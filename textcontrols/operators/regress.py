@@ -104,7 +104,7 @@ def ols_wide(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) ->
                (0, 1): -(i11 * m1 + i12 * m2), (0, 2): -(i12 * m1 + i22 * m2),
                (0, 0): _div(1.0, n) + m1 * m1 * i11 + 2 * m1 * m2 * i12 + m2 * m2 * i22}
     else:
-        raise ValueError("ols_wide solves up to two regressors; use ols_general for more")
+        raise ValueError("ols_wide solves up to two regressors in columns; use ols_general for more")
     nu = F.col("n") - p
     s2 = F.when(nu > 0, rss / nu)
     cols = [*[F.col(k) for k in keys], F.col("n"), nu.alias("nu"), rss.alias("rss"), s2.alias("s2")]
@@ -114,6 +114,54 @@ def ols_wide(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) ->
     return mom.select(*cols)
 
 
+def ols_general(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], model: str = "ols") -> DataFrame:
+    """``y ~ 1 + xs`` for any number of regressors, solved per group on the moments table.
+
+    The input is the (small) output of ``group_moments``: one row per group
+    holding p x p centred co-moments, so the NumPy solve in ``applyInPandas``
+    touches summaries only, never data rows.  Output: the long schema of
+    ``ols_long`` before intervals (keys, model, parameter, n, nu, estimate, var).
+    """
+    import numpy as np
+    import pandas as pd
+
+    k = len(xs)
+    key_cols = list(keys)
+    s_cols = {(a, b): _s(a, b) for a in [y, *xs] for b in [y, *xs]}
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in pdf.iterrows():
+            n = float(r["n"])
+            sxx = np.array([[r[s_cols[(a, b)]] for b in xs] for a in xs], dtype=float)
+            sxy = np.array([r[s_cols[(a, y)]] for a in xs], dtype=float)
+            mx = np.array([r[_m(a)] for a in xs], dtype=float)
+            nu = int(n) - k - 1
+            try:
+                inv = np.linalg.inv(sxx)
+            except np.linalg.LinAlgError:
+                inv = np.full((k, k), np.nan)
+            b = inv @ sxy
+            b0 = r[_m(y)] - b @ mx
+            rss = r[s_cols[(y, y)]] - b @ sxy
+            s2 = rss / nu if nu > 0 else np.nan
+            var = [s2 * (1.0 / n + mx @ inv @ mx)] + [s2 * inv[j, j] for j in range(k)]
+            for name, est, v in zip(["Intercept", *xs], [b0, *b], var):
+                out.append({**{c: r[c] for c in key_cols}, "model": model, "parameter": name, "n": int(n),
+                            "nu": nu, "estimate": float(est), "var": float(v)})
+        return pd.DataFrame(out, columns=[*key_cols, "model", "parameter", "n", "nu", "estimate", "var"])
+
+    key_schema = [f for f in mom.schema.fields if f.name in key_cols]
+    from pyspark.sql import types as T
+    schema = T.StructType([*key_schema, T.StructField("model", T.StringType()), T.StructField("parameter", T.StringType()),
+                           T.StructField("n", T.LongType()), T.StructField("nu", T.LongType()),
+                           T.StructField("estimate", T.DoubleType()), T.StructField("var", T.DoubleType())])
+    grouped = mom.groupBy(*keys) if keys else mom.groupBy(F.lit(0))
+    res = grouped.applyInPandas(solve, schema)
+    return res.select(*keys, "model", "parameter", "n", "nu",
+                      *with_interval(F.col("estimate"), F.col("var"), F.col("nu")))
+
+
 def with_interval(est: Column, var: Column, nu: Column, prefix: str = "") -> list[Column]:
     """estimate, est_error = sqrt(var nu/(nu-2)), and the 95 % t interval."""
     sd = F.sqrt(var)
@@ -138,9 +186,15 @@ def ols_long(wide: DataFrame, keys: Sequence[str], xs: Sequence[str], model: str
 
 
 def fit_ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], model: str = "ols") -> DataFrame:
-    """``y ~ 1 + xs`` per group of ``keys``, long summary."""
+    """``y ~ 1 + xs`` per group of ``keys``, long summary.
+
+    Up to two regressors the solution is a column expression; beyond, the
+    p x p moments of each group are solved with NumPy (``ols_general``).
+    """
     mom = group_moments(df, keys, [y, *xs])
-    return ols_long(ols_wide(mom, keys, y, xs), keys, xs, model)
+    if len(xs) <= 2:
+        return ols_long(ols_wide(mom, keys, y, xs), keys, xs, model)
+    return ols_general(mom, keys, y, xs, model)
 
 
 def cell_moments(df: DataFrame, keys: Sequence[str], cell: str, cols: Sequence[str]) -> DataFrame:

@@ -281,3 +281,9 @@ def model_compare(spark, sf):
         F.min_by("model", "looic").alias("best_model"),
         F.round(F.max(F.when(F.col("model") == "controls_1", F.col("looic")))
                 - F.max(F.when(F.col("model") == "controls_2", F.col("looic"))), 2).alias("looic_diff_1_2"))
+
+
+@query("ols_general")
+def ols_general_q(spark, sf):
+    """``y ~ 1 + wc_diff + INTN1 + INTN2`` per experiment: more regressors than the column closed form."""
+    return _rounded(R.fit_ols(model_frame(spark, sf), KEYS, "y", ["wc_diff", *CONTROLS_2], "wc_controls_2"))
