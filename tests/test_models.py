@@ -109,3 +109,19 @@ def test_ols_general_matches_closed_form_and_numpy(spark):
     for j, name in enumerate(["Intercept", "a", "b", "c", "d"]):
         assert abs(out[name].estimate - b[j]) < 1e-9
         assert abs(out[name].est_error - math.sqrt(cov[j, j] * nu / (nu - 2))) < 1e-9
+
+
+def test_draws_match_closed_form_and_partitioning(spark):
+    from textcontrols.operators.draws import ols_draws
+    df, y, x1, x2 = _frame(spark, n=200)
+    wide = R.ols_wide(R.group_moments(df, ["g"], ["y", "x1", "x2"]), ["g"], "y", ["x1", "x2"])
+    d = ols_draws(wide, ["g"], ["x1", "x2"], "m", n_draws=4000)
+    summ = {r.parameter: r for r in d.groupBy("parameter").agg(F.avg("value").alias("mean"),
+                                                              F.stddev_samp("value").alias("sd")).collect()}
+    closed = {r.parameter: r for r in R.ols_long(wide, ["g"], ["x1", "x2"], "m").collect()}
+    for k, c in closed.items():
+        assert abs(summ[k].mean - c.estimate) < 4 * c.est_error / math.sqrt(4000) * 3
+        assert abs(summ[k].sd / c.est_error - 1) < 0.06
+    a = sorted(tuple(r) for r in d.repartition(1).collect())
+    b = sorted(tuple(r) for r in ols_draws(wide.repartition(3), ["g"], ["x1", "x2"], "m", n_draws=4000).collect())
+    assert a == b  # keyed draws: independent of partitioning

@@ -6,6 +6,7 @@ aggregate over it; nothing is collected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -79,3 +80,82 @@ def batch_means_ess(draws: DataFrame, keys: Sequence[str], value: str = "value",
     j = tot.join(b, list(keys), "inner")
     return j.select(*keys, "n", F.least(F.col("n").cast("double"),
                                         F.try_divide(F.col("n") * F.col("v"), F.col("bl") * F.col("vb"))).alias("ess"))
+
+
+# ---------------------------------------------------------------- draw generation
+_TWO53 = float(2 ** 53)
+
+
+def _uniform(*parts) -> F.Column:
+    """Uniform(0, 1) from a keyed 64-bit hash: the same value on any partitioning or replay."""
+    h = F.xxhash64(*parts)
+    return (F.pmod(h, F.lit(2 ** 53)).cast("double") + 0.5) / _TWO53
+
+
+def _normal(*parts) -> F.Column:
+    """Standard normal by Box-Muller from two keyed uniforms."""
+    u1 = _uniform(*parts, F.lit("u1"))
+    u2 = _uniform(*parts, F.lit("u2"))
+    return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
+
+
+def _sigma2_draw(s2: F.Column, nu: F.Column, z: F.Column) -> F.Column:
+    """sigma^2 = nu s^2 / chi2_nu, chi2 by the Wilson-Hilferty transform of a normal draw."""
+    nud = nu.cast("double")
+    c = 2.0 / (9.0 * nud)
+    chi2 = nud * F.pow(F.greatest(F.lit(1e-12), 1.0 - c + z * F.sqrt(c)), 3.0)
+    return nud * s2 / chi2
+
+
+def ols_draws(wide: DataFrame, keys: Sequence[str], xs: Sequence[str], model: str, n_draws: int = 6000,
+              chains: int = 4, seed: int = 42) -> DataFrame:
+    """Posterior draws (keys, model, chain, draw, parameter, value) of ``y ~ 1 + xs`` (up to 2 regressors).
+
+    b = b_hat + sigma L z with L the Cholesky factor of (X'X)^-1 (closed form
+    for p <= 3), sigma^2 from its scaled inverse chi-square; every random
+    number is a keyed hash of (group, draw, component, seed).
+    """
+    p = len(xs) + 1
+    if p > 3:
+        raise ValueError("ols_draws handles up to two regressors")
+    kcols = [F.col(k).cast("string") for k in keys]
+    d = wide.where(F.col("nu") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    c = {(i, j): F.col(f"v_{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)}
+    L = {}
+    L[(0, 0)] = F.sqrt(c[(0, 0)])
+    if p >= 2:
+        L[(1, 0)] = c[(1, 0)] / L[(0, 0)]
+        L[(1, 1)] = F.sqrt(c[(1, 1)] - L[(1, 0)] ** 2)
+    if p >= 3:
+        L[(2, 0)] = c[(2, 0)] / L[(0, 0)]
+        L[(2, 1)] = (c[(2, 1)] - L[(2, 0)] * L[(1, 0)]) / L[(1, 1)]
+        L[(2, 2)] = F.sqrt(c[(2, 2)] - L[(2, 0)] ** 2 - L[(2, 1)] ** 2)
+    key = [*kcols, F.lit(model), F.col("draw"), F.lit(seed)]
+    z = [_normal(*key, F.lit(f"z{j}")) for j in range(p)]
+    for j in range(p):
+        d = d.withColumn(f"_z{j}", z[j])
+    d = d.withColumn("_sig", F.sqrt(_sigma2_draw(F.col("s2"), F.col("nu"), _normal(*key, F.lit("chi")))))
+    names = ["Intercept", *xs]
+    vals = []
+    for i in range(p):
+        v = F.col(f"b_{i}")
+        for j in range(i + 1):
+            v = v + F.col("_sig") * L[(i, j)] * F.col(f"_z{j}")
+        vals.append(F.struct(F.lit(names[i]).alias("parameter"), v.alias("value")))
+    out = d.select(*keys, "draw", F.explode(F.array(*vals)).alias("_p"))
+    return out.select(*keys, F.lit(model).alias("model"), F.pmod(F.col("draw"), F.lit(chains)).alias("chain"),
+                      (F.col("draw") / chains).cast("long").alias("draw"), "_p.parameter", "_p.value")
+
+
+def cell_draws(cmw: DataFrame, keys: Sequence[str], cell: str, model: str = "oracle", n_draws: int = 6000,
+               chains: int = 4, seed: int = 42) -> DataFrame:
+    """Posterior draws of the cell means with one sigma per group and draw (shared by the cells)."""
+    kcols = [F.col(k).cast("string") for k in keys]
+    d = cmw.where(F.col("nu") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    gkey = [*kcols, F.lit(model), F.col("draw"), F.lit(seed)]
+    sig = F.sqrt(_sigma2_draw(F.col("s2"), F.col("nu"), _normal(*gkey, F.lit("chi"))))
+    z = _normal(*gkey, F.col(cell).cast("string"))
+    v = F.col("mean") + sig * z / F.sqrt(F.col("n").cast("double"))
+    return d.select(*keys, F.lit(model).alias("model"), F.pmod(F.col("draw"), F.lit(chains)).alias("chain"),
+                    (F.col("draw") / chains).cast("long").alias("draw"), F.col(cell).alias("parameter"),
+                    v.alias("value"))

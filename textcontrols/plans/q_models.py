@@ -287,3 +287,52 @@ def model_compare(spark, sf):
 def ols_general_q(spark, sf):
     """``y ~ 1 + wc_diff + INTN1 + INTN2`` per experiment: more regressors than the column closed form."""
     return _rounded(R.fit_ols(model_frame(spark, sf), KEYS, "y", ["wc_diff", *CONTROLS_2], "wc_controls_2"))
+
+
+def suite_draws(s: Suite, n_draws: int = 6000):
+    from textcontrols.operators.draws import cell_draws, ols_draws
+    out = cell_draws(s.cmw, KEYS, "condition", "oracle", n_draws)
+    for m, xs in MODELS.items():
+        out = out.unionByName(ols_draws(s.wide(xs), KEYS, xs, m, n_draws))
+    return out
+
+
+@query("posterior_draws")
+def posterior_draws(spark, sf):
+    """Draw summaries of the suite: mean, sd and exact 2.5/50/97.5 % quantiles per parameter."""
+    from textcontrols.operators.draws import draw_quantiles
+    d = suite_draws(Suite(spark, sf))
+    q = draw_quantiles(d, ["experiment", "model", "parameter"], "value")
+    sd = d.groupBy("experiment", "model", "parameter").agg(F.stddev_samp("value").alias("sd"))
+    out = q.join(sd, ["experiment", "model", "parameter"])
+    return out.select("experiment", "model", "parameter", "n",
+                      *[F.round(c, 4).alias(c) for c in ("mean", "sd", "q025", "q500", "q975")])
+
+
+@query("draws_convergence")
+def draws_convergence(spark, sf):
+    """Split R-hat and batch-means ESS over the generated suite draws (max R-hat, min ESS per model)."""
+    from textcontrols.operators.draws import batch_means_ess, split_rhat
+    d = suite_draws(Suite(spark, sf))
+    keys = ["experiment", "model", "parameter"]
+    r = split_rhat(d, keys, "value").join(batch_means_ess(d, keys, "value"), keys)
+    return r.groupBy("experiment", "model").agg(F.round(F.max("rhat"), 4).alias("max_rhat"),
+                                                F.round(F.min("ess"), 1).alias("min_ess"))
+
+
+@query("posterior_diff_draws")
+def posterior_diff_draws(spark, sf):
+    """Paired-by-draw differences: each model's intercept minus the matched cell, with draw quantiles."""
+    from textcontrols.operators.draws import draw_quantiles, paired_draw_diff
+    d = suite_draws(Suite(spark, sf))
+    base_level = [k for k, v in ROLES.items() if v == "matched"][0]
+    ref = d.where((F.col("model") == "oracle") & (F.col("parameter") == base_level)).drop("model", "parameter")
+    parts = []
+    for m in MODELS:
+        a = d.where((F.col("model") == m) & (F.col("parameter") == "Intercept")).drop("model", "parameter")
+        parts.append(paired_draw_diff(a, ref, ["experiment"]).withColumn("comparison", F.lit(f"{m}-oracle_matched")))
+    diffs = parts[0]
+    for p in parts[1:]:
+        diffs = diffs.unionByName(p)
+    q = draw_quantiles(diffs, ["experiment", "comparison"], "value")
+    return q.select("experiment", "comparison", "n", *[F.round(c, 4).alias(c) for c in ("mean", "q025", "q500", "q975")])
