@@ -50,3 +50,17 @@ def test_metrics_perfect_and_imperfect(spark):
     assert r.accuracy == 0.75 and r.num_samples == 4 and r.top_5_accuracy == 0.75
     # class 0: p=2/3 r=1 f1=0.8; class 1: p=1 r=0.5 f1=2/3
     assert abs(r.macro_f1 - (0.8 + 2 / 3) / 2) < 1e-12
+
+
+def test_residualize_attributes_orthogonal_to_all_dummies(spark):
+    e = _emb(spark).select("vec_id", "label", "embedding",
+                           F.when(F.col("embedding")[0] >= 0, "pos").otherwise("neg").alias("s"))
+    pdf = E.residualize_attributes(e, ["label", "s"]).select("label", "s", "residual").toPandas()
+    X = np.vstack(pdf["residual"].to_numpy())
+    for col in ("label", "s"):
+        for lv in pdf[col].unique():
+            assert np.abs(X[pdf[col].to_numpy() == lv].sum(axis=0)).max() < 1e-8
+    # one attribute: equals the class-mean residual
+    one = E.residualize_attributes(e, ["label"]).orderBy("vec_id").select("residual").toPandas()
+    ref = E.residualize(e, E.class_centroids(e, "label"), "label").orderBy("vec_id").select("residual").toPandas()
+    assert np.abs(np.vstack(one["residual"]) - np.vstack(ref["residual"])).max() < 1e-9

@@ -137,6 +137,53 @@ def residualize(df: DataFrame, centroids: DataFrame, label: str, emb: str = "emb
     return j.withColumn("residual", F.zip_with(as_double(emb), F.col("_cvec"), lambda a, b: a - b)).drop("_cvec")
 
 
+def residualize_attributes(df: DataFrame, attrs: Sequence[str], emb: str = "embedding",
+                           max_cells: int = 100_000) -> DataFrame:
+    """Adds ``residual``: embedding minus its least-squares fit on the dummies of all ``attrs``.
+
+    Full dummy regression with an intercept and one dropped (first) level per
+    attribute, solved with the pseudo-inverse (empty cells allowed).  The
+    fitted value depends on the row's cell only, so the data enter through one
+    aggregate per cell (count and per-dim sums); the cells x d table is the only
+    thing collected (bounded by ``max_cells``), and the fitted cell means come
+    back as a broadcast table.  With one attribute this is the class mean.
+    """
+    spark = df.sparkSession
+    x = df.select(*attrs, F.posexplode(emb).alias("dim", "v"))
+    cell_sums = x.groupBy(*attrs, "dim").agg(F.sum(F.col("v").cast("double")).alias("_sum"))
+    counts = df.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_n"))
+    n_cells = counts.count()
+    if n_cells > max_cells:
+        raise ValueError(f"{n_cells} attribute cells, above the bound {max_cells}")
+    cnt = counts.collect()
+    d = embedding_dim(df, emb)
+    if n_cells * d > MAX_MODEL_VALUES:
+        raise ValueError("cells x dims above the bound")
+    sums = cell_sums.collect()
+    levels = {a: sorted({r[a] for r in cnt}) for a in attrs}
+    cols = [None] + [(a, lv) for a in attrs for lv in levels[a][1:]]  # intercept + dummies
+
+    def dummy(cell):
+        return np.array([1.0] + [1.0 if cell[attrs.index(a)] == lv else 0.0 for a, lv in cols[1:]])
+
+    cells = [tuple(r[a] for a in attrs) for r in cnt]
+    idx = {c: i for i, c in enumerate(cells)}
+    D = np.vstack([dummy(c) for c in cells])
+    nvec = np.array([float(r["_n"]) for r in cnt])
+    S = np.zeros((len(cells), d))
+    for r in sums:
+        S[idx[tuple(r[a] for a in attrs)], r["dim"]] = r["_sum"]
+    DtD = D.T @ (D * nvec[:, None])
+    DtX = D.T @ S
+    B = np.linalg.pinv(DtD) @ DtX
+    fitted = D @ B
+    rows = [(*c, [float(v) for v in fitted[i]]) for i, c in enumerate(cells)]
+    schema = T.StructType([*[df.schema[a] for a in attrs], T.StructField("_fit", T.ArrayType(T.DoubleType()))])
+    fit_df = F.broadcast(spark.createDataFrame(rows, schema))  # cells x d, bounded above
+    j = df.join(fit_df, list(attrs), "inner")
+    return j.withColumn("residual", F.zip_with(as_double(emb), F.col("_fit"), lambda a, b: a - b)).drop("_fit")
+
+
 def gram_partials(df: DataFrame, vec: str) -> DataFrame:
     """(i, row) partial Gram rows: each task emits X_p' X_p for its rows, d rows of d values."""
 

@@ -172,3 +172,13 @@ def svd_elbow(spark, sf):
     total = float((sigma ** 2).sum()) or 1.0
     rows = [(i + 1, float(s), float(s * s / total), i + 1 <= k) for i, s in enumerate(sigma)]
     return spark.createDataFrame(rows, "component int, sigma double, explained double, selected boolean")
+
+
+@query("residual_multi")
+def residual_multi(spark, sf):
+    """Residuals on two attributes jointly: label and the sign of the first dimension."""
+    e = _emb(spark, sf).select("vec_id", "label", "embedding",
+                               F.when(F.col("embedding")[0] >= 0, "pos").otherwise("neg").alias("sign0"))
+    r = E.residualize_attributes(e, ["label", "sign0"])
+    return r.select("vec_id", "label", "sign0",
+                    F.round(F.aggregate("residual", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
