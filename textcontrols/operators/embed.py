@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textcontrols.operators._util import materialize_small
+
 # Largest centroid model (labels x dims numbers) that is broadcast.
 MAX_MODEL_VALUES = 20_000_000
 # Largest d for which the d x d Gram matrix is collected to the driver.
@@ -95,7 +97,8 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
     the macro mean runs over the classes seen as label or prediction.
     """
     topk = [F.sum(F.col(topk_col).cast("long")).alias("_top")] if topk_col else []
-    conf = pred.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("c"), *topk)
+    # labels x predictions counts: the only pass over the rows; read four times below
+    conf = materialize_small(pred.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("c"), *topk))
     sup = conf.groupBy(F.col(label).alias("cls")).agg(F.sum("c").alias("support"))
     prd = conf.groupBy(F.col(prediction).alias("cls")).agg(F.sum("c").alias("predicted"))
     tp = conf.where(F.col(label) == F.col(prediction)).select(F.col(label).alias("cls"), F.col("c").alias("tp"))

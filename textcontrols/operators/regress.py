@@ -172,17 +172,18 @@ def with_interval(est: Column, var: Column, nu: Column, prefix: str = "") -> lis
 
 
 def ols_long(wide: DataFrame, keys: Sequence[str], xs: Sequence[str], model: str) -> DataFrame:
-    """One row per coefficient: keys, model, parameter, n, nu, estimate, est_error, q_lo, q_hi."""
+    """One row per coefficient: keys, model, parameter, n, nu, estimate, est_error, q_lo, q_hi.
+
+    The coefficients are unpivoted with ``explode`` from the one fit row of a
+    group, so the fit is computed once, not once per coefficient.
+    """
     names = ["Intercept", *xs]
-    parts = []
-    for j, name in enumerate(names):
-        var = F.col("s2") * F.col(f"v_{j}_{j}")
-        parts.append(wide.select(*keys, F.lit(model).alias("model"), F.lit(name).alias("parameter"),
-                                 "n", "nu", *with_interval(F.col(f"b_{j}"), var, F.col("nu"))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    coef = F.explode(F.array(*[F.struct(F.lit(name).alias("parameter"), F.col(f"b_{j}").alias("_b"),
+                                        (F.col("s2") * F.col(f"v_{j}_{j}")).alias("_var"))
+                               for j, name in enumerate(names)]))
+    x = wide.select(*keys, "n", "nu", coef.alias("_c"))
+    return x.select(*keys, F.lit(model).alias("model"), F.col("_c.parameter").alias("parameter"), "n", "nu",
+                    *with_interval(F.col("_c._b"), F.col("_c._var"), F.col("nu")))
 
 
 def fit_ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], model: str = "ols") -> DataFrame:

@@ -111,15 +111,15 @@ SELECT m, accuracy, CAST(rank() OVER (ORDER BY accuracy DESC, m) AS INTEGER) AS
 def truncation_sweep(spark, sf):
     e = _emb(spark, sf)
     model = E.centroid_model(E.class_centroids(e, "label"))  # full centroids; truncation = first m dims
-    rows = e.select("vec_id", "label", "embedding", F.explode(F.array(*[F.lit(m) for m in SWEEP])).alias("m"))
-    parts = []
-    for m in SWEEP:
-        p = E.nearest_centroid(rows.where(F.col("m") == m), model, "label", m=m, k=TOPK)
-        parts.append(p.select("m", (F.col("true_rank") == 1).cast("double").alias("ok")))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    acc = allp.groupBy("m").agg(F.round(F.avg("ok"), 6).alias("accuracy"))
+    rows = e.select("label", "embedding")
+    hits = []
+    for m in SWEEP:  # every truncation scored on the same row, one pass
+        s = E.score_centroids(rows, model, "embedding", m)
+        hits.append(F.struct(F.lit(m).alias("m"), (F.col("dists")[0]["label"] == F.col("label")).cast("double")
+                             .alias("ok")))
+        rows = s.withColumn(f"_hit{m}", hits[-1]).drop("dists")
+    per = rows.select(F.explode(F.array(*[F.col(f"_hit{m}") for m in SWEEP])).alias("_h")).select("_h.*")
+    acc = per.groupBy("m").agg(F.round(F.avg("ok"), 6).alias("accuracy"))
     # a window over one row per m (3 rows), not over data rows
     return acc.select("m", "accuracy", F.rank().over(Window.orderBy(F.desc("accuracy"), "m")).alias("rank"))
 
