@@ -10,10 +10,12 @@ Semantics (a dictionary lookup followed by a linear scan):
 4. otherwise no match.
 
 Plan: rows are only hashed; distinct raw texts (a text repeated in a third
-of all rows collapses map-side) are normalised once and written to the
-shared folder; the exact equi-join runs first, and only the distinct texts
-left unmatched go to the containment join against the lookup.  Matches go
-back to the rows by an equi-join on the 16-byte raw-text key.  The lookup is
+of all rows collapses map-side) are normalised once and meet the broadcast
+lookup in one containment theta-join (an exact hit is a containment hit
+too); a hash aggregate keeps the exact key, else the smallest position.
+Matches go back to the rows by an equi-join on the 16-byte raw-text key.
+Nothing is written on this path; only a lookup above the broadcast bound
+(chunked, see below) makes the texts worth writing once.  The lookup is
 broadcast behind a row-count check; a lookup above the bound is cut into
 hash chunks that are each under it, and the per-chunk candidates are unioned
 before the minimum is taken, so the result stays exact.
@@ -49,49 +51,49 @@ def build_lookup(catalog: DataFrame, text_col: str, pos_col: str, value_cols: li
     return materialize_small(lk) if materialize else lk
 
 
-def _contains_candidates(texts: DataFrame, lookup_kp: DataFrame, empty_matches: bool,
-                         max_rows: int) -> DataFrame:
-    """(_h1, _h2, pos) for every key that contains or is contained by the text."""
+def _candidates(texts: DataFrame, lookup: DataFrame, key_cols: list[str], empty_matches: bool,
+                max_rows: int) -> DataFrame:
+    """(key_cols..., pos, is_exact) for every lookup key equal to, containing or contained in the text.
+
+    An exact hit is also a containment hit, so one theta-join finds both.  The
+    lookup is broadcast after an exact count.  Above the bound the lookup is
+    cut into hash chunks that are each under it, the exact hits come from an
+    equi-join, and the texts (read once per chunk) are written once first.
+    """
     if not empty_matches:
         texts = texts.where(F.col("n") != "")
+    lk = lookup.select("key", "pos")
     cond = F.expr("contains(n, key) OR contains(key, n)")
-    n_keys = lookup_kp.count()
+    out_cols = [*key_cols, "pos", (F.col("n") == F.col("key")).alias("is_exact")]
+    n_keys = lk.count()  # the lookup is checkpointed: a cheap count
     if n_keys <= max_rows:
-        return texts.join(F.broadcast(lookup_kp), cond, "inner").select("_h1", "_h2", "pos")
+        return texts.join(F.broadcast(lk), cond, "inner").select(*out_cols)
+    texts = materialize_small(texts)
+    exact = texts.join(lk, texts["n"] == lk["key"], "inner").select(*out_cols)
     n_chunks = int(math.ceil(n_keys / max_rows)) * 2
-    chunked = lookup_kp.withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(n_chunks)))
+    chunked = lk.withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(n_chunks)))
     sizes = dict(chunked.groupBy("_chunk").count().collect())  # n_chunks small numbers
     if max(sizes.values()) > max_rows:
         raise ValueError("lookup chunk above the broadcast bound; raise max_rows or chunk count")
-    parts = []
+    out = exact
     for c in sorted(sizes):
         part = F.broadcast(chunked.where(F.col("_chunk") == c).drop("_chunk"))
-        parts.append(texts.join(part, cond, "inner").select("_h1", "_h2", "pos"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(texts.join(part, cond & (F.col("n") != F.col("key")), "inner").select(*out_cols))
     return out
 
 
-def match_distinct_texts(texts: DataFrame, lookup: DataFrame, empty_matches: bool = True,
-                         max_rows: int = DEFAULT_BROADCAST_ROWS, materialize: bool = True) -> DataFrame:
-    """Match distinct normalised texts ``(_h1, _h2, n)`` -> ``(_h1, _h2, pos, exact)``.
+def first_match(candidates: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Per text: the exact key if any, else the key with the smallest position (hash aggregate)."""
+    g = candidates.groupBy(*key_cols).agg(F.min(F.when(F.col("is_exact"), F.col("pos"))).alias("_pe"),
+                                          F.min("pos").alias("_pc"))
+    return g.select(*key_cols, F.coalesce("_pe", "_pc").alias("pos"), F.col("_pe").isNotNull().alias("exact"))
 
-    Only texts with a match are returned.
-    """
-    # read by the exact, anti and containment branches: written once to the shared folder
-    # (filters pushed into each branch would otherwise defeat exchange reuse)
-    if materialize:
-        texts = materialize_small(texts)
-    lk_keys = lookup.select("key", "pos")
-    lk_b, _ = bounded_broadcast(lk_keys, max_rows)
-    exact = (texts.join(lk_b, texts["n"] == lk_b["key"], "inner")
-             .select("_h1", "_h2", "pos", F.lit(True).alias("exact")))
-    rest = texts.join(exact.select("_h1", "_h2"), ["_h1", "_h2"], "left_anti")
-    cont = (_contains_candidates(rest, lk_keys, empty_matches, max_rows)
-            .groupBy("_h1", "_h2").agg(F.min("pos").alias("pos"))
-            .withColumn("exact", F.lit(False)))
-    return exact.unionByName(cont)
+
+def match_distinct_texts(texts: DataFrame, lookup: DataFrame, empty_matches: bool = True,
+                         max_rows: int = DEFAULT_BROADCAST_ROWS, key_cols: list[str] | None = None) -> DataFrame:
+    """Match distinct texts ``(key_cols..., n)`` -> ``(key_cols..., pos, exact)``; matched texts only."""
+    key_cols = key_cols or ["_h1", "_h2"]
+    return first_match(_candidates(texts, lookup, key_cols, empty_matches, max_rows), key_cols)
 
 
 def raw_key(c) -> list:
@@ -101,34 +103,30 @@ def raw_key(c) -> list:
 
 
 def distinct_raw_texts(df: DataFrame, text_cols: list[str]) -> DataFrame:
-    """(_r1, _r2, _h1, _h2, n): each distinct raw text once, with its normalised text and key.
+    """(_r1, _r2, n): each distinct raw text once, with its normalised text.
 
     Rows only pay a hash; normalisation runs once per distinct raw text.  The
     hash aggregate collapses repeated texts map-side (a text in a third of all
-    rows leaves one row per task).  Written once: the match and the mapping
-    back to rows both read it.
+    rows leaves one row per task before the shuffle).
     """
     raw = None
     for c in text_cols:
         part = df.select(*raw_key(c), F.col(c).alias("_raw"))
         raw = part if raw is None else raw.unionByName(part)
-    raw = raw.distinct()
-    n = normalize_text("_raw")
-    return materialize_small(raw.select("_r1", "_r2", *text_key(n), n.alias("n")))
+    return raw.distinct().select("_r1", "_r2", normalize_text("_raw").alias("n"))
 
 
 def distinct_normalized(df: DataFrame, text_cols: list[str]) -> DataFrame:
     """Distinct normalised texts over one or more text columns, with their hash key."""
-    return distinct_raw_texts(df, text_cols).select("_h1", "_h2", "n").distinct()
+    n = distinct_raw_texts(df, text_cols).select("n").distinct()
+    return n.select(*text_key(F.col("n")), "n")
 
 
 def _raw_matches(df: DataFrame, text_cols: list[str], lookup: DataFrame, empty_matches: bool,
                  max_rows: int) -> DataFrame:
-    """(_r1, _r2, pos, exact) for every distinct raw text that matches."""
-    norm = distinct_raw_texts(df, text_cols)
-    texts = norm.select("_h1", "_h2", "n").distinct()
-    m = match_distinct_texts(texts, lookup, empty_matches, max_rows, materialize=False)
-    return norm.select("_r1", "_r2", "_h1", "_h2").join(m, ["_h1", "_h2"], "inner").drop("_h1", "_h2")
+    """(_r1, _r2, pos, exact) for every distinct raw text that matches (one pass, nothing written)."""
+    return match_distinct_texts(distinct_raw_texts(df, text_cols), lookup, empty_matches, max_rows,
+                                key_cols=["_r1", "_r2"])
 
 
 def match_column(df: DataFrame, text_col: str, lookup: DataFrame, empty_matches: bool = True,
