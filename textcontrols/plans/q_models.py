@@ -290,11 +290,12 @@ def ols_general_q(spark, sf):
 
 
 def suite_draws(s: Suite, n_draws: int = 6000):
+    """Draws of every suite parameter, written once (groups x parameters x draws rows, not data-sized)."""
     from textcontrols.operators.draws import cell_draws, ols_draws
     out = cell_draws(s.cmw, KEYS, "condition", "oracle", n_draws)
     for m, xs in MODELS.items():
         out = out.unionByName(ols_draws(s.wide(xs), KEYS, xs, m, n_draws))
-    return out
+    return materialize_small(out)
 
 
 @query("posterior_draws")
