@@ -24,3 +24,20 @@ def test_stream_matches_batch(spark):
     want = {(r.doc_id, r.pos, r.word_count) for r in
             match_column(stream_text_features(docs, "text"), "text", lookup).collect()}
     assert got == want and len(got) == docs.count()
+
+
+def test_recodes_run_on_event_stream(spark):
+    from textcontrols.plans.frames import survey_columns
+    from textcontrols.plans.q_recode import analysis_columns
+
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(SF)
+    typed = analysis_columns(survey_columns(stream)).select("event_id", "Pref", "condition", "matched")
+    assert typed.isStreaming
+    q = typed.writeStream.format("memory").queryName("tc_events_typed").outputMode("append") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM tc_events_typed").collect())
+    want = sorted(tuple(r) for r in analysis_columns(survey_columns(ev)).select(
+        "event_id", "Pref", "condition", "matched").collect())
+    assert got == want and len(got) == ev.count()

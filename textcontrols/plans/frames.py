@@ -50,14 +50,17 @@ def conversation_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def survey_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """events as raw survey text columns.
+    return survey_columns(load_table(spark, sf, "events"))
+
+
+def survey_columns(e: DataFrame) -> DataFrame:
+    """events as raw survey text columns (row-wise: works on a stream too).
 
     Q_TerminateFlag: 'Complete' except error events; DVPref_Rating_1: 1 + k mod 7
     (text); BaseOnLeft: '1' click/purchase, '0' view/signup, 'NA' error;
     ComparisonCondition by event type (signup is outside the levels, error is
     empty); nuisance_matched: 'True' when value >= 5 else 'False'.
     """
-    e = load_table(spark, sf, "events")
     k = F.regexp_extract("props", r":\s*(-?[0-9]+)", 1).cast("long")
     return e.select(
         "event_id", "user_id", "value",

@@ -33,7 +33,11 @@ def _pref_sql(flag: str, rating: str) -> str:
 
 def analysis_rows(spark, sf):
     """Typed survey rows: rating, flag, preference, factor condition, matched flag."""
-    s = survey_rows(spark, sf)
+    return analysis_columns(survey_rows(spark, sf))
+
+
+def analysis_columns(s):
+    """Typed analysis columns from raw survey columns (row-wise: batch or stream)."""
     rating, flag = lenient_double("DVPref_Rating_1"), lenient_double("BaseOnLeft")
     return s.select("event_id", "user_id", "value", "Q_TerminateFlag", "ComparisonCondition",
                     rating.alias("rating"), flag.alias("base_on_left"),
