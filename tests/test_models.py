@@ -125,3 +125,22 @@ def test_draws_match_closed_form_and_partitioning(spark):
     a = sorted(tuple(r) for r in d.repartition(1).collect())
     b = sorted(tuple(r) for r in ols_draws(wide.repartition(3), ["g"], ["x1", "x2"], "m", n_draws=4000).collect())
     assert a == b  # keyed draws: independent of partitioning
+
+
+def test_rank_diagnostics_iid_and_autocorrelated(spark):
+    from textcontrols.operators.draws import rank_diagnostics
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in range(4):
+        e = rng.normal(size=2000)
+        ar = np.zeros(2000)
+        for t in range(1, 2000):
+            ar[t] = 0.9 * ar[t - 1] + e[t]
+        iid = rng.normal(size=2000)
+        rows += [("iid", c, t, float(iid[t])) for t in range(2000)]
+        rows += [("ar", c, t, float(ar[t])) for t in range(2000)]
+    df = spark.createDataFrame(rows, "p string, chain int, draw int, value double")
+    out = {r.p: r for r in rank_diagnostics(df, ["p"]).collect()}
+    assert abs(out["iid"].rhat - 1) < 0.01 and 6500 < out["iid"].ess_bulk < 9500
+    # AR(1), phi = 0.9: ESS close to n (1 - phi) / (1 + phi) = 8000 / 19
+    assert 250 < out["ar"].ess_bulk < 650 and out["ar"].rhat < 1.05

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textcontrols.operators import regress as R
-from textcontrols.operators._util import materialize_small
+from textcontrols.operators._util import bounded_broadcast, materialize_small
 from textcontrols.plans.q_text import CONV_PAIRS_SQL, paired_word_counts
 from textcontrols.plans.frames import conversation_pairs
 from textcontrols.plans.registry import query
@@ -249,14 +249,16 @@ def _looic(s: Suite):
     fits = materialize_small(fits)
     cells = materialize_small(R.prefixed(R.loo_constants(s.cmw), [*KEYS, "condition"], "_oracle_"))
 
-    rows = s.frame.join(F.broadcast(fits), KEYS, "inner")  # one row per experiment, written above
+    fits_b, _ = bounded_broadcast(fits)  # one row per experiment: counted, then broadcast
+    rows = s.frame.join(fits_b, KEYS, "inner")
     for m, xs in MODELS.items():
         rows = R.add_loo_elpd(rows, "y", xs, f"_{m}_", f"elpd__{m}")
     reg = rows.groupBy(*KEYS).agg(*[x for m in MODELS for x in (
         (-2.0 * F.sum(f"elpd__{m}")).alias(f"looic__{m}"),
         F.count_if(F.col(f"elpd__{m}").isNull()).alias(f"undef__{m}"))])
 
-    crow = s.frame.where(F.col("condition").isNotNull()).join(F.broadcast(cells), [*KEYS, "condition"], "inner")
+    cells_b, _ = bounded_broadcast(cells)  # one row per cell: counted, then broadcast
+    crow = s.frame.where(F.col("condition").isNotNull()).join(cells_b, [*KEYS, "condition"], "inner")
     crow = R.add_loo_elpd(crow, "y", None, "_oracle_", "elpd__oracle")
     cel = crow.groupBy(*KEYS).agg((-2.0 * F.sum("elpd__oracle")).alias("looic__oracle"),
                                   F.count_if(F.col("elpd__oracle").isNull()).alias("undef__oracle"))
@@ -337,3 +339,12 @@ def posterior_diff_draws(spark, sf):
         diffs = diffs.unionByName(p)
     q = draw_quantiles(diffs, ["experiment", "comparison"], "value")
     return q.select("experiment", "comparison", "n", *[F.round(c, 4).alias(c) for c in ("mean", "q025", "q500", "q975")])
+
+
+@query("draws_rank_diagnostics")
+def draws_rank_diagnostics(spark, sf):
+    """Rank-normalised R-hat and bulk ESS of the suite draws: max R-hat and min ESS per model."""
+    from textcontrols.operators.draws import rank_diagnostics
+    d = rank_diagnostics(suite_draws(Suite(spark, sf)), ["experiment", "model", "parameter"])
+    return d.groupBy("experiment", "model").agg(F.round(F.max("rhat"), 4).alias("max_rhat"),
+                                                F.round(F.min("ess_bulk"), 1).alias("min_ess_bulk"))
