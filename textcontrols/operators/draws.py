@@ -162,75 +162,6 @@ def cell_draws(cmw: DataFrame, keys: Sequence[str], cell: str, model: str = "ora
 
 
 # ---------------------------------------------------------------- rank-normalised diagnostics
-def _average_ranks(v):
-    import numpy as np
-
-    order = np.argsort(v, kind="mergesort")
-    sv = v[order]
-    _, first, counts = np.unique(sv, return_index=True, return_counts=True)
-    avg = first + (counts + 1) / 2.0  # 1-based average rank of each run of ties
-    ranks = np.empty(len(v))
-    ranks[order] = np.repeat(avg, counts)
-    return ranks
-
-
-def _rank_normal(x):
-    """Rank-normalise a chains x draws array over all chains (average ranks for ties)."""
-    import numpy as np
-    from statistics import NormalDist
-
-    flat = x.ravel()
-    s = len(flat)
-    p = (_average_ranks(flat) - 0.375) / (s + 0.25)
-    inv = np.vectorize(NormalDist().inv_cdf)
-    return inv(p).reshape(x.shape)
-
-
-def _split_chains(x):
-    import numpy as np
-
-    n = x.shape[1]
-    h = n // 2
-    return np.vstack([x[:, :h], x[:, n - h:]])
-
-
-def _rhat_basic(x) -> float:
-    import numpy as np
-
-    m, n = x.shape
-    w = x.var(axis=1, ddof=1).mean()
-    b = n * x.mean(axis=1).var(ddof=1)
-    return float(np.sqrt(((n - 1) / n * w + b / n) / w)) if w > 0 else float("nan")
-
-
-def _ess_basic(x) -> float:
-    """Effective sample size with Geyer's initial monotone sequence (autocovariance by FFT)."""
-    import numpy as np
-
-    m, n = x.shape
-    c = x - x.mean(axis=1, keepdims=True)
-    f = np.fft.rfft(c, n=2 * n, axis=1)
-    acov = np.fft.irfft(f * np.conj(f), axis=1)[:, :n] / n
-    chain_var = acov[:, 0] * n / (n - 1)
-    w = chain_var.mean()
-    var_plus = w * (n - 1) / n + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
-    if var_plus <= 0:
-        return float("nan")
-    rho = 1.0 - (w - acov.mean(axis=0)) / var_plus
-    rho[0] = 1.0
-    total, prev, k = 0.0, np.inf, 0
-    while 2 * k + 1 < n:
-        pk = rho[2 * k] + rho[2 * k + 1]
-        if pk <= 0:
-            break
-        pk = min(pk, prev)
-        total += pk
-        prev = pk
-        k += 1
-    tau = -1.0 + 2.0 * total
-    return float(m * n / tau) if tau > 0 else float("nan")
-
-
 def rank_diagnostics(draws: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Rank-normalised split R-hat (max of bulk and folded tail) and bulk ESS per parameter.
 
@@ -243,6 +174,77 @@ def rank_diagnostics(draws: DataFrame, keys: Sequence[str], value: str = "value"
 
     key_cols = list(keys)
 
+    # helpers nested here so the worker function is shipped by value (no package import on workers)
+    def _average_ranks(v):
+        import numpy as np
+
+        order = np.argsort(v, kind="mergesort")
+        sv = v[order]
+        _, first, counts = np.unique(sv, return_index=True, return_counts=True)
+        avg = first + (counts + 1) / 2.0  # 1-based average rank of each run of ties
+        ranks = np.empty(len(v))
+        ranks[order] = np.repeat(avg, counts)
+        return ranks
+
+
+    def _rank_normal(x):
+        """Rank-normalise a chains x draws array over all chains (average ranks for ties)."""
+        import numpy as np
+        from statistics import NormalDist
+
+        flat = x.ravel()
+        s = len(flat)
+        p = (_average_ranks(flat) - 0.375) / (s + 0.25)
+        inv = np.vectorize(NormalDist().inv_cdf)
+        return inv(p).reshape(x.shape)
+
+
+    def _split_chains(x):
+        import numpy as np
+
+        n = x.shape[1]
+        h = n // 2
+        return np.vstack([x[:, :h], x[:, n - h:]])
+
+
+    def _rhat_basic(x) -> float:
+        import numpy as np
+
+        m, n = x.shape
+        w = x.var(axis=1, ddof=1).mean()
+        b = n * x.mean(axis=1).var(ddof=1)
+        return float(np.sqrt(((n - 1) / n * w + b / n) / w)) if w > 0 else float("nan")
+
+
+    def _ess_basic(x) -> float:
+        """Effective sample size with Geyer's initial monotone sequence (autocovariance by FFT)."""
+        import numpy as np
+
+        m, n = x.shape
+        c = x - x.mean(axis=1, keepdims=True)
+        f = np.fft.rfft(c, n=2 * n, axis=1)
+        acov = np.fft.irfft(f * np.conj(f), axis=1)[:, :n] / n
+        chain_var = acov[:, 0] * n / (n - 1)
+        w = chain_var.mean()
+        var_plus = w * (n - 1) / n + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
+        if var_plus <= 0:
+            return float("nan")
+        rho = 1.0 - (w - acov.mean(axis=0)) / var_plus
+        rho[0] = 1.0
+        total, prev, k = 0.0, np.inf, 0
+        while 2 * k + 1 < n:
+            pk = rho[2 * k] + rho[2 * k + 1]
+            if pk <= 0:
+                break
+            pk = min(pk, prev)
+            total += pk
+            prev = pk
+            k += 1
+        tau = -1.0 + 2.0 * total
+        return float(m * n / tau) if tau > 0 else float("nan")
+
+
+
     def per_param(pdf: pd.DataFrame) -> pd.DataFrame:
         chains = sorted(pdf["chain"].unique())
         seqs = [pdf.loc[pdf["chain"] == c].sort_values("draw")[value].to_numpy(dtype=float) for c in chains]

@@ -127,7 +127,9 @@ def ols_general(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
 
     k = len(xs)
     key_cols = list(keys)
+    # names resolved here: the worker function below references no module of this package
     s_cols = {(a, b): _s(a, b) for a in [y, *xs] for b in [y, *xs]}
+    m_cols = {a: _m(a) for a in [y, *xs]}
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -135,14 +137,14 @@ def ols_general(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str],
             n = float(r["n"])
             sxx = np.array([[r[s_cols[(a, b)]] for b in xs] for a in xs], dtype=float)
             sxy = np.array([r[s_cols[(a, y)]] for a in xs], dtype=float)
-            mx = np.array([r[_m(a)] for a in xs], dtype=float)
+            mx = np.array([r[m_cols[a]] for a in xs], dtype=float)
             nu = int(n) - k - 1
             try:
                 inv = np.linalg.inv(sxx)
             except np.linalg.LinAlgError:
                 inv = np.full((k, k), np.nan)
             b = inv @ sxy
-            b0 = r[_m(y)] - b @ mx
+            b0 = r[m_cols[y]] - b @ mx
             rss = r[s_cols[(y, y)]] - b @ sxy
             s2 = rss / nu if nu > 0 else np.nan
             var = [s2 * (1.0 / n + mx @ inv @ mx)] + [s2 * inv[j, j] for j in range(k)]
