@@ -95,8 +95,12 @@ def main(argv):
     import __spark_entry__ as E
     from textcontrols.session import get_spark, checkpoint_dir
 
-    spark = get_spark(master="local[8]", shuffle_partitions=8, conf={"spark.driver.memory": "8g"})
-    checkpoint_dir(spark)
+    if os.environ.get("PLAIN_SESSION"):  # as a driver would build it: no library defaults
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = get_spark(master="local[8]", shuffle_partitions=8, conf={"spark.driver.memory": "8g"})
+        checkpoint_dir(spark)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = []

@@ -106,6 +106,12 @@ def assemble(catalog: DataFrame, generated: DataFrame, key: str, attrs: Sequence
     return gen.unionByName(orig)
 
 
+def canonical_ids(df: DataFrame, id_col: str = "description_id",
+                  base_col: str = "base_description_id") -> DataFrame:
+    """Overwrite the id with the base id when the frame has one (augmented rows share their base's id)."""
+    return df.withColumn(id_col, F.col(base_col)) if base_col in df.columns else df
+
+
 def merge_catalogs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Union by key; where both sides hold a key the right side wins (one row per key)."""
     cols = [c for c in left.columns if c != key]
