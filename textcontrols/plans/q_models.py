@@ -16,7 +16,7 @@ from textcontrols.operators._util import bounded_broadcast, materialize_small
 from textcontrols.plans.q_text import CONV_PAIRS_SQL, paired_word_counts
 from textcontrols.plans.frames import conversation_pairs
 from textcontrols.plans.registry import query
-from textcontrols.plans.sql_models import cell_wide_sql, interval_cols, ols_long_sql, ols_wide_sql
+from textcontrols.plans.sql_models import cell_wide_sql, interval_cols, ols3_long_sql, ols_long_sql, ols_wide_sql
 from textcontrols.plans.sqltext import wc
 from textcontrols.sources.tables import load_table
 
@@ -285,7 +285,8 @@ def model_compare(spark, sf):
                 - F.max(F.when(F.col("model") == "controls_2", F.col("looic"))), 2).alias("looic_diff_1_2"))
 
 
-@query("ols_general")
+@query("ols_general", sql="SELECT * FROM " + ols3_long_sql(FRAME_SQL, KEYS, "y", ["wc_diff", *CONTROLS_2],
+                                                          "wc_controls_2"))
 def ols_general_q(spark, sf):
     """``y ~ 1 + wc_diff + INTN1 + INTN2`` per experiment: more regressors than the column closed form."""
     return _rounded(R.fit_ols(model_frame(spark, sf), KEYS, "y", ["wc_diff", *CONTROLS_2], "wc_controls_2"))

@@ -67,3 +67,34 @@ def cell_wide_sql(frame: str, keys: list[str], cell: str, y: str) -> str:
 
 def interval_cols(est: str, var: str, nu: str, d: int) -> str:
     return _interval(est, var, nu, d)
+
+
+def ols3_long_sql(frame: str, keys: list[str], y: str, xs: list[str], model: str, d: int = 4) -> str:
+    """``y ~ 1 + x1 + x2 + x3`` per group, 3 x 3 inverse by cofactors (mirrors ols_general)."""
+    assert len(xs) == 3
+    k = ", ".join(keys)
+    kk = "".join(f"{c}, " for c in keys)
+    x1, x2, x3 = xs
+    g = (f"SELECT {kk}count(*) AS n, avg({y}) AS my, var_pop({y}) * count(*) AS syy, "
+         + ", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(xs, 1)) + ", "
+         + ", ".join(f"covar_pop({x}, {y}) * count(*) AS s{i}y" for i, x in enumerate(xs, 1)) + ", "
+         + ", ".join(f"covar_pop({a}, {b}) * count(*) AS s{i}{j}" for i, a in enumerate(xs, 1)
+                     for j, b in enumerate(xs, 1) if j >= i)
+         + f" FROM {frame} GROUP BY {k}")
+    det = "(s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s13 * s23) + s13 * (s12 * s23 - s13 * s22))"
+    inv = (f"SELECT *, (s22 * s33 - s23 * s23) / {det} AS i11, (s13 * s23 - s12 * s33) / {det} AS i12,"
+           f" (s12 * s23 - s13 * s22) / {det} AS i13, (s11 * s33 - s13 * s13) / {det} AS i22,"
+           f" (s12 * s13 - s11 * s23) / {det} AS i23, (s11 * s22 - s12 * s12) / {det} AS i33 FROM g")
+    b = ("SELECT *, i11 * s1y + i12 * s2y + i13 * s3y AS b1, i12 * s1y + i22 * s2y + i23 * s3y AS b2,"
+         " i13 * s1y + i23 * s2y + i33 * s3y AS b3 FROM iv")
+    f = ("SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, syy - b1 * s1y - b2 * s2y - b3 * s3y AS rss,"
+         " n - 4 AS nu,"
+         " 1.0 / n + m1 * m1 * i11 + m2 * m2 * i22 + m3 * m3 * i33 + 2 * (m1 * m2 * i12 + m1 * m3 * i13 + m2 * m3 * i23)"
+         " AS v00 FROM bb")
+    w = (f"(WITH g AS ({g}), iv AS ({inv}), bb AS ({b}), f AS ({f}) "
+         f"SELECT *, CASE WHEN nu > 0 THEN rss / nu END AS s2 FROM f)")
+    parts = []
+    for j, (name, var) in enumerate([("Intercept", "v00"), (x1, "i11"), (x2, "i22"), (x3, "i33")]):
+        parts.append(f"SELECT {kk}'{model}' AS model, '{name}' AS parameter, n, CAST(nu AS BIGINT) AS nu, "
+                     f"{_interval(f'b{j}', f's2 * {var}', 'nu', d)} FROM {w}")
+    return "(" + " UNION ALL ".join(parts) + ")"
