@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textcontrols.operators._util import bounded_broadcast
+from textcontrols.operators._util import bounded_broadcast, materialize_small
 
 # Strategy names, sampling temperatures and token limits, in strategy order.
 STRATEGIES = (
@@ -127,9 +127,11 @@ def design_check(assembled: DataFrame, n_bases: int, n_strategies: int, n: int =
     Cells: each strategy (expected bases x n), the originals (expected bases)
     and ``per_base_mismatch`` (expected 0 bases whose row count differs from S x n + 1).
     """
-    by_strategy = assembled.groupBy(F.col("augmentation_strategy").alias("cell")).agg(
-        F.count(F.lit(1)).alias("observed"))
-    per_base = assembled.groupBy("base_description_id").agg(F.count(F.lit(1)).alias("c"))
+    # one pass over the rows: counts per (base, strategy), written once; both checks read that table
+    cells = materialize_small(assembled.groupBy("base_description_id", "augmentation_strategy")
+                              .agg(F.count(F.lit(1)).alias("c")))
+    by_strategy = cells.groupBy(F.col("augmentation_strategy").alias("cell")).agg(F.sum("c").alias("observed"))
+    per_base = cells.groupBy("base_description_id").agg(F.sum("c").alias("c"))
     bad = per_base.agg(F.count_if(F.col("c") != n_strategies * n + 1).alias("observed")) \
         .select(F.lit("per_base_mismatch").alias("cell"), "observed")
     obs = by_strategy.unionByName(bad)
