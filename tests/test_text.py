@@ -29,12 +29,12 @@ def test_normalize_keeps_trailing_blank_after_symbol(spark):
 
 def test_normalize_damaged_apostrophe_order(spark):
     # the trade-mark sign is deleted first, so the damaged form loses only its tail
-    assert _one(spark, ["coffeeâ€™s"], normalize_text) == ["coffeeâ€s"]
+    assert _one(spark, ["teaâ€™s"], normalize_text) == ["teaâ€s"]
 
 
 def test_normalize_null_and_strip(spark):
-    vals = [None, "\x1c Mixed Case \t", "Fair Trade Certified™ beans"]
-    assert _one(spark, vals, normalize_text) == ["", "mixed case", "fair trade certified beans"]
+    vals = [None, "\x1c Mixed Case \t", "Certified™ Product"]
+    assert _one(spark, vals, normalize_text) == ["", "mixed case", "certified product"]
 
 
 def test_normalize_sequential_deletion_creates_match(spark):

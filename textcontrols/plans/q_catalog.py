@@ -30,14 +30,14 @@ def catalog(spark, sf):
         F.col("p_name").alias("description"), F.col("p_brand").alias("treatment"), F.col("p_type").alias("profile"),
         F.when(F.col("p_size") <= 15, "short").when(F.col("p_size") <= 35, "medium").otherwise("long")
          .alias("length_condition"),
-        F.when(F.col("p_retailprice") < 1500, "fairtrade").otherwise("organic").alias("experiment"),
+        F.when(F.col("p_retailprice") < 1500, "exp_a").otherwise("exp_b").alias("experiment"),
         word_count("p_name").alias("word_count"))
 
 
 CATALOG_SQL = f"""(SELECT 'p' || CAST(p_partkey AS VARCHAR) AS description_id, p_partkey AS base_key, p_size AS size,
   p_name AS description, p_brand AS treatment, p_type AS profile,
   CASE WHEN p_size <= 15 THEN 'short' WHEN p_size <= 35 THEN 'medium' ELSE 'long' END AS length_condition,
-  CASE WHEN p_retailprice < 1500 THEN 'fairtrade' ELSE 'organic' END AS experiment,
+  CASE WHEN p_retailprice < 1500 THEN 'exp_a' ELSE 'exp_b' END AS experiment,
   {wc('p_name')} AS word_count FROM part)"""
 
 
