@@ -61,3 +61,13 @@ def test_analysis_csv_na_only(spark):
         f.write("a,b\nNA,\nx,y\n")
     rows = read_analysis_csv(spark, path).collect()
     assert rows[0].a is None and rows[0].b == ""
+
+
+def test_label_encode_distributed_rank(spark):
+    from textcontrols.operators.describe import label_encode
+    rows = [(f"v{i:05d}", "x" if i % 3 else "y") for i in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    out = {(r.attribute, r.level): r.code for r in label_encode(df, ["a", "b"]).collect()}
+    assert out[("a", "v00000")] == 0 and out[("a", "v02999")] == 2999 and out[("b", "x")] == 0 and out[("b", "y")] == 1
+    codes = sorted(v for (a, _), v in out.items() if a == "a")
+    assert codes == list(range(3000))

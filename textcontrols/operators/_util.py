@@ -49,3 +49,27 @@ def materialize_small(df: DataFrame) -> DataFrame:
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def dense_rank_by(df: DataFrame, group_col: str, order_col: str, out: str = "code",
+                  n_parts: int | None = None) -> DataFrame:
+    """0-based rank of ``order_col`` within ``group_col`` for rows unique on (group, order), distributed.
+
+    The rows are range-partitioned on (group, order) and written once, so each
+    partition holds a sorted slice with a stable partition id.  Per (partition,
+    group) counts form a small table whose running sums give each slice's
+    offset; the rank is offset + row number inside the slice.  No window spans
+    a whole group, so a group with very many levels is still spread over tasks.
+    """
+    from pyspark.sql import Window
+
+    n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = materialize_small(df.repartitionByRange(n_parts, group_col, order_col)
+                               .withColumn("_pid", F.spark_partition_id()))
+    counts = sliced.groupBy(group_col, "_pid").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group_col, "_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    offsets_b, _ = bounded_broadcast(offsets)  # at most partitions x groups rows
+    local = F.row_number().over(Window.partitionBy("_pid", group_col).orderBy(order_col)) - 1
+    j = sliced.join(offsets_b, [group_col, "_pid"], "inner")
+    return j.withColumn(out, (F.col("_off") + local).cast("long")).drop("_pid", "_off")

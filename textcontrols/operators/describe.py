@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcontrols.functions.recode import role_of_condition
+from textcontrols.operators._util import dense_rank_by
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -102,9 +103,8 @@ def partial_correlations(df: DataFrame, keys: Sequence[str], xs: Sequence[str],
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(attribute, level, code): alphabetical 0-based codes per attribute.
 
-    Distinct levels first; the ranking window then runs over the distinct
-    levels of one attribute, never over the rows.
+    Distinct levels first (one aggregate), then a distributed dense rank over
+    range-partitioned slices of the levels (no window spans a whole attribute).
     """
     lv = value_counts(df, cols).where(F.col("level").isNotNull()).select("attribute", "level")
-    w = Window.partitionBy("attribute").orderBy("level")
-    return lv.select("attribute", "level", (F.dense_rank().over(w) - 1).cast("long").alias("code"))
+    return dense_rank_by(lv, "attribute", "level", "code")
