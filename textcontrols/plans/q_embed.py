@@ -182,3 +182,28 @@ def residual_multi(spark, sf):
     r = E.residualize_attributes(e, ["label", "sign0"])
     return r.select("vec_id", "label", "sign0",
                     F.round(F.aggregate("residual", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
+
+
+_FOLD_SQL = f"((vec_id * 2654435761 + {SEED}) % {FOLDS} + {FOLDS}) % {FOLDS}"
+_TRAIN_CENTROIDS_SQL = f"""(SELECT label, dim, avg(v) AS centroid FROM {EXPLODED_SQL}
+  WHERE {_FOLD_SQL} <> 0 GROUP BY label, dim)"""
+
+
+@query("holdout_accuracy", sql=f"""
+WITH d AS (SELECT x.vec_id, x.label, c.label AS cls, sum((x.v - c.centroid) * (x.v - c.centroid)) AS dist
+           FROM {EXPLODED_SQL} x JOIN {_TRAIN_CENTROIDS_SQL} c ON c.dim = x.dim
+           WHERE {_FOLD_SQL.replace('vec_id', 'x.vec_id')} = 0 GROUP BY x.vec_id, x.label, c.label),
+p AS (SELECT vec_id, label, max(CASE WHEN rn = 1 THEN cls END) AS prediction,
+             max(CASE WHEN cls = label THEN rn END) AS true_rank
+      FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cls) AS rn FROM d) GROUP BY vec_id, label)
+SELECT CAST(count(*) AS BIGINT) AS n_test, round(avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(avg(CASE WHEN true_rank <= {TOPK} THEN 1.0 ELSE 0.0 END), 6) AS top_5_accuracy FROM p""")
+def holdout_accuracy(spark, sf):
+    """Centroids from the training folds, nearest-centroid scores on the held-out fold."""
+    e = _emb(spark, sf).withColumn("fold", E.holdout_fold("vec_id", SEED, FOLDS))
+    model = E.centroid_model(E.class_centroids(e.where(F.col("fold") != 0), "label"))
+    test = e.where(F.col("fold") == 0).select("vec_id", "label", "embedding")
+    p = E.nearest_centroid(test, model, "label", k=TOPK)
+    return p.agg(F.count(F.lit(1)).alias("n_test"),
+                 F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("accuracy"),
+                 F.round(F.avg(F.col(f"in_top{TOPK}").cast("double")), 6).alias("top_5_accuracy"))
