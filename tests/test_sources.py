@@ -53,3 +53,14 @@ def test_golden_values_looic_and_n(spark):
     a = spark.createDataFrame([("F", "looic", 1527.54), ("F", "n", 353.0)], "file string, label string, value double")
     out = {(r.file, r.label): r.status for r in golden_check_values(g, a, ["file", "label"]).collect()}
     assert out == {("F", "looic"): "MATCH", ("F", "n"): "MATCH", ("O", "looic"): "MISSING"}
+
+
+def test_resolve_source_prefers_first_complete(spark):
+    from textcontrols.sources.snapshot import resolve_source
+    root = tempfile.mkdtemp(prefix="tc-resolve-")
+    shipped, built = os.path.join(root, "shipped"), os.path.join(root, "built")
+    spark.range(3).write.parquet(built)
+    assert resolve_source(spark, [shipped, built]) == built
+    spark.range(2).write.parquet(shipped)
+    assert resolve_source(spark, [shipped, built]) == shipped
+    assert resolve_source(spark, [os.path.join(root, "none")]) is None

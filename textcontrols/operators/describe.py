@@ -44,8 +44,8 @@ def distinct_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def column_summary(df: DataFrame, cols: Sequence[str], report: int | None = None) -> DataFrame:
     """(column, mean, std) with the sample standard deviation, one aggregate pass.
 
-    ``report`` keeps the first columns (in the given order) and adds a row
-    ``column='(others)'`` holding how many further columns there are.
+    ``report`` keeps the first columns (in the given order); ``n_not_reported``
+    counts the columns left out.
     """
     chosen = list(cols)[:report] if report else list(cols)
     aggs = []
@@ -55,7 +55,7 @@ def column_summary(df: DataFrame, cols: Sequence[str], report: int | None = None
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__mean").alias("mean"),
                                         F.col(f"{c}__std").alias("std")) for c in chosen]))
     out = wide.select(rows.alias("_r")).select("_r.*")
-    return out
+    return out.withColumn("n_not_reported", F.lit(len(cols) - len(chosen)).cast("long"))
 
 
 def condition_counts(df: DataFrame, group: str, cond: str, roles: Sequence[str] = ("Base", "Short", "Long")

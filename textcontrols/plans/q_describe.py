@@ -44,11 +44,12 @@ SUMMARY_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("control_summary", sql=" UNION ALL ".join(
-    f"SELECT '{c}' AS column, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM lineitem"
+    f"SELECT '{c}' AS column, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+    f"CAST({len(SUMMARY_COLS) - 3} AS BIGINT) AS n_not_reported FROM lineitem"
     for c in SUMMARY_COLS[:3]))
 def control_summary(spark, sf):
     out = D.column_summary(load_table(spark, sf, "lineitem"), SUMMARY_COLS, report=3)
-    return out.select("column", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    return out.select("column", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n_not_reported")
 
 
 @query("condition_counts", sql=f"""

@@ -14,6 +14,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")))
 
 
+def resolve_source(spark: SparkSession, candidates: list[str]) -> str | None:
+    """First candidate path holding a complete snapshot (e.g. a shipped copy, else a built one)."""
+    for c in candidates:
+        if _exists(spark, c):
+            return c
+    return None
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                 refresh: bool = False, partition_by: list[str] | None = None) -> DataFrame:
     """Return the snapshot at ``path``; build and write it first when missing.
