@@ -52,13 +52,16 @@ def get_spark(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` as the cluster names it.  Only when it
-    is unset (local tests) a private scratch folder is created and set.
+    Read from ``spark.checkpoint.dir`` as the cluster names it.  Only in local
+    mode (tests) an unset folder is replaced by a private scratch folder; on a
+    cluster an unset folder is an error, never a machine-local path.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder for checkpoints")
         d = tempfile.mkdtemp(prefix="textcontrols-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
