@@ -349,3 +349,30 @@ def draws_rank_diagnostics(spark, sf):
     d = rank_diagnostics(suite_draws(Suite(spark, sf)), ["experiment", "model", "parameter"])
     return d.groupBy("experiment", "model").agg(F.round(F.max("rhat"), 4).alias("max_rhat"),
                                                 F.round(F.min("ess_bulk"), 1).alias("min_ess_bulk"))
+
+
+def estimator_draws(s: Suite, n_draws: int = 6000):
+    """Draws per estimator: the three cells by role, the pooled mean derived per draw, the intercepts."""
+    d = suite_draws(s, n_draws)
+    role = F.create_map(*[x for k, v in ROLES.items() for x in (F.lit(k), F.lit("oracle_" + v))])
+    cells = d.where(F.col("model") == "oracle")
+    out = cells.select("experiment", F.element_at(role, F.col("parameter")).alias("estimator"), "chain", "draw", "value")
+    sizes, _ = bounded_broadcast(s.cmw.select("experiment", F.col("condition").alias("parameter"), "n"))
+    pooled = (cells.join(sizes, ["experiment", "parameter"], "inner")
+              .groupBy("experiment", "chain", "draw")
+              .agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("value"))
+              .select("experiment", F.lit("naive_pooled").alias("estimator"), "chain", "draw", "value"))
+    ints = d.where((F.col("model") != "oracle") & (F.col("parameter") == "Intercept")).select(
+        "experiment", F.col("model").alias("estimator"), "chain", "draw", "value")
+    return out.unionByName(pooled).unionByName(ints)
+
+
+@query("summary_table_draws")
+def summary_table_draws(spark, sf):
+    """Estimator x experiment table of draw means and 2.5 / 97.5 % draw quantiles."""
+    from textcontrols.operators.draws import draw_quantiles
+    from textcontrols.operators.report import summary_table as st
+    q = draw_quantiles(estimator_draws(Suite(spark, sf)), ["experiment", "estimator"], "value")
+    est = q.select("experiment", "estimator", F.round("mean", 3).alias("estimate"),
+                   F.round("q025", 3).alias("q_lo"), F.round("q975", 3).alias("q_hi"))
+    return st(est, "estimator", "experiment", ["F", "O"], prefix="exp_")
