@@ -75,6 +75,17 @@ def ols_wide(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) ->
     Columns: keys, n, nu, rss, s2, b_0..b_p (b_0 = intercept), v_i_j (covariance
     of b_i, b_j without the nu/(nu-2) factor), the regressor means.
     """
+    return mom.select(*[F.col(k) for k in keys], *ols_columns(y, xs))
+
+
+def ols_wide_multi(mom: DataFrame, keys: Sequence[str], y: str, models: dict) -> DataFrame:
+    """Several ``ols_wide`` fits side by side in one select over the same moments (``_{model}_`` prefixes)."""
+    cols = [c.alias(f"_{m}_{name}") for m, xs in models.items() for name, c in ols_columns(y, xs, named=True)]
+    return mom.select(*[F.col(k) for k in keys], *cols)
+
+
+def ols_columns(y: str, xs: Sequence[str], named: bool = False) -> list:
+    """The fit columns of ``ols_wide`` (aliased; with ``named`` as (name, column) pairs)."""
     p = len(xs) + 1
     n = F.col("n").cast("double")
     my = F.col(_m(y))
@@ -107,11 +118,13 @@ def ols_wide(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) ->
         raise ValueError("ols_wide solves up to two regressors in columns; use ols_general for more")
     nu = F.col("n") - p
     s2 = F.when(nu > 0, rss / nu)
-    cols = [*[F.col(k) for k in keys], F.col("n"), nu.alias("nu"), rss.alias("rss"), s2.alias("s2")]
-    cols += [bj.alias(f"b_{j}") for j, bj in enumerate(b)]
-    cols += [(F.lit(v) if isinstance(v, float) else v).alias(f"v_{i}_{j}") for (i, j), v in cov.items()]
-    cols += [F.col(_m(x)).alias(_m(x)) for x in xs]
-    return mom.select(*cols)
+    named_cols = [("n", F.col("n")), ("nu", nu), ("rss", rss), ("s2", s2)]
+    named_cols += [(f"b_{j}", bj) for j, bj in enumerate(b)]
+    named_cols += [(f"v_{i}_{j}", F.lit(v) if isinstance(v, float) else v) for (i, j), v in cov.items()]
+    named_cols += [(_m(x), F.col(_m(x))) for x in xs]
+    if named:
+        return named_cols
+    return [c.alias(name) for name, c in named_cols]
 
 
 def ols_general(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], model: str = "ols") -> DataFrame:
@@ -245,17 +258,18 @@ def lgamma_col(x: Column) -> Column:
     return series - F.log(prod)
 
 
-def loo_constants(wide: DataFrame, p: int | None = None) -> DataFrame:
+def loo_constants(wide: DataFrame, p: int | None = None, prefix: str = "") -> DataFrame:
     """Per-group constants of the LOO t density: ``nu1`` and lgamma((nu1+1)/2) - lgamma(nu1/2).
 
     ``p`` = number of coefficients of an ``ols_wide`` table (nu1 = n - 1 - p);
     ``None`` for a ``cell_mean_wide`` table (nu1 = nu - 1).  Computed once per
     group, not per row.
     """
-    nu1 = (F.col("n") - 1 - p) if p is not None else (F.col("nu") - 1)
-    w = wide.withColumn("nu1", nu1.cast("double"))
-    return w.withColumn("lgc", F.when(F.col("nu1") >= 1, lgamma_col((F.col("nu1") + 1.0) / 2.0)
-                                      - lgamma_col(F.col("nu1") / 2.0)))
+    c = lambda name: F.col(f"{prefix}{name}")
+    nu1 = (c("n") - 1 - p) if p is not None else (c("nu") - 1)
+    w = wide.withColumn(f"{prefix}nu1", nu1.cast("double"))
+    return w.withColumn(f"{prefix}lgc", F.when(c("nu1") >= 1, lgamma_col((c("nu1") + 1.0) / 2.0)
+                                               - lgamma_col(c("nu1") / 2.0)))
 
 
 def add_loo_elpd(df: DataFrame, y: str, xs: Sequence[str] | None, prefix: str, out: str) -> DataFrame:

@@ -55,7 +55,8 @@ class Suite:
         self.frame = model_frame(spark, sf)
         # one aggregate over the rows, checkpointed: every model below reads this small table
         self.cells = materialize_small(R.cell_moments(self.frame, KEYS, "condition", self.COLS))
-        self.groups = R.combine_moments(self.cells, KEYS, self.COLS)
+        # pooled per experiment once (a few rows): every fit below is a select over it
+        self.groups = materialize_small(R.combine_moments(self.cells, KEYS, self.COLS))
         self.cmw = R.cell_mean_wide(self.cells, KEYS, "condition", "y")
 
     def wide(self, xs):
@@ -242,11 +243,9 @@ def _looic(s: Suite):
     second pass (all four in one generated stage exceed the code-size limits
     of whole-stage codegen and fall back to a much slower path).
     """
-    fits = None
+    fits = R.ols_wide_multi(s.groups, KEYS, "y", MODELS)  # one select, one row per experiment
     for m, xs in MODELS.items():
-        w = R.prefixed(R.loo_constants(s.wide(xs), len(xs) + 1), KEYS, f"_{m}_")
-        fits = w if fits is None else fits.join(w, KEYS, "inner")
-    fits = materialize_small(fits)
+        fits = R.loo_constants(fits, len(xs) + 1, f"_{m}_")
     cells = materialize_small(R.prefixed(R.loo_constants(s.cmw), [*KEYS, "condition"], "_oracle_"))
 
     fits_b, _ = bounded_broadcast(fits)  # one row per experiment: counted, then broadcast

@@ -15,8 +15,6 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # checkpoint files of intermediates are removed once their frames are garbage collected
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
