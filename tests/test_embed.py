@@ -64,3 +64,13 @@ def test_residualize_attributes_orthogonal_to_all_dummies(spark):
     one = E.residualize_attributes(e, ["label"]).orderBy("vec_id").select("residual").toPandas()
     ref = E.residualize(e, E.class_centroids(e, "label"), "label").orderBy("vec_id").select("residual").toPandas()
     assert np.abs(np.vstack(one["residual"]) - np.vstack(ref["residual"])).max() < 1e-9
+
+
+def test_chunked_scoring_equals_literal(spark, monkeypatch):
+    e = _emb(spark).select("vec_id", "label", "embedding")
+    model = E.centroid_model(E.class_centroids(e, "label"))
+    want = sorted((r.vec_id, r.prediction, r.true_rank) for r in E.nearest_centroid(e, model, "label").collect())
+    monkeypatch.setattr(E, "MAX_MODEL_VALUES", 3 * len(model[0][1]))  # 3 classes per chunk
+    got = sorted((r.vec_id, r.prediction, r.true_rank)
+                 for r in E.nearest_centroid(e, model, "label", id_col="vec_id").collect())
+    assert got == want

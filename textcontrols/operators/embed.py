@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 
 from textcontrols.operators._util import materialize_small
 
-# Largest centroid model (labels x dims numbers) that is broadcast.
-MAX_MODEL_VALUES = 20_000_000
+# Largest centroid model (labels x dims numbers) carried as one literal in a plan.
+MAX_MODEL_VALUES = 2_000_000
+# Largest labels x dims collected to the driver at all (chunks of MAX_MODEL_VALUES beyond the literal bound).
+MAX_COLLECTED_VALUES = 50_000_000
 # Largest d for which the d x d Gram matrix is collected to the driver.
 MAX_GRAM_DIM = 4096
 
@@ -53,7 +55,7 @@ def centroid_model(centroids: DataFrame) -> list[tuple]:
     size check; it enters the plan as one literal, so scoring needs no join.
     """
     n_values = centroids.count()
-    if n_values > MAX_MODEL_VALUES:
+    if n_values > MAX_COLLECTED_VALUES:
         raise ValueError(f"centroid model has {n_values} values, above the bound")
     per = centroids.groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "centroid"))), lambda s: s["centroid"]).alias("vec"))
@@ -78,9 +80,21 @@ def score_centroids(df: DataFrame, model: list[tuple], emb: str = "embedding", m
     return df.withColumn("dists", F.array_sort(dists))
 
 
+def _model_values(model: list[tuple], m: int | None) -> int:
+    return sum(len(v[:m] if m else v) for _, v in model)
+
+
 def nearest_centroid(df: DataFrame, model: list[tuple], label: str, emb: str = "embedding",
-                     m: int | None = None, k: int = 5) -> DataFrame:
-    """Prediction, the rank of the true label, and whether it is in the top ``k``."""
+                     m: int | None = None, k: int = 5, id_col: str | None = None) -> DataFrame:
+    """Prediction, the rank of the true label, and whether it is in the top ``k``.
+
+    A model up to MAX_MODEL_VALUES numbers is one literal; a larger one is
+    scored in class chunks (``nearest_centroid_chunked``, needs ``id_col``).
+    """
+    if _model_values(model, m) > MAX_MODEL_VALUES:
+        if id_col is None:
+            raise ValueError("a centroid model above the literal bound needs id_col for chunked scoring")
+        return nearest_centroid_chunked(df, model, label, id_col, emb, m, k)
     s = score_centroids(df, model, emb, m)
     true_d = F.filter("dists", lambda x: x["label"] == F.col(label))[0]["dist"]
     rank = F.size(F.filter("dists", lambda x: (x["dist"] < true_d) | ((x["dist"] == true_d) & (x["label"] < F.col(label))))) + 1
@@ -88,6 +102,42 @@ def nearest_centroid(df: DataFrame, model: list[tuple], label: str, emb: str = "
         .withColumn(f"in_top{k}", F.col("true_rank") <= k).drop("dists")
 
 
+def nearest_centroid_chunked(df: DataFrame, model: list[tuple], label: str, id_col: str,
+                             emb: str = "embedding", m: int | None = None, k: int = 5) -> DataFrame:
+    """Exact nearest-centroid scoring for a model above the literal bound.
+
+    The classes are cut into chunks of at most MAX_MODEL_VALUES numbers.  Each
+    row's true-class distance comes from an equi-join with the centroid table
+    on the label; each chunk pass yields per row its best (distance, label) and
+    how many of its classes rank before the true class; one aggregate per row
+    combines the passes.  No pairs of rows, no cross join.
+    """
+    spark = df.sparkSession
+    e = as_double(emb, m)
+    d = len(model[0][1][:m] if m else model[0][1])
+    per = max(1, MAX_MODEL_VALUES // max(d, 1))
+    chunks = [model[i:i + per] for i in range(0, len(model), per)]
+    label_type = df.schema[label].dataType
+    cent = spark.createDataFrame([(lab, [float(x) for x in (v[:m] if m else v)]) for lab, v in model],
+                                 T.StructType([T.StructField(label, label_type),
+                                               T.StructField("_cvec", T.ArrayType(T.DoubleType()))]))
+    rows = df.select(id_col, label, emb).join(cent, label, "left") \
+        .withColumn("_true_d", _sqdist(e, F.col("_cvec"))).drop("_cvec")
+    parts = []
+    for ch in chunks:
+        s = score_centroids(rows, ch, emb, m)
+        td = F.col("_true_d")
+        closer = F.size(F.filter("dists", lambda x: (x["dist"] < td) | ((x["dist"] == td) & (x["label"] < F.col(label)))))
+        parts.append(s.select(id_col, label, F.col("dists")[0].alias("_best"), closer.alias("_closer")))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    g = allp.groupBy(id_col, label).agg(F.min("_best").alias("_best"), F.sum("_closer").alias("_closer"))
+    out = df.join(g.select(id_col, F.col("_best")["label"].alias("prediction"),
+                           (F.col("_closer") + 1).cast("int").alias("true_rank")), id_col, "inner")
+    return out.withColumn(f"in_top{k}", F.col("true_rank") <= k)
+
+
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                            num_classes: int | None = None, topk_col: str | None = "in_top5") -> DataFrame:
     """accuracy, macro F1, weighted F1, top-k accuracy, classes and samples: one row.

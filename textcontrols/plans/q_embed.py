@@ -59,7 +59,8 @@ def class_centroids(spark, sf):
 def _classified(spark, sf, m=None):
     e = _emb(spark, sf)
     model = E.centroid_model(E.class_centroids(e, "label"))
-    return E.nearest_centroid(e.select("vec_id", "label", "embedding"), model, "label", m=m, k=TOPK)
+    return E.nearest_centroid(e.select("vec_id", "label", "embedding"), model, "label", m=m, k=TOPK,
+                              id_col="vec_id")
 
 
 @query("centroid_classify", sql=f"SELECT vec_id, label, prediction, true_rank FROM {_ranked_sql()}")
@@ -111,6 +112,15 @@ SELECT m, accuracy, CAST(rank() OVER (ORDER BY accuracy DESC, m) AS INTEGER) AS
 def truncation_sweep(spark, sf):
     e = _emb(spark, sf)
     model = E.centroid_model(E.class_centroids(e, "label"))  # full centroids; truncation = first m dims
+    if E._model_values(model, None) > E.MAX_MODEL_VALUES:  # chunked scoring, one pass per size
+        per = None
+        for m in SWEEP:
+            p = E.nearest_centroid(e.select("vec_id", "label", "embedding"), model, "label", m=m, k=TOPK,
+                                   id_col="vec_id").select(F.lit(m).alias("m"),
+                                                           (F.col("true_rank") == 1).cast("double").alias("ok"))
+            per = p if per is None else per.unionByName(p)
+        acc = per.groupBy("m").agg(F.round(F.avg("ok"), 6).alias("accuracy"))
+        return acc.select("m", "accuracy", F.rank().over(Window.orderBy(F.desc("accuracy"), "m")).alias("rank"))
     rows = e.select("label", "embedding")
     hits = []
     for m in SWEEP:  # every truncation scored on the same row, one pass
@@ -203,7 +213,7 @@ def holdout_accuracy(spark, sf):
     e = _emb(spark, sf).withColumn("fold", E.holdout_fold("vec_id", SEED, FOLDS))
     model = E.centroid_model(E.class_centroids(e.where(F.col("fold") != 0), "label"))
     test = e.where(F.col("fold") == 0).select("vec_id", "label", "embedding")
-    p = E.nearest_centroid(test, model, "label", k=TOPK)
+    p = E.nearest_centroid(test, model, "label", k=TOPK, id_col="vec_id")
     return p.agg(F.count(F.lit(1)).alias("n_test"),
                  F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 6).alias("accuracy"),
                  F.round(F.avg(F.col(f"in_top{TOPK}").cast("double")), 6).alias("top_5_accuracy"))
