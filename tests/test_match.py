@@ -61,3 +61,12 @@ def test_result_independent_of_partitioning(spark):
     a = match_column(q.repartition(1), "text", _lookup(spark)).orderBy("qid").select("pos").collect()
     b = match_column(q.repartition(7), "text", _lookup(spark)).orderBy("qid").select("pos").collect()
     assert a == b
+
+
+def test_empty_lookup_all_unmatched(spark):
+    empty = _lookup(spark, [])
+    q = spark.createDataFrame(list(enumerate(QUERIES)), "qid int, text string")
+    assert {r.pos for r in match_column(q, "text", empty).collect()} == {None}
+    pairs = spark.createDataFrame([(0, "a", "b")], "pid int, Text_Base string, Text_Comparison string")
+    e = enrich_pairs(pairs, "Text_Base", "Text_Comparison", empty, 2).collect()[0]
+    assert (e.INTN1, e.INTN2, e.nuisance_matched) == (0.0, 0.0, False)

@@ -40,3 +40,8 @@ def test_normalize_null_and_strip(spark):
 def test_normalize_sequential_deletion_creates_match(spark):
     # deleting the registered sign joins the pieces of a later pattern
     assert _one(spark, ["xâ®„¢y"], normalize_text) == ["xy"]
+
+
+def test_lowercase_matches_python(spark):
+    vals = ["İstanbul", "ΟΔΟΣ", "Straße", "ÀÉÎÕÜ"]
+    assert _one(spark, vals, normalize_text) == [v.strip().lower() for v in vals]
