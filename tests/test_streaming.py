@@ -2,6 +2,8 @@
 
 import tempfile
 
+from pyspark.sql import functions as F
+
 from textcontrols.operators.match import match_column
 from textcontrols.plans.frames import benchmark_lookup
 from textcontrols.streaming import start_match_stream, stream_text_features
@@ -41,3 +43,19 @@ def test_recodes_run_on_event_stream(spark):
     want = sorted(tuple(r) for r in analysis_columns(survey_columns(ev)).select(
         "event_id", "Pref", "condition", "matched").collect())
     assert got == want and len(got) == ev.count()
+
+
+def test_pair_enrichment_per_micro_batch(spark):
+    from textcontrols.operators.match import enrich_pairs
+    from textcontrols.streaming import start_batch_stream
+
+    conv = spark.read.parquet(f"{SF}/conversations.parquet")
+    lookup = benchmark_lookup(spark, SF)
+    stream = spark.readStream.schema(conv.schema).option("pathGlobFilter", "conversations.parquet").parquet(SF)
+    pairs = stream.select("conv_id", "turn", F.col("text").alias("Text_Base"), F.col("text").alias("Text_Comparison"))
+    out = tempfile.mkdtemp(prefix="tc-stream-out-")
+    q = start_batch_stream(pairs, lambda b: enrich_pairs(b, "Text_Base", "Text_Comparison", lookup, 3), out,
+                           tempfile.mkdtemp(prefix="tc-stream-ckpt-"))
+    q.awaitTermination(300)
+    got = spark.read.parquet(out)
+    assert got.count() == conv.count() and got.where("wc_diff != 0").count() == 0

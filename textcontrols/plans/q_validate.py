@@ -44,6 +44,7 @@ def _golden(spark, sf):
         F.struct(F.lit("wc").alias("model"), F.lit("Intercept").alias("parameter"), F.col("i").alias("gt_est")),
         F.struct(F.lit("wc").alias("model"), F.lit("wc_diff").alias("parameter"), F.col("s").alias("gt_est")),
         F.struct(F.lit("controls_1").alias("model"), F.lit("Intercept").alias("parameter"), F.col("i1").alias("gt_est")),
+        # a golden row for a model the suite does not fit: must come out MISSING (and fail the summary)
         F.struct(F.lit("controls_3").alias("model"), F.lit("Intercept").alias("parameter"), F.col("i1").alias("gt_est")),
     )).alias("_g")).select("experiment", "_g.*")
     return cells.unionByName(wc).withColumn("gt_se", F.lit(None).cast("double"))

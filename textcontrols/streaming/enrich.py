@@ -22,15 +22,27 @@ def stream_text_features(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("normalized", normalize_text(text_col)).withColumn("word_count", word_count(text_col))
 
 
-def start_match_stream(stream: DataFrame, text_col: str, lookup: DataFrame, out_path: str,
-                       checkpoint_location: str, available_now: bool = True,
-                       empty_matches: bool = True) -> StreamingQuery:
-    """Match every micro-batch to the lookup and write it under ``out_path/epoch=<id>``."""
+def start_batch_stream(stream: DataFrame, transform, out_path: str, checkpoint_location: str,
+                       available_now: bool = True) -> StreamingQuery:
+    """Apply a batch operator ``transform(df) -> df`` to every micro-batch; one folder per epoch.
+
+    Overwrite mode per epoch folder makes a replayed epoch replace its output,
+    so the sink is idempotent under retries and executor loss.
+    """
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = match_column(stream_text_features(batch, text_col), text_col, lookup, empty_matches)
-        out.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+        transform(batch).withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite") \
+            .parquet(f"{out_path}/epoch={epoch_id}")
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def start_match_stream(stream: DataFrame, text_col: str, lookup: DataFrame, out_path: str,
+                       checkpoint_location: str, available_now: bool = True,
+                       empty_matches: bool = True) -> StreamingQuery:
+    """Match every micro-batch to the lookup and write it under ``out_path/epoch=<id>``."""
+    return start_batch_stream(
+        stream, lambda b: match_column(stream_text_features(b, text_col), text_col, lookup, empty_matches),
+        out_path, checkpoint_location, available_now)
