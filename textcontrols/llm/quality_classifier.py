@@ -165,5 +165,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all its columns) with a score of THRESHOLD or more."""
+    require(docs, "doc_id", "text")
     model = fit_labels(vectors(docs), labels)
     return docs.where(score_of(model)(statistics_of(F.col("text"))) >= THRESHOLD)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from textcontrols.llm import bpe, exact_dedup, html_extraction, licenses, packing, quality_classifier, quality_rules, secrets
+from textcontrols.llm import (
+    bpe, exact_dedup, html_extraction, licenses, ngram_join, packing, quality_classifier, quality_rules, secrets,
+)
 from textcontrols.sources.tables import load_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,3 +76,8 @@ def op9(spark, sf_dir):
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
     return quality_classifier.classify(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
+@query("op8_ngram_join")
+def op8(spark, sf_dir):
+    return ngram_join.join_components(load_table(spark, sf_dir, "documents"), words=3, pct=90).drop("text_key")

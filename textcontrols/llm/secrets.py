@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from textcontrols.llm.work import require, text_udf
+from textcontrols.llm.work import require, ship, text_udf
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -107,6 +107,8 @@ def masked(text: Column, ranks: str, pattern: str) -> Column:
     """The text with every span (overlapping ones joined) replaced by a placeholder; null stays null."""
     import pyarrow as pa
 
+    ship()
+
     @F.arrow_udf(StringType())
     def call(texts: pa.Array) -> pa.Array:
         find = finder(ranks, pattern)

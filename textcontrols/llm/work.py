@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, StructType, _parse_datatype_string
@@ -17,8 +20,6 @@ SLICE_ROWS = 256
 WHITE = " \t\n\v\f\r"
 #: A word of the contracts: a run without the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: str.translate table that lower-cases A-Z and nothing else.
-LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
 
 
 def arrow_schema(schema: str | StructType) -> pa.Schema:
@@ -76,7 +77,26 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship() -> None:
+    """Send this package to the executors once for each application, so that their workers can import it."""
+    context = SparkSession.active().sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}-src.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def require(df: DataFrame, *names: str) -> None:
+    """The columns an operator reads must be there; its code goes to the executors."""
+    ship()
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
