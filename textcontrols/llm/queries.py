@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from textcontrols.llm import (
-    bpe, exact_dedup, html_extraction, licenses, ngram_join, packing, quality_classifier, quality_rules, secrets,
+    bpe, exact_dedup, html_extraction, licenses, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secrets,
 )
 from textcontrols.sources.tables import load_table
 
@@ -81,3 +81,9 @@ def op10(spark, sf_dir):
 @query("op8_ngram_join")
 def op8(spark, sf_dir):
     return ngram_join.join_components(load_table(spark, sf_dir, "documents"), words=3, pct=90).drop("text_key")
+
+
+@query("op4_line_dedup")
+def op4(spark, sf_dir):
+    found = line_dedup.dedup(load_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", F.col("left").alias("text"), "n_lines", "n_removed_lines")
