@@ -28,6 +28,13 @@ def test_lenient_bool(spark):
     assert [r[0] for r in df.select(lenient_bool("x")).collect()] == [True, False, None, None]
 
 
+def test_lenient_spellings(spark):
+    df = spark.createDataFrame([(x,) for x in ("5d", "5f", "1e3", " .5 ", "-Inf", "0x1", "five")], "x string")
+    assert [r[0] for r in df.select(lenient_double("x")).collect()] == [None, None, 1000.0, 0.5, float("-inf"), None, None]
+    df = spark.createDataFrame([(x,) for x in ("t", "f", "tRuE", " True ", "T", "FALSE")], "x string")
+    assert [r[0] for r in df.select(lenient_bool("x")).collect()] == [None, None, None, None, True, False]
+
+
 def test_factor_outside_levels_kept(spark):
     df = spark.createDataFrame([("BaseFT",), ("MidFT",), ("LongFT",)], "c string")
     out = df.select(factor_level("c", ["BaseFT", "ShortFT", "LongFT"]).alias("f"),

@@ -27,19 +27,27 @@ def null_tokens_to_null(c, tokens: Sequence[str] = R_NULL_TOKENS) -> Column:
     return F.when(c.isin(list(tokens)), F.lit(None)).otherwise(c)
 
 
+# What R's as.logical reads as true and as false.
+R_TRUE = ("T", "TRUE", "True", "true")
+R_FALSE = ("F", "FALSE", "False", "false")
+# Fixed value: decimal and exponent notation, infinity and not-a-number as R's as.numeric reads them.
+R_NUMBER = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|Inf|NaN|(?i:infinity))$"
+
+
 def lenient_double(c, tokens: Sequence[str] = R_NULL_TOKENS) -> Column:
-    """``as.numeric``: trimmed text to double, anything unparsable -> null.
+    """``as.numeric``: trimmed text to double, anything that isn't a number -> null.
 
-    ``try_cast`` keeps ANSI mode from raising on bad input.
+    The pattern keeps out what Java's parser alone takes (``5d``, ``5f``);
+    ``try_cast`` keeps ANSI mode from raising.
     """
     s = F.trim(null_tokens_to_null(_col(c).cast("string"), tokens))
-    return F.when(s == "", F.lit(None)).otherwise(s).try_cast("double")
+    return F.when(s.rlike(R_NUMBER), s.try_cast("double"))
 
 
 def lenient_bool(c) -> Column:
-    """``as.logical`` on "True"/"False" text; anything else -> null."""
-    s = F.trim(_col(c).cast("string"))
-    return F.when(F.lower(s).isin("true", "false", "t", "f"), s.try_cast("boolean"))
+    """``as.logical``: the four spellings of true and of false, untrimmed; anything else -> null."""
+    s = _col(c).cast("string")
+    return F.when(s.isin(*R_TRUE), True).when(s.isin(*R_FALSE), False)
 
 
 def reverse_score(flag, rating, scale_max: int = 7, centre: int = 4) -> Column:

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcontrols.operators._util import bounded_broadcast, materialize_small
+from textcontrols.operators._util import dense_rank_by, materialize_small
 
 # Strategy names, sampling temperatures and token limits, in strategy order.
 STRATEGIES = (
@@ -26,39 +26,24 @@ STRATEGIES = (
 N_VARIATIONS = 50
 ORIGINAL = "original"
 
-# Own short wording of what each strategy asks for (the prompt text itself is not part of any result).
-STRATEGY_GOALS = {
-    "summarize": "make it clearly shorter, keep the key facts",
-    "paraphrase": "say it differently at about the same length",
-    "elaborate": "make it clearly longer with richer wording, no new facts",
-}
-
-
 def strategies_column(strategies=STRATEGIES):
-    """The strategies as one literal array of structs (position, name, temperature, max tokens, goal)."""
+    """The strategies as one literal array of structs (position, name, temperature, max tokens).
+
+    What a strategy asks for is the caller's: an instruction column of the
+    catalog, named in the fields of the request hash.
+    """
     return F.array(*[F.struct(F.lit(i).alias("strategy_pos"), F.lit(n).alias("strategy"),
-                              F.lit(float(t)).alias("temperature"), F.lit(int(m)).alias("max_tokens"),
-                              F.lit(STRATEGY_GOALS.get(n, n)).alias("instruction"))
+                              F.lit(float(t)).alias("temperature"), F.lit(int(m)).alias("max_tokens"))
                      for i, (n, t, m) in enumerate(strategies)])
 
 
-def dense_index(df: DataFrame, key: str, width: int = 1 << 16, max_buckets: int = 1_000_000) -> DataFrame:
-    """Adds ``_pos``: 0-based position of each row in ascending order of a unique integer ``key``.
+def dense_index(df: DataFrame, key: str, out: str = "_pos") -> DataFrame:
+    """Adds ``_pos``: 0-based position of each row in ascending order of a unique ``key``, however sparse.
 
-    Buckets of ``width`` consecutive key values bound every window partition
-    to ``width`` rows; the bucket offsets are a running sum over the bucket
-    count table (one row per non-empty bucket), broadcast after a count check.
+    Range partitions hold sorted slices; their offsets come from one count for
+    each partition.
     """
-    b = F.floor(F.col(key) / F.lit(width)).cast("long")
-    keyed = df.withColumn("_b", b)
-    counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    offsets_b, used = bounded_broadcast(offsets, max_buckets)
-    if not used:
-        raise ValueError("too many key buckets; raise the bucket width")
-    rn = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return keyed.join(offsets_b, "_b", "inner").withColumn("_pos", F.col("_off") + rn).drop("_b", "_off")
+    return dense_rank_by(df.withColumn("_all", F.lit(0)), "_all", key, out).drop("_all")
 
 
 def expand_variations(catalog: DataFrame, strategies=STRATEGIES, key: str = "description_id",
@@ -83,6 +68,19 @@ def request_hash(*cols) -> F.Column:
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
 
 
+def distinct_requests(catalog: DataFrame, text_col: str = "description", strategies=STRATEGIES,
+                      n: int = N_VARIATIONS, fields: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct request: text, ``fields``, strategy, variation, request_hash, n_bases.
+
+    Equal texts are collapsed before the expansion, so each request is made and
+    hashed once; ``n_bases`` is the number of catalog rows that wait for it.
+    """
+    texts = catalog.groupBy(text_col, *fields).agg(F.count(F.lit(1)).alias("n_bases"))
+    x = texts.withColumn("_s", F.explode(strategies_column(strategies))).select("*", "_s.*").drop("_s")
+    x = x.withColumn("variation", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return x.withColumn("request_hash", request_hash("strategy", *fields, text_col, "variation"))
+
+
 def worklist(requests: DataFrame, cache: DataFrame, hash_col: str = "request_hash") -> DataFrame:
     """Requests with no cached response (anti-join on the request hash)."""
     return requests.join(cache.select(hash_col), hash_col, "left_anti")
@@ -90,7 +88,15 @@ def worklist(requests: DataFrame, cache: DataFrame, hash_col: str = "request_has
 
 def fill_from_cache(requests: DataFrame, cache: DataFrame, hash_col: str = "request_hash",
                     text_col: str = "response") -> DataFrame:
-    return requests.join(cache.select(hash_col, text_col), hash_col, "left")
+    """Requests with a cached response and that response."""
+    return requests.join(cache.select(hash_col, text_col), hash_col)
+
+
+def originals(catalog: DataFrame, key: str, attrs: Sequence[str], text_col: str = "description") -> DataFrame:
+    """The catalog's own texts in the layout of the assembled table."""
+    return catalog.select(F.col(text_col).alias("description"), F.col(key).alias("augmented_id"),
+                          F.col(key).alias("base_description_id"), *attrs,
+                          F.lit(ORIGINAL).alias("augmentation_strategy"), F.lit(True).alias("is_original"))
 
 
 def assemble(catalog: DataFrame, generated: DataFrame, key: str, attrs: Sequence[str],
@@ -100,10 +106,7 @@ def assemble(catalog: DataFrame, generated: DataFrame, key: str, attrs: Sequence
     gen = generated.join(base, "base_description_id", "inner").select(
         F.col(text_col).alias("description"), "augmented_id", "base_description_id", *attrs,
         F.col("strategy").alias("augmentation_strategy"), F.lit(False).alias("is_original"))
-    orig = catalog.select(F.col(text_col).alias("description"), F.col(key).alias("augmented_id"),
-                          F.col(key).alias("base_description_id"), *attrs,
-                          F.lit(ORIGINAL).alias("augmentation_strategy"), F.lit(True).alias("is_original"))
-    return gen.unionByName(orig)
+    return gen.unionByName(originals(catalog, key, attrs, text_col))
 
 
 def canonical_ids(df: DataFrame, id_col: str = "description_id",
@@ -121,22 +124,45 @@ def merge_catalogs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         .select(key, "_v.*", (F.col("from_right") == 1).alias("from_right"))
 
 
-def design_check(assembled: DataFrame, n_bases: int, n_strategies: int, n: int = N_VARIATIONS) -> DataFrame:
-    """Observed against expected cell counts; one row per cell, ``ok`` per row.
+def cell_name(cols: Sequence[str]):
+    """The values of a cell's columns as one name; a null is shown as such."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in cols])
 
-    Cells: each strategy (expected bases x n), the originals (expected bases)
-    and ``per_base_mismatch`` (expected 0 bases whose row count differs from S x n + 1).
+
+def expected_cells(catalog: DataFrame, key: str, attrs: Sequence[str], strategies=STRATEGIES,
+                   n: int = N_VARIATIONS) -> DataFrame:
+    """(check, cell, expected) of a full design: rows per strategy and originals, rows per cell of ``attrs``, no odd base."""
+    per_base = len(strategies) * n + 1
+    bases = catalog.agg(F.count(F.lit(1)).alias("b"))
+    cells = F.explode(F.array(*[F.struct(F.lit("strategy").alias("check"), F.lit(name).alias("cell"),
+                                         (F.col("b") * k).alias("expected"))
+                                for name, k in [*((s[0], n) for s in strategies), (ORIGINAL, 1)]],
+                              F.struct(F.lit("base").alias("check"), F.lit("mismatched").alias("cell"),
+                                       (F.col("b") * 0).alias("expected"))))
+    by_attrs = catalog.groupBy(cell_name(attrs).alias("cell")).agg((F.count(F.lit(1)) * per_base).alias("expected"))
+    return (bases.select(cells.alias("_c")).select("_c.*")
+            .unionByName(by_attrs.select(F.lit("attributes").alias("check"), "cell", "expected")))
+
+
+def design_check(assembled: DataFrame, expected: DataFrame, attrs: Sequence[str], per_base: int) -> DataFrame:
+    """Observed against expected rows of every cell: check, cell, observed, expected, ok.
+
+    A cell that is missing, or that nobody expects, has a row of its own (full
+    outer join with 0).  One pass over the rows counts (base, strategy,
+    attributes); all checks read that table.
     """
-    # one pass over the rows: counts per (base, strategy), written once; both checks read that table
-    cells = materialize_small(assembled.groupBy("base_description_id", "augmentation_strategy")
+    cells = materialize_small(assembled.groupBy("base_description_id", "augmentation_strategy", cell_name(attrs).alias("_a"))
                               .agg(F.count(F.lit(1)).alias("c")))
-    by_strategy = cells.groupBy(F.col("augmentation_strategy").alias("cell")).agg(F.sum("c").alias("observed"))
-    per_base = cells.groupBy("base_description_id").agg(F.sum("c").alias("c"))
-    bad = per_base.agg(F.count_if(F.col("c") != n_strategies * n + 1).alias("observed")) \
-        .select(F.lit("per_base_mismatch").alias("cell"), "observed")
-    obs = by_strategy.unionByName(bad)
-    exp = (F.when(F.col("cell") == ORIGINAL, F.lit(n_bases))
-           .when(F.col("cell") == "per_base_mismatch", F.lit(0))
-           .otherwise(F.lit(n_bases * n)))
-    return obs.select("cell", F.col("observed").cast("long").alias("observed"), exp.cast("long").alias("expected"),
-                      (F.col("observed") == exp).alias("ok"))
+
+    def check(name, cell):
+        return cells.groupBy(cell.alias("cell")).agg(F.sum("c").alias("observed")).select(F.lit(name).alias("check"), "cell", "observed")
+
+    odd = (cells.groupBy("base_description_id").agg(F.sum("c").alias("c"))
+           .agg(F.count_if(F.col("c") != per_base).alias("observed"))
+           .select(F.lit("base").alias("check"), F.lit("mismatched").alias("cell"), "observed"))
+    seen = (check("strategy", F.coalesce("augmentation_strategy", F.lit("<null>")))
+            .unionByName(check("attributes", F.col("_a"))).unionByName(odd))
+    both = seen.join(expected, ["check", "cell"], "full")
+    both = both.select("check", "cell", F.coalesce("observed", F.lit(0)).cast("long").alias("observed"),
+                       F.coalesce("expected", F.lit(0)).cast("long").alias("expected"))
+    return both.withColumn("ok", F.col("observed") == F.col("expected"))

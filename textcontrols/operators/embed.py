@@ -174,8 +174,12 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
 
 
 def holdout_fold(id_col: str, seed: int, folds: int = 10):
-    """Deterministic fold of a row from its integer id (same on any partitioning)."""
-    return F.pmod(F.col(id_col) * F.lit(2654435761) + F.lit(seed), F.lit(folds))
+    """Deterministic fold of a row from its integer id (same on any partitioning).
+
+    The id is reduced first, so the product fits a long for every id.
+    """
+    small = F.pmod(F.col(id_col), F.lit(1 << 31))
+    return F.pmod(small * F.lit(2654435761) + F.lit(seed), F.lit(folds))
 
 
 def residualize(df: DataFrame, centroids: DataFrame, label: str, emb: str = "embedding") -> DataFrame:

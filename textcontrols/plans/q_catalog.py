@@ -83,14 +83,9 @@ def variation_expand(spark, sf):
                     F.col("strategy").alias("augmentation_strategy"), "variation", "running_index")
 
 
-def _requests(spark, sf):
-    x = _expanded(spark, sf)
-    return x.withColumn("request_hash", C.request_hash("strategy", "instruction", "description", "variation"))
-
-
 def _generated(spark, sf):
     """Stand-in generated texts for every request (no model call)."""
-    r = _requests(spark, sf)
+    r = _expanded(spark, sf)
     return r.select("augmented_id", F.col("description_id").alias("base_description_id"), "strategy",
                     F.concat(F.col("strategy"), F.lit(": "), F.col("description")).alias("description"))
 
@@ -117,37 +112,77 @@ def variation_assemble(spark, sf):
                     "is_original", F.md5("description").alias("description_md5"))
 
 
-_GOALS = "CASE strategy " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.STRATEGY_GOALS.items()) + " END"
+REQUESTS_SQL = f"""(SELECT t.description, s.strategy, CAST(v.variation AS INTEGER) AS variation, t.n_bases, t.size,
+  sha256(concat_ws(chr(1), s.strategy, t.description, CAST(v.variation AS VARCHAR))) AS request_hash
+FROM (SELECT description, count(*) AS n_bases, min(size) AS size FROM {CATALOG_SQL} GROUP BY description) t,
+     {_STRAT_SQL} s, (SELECT unnest(range(1, {N + 1})) AS variation) v)"""
+
+
+def _requests_and_cache(spark, sf):
+    """Distinct requests, and a cache that holds the summaries of texts of parts with p_size <= 25."""
+    c = catalog(spark, sf)
+    requests = C.distinct_requests(c, "description")
+    cache = (C.distinct_requests(c.where(F.col("size") <= 25), "description", C.STRATEGIES[:1])
+             .select("request_hash", F.concat_ws(" #", F.col("description"), F.col("variation")).alias("response")))
+    return requests, cache
 
 
 @query("prompt_worklist", sql=f"""
-WITH r AS (SELECT description_id || '_' || strategy || '_' || CAST(running_index AS VARCHAR) AS augmented_id,
-       sha256(concat_ws(chr(1), strategy, {_GOALS}, description, CAST(variation AS VARCHAR))) AS request_hash,
-       size, strategy FROM {EXPANDED_SQL})
-SELECT augmented_id, request_hash FROM r
-WHERE request_hash NOT IN (SELECT request_hash FROM r WHERE size <= 25 AND strategy = 'summarize')""")
+SELECT request_hash, strategy, variation, CAST(n_bases AS BIGINT) AS n_bases FROM {REQUESTS_SQL} r
+WHERE NOT (size <= 25 AND strategy = '{C.STRATEGIES[0][0]}')""")
 def prompt_worklist(spark, sf):
-    r = _requests(spark, sf)
-    cache = r.where((F.col("size") <= 25) & (F.col("strategy") == "summarize")).select("request_hash", F.lit("cached").alias("response"))
-    return C.worklist(r, cache).select("augmented_id", "request_hash")
+    requests, cache = _requests_and_cache(spark, sf)
+    return C.worklist(requests, cache).select("request_hash", "strategy", "variation", "n_bases")
+
+
+@query("prompt_fill", sql=f"""
+SELECT request_hash, strategy, variation, CAST(n_bases AS BIGINT) AS n_bases,
+       description || ' #' || CAST(variation AS VARCHAR) AS response FROM {REQUESTS_SQL} r
+WHERE size <= 25 AND strategy = '{C.STRATEGIES[0][0]}'""")
+def prompt_fill(spark, sf):
+    requests, cache = _requests_and_cache(spark, sf)
+    return C.fill_from_cache(requests, cache).select("request_hash", "strategy", "variation", "n_bases", "response")
+
+
+@query("request_mapping", sql=f"""
+SELECT description_id || '_' || strategy || '_' || CAST(running_index AS VARCHAR) AS augmented_id,
+       sha256(concat_ws(chr(1), strategy, description, CAST(variation AS VARCHAR))) AS request_hash FROM {EXPANDED_SQL}""")
+def request_mapping(spark, sf):
+    """Which request answers which augmented row."""
+    x = _expanded(spark, sf)
+    return x.select("augmented_id", C.request_hash("strategy", "description", "variation").alias("request_hash"))
 
 
 @query("originals_only", sql=f"""
 SELECT base_description_id AS description_id, description, treatment, profile FROM {ASSEMBLED_SQL} WHERE is_original""")
 def originals_only(spark, sf):
-    a = _assembled(spark, sf).where("is_original")
-    return a.select(F.col("base_description_id").alias("description_id"), "description", "treatment", "profile")
+    a = C.canonical_ids(C.originals(catalog(spark, sf), "description_id", ATTRS).withColumnRenamed("augmented_id", "description_id"))
+    return a.select("description_id", "description", "treatment", "profile")
+
+
+@query("augmentation_counts", sql=f"""
+SELECT experiment, CAST(count_if(is_original) AS BIGINT) AS n_original, CAST(count_if(NOT is_original) AS BIGINT) AS n_augmented
+FROM {ASSEMBLED_SQL} GROUP BY experiment""")
+def augmentation_counts(spark, sf):
+    return _assembled(spark, sf).groupBy("experiment").agg(
+        F.count_if("is_original").alias("n_original"), F.count_if(~F.col("is_original")).alias("n_augmented"))
+
+
+DESIGN = ["experiment", "treatment", "profile"]
+_DESIGN_SQL = "experiment || '|' || treatment || '|' || profile"
 
 
 @query("design_check", sql=f"""
-WITH a AS {ASSEMBLED_SQL}, nb AS (SELECT count(*) AS nb FROM part),
-obs AS (SELECT augmentation_strategy AS cell, count(*) AS observed FROM a GROUP BY augmentation_strategy
-        UNION ALL SELECT 'per_base_mismatch', count_if(c <> {S * N + 1}) FROM
-          (SELECT base_description_id, count(*) AS c FROM a GROUP BY base_description_id))
-SELECT cell, CAST(observed AS BIGINT) AS observed,
-       CAST(CASE WHEN cell = 'original' THEN nb WHEN cell = 'per_base_mismatch' THEN 0 ELSE nb * {N} END AS BIGINT) AS expected,
-       observed = CASE WHEN cell = 'original' THEN nb WHEN cell = 'per_base_mismatch' THEN 0 ELSE nb * {N} END AS ok
-FROM obs, nb""")
+WITH a AS {ASSEMBLED_SQL}, c AS {CATALOG_SQL}, nb AS (SELECT count(*) AS nb FROM c),
+seen AS (SELECT 'strategy' AS "check", augmentation_strategy AS cell, count(*) AS observed FROM a GROUP BY ALL
+  UNION ALL SELECT 'attributes', {_DESIGN_SQL}, count(*) FROM a GROUP BY ALL
+  UNION ALL SELECT 'base', 'mismatched', count_if(k <> {S * N + 1}) FROM (SELECT count(*) AS k FROM a GROUP BY base_description_id)),
+want AS (SELECT 'strategy' AS "check", strategy AS cell, nb * {N} AS expected FROM {_STRAT_SQL}, nb
+  UNION ALL SELECT 'strategy', 'original', nb FROM nb UNION ALL SELECT 'base', 'mismatched', 0
+  UNION ALL SELECT 'attributes', {_DESIGN_SQL}, count(*) * {S * N + 1} FROM c GROUP BY ALL)
+SELECT "check", cell, CAST(coalesce(observed, 0) AS BIGINT) AS observed, CAST(coalesce(expected, 0) AS BIGINT) AS expected,
+       coalesce(observed, 0) = coalesce(expected, 0) AS ok
+FROM seen FULL JOIN want USING ("check", cell)""")
 def design_check(spark, sf):
-    n_bases = load_table(spark, sf, "part").count()
-    return C.design_check(_assembled(spark, sf), n_bases, S, N)
+    expected = C.expected_cells(catalog(spark, sf), "description_id", DESIGN)
+    return C.design_check(_assembled(spark, sf), expected, DESIGN, S * N + 1)

@@ -136,7 +136,7 @@ def truncation_sweep(spark, sf):
 
 @query("holdout_split", sql=f"""
 SELECT label, CAST(count_if(fold <> 0) AS BIGINT) AS n_train, CAST(count_if(fold = 0) AS BIGINT) AS n_test
-FROM (SELECT label, ((vec_id * 2654435761 + {SEED}) % {FOLDS} + {FOLDS}) % {FOLDS} AS fold FROM embeddings)
+FROM (SELECT label, ((vec_id % 2147483648 + 2147483648) % 2147483648 * 2654435761 + {SEED}) % {FOLDS} AS fold FROM embeddings)
 GROUP BY label""")
 def holdout_split(spark, sf):
     f = _emb(spark, sf).select("label", E.holdout_fold("vec_id", SEED, FOLDS).alias("fold"))
@@ -194,7 +194,7 @@ def residual_multi(spark, sf):
                     F.round(F.aggregate("residual", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
 
 
-_FOLD_SQL = f"((vec_id * 2654435761 + {SEED}) % {FOLDS} + {FOLDS}) % {FOLDS}"
+_FOLD_SQL = f"((vec_id % 2147483648 + 2147483648) % 2147483648 * 2654435761 + {SEED}) % {FOLDS}"
 _TRAIN_CENTROIDS_SQL = f"""(SELECT label, dim, avg(v) AS centroid FROM {EXPLODED_SQL}
   WHERE {_FOLD_SQL} <> 0 GROUP BY label, dim)"""
 

@@ -19,11 +19,13 @@ CONDITION_LEVELS = ("BaseFT", "ShortFT", "LongFT")
 
 
 def _lenient_sql(c: str) -> str:
-    return f"(CASE WHEN {c} = 'NA' OR trim({c}) = '' THEN NULL ELSE TRY_CAST(trim({c}) AS DOUBLE) END)"
+    number = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|Inf|NaN|(?i:infinity))$"
+    return f"(CASE WHEN {c} <> 'NA' AND regexp_matches(trim({c}), '{number}') THEN TRY_CAST(trim({c}) AS DOUBLE) END)"
 
 
 def _bool_sql(c: str) -> str:
-    return f"(CASE WHEN lower(trim({c})) IN ('true', 'false', 't', 'f') THEN TRY_CAST(trim({c}) AS BOOLEAN) END)"
+    return (f"(CASE WHEN {c} IN ('T', 'TRUE', 'True', 'true') THEN true "
+            f"WHEN {c} IN ('F', 'FALSE', 'False', 'false') THEN false END)")
 
 
 def _pref_sql(flag: str, rating: str) -> str:
@@ -113,3 +115,17 @@ def label_encode_q(spark, sf):
     a = label_encode(load_table(spark, sf, "customer"), ["c_mktsegment"])
     b = label_encode(load_table(spark, sf, "documents"), ["lang"])
     return a.unionByName(b)
+
+
+_SPELLINGS = ("5", " 5.5 ", "5d", "5f", "1e3", "0x1A", ".5", "-Inf", "NA", "", "T", "t", "TRUE", "tRuE", " True ", "False", "F", "f")
+_SPELLING_SQL = "list_extract([" + ", ".join(f"'{x}'" for x in _SPELLINGS) + f"], CAST(event_id % {len(_SPELLINGS)} AS INTEGER) + 1)"
+
+
+@query("lenient_spellings", sql=f"""
+SELECT event_id, spelling, {_lenient_sql('spelling')} AS number, {_bool_sql('spelling')} AS flag
+FROM (SELECT event_id, {_SPELLING_SQL} AS spelling FROM events)""")
+def lenient_spellings(spark, sf):
+    e = load_table(spark, sf, "events")
+    x = F.element_at(F.array(*map(F.lit, _SPELLINGS)), (F.pmod("event_id", F.lit(len(_SPELLINGS))) + 1).cast("int"))
+    e = e.select("event_id", x.alias("spelling"))
+    return e.select("event_id", "spelling", lenient_double("spelling").alias("number"), lenient_bool("spelling").alias("flag"))

@@ -85,17 +85,30 @@ def golden_summary(spark, sf):
 
 
 def _fingerprints(spark, sf):
+    """Row count and an order-free checksum of every value that the models read: a changed value changes it."""
     li = load_table(spark, sf, "lineitem")
+    read = ["l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+    row = F.md5(F.concat_ws("|", *[F.col(c).cast("decimal(18,4)").cast("string") if c not in ("l_returnflag",) else F.col(c)
+                                   for c in read]))
+    part = lambda k: F.conv(F.substring(row, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")
     fp = li.groupBy(F.col("l_linestatus").alias("experiment")).agg(
-        F.concat_ws("-", F.count(F.lit(1)).cast("string"),
-                    F.sum(F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string")).alias("fingerprint"))
+        F.concat_ws("-", F.count(F.lit(1)).cast("string"), *[F.sum(part(k)).cast("string") for k in (0, 1)]).alias("fingerprint"))
     models = F.explode(F.array(*[F.lit(m) for m in ["oracle", *MODELS]]))
     return fp.select("experiment", models.alias("model"), "fingerprint")
 
 
+_ROW_SQL = "md5(concat_ws('|', " + ", ".join(
+    "l_returnflag" if c == "l_returnflag" else f"CAST(CAST({c} AS DECIMAL(18,4)) AS VARCHAR)"
+    for c in ("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_quantity", "l_discount", "l_tax")) + "))"
+
+
+def _part_sql(k: int) -> str:
+    return f"CAST(sum(CAST(('0x' || substr({_ROW_SQL}, {8 * k + 1}, 8))::BIGINT AS HUGEINT)) AS VARCHAR)"
+
+
 @query("fit_worklist", sql=f"""
 WITH fp AS (SELECT l_linestatus AS experiment,
-                   CAST(count(*) AS VARCHAR) || '-' || CAST(sum(l_orderkey * 8 + l_linenumber) AS VARCHAR) AS fingerprint
+                   CAST(count(*) AS VARCHAR) || '-' || {_part_sql(0)} || '-' || {_part_sql(1)} AS fingerprint
             FROM lineitem GROUP BY l_linestatus),
 w AS (SELECT experiment, m.model, fingerprint FROM fp,
       (SELECT unnest(['oracle', {', '.join(repr(m) for m in MODELS)}]) AS model) m),
