@@ -6,7 +6,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["match_contains", "vector_diff", "model_suite", "looic", "variation_assemble", "classification_metrics",
-         "residual_gram", "label_encode", "golden_check", "posterior_draws", "draw_quantiles"]
+         "residual_gram", "label_encode", "golden_check", "draw_quantiles"]
 
 
 def _rows(spark, name):

@@ -5,10 +5,10 @@ from textcontrols.functions.recode import (
     lenient_double, lenient_bool, null_tokens_to_null, reverse_score, factor_level,
     factor_position, recode_map, role_of_condition,
 )
-from textcontrols.functions.stats import t_quantile_975, t_quantile
+from textcontrols.functions.stats import t_quantile
 
 __all__ = [
     "normalize_text", "word_count", "strip_text", "lenient_double", "lenient_bool",
     "null_tokens_to_null", "reverse_score", "factor_level", "factor_position", "recode_map",
-    "role_of_condition", "t_quantile_975", "t_quantile",
+    "role_of_condition", "t_quantile",
 ]

@@ -6,22 +6,43 @@ aggregate over it; nothing is collected.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textcontrols.operators._util import DEFAULT_BROADCAST_ROWS, dense_rank_by
+
 # The reported interval probabilities.
 PROBS = (0.025, 0.5, 0.975)
 
 
 def draw_quantiles(draws: DataFrame, keys: Sequence[str], value: str, probs=PROBS) -> DataFrame:
-    """Exact quantiles (linear interpolation, R type 7) and the mean per group."""
-    q = F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs]))
-    out = draws.groupBy(*keys).agg(q.alias("_q"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    """Exact quantiles (linear interpolation, R type 7) and the mean per group.
+
+    The values are range-partitioned and numbered in order (no group is held
+    together); only the two order statistics next to each quantile go on.
+    """
+    x = draws.select(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    placed = dense_rank_by(x, "_g", "_v", "_at")
+    size = placed.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
+    sized = placed.join(F.broadcast(size) if _few(size) else size, "_g")
+    aggs = [F.first("n").alias("n"), F.first("mean").alias("mean")]
+    near = F.lit(False)
     names = [f"q{str(p).replace('0.', '').ljust(3, '0')}" for p in probs]
-    return out.select(*keys, "n", "mean", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+    for p, nm in zip(probs, names):
+        h = (F.col("n") - 1) * F.lit(p)
+        low = F.floor(h)
+        near = near | (F.col("_at") == low) | (F.col("_at") == low + 1)
+        share = F.when(F.col("_at") == low, 1 - (h - low)).when(F.col("_at") == low + 1, h - low)
+        aggs.append(F.sum(F.col("_v") * share).alias(nm))
+    got = sized.where(near).groupBy("_g").agg(*aggs)
+    return got.select("_g.*", "n", "mean", *names)
+
+
+def _few(groups: DataFrame) -> bool:
+    """One row per group: broadcast only below the counted bound."""
+    return groups.limit(DEFAULT_BROADCAST_ROWS + 1).count() <= DEFAULT_BROADCAST_ROWS
 
 
 def posterior_diff_closed(est: DataFrame, keys: Sequence[str], label_col: str, labels: Sequence[str],
@@ -42,20 +63,22 @@ def paired_draw_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str
             .select(*on, (F.col("_a") - F.col("_b")).alias(value)))
 
 
-def _halves(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds ``_half`` (0/1): the draw index range of each chain cut at its midpoint.
-
-    Draw indices of a chain are consecutive in a draws table, so the midpoint
-    of their range halves the chain without a window over the draws.
-    """
-    rng = draws.groupBy(*keys, "chain").agg(F.min("draw").alias("_d0"), F.max("draw").alias("_d1"))
-    d = draws.join(rng, [*keys, "chain"], "inner")
-    return d.withColumn("_half", F.when(F.col("draw") * 2 <= F.col("_d0") + F.col("_d1"), 0).otherwise(1))
+def _placed(draws: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, chain, value, ``_at`` (0-based place of the draw in its chain, gaps or not) and ``_len`` (draws of the chain)."""
+    x = draws.select(F.struct(*keys, "chain").alias("_g"), "draw", F.col(value).alias("_v"))
+    placed = dense_rank_by(x, "_g", "draw", "_at")
+    size = placed.groupBy("_g").agg(F.count(F.lit(1)).alias("_len"))
+    return placed.join(size, "_g").select("_g.*", F.col("_v").alias(value), "_at", "_len")
 
 
 def split_rhat(draws: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Split-R-hat per group from per-half-chain means and variances (aggregates only)."""
-    d = _halves(draws, keys)
+    """Split-R-hat per group from per-half-chain means and variances.
+
+    Chains are cut by place; the middle draw of an odd chain is in no half.
+    """
+    d = _placed(draws, keys, value)
+    half = F.floor(F.col("_len") / 2)
+    d = d.withColumn("_half", F.when(F.col("_at") < half, 0).when(F.col("_at") >= F.col("_len") - half, 1)).where("_half is not null")
     hc = d.groupBy(*keys, "chain", "_half").agg(F.count(F.lit(1)).alias("m"), F.avg(value).alias("mu"),
                                                 F.var_samp(value).alias("s2"))
     g = hc.groupBy(*keys).agg(F.avg("m").alias("n"), F.var_samp("mu").alias("b_over_n"),
@@ -67,106 +90,25 @@ def split_rhat(draws: DataFrame, keys: Sequence[str], value: str = "value") -> D
 def batch_means_ess(draws: DataFrame, keys: Sequence[str], value: str = "value", n_batches: int = 20) -> DataFrame:
     """Effective sample size by batch means: n * var / (b * var(batch means)), b = batch length.
 
-    Each chain is cut into ``n_batches`` batches over its draw index range; only
-    aggregates, no lagged self-joins.
+    Each chain is cut into ``n_batches`` batches by place; anticorrelated draws
+    give more than n, as they should.
     """
-    rng = draws.groupBy(*keys, "chain").agg(F.min("draw").alias("_d0"), F.max("draw").alias("_d1"))
-    d = draws.join(rng, [*keys, "chain"], "inner")
-    width = (F.col("_d1") - F.col("_d0") + 1) / n_batches
-    d = d.withColumn("_batch", F.least(F.floor((F.col("draw") - F.col("_d0")) / width), F.lit(n_batches - 1)))
+    d = _placed(draws, keys, value).withColumn("_batch", F.floor(F.col("_at") * n_batches / F.col("_len")))
     bm = d.groupBy(*keys, "chain", "_batch").agg(F.avg(value).alias("mu"), F.count(F.lit(1)).alias("m"))
     tot = draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.var_samp(value).alias("v"))
     b = bm.groupBy(*keys).agg(F.var_samp("mu").alias("vb"), F.avg("m").alias("bl"))
     j = tot.join(b, list(keys), "inner")
-    return j.select(*keys, "n", F.least(F.col("n").cast("double"),
-                                        F.try_divide(F.col("n") * F.col("v"), F.col("bl") * F.col("vb"))).alias("ess"))
-
-
-# ---------------------------------------------------------------- draw generation
-_TWO53 = float(2 ** 53)
-
-
-def _uniform(*parts) -> F.Column:
-    """Uniform(0, 1) from a keyed 64-bit hash: the same value on any partitioning or replay."""
-    h = F.xxhash64(*parts)
-    return (F.pmod(h, F.lit(2 ** 53)).cast("double") + 0.5) / _TWO53
-
-
-def _normal(*parts) -> F.Column:
-    """Standard normal by Box-Muller from two keyed uniforms."""
-    u1 = _uniform(*parts, F.lit("u1"))
-    u2 = _uniform(*parts, F.lit("u2"))
-    return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
-
-
-def _sigma2_draw(s2: F.Column, nu: F.Column, z: F.Column) -> F.Column:
-    """sigma^2 = nu s^2 / chi2_nu, chi2 by the Wilson-Hilferty transform of a normal draw."""
-    nud = nu.cast("double")
-    c = 2.0 / (9.0 * nud)
-    chi2 = nud * F.pow(F.greatest(F.lit(1e-12), 1.0 - c + z * F.sqrt(c)), 3.0)
-    return nud * s2 / chi2
-
-
-def ols_draws(wide: DataFrame, keys: Sequence[str], xs: Sequence[str], model: str, n_draws: int = 6000,
-              chains: int = 4, seed: int = 42) -> DataFrame:
-    """Posterior draws (keys, model, chain, draw, parameter, value) of ``y ~ 1 + xs`` (up to 2 regressors).
-
-    b = b_hat + sigma L z with L the Cholesky factor of (X'X)^-1 (closed form
-    for p <= 3), sigma^2 from its scaled inverse chi-square; every random
-    number is a keyed hash of (group, draw, component, seed).
-    """
-    p = len(xs) + 1
-    if p > 3:
-        raise ValueError("ols_draws handles up to two regressors")
-    kcols = [F.col(k).cast("string") for k in keys]
-    d = wide.where(F.col("nu") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    c = {(i, j): F.col(f"v_{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)}
-    L = {}
-    L[(0, 0)] = F.sqrt(c[(0, 0)])
-    if p >= 2:
-        L[(1, 0)] = c[(1, 0)] / L[(0, 0)]
-        L[(1, 1)] = F.sqrt(c[(1, 1)] - L[(1, 0)] ** 2)
-    if p >= 3:
-        L[(2, 0)] = c[(2, 0)] / L[(0, 0)]
-        L[(2, 1)] = (c[(2, 1)] - L[(2, 0)] * L[(1, 0)]) / L[(1, 1)]
-        L[(2, 2)] = F.sqrt(c[(2, 2)] - L[(2, 0)] ** 2 - L[(2, 1)] ** 2)
-    key = [*kcols, F.lit(model), F.col("draw"), F.lit(seed)]
-    z = [_normal(*key, F.lit(f"z{j}")) for j in range(p)]
-    for j in range(p):
-        d = d.withColumn(f"_z{j}", z[j])
-    d = d.withColumn("_sig", F.sqrt(_sigma2_draw(F.col("s2"), F.col("nu"), _normal(*key, F.lit("chi")))))
-    names = ["Intercept", *xs]
-    vals = []
-    for i in range(p):
-        v = F.col(f"b_{i}")
-        for j in range(i + 1):
-            v = v + F.col("_sig") * L[(i, j)] * F.col(f"_z{j}")
-        vals.append(F.struct(F.lit(names[i]).alias("parameter"), v.alias("value")))
-    out = d.select(*keys, "draw", F.explode(F.array(*vals)).alias("_p"))
-    return out.select(*keys, F.lit(model).alias("model"), F.pmod(F.col("draw"), F.lit(chains)).alias("chain"),
-                      (F.col("draw") / chains).cast("long").alias("draw"), "_p.parameter", "_p.value")
-
-
-def cell_draws(cmw: DataFrame, keys: Sequence[str], cell: str, model: str = "oracle", n_draws: int = 6000,
-               chains: int = 4, seed: int = 42) -> DataFrame:
-    """Posterior draws of the cell means with one sigma per group and draw (shared by the cells)."""
-    kcols = [F.col(k).cast("string") for k in keys]
-    d = cmw.where(F.col("nu") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    gkey = [*kcols, F.lit(model), F.col("draw"), F.lit(seed)]
-    sig = F.sqrt(_sigma2_draw(F.col("s2"), F.col("nu"), _normal(*gkey, F.lit("chi"))))
-    z = _normal(*gkey, F.col(cell).cast("string"))
-    v = F.col("mean") + sig * z / F.sqrt(F.col("n").cast("double"))
-    return d.select(*keys, F.lit(model).alias("model"), F.pmod(F.col("draw"), F.lit(chains)).alias("chain"),
-                    (F.col("draw") / chains).cast("long").alias("draw"), F.col(cell).alias("parameter"),
-                    v.alias("value"))
+    return j.select(*keys, "n", F.try_divide(F.col("n") * F.col("v"), F.col("bl") * F.col("vb")).alias("ess"))
 
 
 # ---------------------------------------------------------------- rank-normalised diagnostics
 def rank_diagnostics(draws: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Rank-normalised split R-hat (max of bulk and folded tail) and bulk ESS per parameter.
 
-    One group = one parameter's draws; its size is set by the sampler (chains x
-    draws), not by the data, so the NumPy work per group is bounded.
+    For a sampler's draws table: one group holds the draws of one parameter,
+    whose number the sampler sets and the data don't.  Chains may differ in
+    length; every draw counts.  The ESS may exceed the number of draws S, up to
+    S * log10(S), as for anticorrelated draws.
     """
     import numpy as np
     import pandas as pd
@@ -187,75 +129,62 @@ def rank_diagnostics(draws: DataFrame, keys: Sequence[str], value: str = "value"
         return ranks
 
 
-    def _rank_normal(x):
-        """Rank-normalise a chains x draws array over all chains (average ranks for ties)."""
-        import numpy as np
+    def _rank_normal(seqs):
+        """Rank-normalised chains (average ranks over all of them for ties)."""
         from statistics import NormalDist
 
-        flat = x.ravel()
-        s = len(flat)
-        p = (_average_ranks(flat) - 0.375) / (s + 0.25)
-        inv = np.vectorize(NormalDist().inv_cdf)
-        return inv(p).reshape(x.shape)
-
-
-    def _split_chains(x):
-        import numpy as np
-
-        n = x.shape[1]
-        h = n // 2
-        return np.vstack([x[:, :h], x[:, n - h:]])
+        flat = np.concatenate(seqs)
+        p = (_average_ranks(flat) - 0.375) / (len(flat) + 0.25)
+        z = np.vectorize(NormalDist().inv_cdf)(p)
+        return np.split(z, np.cumsum([len(s) for s in seqs])[:-1])
 
+    def _split_chains(seqs):
+        return [part for s in seqs for part in (s[:len(s) // 2], s[len(s) - len(s) // 2:]) if len(part) > 1]
 
-    def _rhat_basic(x) -> float:
-        import numpy as np
-
-        m, n = x.shape
-        w = x.var(axis=1, ddof=1).mean()
-        b = n * x.mean(axis=1).var(ddof=1)
-        return float(np.sqrt(((n - 1) / n * w + b / n) / w)) if w > 0 else float("nan")
+    def _spread(halves):
+        """Mean length, mean variance within, variance of the means."""
+        n = float(np.mean([len(h) for h in halves]))
+        w = float(np.mean([h.var(ddof=1) for h in halves]))
+        return n, w, float(np.var([h.mean() for h in halves], ddof=1)) if len(halves) > 1 else 0.0
 
+    def _rhat(halves):
+        n, w, b = _spread(halves)
+        return float(np.sqrt(((n - 1) / n * w + b) / w)) if w > 0 else None
 
-    def _ess_basic(x) -> float:
+    def _ess(halves):
         """Effective sample size with Geyer's initial monotone sequence (autocovariance by FFT)."""
-        import numpy as np
-
-        m, n = x.shape
-        c = x - x.mean(axis=1, keepdims=True)
-        f = np.fft.rfft(c, n=2 * n, axis=1)
-        acov = np.fft.irfft(f * np.conj(f), axis=1)[:, :n] / n
-        chain_var = acov[:, 0] * n / (n - 1)
-        w = chain_var.mean()
-        var_plus = w * (n - 1) / n + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
+        n, w, b = _spread(halves)
+        total, longest = sum(map(len, halves)), max(map(len, halves))
+        var_plus = w * (n - 1) / n + b
         if var_plus <= 0:
-            return float("nan")
-        rho = 1.0 - (w - acov.mean(axis=0)) / var_plus
+            return None
+        acov, held = np.zeros(longest), np.zeros(longest)
+        for h in halves:
+            f = np.fft.rfft(h - h.mean(), n=2 * len(h))
+            acov[:len(h)] += np.fft.irfft(f * np.conj(f))[:len(h)] / len(h)
+            held[:len(h)] += 1
+        rho = 1.0 - (w - acov / held) / var_plus
         rho[0] = 1.0
-        total, prev, k = 0.0, np.inf, 0
-        while 2 * k + 1 < n:
-            pk = rho[2 * k] + rho[2 * k + 1]
-            if pk <= 0:
+        pairs, before = 0.0, np.inf
+        for k in range(0, longest - 1, 2):
+            pair = min(rho[k] + rho[k + 1], before)
+            if pair <= 0:
                 break
-            pk = min(pk, prev)
-            total += pk
-            prev = pk
-            k += 1
-        tau = -1.0 + 2.0 * total
-        return float(m * n / tau) if tau > 0 else float("nan")
-
-
+            pairs, before = pairs + pair, pair
+        tau = max(-1.0 + 2.0 * pairs, 1.0 / np.log10(max(total, 11)))
+        return float(total / tau)
 
     def per_param(pdf: pd.DataFrame) -> pd.DataFrame:
         chains = sorted(pdf["chain"].unique())
         seqs = [pdf.loc[pdf["chain"] == c].sort_values("draw")[value].to_numpy(dtype=float) for c in chains]
-        n = min(len(s) for s in seqs)
-        x = np.vstack([s[:n] for s in seqs])
-        z = _split_chains(_rank_normal(x))
-        folded = _split_chains(_rank_normal(np.abs(x - np.median(x))))
-        rhat = max(_rhat_basic(z), _rhat_basic(folded))
-        ess = _ess_basic(z)
-        row = {k: pdf[k].iloc[0] for k in key_cols}
-        row.update({"n_chains": len(chains), "n_draws": int(x.size), "rhat": rhat, "ess_bulk": ess})
+        x = np.concatenate(seqs)
+        middle = np.median(x)
+        halves = _split_chains(_rank_normal(seqs))
+        folded = _split_chains(_rank_normal([np.abs(s - middle) for s in seqs]))
+        row = {k: pdf[k].iloc[0] for k in key_cols} | {"n_chains": len(chains), "n_draws": len(x), "rhat": None, "ess_bulk": None}
+        if halves:
+            both = [r for r in (_rhat(halves), _rhat(folded)) if r is not None]
+            row.update(rhat=max(both) if both else None, ess_bulk=_ess(halves))
         return pd.DataFrame([row])
 
     schema = T.StructType([*[draws.schema[k] for k in key_cols], T.StructField("n_chains", T.LongType()),

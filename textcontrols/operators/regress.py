@@ -1,7 +1,8 @@
 """Grouped Gaussian linear models from centred moments.
 
 One aggregate per (group, cell) reads the rows once: count, means and
-centred co-moments (``covar_pop * n``, never raw sums of products).  Cells are
+centred co-moments (``covar_pop * n``, never raw sums of products), over the
+rows that hold a number in every column of the model.  Cells are
 combined into groups on that tiny table with the parallel-axis rule, and
 every model is solved in closed form from the combined moments.  The only
 shuffle of the data is the partial+final hash aggregate on the group keys,
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from textcontrols.functions.stats import t_quantile
 
 LOG_PI = math.log(math.pi)
+#: Share of a regressor's spread that must be its own (neither constant nor made of the others).
+RANK_TOL = 1e-10
 
 
 def _div(a, b) -> Column:
@@ -42,14 +45,42 @@ def _s(a: str, b: str) -> str:
     return f"s__{a}__{b}"
 
 
+def complete(cols: Sequence[str]) -> Column:
+    """Whether a row holds a number in every one of ``cols`` (neither null nor NaN)."""
+    ok = F.lit(True)
+    for c in cols:
+        x = F.col(c).cast("double")
+        ok = ok & x.isNotNull() & ~F.isnan(x)
+    return F.coalesce(ok, F.lit(False))
+
+
+def _moment_columns(cols: Sequence[str], rows: Column | None = None, prefix: str = "") -> list[Column]:
+    """Count, means and centred co-moments, of the rows where ``rows`` holds if given."""
+    take = (lambda c: F.col(c).cast("double")) if rows is None else (lambda c: F.when(rows, F.col(c).cast("double")))
+    n = F.count(F.lit(1)) if rows is None else F.count_if(rows)
+    found = [n.alias(f"{prefix}n")]
+    found += [F.avg(take(c)).alias(prefix + _m(c)) for c in cols]
+    found += [(F.covar_pop(take(a), take(b)) * n).alias(prefix + _s(a, b)) for a, b in combinations_with_replacement(cols, 2)]
+    return found
+
+
 def group_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """keys, n, m__c (means) and s__a__b (centred co-moments) per group."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.avg(F.col(c).cast("double")).alias(_m(c)) for c in cols]
-    for a, b in combinations_with_replacement(cols, 2):
-        aggs.append((F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double"))
-                     * F.count(F.lit(1))).alias(_s(a, b)))
-    return df.groupBy(*keys).agg(*aggs)
+    """keys, n, m__c (means) and s__a__b (centred co-moments) per group, over the complete cases of ``cols``."""
+    return df.where(complete(cols)).groupBy(*keys).agg(*_moment_columns(cols))
+
+
+def group_moments_multi(df: DataFrame, keys: Sequence[str], models: dict[str, Sequence[str]]) -> DataFrame:
+    """Moments of several models in one pass, each over its own complete cases (``{model}::`` prefixes)."""
+    flags = {m: f"_ok_{i}" for i, m in enumerate(models)}
+    flagged = df.select("*", *[complete(cols).alias(flags[m]) for m, cols in models.items()])
+    return flagged.groupBy(*keys).agg(*[c for m, cols in models.items() for c in _moment_columns(cols, F.col(flags[m]), f"{m}::")])
+
+
+def moments_of(multi: DataFrame, keys: Sequence[str], model: str, cols: Sequence[str]) -> DataFrame:
+    """One model's moments out of ``group_moments_multi``, groups without a complete case left out."""
+    names = ["n", *[_m(c) for c in cols], *[_s(a, b) for a, b in combinations_with_replacement(cols, 2)]]
+    found = multi.select(*keys, *[F.col(f"`{model}::{x}`").alias(x) for x in names])
+    return found.where(F.col("n") > 0)
 
 
 def combine_moments(mom: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -70,22 +101,21 @@ def combine_moments(mom: DataFrame, keys: Sequence[str], cols: Sequence[str]) ->
 
 
 def ols_wide(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
-    """Closed-form OLS with intercept for 0, 1 or 2 regressors, one row per group.
+    """OLS with intercept, one row per group, for any number of regressors.
 
     Columns: keys, n, nu, rss, s2, b_0..b_p (b_0 = intercept), v_i_j (covariance
-    of b_i, b_j without the nu/(nu-2) factor), the regressor means.
+    of b_i, b_j without the nu/(nu-2) factor), the regressor means.  Collinear
+    regressors (the smallest share of a regressor's spread that the others
+    leave is below RANK_TOL) give nulls.  Up to two regressors are solved in
+    columns, more by NumPy on the moments of a group (summaries, never rows).
     """
+    if len(xs) > 2:
+        return _ols_wide_solved(mom, keys, y, xs)
     return mom.select(*[F.col(k) for k in keys], *ols_columns(y, xs))
 
 
-def ols_wide_multi(mom: DataFrame, keys: Sequence[str], y: str, models: dict) -> DataFrame:
-    """Several ``ols_wide`` fits side by side in one select over the same moments (``_{model}_`` prefixes)."""
-    cols = [c.alias(f"_{m}_{name}") for m, xs in models.items() for name, c in ols_columns(y, xs, named=True)]
-    return mom.select(*[F.col(k) for k in keys], *cols)
-
-
-def ols_columns(y: str, xs: Sequence[str], named: bool = False) -> list:
-    """The fit columns of ``ols_wide`` (aliased; with ``named`` as (name, column) pairs)."""
+def ols_columns(y: str, xs: Sequence[str]) -> list:
+    """The fit columns of ``ols_wide`` for up to two regressors."""
     p = len(xs) + 1
     n = F.col("n").cast("double")
     my = F.col(_m(y))
@@ -96,6 +126,7 @@ def ols_columns(y: str, xs: Sequence[str], named: bool = False) -> list:
     elif len(xs) == 1:
         x = xs[0]
         sxx, sxy, mx = F.col(_s(x, x)), F.col(_s(x, y)), F.col(_m(x))
+        sxx = F.when(sxx > RANK_TOL * n * mx * mx, sxx)  # a constant has no spread but rounding
         b1 = _div(sxy, sxx)
         b = [my - b1 * mx, b1]
         rss = syy - b1 * sxy
@@ -106,6 +137,7 @@ def ols_columns(y: str, xs: Sequence[str], named: bool = False) -> list:
         s1y, s2y = F.col(_s(x1, y)), F.col(_s(x2, y))
         m1, m2 = F.col(_m(x1)), F.col(_m(x2))
         det = s11 * s22 - s12 * s12
+        det = F.when((det > RANK_TOL * s11 * s22) & (s11 > RANK_TOL * n * m1 * m1) & (s22 > RANK_TOL * n * m2 * m2), det)
         i11, i22, i12 = _div(s22, det), _div(s11, det), _div(-s12, det)
         b1 = i11 * s1y + i12 * s2y
         b2 = i12 * s1y + i22 * s2y
@@ -115,66 +147,63 @@ def ols_columns(y: str, xs: Sequence[str], named: bool = False) -> list:
                (0, 1): -(i11 * m1 + i12 * m2), (0, 2): -(i12 * m1 + i22 * m2),
                (0, 0): _div(1.0, n) + m1 * m1 * i11 + 2 * m1 * m2 * i12 + m2 * m2 * i22}
     else:
-        raise ValueError("ols_wide solves up to two regressors in columns; use ols_general for more")
+        raise ValueError("up to two regressors")
     nu = F.col("n") - p
     s2 = F.when(nu > 0, rss / nu)
     named_cols = [("n", F.col("n")), ("nu", nu), ("rss", rss), ("s2", s2)]
     named_cols += [(f"b_{j}", bj) for j, bj in enumerate(b)]
     named_cols += [(f"v_{i}_{j}", F.lit(v) if isinstance(v, float) else v) for (i, j), v in cov.items()]
     named_cols += [(_m(x), F.col(_m(x))) for x in xs]
-    if named:
-        return named_cols
     return [c.alias(name) for name, c in named_cols]
 
 
-def ols_general(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], model: str = "ols") -> DataFrame:
-    """``y ~ 1 + xs`` for any number of regressors, solved per group on the moments table.
-
-    The input is the (small) output of ``group_moments``: one row per group
-    holding p x p centred co-moments, so the NumPy solve in ``applyInPandas``
-    touches summaries only, never data rows.  Output: the long schema of
-    ``ols_long`` before intervals (keys, model, parameter, n, nu, estimate, var).
-    """
+def _ols_wide_solved(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
+    """``ols_wide`` for more than two regressors: one small system per group of the moments table."""
     import numpy as np
     import pandas as pd
 
-    k = len(xs)
-    key_cols = list(keys)
-    # names resolved here: the worker function below references no module of this package
+    from pyspark.sql import types as T
+
+    # names and bounds resolved here: the worker function below references no module of this package
+    k, tol, key_cols = len(xs), RANK_TOL, list(keys)
     s_cols = {(a, b): _s(a, b) for a in [y, *xs] for b in [y, *xs]}
     m_cols = {a: _m(a) for a in [y, *xs]}
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    names = [*key_cols, "n", "nu", "rss", "s2", *[f"b_{j}" for j in range(k + 1)], *[f"v_{i}_{j}" for i, j in pairs], *[m_cols[x] for x in xs]]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, r in pdf.iterrows():
-            n = float(r["n"])
+            n = int(r["n"])
+            nu = n - k - 1
             sxx = np.array([[r[s_cols[(a, b)]] for b in xs] for a in xs], dtype=float)
             sxy = np.array([r[s_cols[(a, y)]] for a in xs], dtype=float)
             mx = np.array([r[m_cols[a]] for a in xs], dtype=float)
-            nu = int(n) - k - 1
-            try:
-                inv = np.linalg.inv(sxx)
-            except np.linalg.LinAlgError:
-                inv = np.full((k, k), np.nan)
-            b = inv @ sxy
-            b0 = r[m_cols[y]] - b @ mx
-            rss = r[s_cols[(y, y)]] - b @ sxy
-            s2 = rss / nu if nu > 0 else np.nan
-            var = [s2 * (1.0 / n + mx @ inv @ mx)] + [s2 * inv[j, j] for j in range(k)]
-            for name, est, v in zip(["Intercept", *xs], [b0, *b], var):
-                out.append({**{c: r[c] for c in key_cols}, "model": model, "parameter": name, "n": int(n),
-                            "nu": nu, "estimate": float(est), "var": float(v)})
-        return pd.DataFrame(out, columns=[*key_cols, "model", "parameter", "n", "nu", "estimate", "var"])
-
-    key_schema = [f for f in mom.schema.fields if f.name in key_cols]
-    from pyspark.sql import types as T
-    schema = T.StructType([*key_schema, T.StructField("model", T.StringType()), T.StructField("parameter", T.StringType()),
-                           T.StructField("n", T.LongType()), T.StructField("nu", T.LongType()),
-                           T.StructField("estimate", T.DoubleType()), T.StructField("var", T.DoubleType())])
+            spread = np.sqrt(np.diag(sxx))
+            row = {**{c: r[c] for c in key_cols}, "n": n, "nu": nu, **{m_cols[x]: float(v) for x, v in zip(xs, mx)}}
+            if (np.diag(sxx) > tol * n * mx * mx).all() and np.linalg.eigvalsh(sxx / np.outer(spread, spread))[0] > tol:
+                inv = np.linalg.inv(sxx / np.outer(spread, spread)) / np.outer(spread, spread)
+                b = inv @ sxy
+                cov = np.zeros((k + 1, k + 1))
+                cov[1:, 1:] = inv
+                cov[0, 1:] = -(inv @ mx)
+                cov[0, 0] = 1.0 / n + mx @ inv @ mx
+                rss = float(r[s_cols[(y, y)]] - b @ sxy)
+                row.update(rss=rss, s2=rss / nu if nu > 0 else None, b_0=float(r[m_cols[y]] - b @ mx))
+                row.update({f"b_{j + 1}": float(v) for j, v in enumerate(b)}, **{f"v_{i}_{j}": float(cov[i, j]) for i, j in pairs})
+            out.append([row.get(c) for c in names])
+        return pd.DataFrame(out, columns=names)
+
+    fields = [f for f in mom.schema.fields if f.name in key_cols]
+    fields = sorted(fields, key=lambda f: key_cols.index(f.name))
+    fields += [T.StructField(c, T.LongType() if c in ("n", "nu") else T.DoubleType()) for c in names[len(key_cols):]]
     grouped = mom.groupBy(*keys) if keys else mom.groupBy(F.lit(0))
-    res = grouped.applyInPandas(solve, schema)
-    return res.select(*keys, "model", "parameter", "n", "nu",
-                      *with_interval(F.col("estimate"), F.col("var"), F.col("nu")))
+    return grouped.applyInPandas(solve, T.StructType(fields))
+
+
+def ols_general(mom: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], model: str = "ols") -> DataFrame:
+    """The long summary of ``_ols_wide_solved`` whatever the number of regressors."""
+    return ols_long(_ols_wide_solved(mom, keys, y, xs), keys, xs, model)
 
 
 def with_interval(est: Column, var: Column, nu: Column, prefix: str = "") -> list[Column]:
@@ -202,15 +231,8 @@ def ols_long(wide: DataFrame, keys: Sequence[str], xs: Sequence[str], model: str
 
 
 def fit_ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], model: str = "ols") -> DataFrame:
-    """``y ~ 1 + xs`` per group of ``keys``, long summary.
-
-    Up to two regressors the solution is a column expression; beyond, the
-    p x p moments of each group are solved with NumPy (``ols_general``).
-    """
-    mom = group_moments(df, keys, [y, *xs])
-    if len(xs) <= 2:
-        return ols_long(ols_wide(mom, keys, y, xs), keys, xs, model)
-    return ols_general(mom, keys, y, xs, model)
+    """``y ~ 1 + xs`` per group of ``keys`` over its complete cases, long summary."""
+    return ols_long(ols_wide(group_moments(df, keys, [y, *xs]), keys, y, xs), keys, xs, model)
 
 
 def cell_moments(df: DataFrame, keys: Sequence[str], cell: str, cols: Sequence[str]) -> DataFrame:
@@ -322,14 +344,14 @@ def loo_pointwise(df: DataFrame, wide: DataFrame, keys: Sequence[str], y: str, x
     (planner estimate or AQE runtime statistics), otherwise shuffles.
     """
     fit = prefixed(loo_constants(wide, len(xs) + 1), keys, "_f_")
-    j = df.join(fit, list(keys), "inner")
+    j = df.where(complete([y, *xs])).join(fit, list(keys), "inner")
     return add_loo_elpd(j, y, xs, "_f_", "elpd").select(*keys, "elpd")
 
 
 def loo_pointwise_cells(df: DataFrame, cmw: DataFrame, keys: Sequence[str], cell: str, y: str) -> DataFrame:
     """Per-row elpd for the cell-mean model; rows with a null cell are not in the model."""
     fit = prefixed(loo_constants(cmw), [*keys, cell], "_f_")
-    j = df.where(F.col(cell).isNotNull()).join(fit, [*keys, cell], "inner")
+    j = df.where(F.col(cell).isNotNull() & complete([y])).join(fit, [*keys, cell], "inner")
     return add_loo_elpd(j, y, None, "_f_", "elpd").select(*keys, "elpd")
 
 

@@ -47,24 +47,28 @@ def _rounded(df, d=4, cols=("estimate", "est_error", "q_lo", "q_hi")):
 
 
 class Suite:
-    """All moments of the suite from one aggregate over (experiment, condition)."""
+    """All moments of the suite from one aggregate over (experiment, condition), each model on its complete cases."""
 
-    COLS = ["y", "wc_diff", "INTN1", "INTN2"]
+    COLUMNS = {"oracle": ["y"], **{m: ["y", *xs] for m, xs in MODELS.items()}}
 
     def __init__(self, spark, sf):
         self.frame = model_frame(spark, sf)
-        # one aggregate over the rows, checkpointed: every model below reads this small table
-        self.cells = materialize_small(R.cell_moments(self.frame, KEYS, "condition", self.COLS))
-        # pooled per experiment once (a few rows): every fit below is a select over it
-        self.groups = materialize_small(R.combine_moments(self.cells, KEYS, self.COLS))
-        self.cmw = R.cell_mean_wide(self.cells, KEYS, "condition", "y")
+        # one aggregate over the rows, written: every model below reads this small table
+        self.moments = materialize_small(R.group_moments_multi(self.frame, [*KEYS, "condition"], self.COLUMNS))
+        self.cmw = R.cell_mean_wide(self.cells("oracle"), KEYS, "condition", "y")
 
-    def wide(self, xs):
-        return R.ols_wide(self.groups, KEYS, "y", xs)
+    def cells(self, model):
+        return R.moments_of(self.moments, [*KEYS, "condition"], model, self.COLUMNS[model])
+
+    def groups(self, model):
+        return R.combine_moments(self.cells(model), KEYS, self.COLUMNS[model])
+
+    def wide(self, model):
+        return R.ols_wide(self.groups(model), KEYS, "y", MODELS[model])
 
     def long(self):
         parts = [R.cell_mean_long(self.cmw, KEYS, "condition", "oracle")]
-        parts += [R.ols_long(self.wide(xs), KEYS, xs, m) for m, xs in MODELS.items()]
+        parts += [R.ols_long(self.wide(m), KEYS, xs, m) for m, xs in MODELS.items()]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -99,7 +103,7 @@ JOIN (SELECT experiment, sum(n * mean) / sum(n) AS pooled_mean FROM {CELL_SQL} G
 def pooled_diagnostic(spark, sf):
     s = Suite(spark, sf)
     pooled = s.cmw.groupBy("experiment").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("pooled_mean"))
-    sample = s.groups.select("experiment", F.col("m__y").alias("sample_mean"))
+    sample = s.groups("oracle").select("experiment", F.col("m__y").alias("sample_mean"))
     return sample.join(pooled, "experiment").select(
         "experiment", F.round("sample_mean", 6).alias("sample_mean"), F.round("pooled_mean", 6).alias("pooled_mean"))
 
@@ -148,7 +152,7 @@ def _estimators(s: Suite):
                                                  "estimate", "est_error", "q_lo", "q_hi")
     out = cells.unionByName(pooled)
     for m, xs in MODELS.items():
-        lg = R.ols_long(s.wide(xs), KEYS, xs, m).where(F.col("parameter") == "Intercept")
+        lg = R.ols_long(s.wide(m), KEYS, xs, m).where(F.col("parameter") == "Intercept")
         out = out.unionByName(lg.select("experiment", F.lit(m).alias("estimator"),
                                         "estimate", "est_error", "q_lo", "q_hi"))
     return out
@@ -190,9 +194,9 @@ FROM (SELECT experiment, condition, avg(wc_diff) AS wc_mean FROM {FRAME_SQL} WHE
 JOIN {ols_wide_sql(FRAME_SQL, KEYS, 'y', ['wc_diff'])} w ON w.experiment = c.experiment""")
 def predict_at_means(spark, sf):
     s = Suite(spark, sf)
-    pts = s.cells.where(F.col("condition").isNotNull()).select("experiment", "condition",
+    pts = s.cells("wc").where(F.col("condition").isNotNull()).select("experiment", "condition",
                                                               F.col("m__wc_diff").alias("wc_diff"))
-    out = R.predict_at(s.wide(["wc_diff"]), KEYS, pts, "wc_diff")
+    out = R.predict_at(s.wide("wc"), KEYS, pts, "wc_diff")
     return _rounded(out.select("experiment", "condition", F.round("wc_diff", 6).alias("wc_mean"),
                                "estimate", "est_error", "q_lo", "q_hi"))
 
@@ -243,9 +247,10 @@ def _looic(s: Suite):
     second pass (all four in one generated stage exceed the code-size limits
     of whole-stage codegen and fall back to a much slower path).
     """
-    fits = R.ols_wide_multi(s.groups, KEYS, "y", MODELS)  # one select, one row per experiment
-    for m, xs in MODELS.items():
-        fits = R.loo_constants(fits, len(xs) + 1, f"_{m}_")
+    fits = None
+    for m, xs in MODELS.items():  # one row per experiment
+        one = R.prefixed(R.loo_constants(s.wide(m), len(xs) + 1), KEYS, f"_{m}_")
+        fits = one if fits is None else fits.join(one, KEYS, "full")
     cells = materialize_small(R.prefixed(R.loo_constants(s.cmw), [*KEYS, "condition"], "_oracle_"))
 
     fits_b, _ = bounded_broadcast(fits)  # one row per experiment: counted, then broadcast
@@ -254,10 +259,10 @@ def _looic(s: Suite):
         rows = R.add_loo_elpd(rows, "y", xs, f"_{m}_", f"elpd__{m}")
     reg = rows.groupBy(*KEYS).agg(*[x for m in MODELS for x in (
         (-2.0 * F.sum(f"elpd__{m}")).alias(f"looic__{m}"),
-        F.count_if(F.col(f"elpd__{m}").isNull()).alias(f"undef__{m}"))])
+        F.count_if(F.col(f"elpd__{m}").isNull() & R.complete(s.COLUMNS[m])).alias(f"undef__{m}"))])
 
     cells_b, _ = bounded_broadcast(cells)  # one row per cell: counted, then broadcast
-    crow = s.frame.where(F.col("condition").isNotNull()).join(cells_b, [*KEYS, "condition"], "inner")
+    crow = s.frame.where(F.col("condition").isNotNull() & R.complete(["y"])).join(cells_b, [*KEYS, "condition"], "inner")
     crow = R.add_loo_elpd(crow, "y", None, "_oracle_", "elpd__oracle")
     cel = crow.groupBy(*KEYS).agg((-2.0 * F.sum("elpd__oracle")).alias("looic__oracle"),
                                   F.count_if(F.col("elpd__oracle").isNull()).alias("undef__oracle"))
@@ -291,87 +296,52 @@ def ols_general_q(spark, sf):
     return _rounded(R.fit_ols(model_frame(spark, sf), KEYS, "y", ["wc_diff", *CONTROLS_2], "wc_controls_2"))
 
 
-def suite_draws(s: Suite, n_draws: int = 6000):
-    """Draws of every suite parameter, written once (groups x parameters x draws rows, not data-sized)."""
-    from textcontrols.operators.draws import cell_draws, ols_draws
-    out = cell_draws(s.cmw, KEYS, "condition", "oracle", n_draws)
-    for m, xs in MODELS.items():
-        out = out.unionByName(ols_draws(s.wide(xs), KEYS, xs, m, n_draws))
-    return materialize_small(out)
-
-
-@query("posterior_draws")
-def posterior_draws(spark, sf):
-    """Draw summaries of the suite: mean, sd and exact 2.5/50/97.5 % quantiles per parameter."""
-    from textcontrols.operators.draws import draw_quantiles
-    d = suite_draws(Suite(spark, sf))
-    q = draw_quantiles(d, ["experiment", "model", "parameter"], "value")
-    sd = d.groupBy("experiment", "model", "parameter").agg(F.stddev_samp("value").alias("sd"))
-    out = q.join(sd, ["experiment", "model", "parameter"])
-    return out.select("experiment", "model", "parameter", "n",
-                      *[F.round(c, 4).alias(c) for c in ("mean", "sd", "q025", "q500", "q975")])
-
-
-@query("draws_convergence")
-def draws_convergence(spark, sf):
-    """Split R-hat and batch-means ESS over the generated suite draws (max R-hat, min ESS per model)."""
-    from textcontrols.operators.draws import batch_means_ess, split_rhat
-    d = suite_draws(Suite(spark, sf))
-    keys = ["experiment", "model", "parameter"]
-    r = split_rhat(d, keys, "value").join(batch_means_ess(d, keys, "value"), keys)
-    return r.groupBy("experiment", "model").agg(F.round(F.max("rhat"), 4).alias("max_rhat"),
-                                                F.round(F.min("ess"), 1).alias("min_ess"))
-
-
-@query("posterior_diff_draws")
-def posterior_diff_draws(spark, sf):
-    """Paired-by-draw differences: each model's intercept minus the matched cell, with draw quantiles."""
-    from textcontrols.operators.draws import draw_quantiles, paired_draw_diff
-    d = suite_draws(Suite(spark, sf))
-    base_level = [k for k, v in ROLES.items() if v == "matched"][0]
-    ref = d.where((F.col("model") == "oracle") & (F.col("parameter") == base_level)).drop("model", "parameter")
-    parts = []
-    for m in MODELS:
-        a = d.where((F.col("model") == m) & (F.col("parameter") == "Intercept")).drop("model", "parameter")
-        parts.append(paired_draw_diff(a, ref, ["experiment"]).withColumn("comparison", F.lit(f"{m}-oracle_matched")))
-    diffs = parts[0]
-    for p in parts[1:]:
-        diffs = diffs.unionByName(p)
-    q = draw_quantiles(diffs, ["experiment", "comparison"], "value")
-    return q.select("experiment", "comparison", "n", *[F.round(c, 4).alias(c) for c in ("mean", "q025", "q500", "q975")])
-
-
-@query("draws_rank_diagnostics")
-def draws_rank_diagnostics(spark, sf):
-    """Rank-normalised R-hat and bulk ESS of the suite draws: max R-hat and min ESS per model."""
-    from textcontrols.operators.draws import rank_diagnostics
-    d = rank_diagnostics(suite_draws(Suite(spark, sf)), ["experiment", "model", "parameter"])
-    return d.groupBy("experiment", "model").agg(F.round(F.max("rhat"), 4).alias("max_rhat"),
-                                                F.round(F.min("ess_bulk"), 1).alias("min_ess_bulk"))
-
-
-def estimator_draws(s: Suite, n_draws: int = 6000):
-    """Draws per estimator: the three cells by role, the pooled mean derived per draw, the intercepts."""
-    d = suite_draws(s, n_draws)
-    role = F.create_map(*[x for k, v in ROLES.items() for x in (F.lit(k), F.lit("oracle_" + v))])
-    cells = d.where(F.col("model") == "oracle")
-    out = cells.select("experiment", F.element_at(role, F.col("parameter")).alias("estimator"), "chain", "draw", "value")
-    sizes, _ = bounded_broadcast(s.cmw.select("experiment", F.col("condition").alias("parameter"), "n"))
-    pooled = (cells.join(sizes, ["experiment", "parameter"], "inner")
-              .groupBy("experiment", "chain", "draw")
-              .agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("value"))
-              .select("experiment", F.lit("naive_pooled").alias("estimator"), "chain", "draw", "value"))
-    ints = d.where((F.col("model") != "oracle") & (F.col("parameter") == "Intercept")).select(
-        "experiment", F.col("model").alias("estimator"), "chain", "draw", "value")
-    return out.unionByName(pooled).unionByName(ints)
-
-
-@query("summary_table_draws")
-def summary_table_draws(spark, sf):
-    """Estimator x experiment table of draw means and 2.5 / 97.5 % draw quantiles."""
-    from textcontrols.operators.draws import draw_quantiles
-    from textcontrols.operators.report import summary_table as st
-    q = draw_quantiles(estimator_draws(Suite(spark, sf)), ["experiment", "estimator"], "value")
-    est = q.select("experiment", "estimator", F.round("mean", 3).alias("estimate"),
-                   F.round("q025", 3).alias("q_lo"), F.round("q975", 3).alias("q_hi"))
-    return st(est, "estimator", "experiment", ["F", "O"], prefix="exp_")
+# ---------------------------------------------------------------- complete cases and rank
+NULLS = ["y", "wc_diff", "INTN1"]
+NULL_SQL = """(SELECT l_linestatus AS experiment,
+       CASE WHEN l_orderkey % 7 <> 0 THEN l_extendedprice / 1000.0 END AS y,
+       CASE WHEN l_linenumber <> 3 THEN l_quantity END AS wc_diff,
+       CASE WHEN l_partkey % 5 <> 0 THEN l_discount ELSE CAST('NaN' AS DOUBLE) END AS INTN1, l_tax AS INTN2,
+       3.0 * l_tax + 0.1 AS twin, 1.0 AS flat
+FROM lineitem)"""
+
+
+def null_frame(spark, sf):
+    """The model frame with missing cells, a copy of a control on another scale and a constant."""
+    li = load_table(spark, sf, "lineitem")
+    return li.select(
+        F.col("l_linestatus").alias("experiment"),
+        F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice") / 1000.0).alias("y"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("wc_diff"),
+        F.when(F.col("l_partkey") % 5 != 0, F.col("l_discount")).otherwise(F.lit(float("nan"))).alias("INTN1"),
+        F.col("l_tax").alias("INTN2"), (F.col("l_tax") * 3.0 + 0.1).alias("twin"), F.lit(1.0).alias("flat"))
+
+
+def _complete_sql(cols):
+    return f"(SELECT * FROM {NULL_SQL} WHERE " + " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}::DOUBLE)" for c in cols) + ")"
+
+
+@query("ols_with_nulls", sql=" UNION ALL ".join([
+    "SELECT * FROM " + ols_long_sql(_complete_sql(["y", "wc_diff"]), KEYS, "y", ["wc_diff"], "one"),
+    "SELECT * FROM " + ols_long_sql(_complete_sql(NULLS), KEYS, "y", ["wc_diff", "INTN1"], "two"),
+    "SELECT * FROM " + ols3_long_sql(_complete_sql([*NULLS, "INTN2"]), KEYS, "y", ["wc_diff", "INTN1", "INTN2"], "three")]))
+def ols_with_nulls(spark, sf):
+    f = null_frame(spark, sf)
+    fits = [R.fit_ols(f, KEYS, "y", xs, m) for m, xs in
+            (("one", ["wc_diff"]), ("two", ["wc_diff", "INTN1"]), ("three", ["wc_diff", "INTN1", "INTN2"]))]
+    return _rounded(fits[0].unionByName(fits[1]).unionByName(fits[2]))
+
+
+_COLLINEAR = (("flat", ["flat"]), ("twins", ["INTN2", "twin"]), ("three", ["wc_diff", "INTN2", "twin"]))
+
+
+@query("ols_collinear", sql=" UNION ALL ".join(
+    f"SELECT experiment, '{m}' AS model, '{x}' AS parameter, CAST(count(*) AS BIGINT) AS n, "
+    f"CAST(count(*) - {len(xs) + 1} AS BIGINT) AS nu, CAST(NULL AS DOUBLE) AS estimate, CAST(NULL AS DOUBLE) AS est_error, "
+    f"CAST(NULL AS DOUBLE) AS q_lo, CAST(NULL AS DOUBLE) AS q_hi FROM {_complete_sql(['y', *xs])} GROUP BY experiment"
+    for m, xs in _COLLINEAR for x in ["Intercept", *xs]))
+def ols_collinear(spark, sf):
+    """A constant, a control given twice: no estimate, whichever way the model is solved."""
+    f = null_frame(spark, sf)
+    fits = [R.fit_ols(f, KEYS, "y", xs, m) for m, xs in _COLLINEAR]
+    return _rounded(fits[0].unionByName(fits[1]).unionByName(fits[2]))

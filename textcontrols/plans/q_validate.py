@@ -131,14 +131,13 @@ def _draws(spark, sf):
 
 
 _DRAWS_SQL = "(SELECT event_type AS parameter, user_id % 4 AS chain, event_id AS draw, value FROM events)"
-_RNG_SQL = f"(SELECT parameter, chain, min(draw) AS d0, max(draw) AS d1 FROM {_DRAWS_SQL} GROUP BY parameter, chain)"
+_PLACED_SQL = f"""(SELECT *, row_number() OVER (PARTITION BY parameter, chain ORDER BY draw) - 1 AS place,
+  count(*) OVER (PARTITION BY parameter, chain) AS len FROM {_DRAWS_SQL})"""
 
 
 @query("draws_rhat", sql=f"""
-WITH h AS (SELECT d.parameter, d.chain, CASE WHEN d.draw * 2 <= r.d0 + r.d1 THEN 0 ELSE 1 END AS half, d.value
-           FROM {_DRAWS_SQL} d JOIN {_RNG_SQL} r ON r.parameter = d.parameter AND r.chain = d.chain),
-hc AS (SELECT parameter, chain, half, count(*) AS m, avg(value) AS mu, var_samp(value) AS s2 FROM h
-       GROUP BY parameter, chain, half),
+WITH hc AS (SELECT parameter, chain, place >= len - len // 2 AS half, count(*) AS m, avg(value) AS mu, var_samp(value) AS s2
+            FROM {_PLACED_SQL} WHERE place < len // 2 OR place >= len - len // 2 GROUP BY ALL),
 g AS (SELECT parameter, avg(m) AS n, var_samp(mu) AS b_over_n, avg(s2) AS w, count(*) AS n_half FROM hc GROUP BY parameter)
 SELECT parameter, CAST(n_half AS BIGINT) AS n_half, round(sqrt(((n - 1) / n * w + b_over_n) / w), 6) AS rhat FROM g""")
 def draws_rhat(spark, sf):
@@ -146,13 +145,10 @@ def draws_rhat(spark, sf):
 
 
 @query("draws_ess", sql=f"""
-WITH b AS (SELECT d.parameter, d.chain,
-                  least(floor((d.draw - r.d0) / ((r.d1 - r.d0 + 1) / 20.0)), 19) AS batch, d.value
-           FROM {_DRAWS_SQL} d JOIN {_RNG_SQL} r ON r.parameter = d.parameter AND r.chain = d.chain),
-bm AS (SELECT parameter, chain, batch, avg(value) AS mu, count(*) AS m FROM b GROUP BY parameter, chain, batch),
+WITH bm AS (SELECT parameter, chain, place * 20 // len AS batch, avg(value) AS mu, count(*) AS m FROM {_PLACED_SQL} GROUP BY ALL),
 bb AS (SELECT parameter, var_samp(mu) AS vb, avg(m) AS bl FROM bm GROUP BY parameter),
 t AS (SELECT parameter, count(*) AS n, var_samp(value) AS v FROM {_DRAWS_SQL} GROUP BY parameter)
-SELECT t.parameter, CAST(t.n AS BIGINT) AS n, round(least(CAST(t.n AS DOUBLE), t.n * t.v / (bb.bl * bb.vb)), 2) AS ess
+SELECT t.parameter, CAST(t.n AS BIGINT) AS n, round(t.n * t.v / (bb.bl * bb.vb), 2) AS ess
 FROM t JOIN bb ON bb.parameter = t.parameter""")
 def draws_ess(spark, sf):
     return batch_means_ess(_draws(spark, sf), ["parameter"], "value").withColumn("ess", F.round("ess", 2))

@@ -65,20 +65,22 @@ def fit_suite(d: DataFrame, keys: Sequence[str] = ("experiment",), controls: Seq
               y: str = "Pref") -> dict[str, DataFrame]:
     """Model table (long), pooled effect and LOOIC per experiment.
 
-    Models: ``oracle`` (cell means, pooled sigma), ``wc`` (y ~ 1 + wc_diff),
-    ``controls_1`` (y ~ 1 + INTN1), ``controls_2`` (y ~ 1 + INTN1 + INTN2).
+    Models: ``oracle`` (cell means, pooled sigma), ``wc`` (y ~ 1 + wc_diff) and,
+    for each k up to the number of controls, ``controls_k`` (y ~ 1 + the first k).
+    Each model is fitted on its own complete cases.
     """
     keys = list(keys)
     cols = [y, "wc_diff", *controls]
     frame = d.select(*keys, "condition", *[F.col(c).cast("double").alias(c) for c in cols])
-    cells = materialize_small(R.cell_moments(frame, keys, "condition", cols))
-    groups = R.combine_moments(cells, keys, cols)
-    cmw = R.cell_mean_wide(cells, keys, "condition", y)
-    models = {"wc": ["wc_diff"], "controls_1": list(controls[:1]), "controls_2": list(controls[:2])}
+    models = {"wc": ["wc_diff"], **{f"controls_{k}": list(controls[:k]) for k in range(1, len(controls) + 1)}}
+    columns = {"oracle": [y], **{m: [y, *xs] for m, xs in models.items()}}
+    multi = materialize_small(R.group_moments_multi(frame, [*keys, "condition"], columns))
+    cells = {m: R.moments_of(multi, [*keys, "condition"], m, c) for m, c in columns.items()}
+    cmw = R.cell_mean_wide(cells["oracle"], keys, "condition", y)
     long = R.cell_mean_long(cmw, keys, "condition", "oracle")
     loo = R.looic(R.loo_pointwise_cells(frame, cmw, keys, "condition", y), keys).withColumn("model", F.lit("oracle"))
     for m, xs in models.items():
-        wide = R.ols_wide(groups, keys, y, xs)
+        wide = R.ols_wide(R.combine_moments(cells[m], keys, columns[m]), keys, y, xs)
         long = long.unionByName(R.ols_long(wide, keys, xs, m))
         loo = loo.unionByName(R.looic(R.loo_pointwise(frame, wide, keys, y, xs), keys).withColumn("model", F.lit(m)))
     return {"models": long, "pooled": R.pooled_effect(cmw, keys), "looic": loo}
