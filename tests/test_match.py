@@ -50,10 +50,25 @@ def test_vector_diff_and_flags(spark):
     assert r.collect()[0]["pct_both"] is None  # n = 0: no division
 
 
-def test_chunked_lookup_equals_broadcast(spark):
-    q = spark.createDataFrame(list(enumerate(QUERIES)), "qid int, text string")
-    out = match_column(q, "text", _lookup(spark), max_rows=1).orderBy("qid").select("pos").collect()
-    assert [r[0] for r in out] == EXPECTED
+def test_anchors_find_every_containment(spark):
+    """Random strings of few words and characters against the plain rule, blanks at ends and empty ones included."""
+    import random
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    text = lambda most: rng.choice(["", " ", "™ "]) + rng.choice([" ", "  ", "\n"]).join(word() for _ in range(rng.randint(0, most)))
+    for with_empty in (False, True):
+        keys = [(i, t, 0.0, 0.0) for i, t in enumerate(text(6) for _ in range(40)) if with_empty or t.replace("™", "").strip()]
+        queries = [(i, text(9)) for i in range(150)]
+        norm = lambda t: t.strip().lower().replace("™", "")
+        lookup = {}
+        for p, t, _, _ in keys:
+            lookup.setdefault(norm(t), p)
+        want = {}
+        for i, t in queries:
+            n = norm(t)
+            want[i] = lookup.get(n, min((p for k, p in lookup.items() if k in n or n in k), default=None))
+        got = match_column(spark.createDataFrame(queries, "qid int, text string"), "text", _lookup(spark, keys)).collect()
+        assert {r.qid: r.pos for r in got} == want
 
 
 def test_result_independent_of_partitioning(spark):

@@ -54,7 +54,7 @@ def test_pair_enrichment_per_micro_batch(spark):
     stream = spark.readStream.schema(conv.schema).option("pathGlobFilter", "conversations.parquet").parquet(SF)
     pairs = stream.select("conv_id", "turn", F.col("text").alias("Text_Base"), F.col("text").alias("Text_Comparison"))
     out = tempfile.mkdtemp(prefix="tc-stream-out-")
-    q = start_batch_stream(pairs, lambda b: enrich_pairs(b, "Text_Base", "Text_Comparison", lookup, 3), out,
+    q = start_batch_stream(pairs, lambda b: enrich_pairs(b, "Text_Base", "Text_Comparison", lookup, 64), out,
                            tempfile.mkdtemp(prefix="tc-stream-ckpt-"))
     q.awaitTermination(300)
     got = spark.read.parquet(out)

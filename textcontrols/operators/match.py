@@ -9,39 +9,43 @@ Semantics (a dictionary lookup followed by a linear scan):
    the query or the query contains the key;
 4. otherwise no match.
 
-Plan: rows are only hashed; distinct raw texts (a text repeated in a third
-of all rows collapses map-side) are normalised once and meet the broadcast
-lookup in one containment theta-join (an exact hit is a containment hit
-too); a hash aggregate keeps the exact key, else the smallest position.
-Matches go back to the rows by an equi-join on the 16-byte raw-text key.
-Nothing is written on this path; only a lookup above the broadcast bound
-(chunked, see below) makes the texts worth writing once.  The lookup is
-broadcast behind a row-count check; a lookup above the bound is cut into
-hash chunks that are each under it, and the per-chunk candidates are unioned
-before the minimum is taken, so the result stays exact.
+Plan: rows give two 64-bit hashes and word counts; texts cross one shuffle, to
+their distinct values.  Exact hits are an equi-join on hashes.  What has none
+looks for containment by equi-joins too: whatever string is contained holds
+its inner words whole, so the hash of three of them (of one, or of its first
+characters, where there are fewer) is among the hashes of the container.
+Candidates go back to the distinct texts, where they lie, and are compared.
+No join is a nested loop and no text goes to a row.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textcontrols.functions.text import normalize_text, word_count
-from textcontrols.operators._util import DEFAULT_BROADCAST_ROWS, bounded_broadcast, materialize_small, text_key
+from textcontrols.operators._util import materialize_small, text_key
 
+#: Kinds of anchors: three inner words, one inner word, or the first characters (1 to HEAD).
+THREE_WORDS, ONE_WORD, HEAD = 100, 50, 6
+_BLANKS = r"\s+"
 
-def build_lookup(catalog: DataFrame, text_col: str, pos_col: str, value_cols: list[str],
+
+def build_lookup(catalog: DataFrame, text_col: str, pos_col: str, value_cols: Sequence[str] | str,
                  materialize: bool = True) -> DataFrame:
-    """Lookup (key, pos, vec): normalised text -> vector of ``value_cols`` (double).
+    """Lookup (key, pos, vec): normalised text -> vector of doubles.
 
-    A key repeated in the catalog keeps its first position and the vector of
-    its last occurrence (dictionary-update rule).  One aggregate on the key.
-    The lookup is read by several joins and size checks, so it is checkpointed
-    once (``materialize``).
+    ``value_cols``: the columns of the vector, or one array column.  A key
+    repeated in the catalog keeps its first position and the vector of its last
+    occurrence (dictionary-update rule).  Several joins read the lookup, so it
+    is written once (``materialize``).
     """
-    vec = F.array(*[F.col(c).cast("double") for c in value_cols])
+    if isinstance(value_cols, str):
+        vec = F.transform(value_cols, lambda x: x.cast("double"))
+    else:
+        vec = F.array(*[F.col(c).cast("double") for c in value_cols])
     lk = (
         catalog.select(normalize_text(text_col).alias("key"), F.col(pos_col).cast("long").alias("pos"),
                        vec.alias("vec"))
@@ -51,126 +55,155 @@ def build_lookup(catalog: DataFrame, text_col: str, pos_col: str, value_cols: li
     return materialize_small(lk) if materialize else lk
 
 
-def _candidates(texts: DataFrame, lookup: DataFrame, key_cols: list[str], empty_matches: bool,
-                max_rows: int) -> DataFrame:
-    """(key_cols..., pos, is_exact) for every lookup key equal to, containing or contained in the text.
-
-    An exact hit is also a containment hit, so one theta-join finds both.  The
-    lookup is broadcast after an exact count.  Above the bound the lookup is
-    cut into hash chunks that are each under it, the exact hits come from an
-    equi-join, and the texts (read once per chunk) are written once first.
-    """
-    if not empty_matches:
-        texts = texts.where(F.col("n") != "")
-    lk = lookup.select("key", "pos")
-    cond = F.expr("contains(n, key) OR contains(key, n)")
-    out_cols = [*key_cols, "pos", (F.col("n") == F.col("key")).alias("is_exact")]
-    n_keys = lk.count()  # the lookup is checkpointed: a cheap count
-    if n_keys <= max_rows:
-        return texts.join(F.broadcast(lk), cond, "inner").select(*out_cols)
-    texts = materialize_small(texts)
-    exact = texts.join(lk, texts["n"] == lk["key"], "inner").select(*out_cols)
-    n_chunks = int(math.ceil(n_keys / max_rows)) * 2
-    chunked = lk.withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(n_chunks)))
-    sizes = dict(chunked.groupBy("_chunk").count().collect())  # n_chunks small numbers
-    if max(sizes.values()) > max_rows:
-        raise ValueError("lookup chunk above the broadcast bound; raise max_rows or chunk count")
-    out = exact
-    for c in sorted(sizes):
-        part = F.broadcast(chunked.where(F.col("_chunk") == c).drop("_chunk"))
-        out = out.unionByName(texts.join(part, cond & (F.col("n") != F.col("key")), "inner").select(*out_cols))
-    return out
-
-
-def first_match(candidates: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Per text: the exact key if any, else the key with the smallest position (hash aggregate)."""
-    g = candidates.groupBy(*key_cols).agg(F.min(F.when(F.col("is_exact"), F.col("pos"))).alias("_pe"),
-                                          F.min("pos").alias("_pc"))
-    return g.select(*key_cols, F.coalesce("_pe", "_pc").alias("pos"), F.col("_pe").isNotNull().alias("exact"))
+def raw_key(c, prefix: str = "_r") -> list:
+    """Two 64-bit hashes of the raw text (cheap; computed on every row)."""
+    return [h.alias(f"{prefix}{i}") for i, h in enumerate(text_key(c), 1)]
 
 
-def match_distinct_texts(texts: DataFrame, lookup: DataFrame, empty_matches: bool = True,
-                         max_rows: int = DEFAULT_BROADCAST_ROWS, key_cols: list[str] | None = None) -> DataFrame:
-    """Match distinct texts ``(key_cols..., n)`` -> ``(key_cols..., pos, exact)``; matched texts only."""
-    key_cols = key_cols or ["_h1", "_h2"]
-    return first_match(_candidates(texts, lookup, key_cols, empty_matches, max_rows), key_cols)
+def distinct_texts(df: DataFrame, text_cols: Sequence[str]) -> DataFrame:
+    """(_r1, _r2, n): each distinct raw text once, normalised; the only step that shuffles texts.
 
-
-def raw_key(c) -> list:
-    """Hash key of the raw text (cheap; computed on every row)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return [F.xxhash64(c).alias("_r1"), F.xxhash64(F.lit("textcontrols"), c).alias("_r2")]
-
-
-def distinct_raw_texts(df: DataFrame, text_cols: list[str]) -> DataFrame:
-    """(_r1, _r2, n): each distinct raw text once, with its normalised text.
-
-    Rows only pay a hash; normalisation runs once per distinct raw text.  The
-    hash aggregate collapses repeated texts map-side (a text in a third of all
-    rows leaves one row per task before the shuffle).
+    The aggregate collapses repeated texts on the map side, so a text in a
+    third of all rows leaves one row for each task.
     """
     raw = None
     for c in text_cols:
         part = df.select(*raw_key(c), F.col(c).alias("_raw"))
         raw = part if raw is None else raw.unionByName(part)
-    return raw.distinct().select("_r1", "_r2", normalize_text("_raw").alias("n"))
-
-
-def distinct_normalized(df: DataFrame, text_cols: list[str]) -> DataFrame:
-    """Distinct normalised texts over one or more text columns, with their hash key."""
-    n = distinct_raw_texts(df, text_cols).select("n").distinct()
-    return n.select(*text_key(F.col("n")), "n")
-
-
-def _raw_matches(df: DataFrame, text_cols: list[str], lookup: DataFrame, empty_matches: bool,
-                 max_rows: int) -> DataFrame:
-    """(_r1, _r2, pos, exact) for every distinct raw text that matches (one pass, nothing written)."""
-    return match_distinct_texts(distinct_raw_texts(df, text_cols), lookup, empty_matches, max_rows,
-                                key_cols=["_r1", "_r2"])
+    return raw.groupBy("_r1", "_r2").agg(F.max("_raw").alias("_raw")).select("_r1", "_r2", normalize_text("_raw").alias("n"))
+
+
+def _anchor(c: Column) -> Column:
+    """(kind, h) of a string that may be contained: what any container must hold; null for the empty string."""
+    w = F.split(c, _BLANKS)
+    head = F.least(F.length(c), F.lit(HEAD))
+    make = lambda kind, *x: F.struct(F.lit(kind).cast("int").alias("kind"), F.xxhash64(*x).alias("h"))
+    return (F.when(F.size(w) >= 5, make(THREE_WORDS, w[1], w[2], w[3]))
+            .when(F.size(w) >= 3, make(ONE_WORD, w[1]))
+            .when(head > 0, F.struct(head.cast("int").alias("kind"), F.xxhash64(F.substring(c, F.lit(1), head)).alias("h"))))
+
+
+def _held(c: Column, kinds: Sequence[int]) -> Column:
+    """Distinct (kind, h) of all places of a container, for the kinds asked for."""
+
+    def places(bound: Column, last, h) -> Column:
+        """``h`` of each place 1 .. last(x); x is bound once, not computed at each place."""
+        return F.flatten(F.transform(F.array(bound), lambda x: F.when(
+            last(x) >= 1, F.transform(F.sequence(F.lit(1), last(x)), lambda i: h(x, i))).otherwise(F.array().cast("array<bigint>"))))
+
+    def of_kind(kind: int) -> Column:
+        if kind == THREE_WORDS:
+            found = places(F.split(c, _BLANKS), lambda w: F.size(w) - 2,
+                           lambda w, i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
+        elif kind == ONE_WORD:
+            found = places(F.split(c, _BLANKS), F.size, lambda w, i: F.xxhash64(F.get(w, i - 1)))
+        else:
+            found = places(c, lambda x: F.length(x) - (kind - 1), lambda x, i: F.xxhash64(F.substring(x, i, F.lit(kind))))
+        return F.transform(F.array_distinct(found), lambda x: F.struct(F.lit(kind).cast("int").alias("kind"), x.alias("h")))
+
+    return F.concat(*[of_kind(k) for k in kinds])
+
+
+def match_distinct_texts(texts: DataFrame, lookup: DataFrame, empty_matches: bool = True) -> DataFrame:
+    """Match distinct texts ``(_r1, _r2, n)`` -> ``(_r1, _r2, pos, exact)``; matched texts only."""
+    ids = ["_r1", "_r2"]
+    keys = lookup.select("key", "pos")
+    kinds = F.collect_set(_anchor(F.col("key"))["kind"]).alias("kinds")
+    # one row with a few numbers: which kinds of anchors the keys have, and what an empty text or key decides
+    known = keys.agg(F.min("pos").alias("first"), F.min(F.when(F.col("key") == "", F.col("pos"))).alias("empty"), kinds).first()
+    hashed = texts.select(*ids, *[h.alias(f"_k{i}") for i, h in enumerate(text_key(F.col("n")), 1)], (F.col("n") == "").alias("_e"))
+    wanted = keys.select(*[h.alias(f"_k{i}") for i, h in enumerate(text_key(F.col("key")), 1)], "pos")
+    if not empty_matches:
+        hashed = hashed.where(~F.col("_e"))
+    exact = hashed.join(wanted, ["_k1", "_k2"]).select(*ids, "pos")
+
+    rest = texts.where(F.col("n") != "").join(exact.select(*ids), ids, "left_anti")
+    anchored = keys.select("key", "pos", _anchor(F.col("key")).alias("_a")).where("_a is not null").select("key", "pos", "_a.*")
+    parts = []
+    if known["kinds"]:
+        holds = rest.select(*ids, F.explode(_held(F.col("n"), sorted(known["kinds"]))).alias("_a")).select(*ids, "_a.*")
+        parts.append(holds.join(anchored, ["kind", "h"]).select(*ids, "key", "pos"))
+    every = [*range(1, HEAD + 1), ONE_WORD, THREE_WORDS]
+    inside = keys.where(F.col("key") != "").select("key", "pos", F.explode(_held(F.col("key"), every)).alias("_a")).select("key", "pos", "_a.*")
+    small = rest.select(*ids, _anchor(F.col("n")).alias("_a")).select(*ids, "_a.*")
+    parts.append(small.join(inside, ["kind", "h"]).select(*ids, "key", "pos"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    best = (rest.join(found.distinct(), ids).where(F.contains("n", "key") | F.contains("key", "n"))
+            .groupBy(*ids).agg(F.min("pos").alias("pos")))
+    if known["empty"] is not None:  # an empty key is in every text
+        best = (rest.select(*ids, F.lit(known["empty"]).alias("pos")).unionByName(best)
+                .groupBy(*ids).agg(F.min("pos").alias("pos")))
+    out = exact.select(*ids, "pos", F.lit(True).alias("exact")).unionByName(best.select(*ids, "pos", F.lit(False).alias("exact")))
+    if empty_matches and known["empty"] is None and known["first"] is not None:  # an empty text is in every key
+        blank = hashed.where("_e").select(*ids, F.lit(known["first"]).alias("pos"), F.lit(False).alias("exact"))
+        out = out.unionByName(blank)
+    return out
 
 
 def match_column(df: DataFrame, text_col: str, lookup: DataFrame, empty_matches: bool = True,
-                 max_rows: int = DEFAULT_BROADCAST_ROWS, prefix: str = "") -> DataFrame:
-    """Add ``{prefix}pos`` and ``{prefix}exact`` (null when unmatched) to ``df``."""
-    m = _raw_matches(df, [text_col], lookup, empty_matches, max_rows)
-    keyed = df.select("*", *raw_key(text_col))
-    # matched texts -> rows: an equi-join on the 16-byte raw-text key; AQE broadcasts the
-    # match table when its runtime size is small and splits skewed keys otherwise
+                 prefix: str = "", keep: Sequence[str] | None = None) -> DataFrame:
+    """Add ``{prefix}pos`` and ``{prefix}exact`` (null when unmatched) to ``df`` or to its columns ``keep``.
+
+    With ``keep`` the text itself needn't go through the join.
+    """
+    m = match_distinct_texts(distinct_texts(df, [text_col]), lookup, empty_matches)
+    keyed = df.select(*(keep if keep is not None else ["*"]), *raw_key(text_col))
+    # matched texts -> rows: an equi-join on 16 bytes; AQE broadcasts the match table when its
+    # runtime size is small and splits skewed keys otherwise
     return (keyed.join(m, ["_r1", "_r2"], "left")
             .withColumnRenamed("pos", f"{prefix}pos").withColumnRenamed("exact", f"{prefix}exact")
             .drop("_r1", "_r2"))
 
 
+def control_differences(pairs: DataFrame, lookup: DataFrame, n_dims: int, base_pos: str, comp_pos: str,
+                        keep: Sequence[str], control_prefix: str = "INTN") -> DataFrame:
+    """``keep`` and INTN1..k = control(comparison) - control(base) of matched positions, 0.0 unless both matched."""
+    vb = lookup.select(F.col("pos").alias("_bp"), F.col("vec").alias("_bvec"))
+    vc = lookup.select(F.col("pos").alias("_cp"), F.col("vec").alias("_cvec"))
+    j = (pairs.join(vb, F.col(base_pos) == F.col("_bp"), "left").join(vc, F.col(comp_pos) == F.col("_cp"), "left"))
+    b, c = F.col("_bvec").isNotNull(), F.col("_cvec").isNotNull()
+    diff = F.when(b & c, F.zip_with("_cvec", "_bvec", lambda x, y: x - y)).otherwise(F.array_repeat(F.lit(0.0), n_dims))
+    j = j.withColumn("_diff", diff)
+    return j.select(*keep, *[F.col("_diff")[i].alias(f"{control_prefix}{i + 1}") for i in range(n_dims)],
+                    (b & c).alias("nuisance_matched"), b.alias("base_matched"), c.alias("comp_matched"),
+                    "wc_base", "wc_comparison").withColumn("wc_diff", F.col("wc_comparison") - F.col("wc_base"))
+
+
 def enrich_pairs(df: DataFrame, base_col: str, comp_col: str, lookup: DataFrame, n_dims: int,
-                 empty_matches: bool = True, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                 control_prefix: str = "INTN") -> DataFrame:
-    """Attach ``control(comparison) - control(base)`` and word-count differences.
+                 empty_matches: bool = True, control_prefix: str = "INTN", keep: Sequence[str] | None = None) -> DataFrame:
+    """Attach ``control(comparison) - control(base)`` and word-count differences to ``df`` (or its columns ``keep``).
 
     Adds INTN1..k (0.0 unless both sides matched), ``nuisance_matched``,
     ``base_matched``, ``comp_matched``, ``wc_base``, ``wc_comparison``, ``wc_diff``.
     """
-    m = _raw_matches(df, [base_col, comp_col], lookup, empty_matches, max_rows)
-    lk_vec, _ = bounded_broadcast(lookup.select("pos", "vec"), max_rows)
-    mv = m.join(lk_vec, "pos", "inner").select("_r1", "_r2", "vec")  # joined to rows below; AQE sizes it
-    kb, kc = raw_key(base_col), raw_key(comp_col)
-    rows = df.select("*", kb[0].alias("_bh1"), kb[1].alias("_bh2"), kc[0].alias("_ch1"), kc[1].alias("_ch2"))
-    mb = mv.select(F.col("_r1").alias("_bh1"), F.col("_r2").alias("_bh2"), F.col("vec").alias("_bvec"))
-    mc = mv.select(F.col("_r1").alias("_ch1"), F.col("_r2").alias("_ch2"), F.col("vec").alias("_cvec"))
-    j = rows.join(mb, ["_bh1", "_bh2"], "left").join(mc, ["_ch1", "_ch2"], "left")
-    both = F.col("_bvec").isNotNull() & F.col("_cvec").isNotNull()
-    diff = F.when(both, F.zip_with("_cvec", "_bvec", lambda a, b: a - b)).otherwise(
-        F.array_repeat(F.lit(0.0), n_dims))
-    j = j.withColumn("_diff", diff)
-    ctrl = [F.col("_diff")[i].alias(f"{control_prefix}{i + 1}") for i in range(n_dims)]
-    out = j.select(
-        *[c for c in df.columns], *ctrl,
-        both.alias("nuisance_matched"),
-        F.col("_bvec").isNotNull().alias("base_matched"),
-        F.col("_cvec").isNotNull().alias("comp_matched"),
-        word_count(base_col).alias("wc_base"),
-        word_count(comp_col).alias("wc_comparison"),
-    )
-    return out.withColumn("wc_diff", F.col("wc_comparison") - F.col("wc_base"))
+    kept = [c for c in (keep if keep is not None else df.columns) if c not in ("wc_base", "wc_comparison", "wc_diff")]
+    m = match_distinct_texts(distinct_texts(df, [base_col, comp_col]), lookup, empty_matches)
+    rows = df.select(*kept, *raw_key(base_col, "_b"), *raw_key(comp_col, "_c"),
+                     word_count(base_col).alias("wc_base"), word_count(comp_col).alias("wc_comparison"))
+    mb = m.select(F.col("_r1").alias("_b1"), F.col("_r2").alias("_b2"), F.col("pos").alias("_bpos"))
+    mc = m.select(F.col("_r1").alias("_c1"), F.col("_r2").alias("_c2"), F.col("pos").alias("_cpos"))
+    rows = rows.join(mb, ["_b1", "_b2"], "left").join(mc, ["_c1", "_c2"], "left")
+    return control_differences(rows, lookup, n_dims, "_bpos", "_cpos", kept, control_prefix)
+
+
+def enrich_neighbours(df: DataFrame, id_col: str, text_col: str, lookup: DataFrame, n_dims: int,
+                      empty_matches: bool = True) -> DataFrame:
+    """``enrich_pairs`` of each row (base) with the row of the next id: ``pair_id`` and the columns added there.
+
+    Each text is matched and counted once; the pair is made of two numbers of
+    either side.
+    """
+    one = match_column(df.withColumn("_wc", word_count(text_col)), text_col, lookup, empty_matches, keep=[id_col, "_wc"])
+    sides = F.explode(F.array(F.struct(F.col(id_col).alias("pair_id"), F.lit(True).alias("base")),
+                              F.struct((F.col(id_col) - 1).alias("pair_id"), F.lit(False).alias("base"))))
+    each = one.select(sides.alias("_s"), "_wc", "pos").select("_s.*", "_wc", "pos")
+    pairs = each.groupBy("pair_id").agg(*[F.max(F.when(side, F.col(c))).alias(n) for side, c, n in (
+        (F.col("base"), "_wc", "wc_base"), (~F.col("base"), "_wc", "wc_comparison"),
+        (F.col("base"), "pos", "_bpos"), (~F.col("base"), "pos", "_cpos"))])
+    pairs = pairs.where(F.col("wc_base").isNotNull() & F.col("wc_comparison").isNotNull())
+    return control_differences(pairs, lookup, n_dims, "_bpos", "_cpos", ["pair_id"])
 
 
 def match_rates(enriched: DataFrame, group_cols: list[str] | None = None) -> DataFrame:

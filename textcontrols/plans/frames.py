@@ -3,8 +3,7 @@
 Stand-ins, all computed by Spark from whole tables:
 
 - catalog lookup: ``benchmark`` texts are the known stimuli, their control
-  vector is the first dims of ``embeddings`` with ``vec_id = item_id``;
-- text pairs: each document (base) with the next document id (comparison);
+  vector is the whole embedding with ``vec_id = item_id``;
 - conversation pairs: each user turn (base) with the next turn when it is the
   assistant's (comparison);
 - survey rows: ``events`` recast as raw survey columns (text typed).
@@ -15,37 +14,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textcontrols.functions.text import word_count
 from textcontrols.operators.match import build_lookup
 from textcontrols.sources.tables import load_table
 
-N_CONTROLS = 3
+# Fixed value: dimensions of the ``embeddings`` table, all of them controls.
+N_CONTROLS = 64
 
 
-def benchmark_controls(spark: SparkSession, sf: str, k: int = N_CONTROLS) -> DataFrame:
+def benchmark_lookup(spark: SparkSession, sf: str) -> DataFrame:
     b = load_table(spark, sf, "benchmark")
-    e = load_table(spark, sf, "embeddings").select(
-        "vec_id", *[F.col("embedding")[i].cast("double").alias(f"INTN{i + 1}") for i in range(k)])
-    return b.join(e, b["item_id"] == e["vec_id"], "inner").drop("vec_id")
+    e = load_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return build_lookup(b.join(e, b["item_id"] == e["vec_id"], "inner"), "text", "item_id", "embedding")
 
 
-def benchmark_lookup(spark: SparkSession, sf: str, k: int = N_CONTROLS) -> DataFrame:
-    return build_lookup(benchmark_controls(spark, sf, k), "text", "item_id",
-                        [f"INTN{i + 1}" for i in range(k)])
-
-
-def document_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    d = load_table(spark, sf, "documents").select("doc_id", "text")
-    a, b = d.alias("a"), d.alias("b")
-    return a.join(b, F.col("b.doc_id") == F.col("a.doc_id") + 1, "inner").select(
-        F.col("a.doc_id").alias("pair_id"), F.col("a.text").alias("Text_Base"),
-        F.col("b.text").alias("Text_Comparison"))
-
-
-def conversation_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    c = load_table(spark, sf, "conversations")
-    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("Text_Base"))
+def conversation_word_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """conv_id, turn, wc_base, wc_comparison: counted where the texts are read, so the join moves numbers."""
+    c = load_table(spark, sf, "conversations").select("conv_id", "turn", "role", word_count("text").alias("wc"))
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("wc").alias("wc_base"))
     a = c.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("Text_Comparison"))
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("wc").alias("wc_comparison"))
     return u.join(a, ["conv_id", "turn"], "inner")
 
 

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textcontrols.operators.match import enrich_pairs, match_column, match_rates
-from textcontrols.plans.frames import N_CONTROLS, benchmark_lookup, document_pairs
+from textcontrols.operators.match import enrich_neighbours, match_column, match_rates
+from textcontrols.functions.text import normalize_text
+from textcontrols.operators._util import text_key
+from textcontrols.plans.frames import N_CONTROLS, benchmark_lookup
 from textcontrols.plans.registry import query
 from textcontrols.plans.sqltext import norm, wc
 from textcontrols.sources.tables import load_table
 
-LOOKUP_SQL = f"""(SELECT key, min(pos) AS pos,
-    max_by(v1, pos) AS v1, max_by(v2, pos) AS v2, max_by(v3, pos) AS v3
-  FROM (SELECT {norm('b.text')} AS key, b.item_id AS pos,
-               CAST(e.embedding[1] AS DOUBLE) AS v1, CAST(e.embedding[2] AS DOUBLE) AS v2,
-               CAST(e.embedding[3] AS DOUBLE) AS v3
+LOOKUP_SQL = f"""(SELECT key, min(pos) AS pos, max_by(vec, pos) AS vec
+  FROM (SELECT {norm('b.text')} AS key, b.item_id AS pos, CAST(e.embedding AS DOUBLE[]) AS vec
         FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)
   GROUP BY key)"""
 
@@ -30,7 +29,7 @@ def _first_match_sql(src: str, id_col: str, text_col: str) -> str:
 
 
 @query("lookup_build", sql=f"""
-SELECT md5(key) AS key_md5, pos, round(v1, 6) AS INTN1, round(v2, 6) AS INTN2, round(v3, 6) AS INTN3
+SELECT md5(key) AS key_md5, pos, {', '.join(f'round(vec[{i + 1}], 6) AS INTN{i + 1}' for i in range(N_CONTROLS))}
 FROM {LOOKUP_SQL}""")
 def lookup_build(spark, sf):
     lk = benchmark_lookup(spark, sf)
@@ -41,10 +40,10 @@ def lookup_build(spark, sf):
 @query("match_exact", sql=f"""
 SELECT d.doc_id, lk.pos FROM documents d LEFT JOIN {LOOKUP_SQL} lk ON {norm('d.text')} = lk.key""")
 def match_exact(spark, sf):
-    lk = benchmark_lookup(spark, sf).select("key", "pos")
-    from textcontrols.functions.text import normalize_text
-    d = load_table(spark, sf, "documents").select("doc_id", normalize_text("text").alias("n"))
-    return d.join(lk, d["n"] == lk["key"], "left").select("doc_id", "pos")
+    hashes = lambda c: [h.alias(f"_k{i}") for i, h in enumerate(text_key(c), 1)]
+    lk = benchmark_lookup(spark, sf).select(*hashes(F.col("key")), "pos")
+    d = load_table(spark, sf, "documents").select("doc_id", *hashes(normalize_text("text")))
+    return d.join(lk, ["_k1", "_k2"], "left").select("doc_id", "pos")
 
 
 @query("match_contains", sql=f"""
@@ -52,12 +51,13 @@ SELECT qid AS doc_id, pos, CASE WHEN pos IS NULL THEN NULL ELSE exact END AS exa
 FROM {_first_match_sql('documents', 'doc_id', 'text')}""")
 def match_contains(spark, sf):
     d = load_table(spark, sf, "documents").select("doc_id", "text")
-    return match_column(d, "text", benchmark_lookup(spark, sf)).select("doc_id", "pos", "exact")
+    return match_column(d, "text", benchmark_lookup(spark, sf), keep=["doc_id"]).select("doc_id", "pos", "exact")
 
 
 def _enriched_doc_pairs(spark, sf):
-    return enrich_pairs(document_pairs(spark, sf), "Text_Base", "Text_Comparison",
-                        benchmark_lookup(spark, sf), N_CONTROLS)
+    """Each document (base) with the next document id (comparison)."""
+    d = load_table(spark, sf, "documents").select("doc_id", "text")
+    return enrich_neighbours(d, "doc_id", "text", benchmark_lookup(spark, sf), N_CONTROLS)
 
 
 _PAIRS_MATCH_SQL = f"""(WITH p AS (SELECT a.doc_id AS pair_id, a.text AS tb, b.text AS tc
@@ -65,7 +65,7 @@ _PAIRS_MATCH_SQL = f"""(WITH p AS (SELECT a.doc_id AS pair_id, a.text AS tb, b.t
   mb AS {_first_match_sql('p', 'pair_id', 'tb')},
   mc AS {_first_match_sql('p', 'pair_id', 'tc')},
   lk AS {LOOKUP_SQL}
-  SELECT p.pair_id, p.tb, p.tc, lb.v1 AS b1, lb.v2 AS b2, lb.v3 AS b3, lc.v1 AS c1, lc.v2 AS c2, lc.v3 AS c3,
+  SELECT p.pair_id, p.tb, p.tc, lb.vec AS bv, lc.vec AS cv,
          mb.pos IS NOT NULL AS base_matched, mc.pos IS NOT NULL AS comp_matched
   FROM p JOIN mb ON mb.qid = p.pair_id JOIN mc ON mc.qid = p.pair_id
   LEFT JOIN lk lb ON lb.pos = mb.pos LEFT JOIN lk lc ON lc.pos = mc.pos)"""
@@ -86,9 +86,7 @@ def match_rates_q(spark, sf):
 
 @query("vector_diff", sql=f"""
 SELECT pair_id,
-       round(CASE WHEN base_matched AND comp_matched THEN c1 - b1 ELSE 0.0 END, 6) AS INTN1,
-       round(CASE WHEN base_matched AND comp_matched THEN c2 - b2 ELSE 0.0 END, 6) AS INTN2,
-       round(CASE WHEN base_matched AND comp_matched THEN c3 - b3 ELSE 0.0 END, 6) AS INTN3,
+       {', '.join(f'round(CASE WHEN base_matched AND comp_matched THEN cv[{i + 1}] - bv[{i + 1}] ELSE 0.0 END, 6) AS INTN{i + 1}' for i in range(N_CONTROLS))},
        base_matched AND comp_matched AS nuisance_matched,
        {wc('tb')} AS wc_base, {wc('tc')} AS wc_comparison, {wc('tc')} - {wc('tb')} AS wc_diff
 FROM {_PAIRS_MATCH_SQL}""")

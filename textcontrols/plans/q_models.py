@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textcontrols.operators import regress as R
 from textcontrols.operators._util import bounded_broadcast, materialize_small
 from textcontrols.plans.q_text import CONV_PAIRS_SQL, paired_word_counts
-from textcontrols.plans.frames import conversation_pairs
+from textcontrols.plans.frames import conversation_word_counts
 from textcontrols.plans.registry import query
 from textcontrols.plans.sql_models import cell_wide_sql, interval_cols, ols3_long_sql, ols_long_sql, ols_wide_sql
 from textcontrols.plans.sqltext import wc
@@ -116,7 +116,7 @@ CONV_FRAME_SQL = f"""(SELECT turn, CAST({wc('Text_Comparison')} AS DOUBLE) AS wc
 @query("ols_one_control", sql=f"""
 SELECT * FROM {ols_long_sql(CONV_FRAME_SQL, ['turn'], 'wc_comparison', ['wc_base'], 'wc')}""")
 def ols_one_control(spark, sf):
-    pairs = paired_word_counts(conversation_pairs(spark, sf))
+    pairs = paired_word_counts(conversation_word_counts(spark, sf))
     return _rounded(R.fit_ols(pairs, ["turn"], "wc_comparison", ["wc_base"], "wc"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textcontrols.functions.text import normalize_text, word_count
-from textcontrols.plans.frames import conversation_pairs
+from textcontrols.plans.frames import conversation_word_counts
 from textcontrols.plans.registry import query
 from textcontrols.plans.sqltext import norm, wc
 from textcontrols.sources.tables import load_table
@@ -35,9 +35,7 @@ def word_count_q(spark, sf):
 
 
 def paired_word_counts(pairs):
-    wb, wcmp = word_count("Text_Base"), word_count("Text_Comparison")
-    return (pairs.withColumn("wc_base", wb).withColumn("wc_comparison", wcmp)
-            .withColumn("wc_diff", F.col("wc_comparison") - F.col("wc_base"))
+    return (pairs.withColumn("wc_diff", F.col("wc_comparison") - F.col("wc_base"))
             .withColumn("wc2_diff", F.col("wc_comparison") * F.col("wc_comparison")
                         - F.col("wc_base") * F.col("wc_base")))
 
@@ -54,5 +52,5 @@ SELECT conv_id, turn, wc_base, wc_comparison, wc_comparison - wc_base AS wc_diff
 FROM (SELECT conv_id, turn, {wc('Text_Base')} AS wc_base, {wc('Text_Comparison')} AS wc_comparison
       FROM {CONV_PAIRS_SQL})""")
 def paired_wc_diff(spark, sf):
-    return paired_word_counts(conversation_pairs(spark, sf)).select(
+    return paired_word_counts(conversation_word_counts(spark, sf)).select(
         "conv_id", "turn", "wc_base", "wc_comparison", "wc_diff", "wc2_diff")
