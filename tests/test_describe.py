@@ -13,15 +13,17 @@ def test_value_counts_crosstab_levels(spark):
     assert vc == {("c", "a"): 2, ("c", "b"): 1, ("c", None): 1, ("d", "x"): 3, ("d", "y"): 1}
     ct = {r.c: (r.n_x, r.n_y) for r in D.crosstab(df, "c", "d", ["x", "y"]).collect()}
     assert ct["b"] == (1, 0) and ct["a"] == (1, 1)  # empty cell is 0, not null
-    lv = {r.attribute: (r.n_levels, r.levels) for r in D.distinct_levels(df, ["c", "d"]).collect()}
-    assert lv == {"c": (2, "a,b"), "d": (2, "x,y")}
+    one = {r.c: (r.n_x, r.n_other) for r in D.crosstab(df, "c", "d", ["x"]).collect()}
+    assert one["a"] == (1, 1) and one["b"] == (1, 0)  # what isn't listed is counted
+    lv = {(r.attribute, r.level, r.n_levels) for r in D.distinct_levels(df, ["c", "d"]).collect()}
+    assert lv == {("c", "a", 2), ("c", "b", 2), ("d", "x", 2), ("d", "y", 2)}
 
 
 def test_condition_counts_roles_and_null(spark):
-    df = spark.createDataFrame([("g", "BaseA"), ("g", "ShortA"), ("g", "ShortA"), ("g", None), ("g", "LongA")],
+    df = spark.createDataFrame([("g", "BaseA"), ("g", "ShortA"), ("g", "ShortA"), ("g", None), ("g", "LongA"), ("g", "MidA")],
                                "g string, c string")
     r = D.condition_counts(df, "g", "c").collect()[0]
-    assert (r.n_base, r.n_short, r.n_long, r.n_total) == (1, 2, 1, 4)
+    assert (r.n_base, r.n_short, r.n_long, r.n_other, r.n_total) == (1, 2, 1, 1, 5)
 
 
 def test_correlations_and_partial(spark):

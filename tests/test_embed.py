@@ -20,7 +20,8 @@ def test_residual_orthogonal_and_gram(spark):
     for lab in pdf["label"].unique():  # every residual dim sums to 0 within each class
         assert np.abs(X[pdf["label"].to_numpy() == lab].sum(axis=0)).max() < 1e-9
     d = X.shape[1]
-    g = E.gram_to_numpy(E.gram_matrix(r.repartition(5), "residual", d), d)
+    g = E.gram_to_numpy(E.gram_rows(r.repartition(5), "residual"))
+    assert g.shape == (d, d)
     assert np.abs(g - X.T @ X).max() < 1e-8
 
 
@@ -66,11 +67,10 @@ def test_residualize_attributes_orthogonal_to_all_dummies(spark):
     assert np.abs(np.vstack(one["residual"]) - np.vstack(ref["residual"])).max() < 1e-9
 
 
-def test_chunked_scoring_equals_literal(spark, monkeypatch):
+def test_blocks_of_classes_equal_one_block(spark):
     e = _emb(spark).select("vec_id", "label", "embedding")
     model = E.centroid_model(E.class_centroids(e, "label"))
     want = sorted((r.vec_id, r.prediction, r.true_rank) for r in E.nearest_centroid(e, model, "label").collect())
-    monkeypatch.setattr(E, "MAX_MODEL_VALUES", 3 * len(model[0][1]))  # 3 classes per chunk
-    got = sorted((r.vec_id, r.prediction, r.true_rank)
-                 for r in E.nearest_centroid(e, model, "label", id_col="vec_id").collect())
+    got = sorted((r.vec_id, r.prediction, r.true_rank) for r in E.nearest_centroid(
+        e, model, "label", id_col="vec_id", block_bytes=3 * 8 * model[1].shape[1]).collect())  # 3 classes per block
     assert got == want

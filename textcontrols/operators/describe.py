@@ -23,22 +23,21 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def crosstab(df: DataFrame, row: str, col: str, levels: Sequence[str], prefix: str = "n_") -> DataFrame:
-    """Counts of ``row`` x ``col`` with the column levels given (no extra distinct pass); 0 for empty cells."""
-    wide = df.groupBy(row).pivot(col, list(levels)).agg(F.count(F.lit(1)))
-    return wide.select(row, *[F.coalesce(F.col(f"`{lv}`"), F.lit(0)).cast("long").alias(f"{prefix}{lv}")
-                              for lv in levels])
+    """Counts of ``row`` x ``col`` for the given column levels, and ``{prefix}other`` for the rest (nulls too); 0 for empty cells."""
+    counts = [F.count_if(F.coalesce(F.col(col) == lv, F.lit(False))).alias(f"{prefix}{lv}") for lv in levels]
+    rest = F.count_if(F.coalesce(~F.col(col).isin(list(levels)), F.lit(True))).alias(f"{prefix}other")
+    return df.groupBy(row).agg(*counts, rest)
 
 
 def distinct_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(attribute, n_levels, levels): sorted distinct non-null levels joined by commas.
+    """(attribute, level, n_levels): one row for each distinct non-null level and the number of them."""
+    vc = value_counts(df, cols).where(F.col("level").isNotNull()).select("attribute", "level")
+    return vc.join(vc.groupBy("attribute").agg(F.count(F.lit(1)).alias("n_levels")), "attribute")
 
-    Distinct first (one aggregate on (attribute, level)), then a small collect_list
-    per attribute over the distinct levels only.
-    """
-    vc = value_counts(df, cols).where(F.col("level").isNotNull())
-    return vc.groupBy("attribute").agg(
-        F.count(F.lit(1)).alias("n_levels"),
-        F.array_join(F.array_sort(F.collect_list("level")), ",").alias("levels"))
+
+def means(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """keys, n and the mean of every one of ``cols`` over its non-null values, one pass."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
 
 
 def column_summary(df: DataFrame, cols: Sequence[str], report: int | None = None) -> DataFrame:
@@ -60,12 +59,11 @@ def column_summary(df: DataFrame, cols: Sequence[str], report: int | None = None
 
 def condition_counts(df: DataFrame, group: str, cond: str, roles: Sequence[str] = ("Base", "Short", "Long")
                      ) -> DataFrame:
-    """Per group: rows per role of the condition (null condition excluded) and the total."""
+    """Per group: rows per role of the condition (null condition excluded), rows of any other condition, and the total."""
     r = df.where(F.col(cond).isNotNull()).select(group, role_of_condition(cond, roles).alias("_role"))
-    wide = r.groupBy(group).pivot("_role", list(roles)).agg(F.count(F.lit(1)))
-    cols = [F.coalesce(F.col(x), F.lit(0)).cast("long").alias(f"n_{x.lower()}") for x in roles]
-    out = wide.select(group, *cols)
-    return out.withColumn("n_total", sum((F.col(f"n_{x.lower()}") for x in roles), F.lit(0)).cast("long"))
+    return r.groupBy(group).agg(
+        *[F.count_if(F.coalesce(F.col("_role") == x, F.lit(False))).alias(f"n_{x.lower()}") for x in roles],
+        F.count_if(F.col("_role").isNull()).alias("n_other"), F.count(F.lit(1)).alias("n_total"))
 
 
 def condition_means(df: DataFrame, keys: Sequence[str], cond: str, value: str) -> DataFrame:

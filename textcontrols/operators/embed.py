@@ -7,10 +7,10 @@ residuals), projected back onto the rows.
 
 Plans: centroids come from one aggregate over ``posexplode`` (partial
 aggregation leaves labels x dims rows per task).  The centroid model (labels x
-dims, a size-checked summary) is collected and enters the plan as one
-literal array, so scoring needs no join and no pairs of rows.  The Gram matrix is summed
-from per-partition NumPy partials (``mapInPandas``), d rows per partition;
-only the d x d result reaches the driver for the eigen-decomposition.
+dims numbers) goes to the workers in blocks of bounded bytes and is scored by
+matrix operations on Arrow batches; no join, no literals.  The Gram matrix is
+summed from one partial per core, row by row; only the d x d result reaches
+the driver for the eigen-decomposition, and scores are matrix products.
 """
 
 from __future__ import annotations
@@ -19,18 +19,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textcontrols.operators._util import materialize_small
 
-# Largest centroid model (labels x dims numbers) carried as one literal in a plan.
-MAX_MODEL_VALUES = 2_000_000
-# Largest labels x dims collected to the driver at all (chunks of MAX_MODEL_VALUES beyond the literal bound).
-MAX_COLLECTED_VALUES = 50_000_000
-# Largest d for which the d x d Gram matrix is collected to the driver.
-MAX_GRAM_DIM = 4096
+# Largest block of a centroid model that one pass sends to the workers, in bytes.
+BLOCK_BYTES = 128 << 20
 
 
 def as_double(emb: str = "embedding", m: int | None = None):
@@ -48,94 +45,92 @@ def class_centroids(df: DataFrame, label: str, emb: str = "embedding") -> DataFr
                                          F.count(F.lit(1)).alias("n"))
 
 
-def centroid_model(centroids: DataFrame) -> list[tuple]:
-    """The centroid model as a driver-side list [(label, [values...]), ...] sorted by label.
-
-    A labels x dims summary (like a p x p moment matrix), collected after a
-    size check; it enters the plan as one literal, so scoring needs no join.
-    """
-    n_values = centroids.count()
-    if n_values > MAX_COLLECTED_VALUES:
-        raise ValueError(f"centroid model has {n_values} values, above the bound")
-    per = centroids.groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "centroid"))), lambda s: s["centroid"]).alias("vec"))
-    return sorted((r["label"], [float(v) for v in r["vec"]]) for r in per.collect())
-
-
-def _sqdist(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z)
-
-
-def _model_literal(model: list[tuple], m: int | None = None):
-    return F.array(*[F.struct(F.lit(lab).alias("label"),
-                              F.array(*[F.lit(v) for v in (vec[:m] if m else vec)]).alias("vec"))
-                     for lab, vec in model])
-
-
-def score_centroids(df: DataFrame, model: list[tuple], emb: str = "embedding", m: int | None = None) -> DataFrame:
-    """Adds ``dists``: array<struct<dist, label>> (sorted: nearest first, ties by label)."""
-    e = as_double(emb, m)
-    dists = F.transform(_model_literal(model, m), lambda c: F.struct(_sqdist(e, c["vec"]).alias("dist"),
-                                                                     c["label"].alias("label")))
-    return df.withColumn("dists", F.array_sort(dists))
-
-
-def _model_values(model: list[tuple], m: int | None) -> int:
-    return sum(len(v[:m] if m else v) for _, v in model)
-
-
-def nearest_centroid(df: DataFrame, model: list[tuple], label: str, emb: str = "embedding",
-                     m: int | None = None, k: int = 5, id_col: str | None = None) -> DataFrame:
-    """Prediction, the rank of the true label, and whether it is in the top ``k``.
-
-    A model up to MAX_MODEL_VALUES numbers is one literal; a larger one is
-    scored in class chunks (``nearest_centroid_chunked``, needs ``id_col``).
-    """
-    if _model_values(model, m) > MAX_MODEL_VALUES:
-        if id_col is None:
-            raise ValueError("a centroid model above the literal bound needs id_col for chunked scoring")
-        return nearest_centroid_chunked(df, model, label, id_col, emb, m, k)
-    s = score_centroids(df, model, emb, m)
-    true_d = F.filter("dists", lambda x: x["label"] == F.col(label))[0]["dist"]
-    rank = F.size(F.filter("dists", lambda x: (x["dist"] < true_d) | ((x["dist"] == true_d) & (x["label"] < F.col(label))))) + 1
-    return s.select("*", F.col("dists")[0]["label"].alias("prediction"), rank.alias("true_rank")) \
-        .withColumn(f"in_top{k}", F.col("true_rank") <= k).drop("dists")
-
-
-def nearest_centroid_chunked(df: DataFrame, model: list[tuple], label: str, id_col: str,
-                             emb: str = "embedding", m: int | None = None, k: int = 5) -> DataFrame:
-    """Exact nearest-centroid scoring for a model above the literal bound.
-
-    The classes are cut into chunks of at most MAX_MODEL_VALUES numbers.  Each
-    row's true-class distance comes from an equi-join with the centroid table
-    on the label; each chunk pass yields per row its best (distance, label) and
-    how many of its classes rank before the true class; one aggregate per row
-    combines the passes.  No pairs of rows, no cross join.
+def centroid_vectors(centroids: DataFrame, label: str = "label") -> DataFrame:
+    """(label, vec): the long centroid table as one vector per class."""
+    return centroids.groupBy(F.col("label").alias(label)).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("dim", "centroid"))), lambda x: x["centroid"]).alias("_cvec"))
+
+
+def centroid_model(centroids: DataFrame) -> tuple[list, np.ndarray]:
+    """The model on the driver: labels in order and their vectors (labels x dims numbers, a summary of the classes)."""
+    table = centroid_vectors(centroids).toArrow()
+    labels = table.column("label").to_pylist()
+    order = sorted(range(len(labels)), key=lambda i: labels[i])
+    vectors = np.array(table.column("_cvec").to_pylist(), np.float64).reshape(len(labels), -1)
+    return [labels[i] for i in order], vectors[order]
+
+
+def _block_scores(labels: list, vectors: np.ndarray, kind: T.DataType, m: int | None):
+    """Arrow function (embedding, label, true distance or null) -> best distance, its label, classes before the true one."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    result = T.StructType([T.StructField("dist", T.DoubleType()), T.StructField("prediction", kind),
+                           T.StructField("closer", T.IntegerType())])
+    label_type = to_arrow_type(kind)
+    c = vectors[:, :m] if m else vectors
+    shared = SparkSession.active().sparkContext.broadcast((labels, c))
+
+    # types of the worker function are pyarrow's, and it is shipped by value: workers need not import this package
+    def score(values, own, true_dist):
+        import numpy as np
+        import pyarrow as pa
+
+        names, block = shared.value
+        lists = values
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)[:, :block.shape[1]]
+        dists = np.empty((len(x), len(block)))
+        for i, center in enumerate(block):
+            dists[:, i] = ((x - center) ** 2).sum(axis=1)
+        best = dists.argmin(axis=1)
+        place = {name: i for i, name in enumerate(names)}
+        at = np.array([place.get(v, -1) for v in own.to_pylist()], np.int64)
+        td = np.where(at >= 0, dists[np.arange(len(x)), np.maximum(at, 0)],
+                      np.array([np.nan if v is None else v for v in true_dist.to_pylist()], np.float64))
+        index = np.arange(len(block))
+        own_names = own.to_pylist()
+        before = np.array([sum(1 for n in names if n < v) if a < 0 and v is not None else a for v, a in zip(own_names, at)], np.int64)
+        closer = (dists < td[:, None]).sum(axis=1) + ((dists == td[:, None]) & (index < before[:, None])).sum(axis=1)
+        return pa.StructArray.from_arrays(
+            [pa.array(dists[np.arange(len(x)), best], pa.float64()), pa.array([names[i] for i in best], label_type),
+             pa.array(closer.astype(np.int32), pa.int32())], names=["dist", "prediction", "closer"])
+
+    score.__annotations__ = {"values": pa.Array, "own": pa.Array, "true_dist": pa.Array, "return": pa.Array}
+    return F.arrow_udf(score, result)
+
+
+def nearest_centroid(df: DataFrame, model: tuple[list, np.ndarray], label: str, emb: str = "embedding",
+                     m: int | None = None, k: int = 5, id_col: str | None = None,
+                     block_bytes: int | None = None) -> DataFrame:
+    """Prediction, the rank of the true label (ties by label), and whether it is in the top ``k``.
+
+    The model is scored in blocks of classes of at most ``block_bytes``.  With
+    one block a row has all it needs; with more, the true class's distance
+    comes from an equi-join on the label and one aggregate per row (``id_col``)
+    combines the blocks.
     """
+    labels, vectors = model
+    dims = min(m or vectors.shape[1], vectors.shape[1])
+    per = max(1, (block_bytes or BLOCK_BYTES) // (8 * max(1, dims)))
+    kind = df.schema[label].dataType
+    if len(labels) <= per:
+        s = df.withColumn("_s", _block_scores(labels, vectors, kind, m)(F.col(emb), F.col(label), F.lit(None).cast("double")))
+        s = s.select(*df.columns, F.col("_s.prediction").alias("prediction"), (F.col("_s.closer") + 1).alias("true_rank"))
+        return s.withColumn(f"in_top{k}", F.col("true_rank") <= k)
+    if id_col is None:
+        raise ValueError("a model of more than one block needs id_col")
     spark = df.sparkSession
-    e = as_double(emb, m)
-    d = len(model[0][1][:m] if m else model[0][1])
-    per = max(1, MAX_MODEL_VALUES // max(d, 1))
-    chunks = [model[i:i + per] for i in range(0, len(model), per)]
-    label_type = df.schema[label].dataType
-    cent = spark.createDataFrame([(lab, [float(x) for x in (v[:m] if m else v)]) for lab, v in model],
-                                 T.StructType([T.StructField(label, label_type),
-                                               T.StructField("_cvec", T.ArrayType(T.DoubleType()))]))
-    rows = df.select(id_col, label, emb).join(cent, label, "left") \
-        .withColumn("_true_d", _sqdist(e, F.col("_cvec"))).drop("_cvec")
-    parts = []
-    for ch in chunks:
-        s = score_centroids(rows, ch, emb, m)
-        td = F.col("_true_d")
-        closer = F.size(F.filter("dists", lambda x: (x["dist"] < td) | ((x["dist"] == td) & (x["label"] < F.col(label)))))
-        parts.append(s.select(id_col, label, F.col("dists")[0].alias("_best"), closer.alias("_closer")))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    g = allp.groupBy(id_col, label).agg(F.min("_best").alias("_best"), F.sum("_closer").alias("_closer"))
-    out = df.join(g.select(id_col, F.col("_best")["label"].alias("prediction"),
-                           (F.col("_closer") + 1).cast("int").alias("true_rank")), id_col, "inner")
-    return out.withColumn(f"in_top{k}", F.col("true_rank") <= k)
+    schema = T.StructType([T.StructField(label, kind), T.StructField("_cvec", T.ArrayType(T.DoubleType()))])
+    cent = spark.createDataFrame([(lab, v[:dims].tolist()) for lab, v in zip(labels, vectors)], schema)
+    sq = F.aggregate(F.zip_with(as_double(emb, m), "_cvec", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z)
+    rows = df.select(id_col, label, emb).join(cent, label, "left").withColumn("_true", sq).drop("_cvec")
+    parts = None
+    for at in range(0, len(labels), per):
+        call = _block_scores(labels[at:at + per], vectors[at:at + per], kind, m)
+        part = rows.select(id_col, label, call(F.col(emb), F.col(label), F.col("_true")).alias("_s")).select(id_col, label, "_s.*")
+        parts = part if parts is None else parts.unionByName(part)
+    g = parts.groupBy(id_col, label).agg(F.min(F.struct("dist", "prediction"))["prediction"].alias("prediction"),
+                                         (F.sum("closer") + 1).cast("int").alias("true_rank"))
+    return df.join(g.drop(label), id_col, "inner").withColumn(f"in_top{k}", F.col("true_rank") <= k)
 
 
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -188,61 +183,74 @@ def residualize(df: DataFrame, centroids: DataFrame, label: str, emb: str = "emb
     For one attribute this is the least-squares residual on the class dummies,
     so every residual dimension is orthogonal to every dummy.
     """
-    cvec = centroids.groupBy(F.col("label").alias(label)).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "centroid"))), lambda s: s["centroid"]).alias("_cvec"))
-    j = df.join(cvec, label, "inner")
+    j = df.join(centroid_vectors(centroids, label), label, "inner")
     return j.withColumn("residual", F.zip_with(as_double(emb), F.col("_cvec"), lambda a, b: a - b)).drop("_cvec")
 
 
-def residualize_attributes(df: DataFrame, attrs: Sequence[str], emb: str = "embedding",
-                           max_cells: int = 100_000) -> DataFrame:
+def residualize_attributes(df: DataFrame, attrs: Sequence[str], emb: str = "embedding") -> DataFrame:
     """Adds ``residual``: embedding minus its least-squares fit on the dummies of all ``attrs``.
 
     Full dummy regression with an intercept and one dropped (first) level per
     attribute, solved with the pseudo-inverse (empty cells allowed).  The
     fitted value depends on the row's cell only, so the data enter through one
-    aggregate per cell (count and per-dim sums); the cells x d table is the only
-    thing collected (bounded by ``max_cells``), and the fitted cell means come
-    back as a broadcast table.  With one attribute this is the class mean.
+    aggregate per cell.  The driver solves a system of the levels (never of the
+    cells: normal equations and per-level sums are aggregates of the cells
+    table), and each cell's fit is the sum of its levels' coefficients, joined
+    back on the attributes.  With one attribute this is the class mean.
     """
     spark = df.sparkSession
-    x = df.select(*attrs, F.posexplode(emb).alias("dim", "v"))
-    cell_sums = x.groupBy(*attrs, "dim").agg(F.sum(F.col("v").cast("double")).alias("_sum"))
-    counts = df.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_n"))
-    n_cells = counts.count()
-    if n_cells > max_cells:
-        raise ValueError(f"{n_cells} attribute cells, above the bound {max_cells}")
-    cnt = counts.collect()
-    d = embedding_dim(df, emb)
-    if n_cells * d > MAX_MODEL_VALUES:
-        raise ValueError("cells x dims above the bound")
-    sums = cell_sums.collect()
-    levels = {a: sorted({r[a] for r in cnt}) for a in attrs}
-    cols = [None] + [(a, lv) for a in attrs for lv in levels[a][1:]]  # intercept + dummies
-
-    def dummy(cell):
-        return np.array([1.0] + [1.0 if cell[attrs.index(a)] == lv else 0.0 for a, lv in cols[1:]])
-
-    cells = [tuple(r[a] for a in attrs) for r in cnt]
-    idx = {c: i for i, c in enumerate(cells)}
-    D = np.vstack([dummy(c) for c in cells])
-    nvec = np.array([float(r["_n"]) for r in cnt])
-    S = np.zeros((len(cells), d))
-    for r in sums:
-        S[idx[tuple(r[a] for a in attrs)], r["dim"]] = r["_sum"]
-    DtD = D.T @ (D * nvec[:, None])
-    DtX = D.T @ S
-    B = np.linalg.pinv(DtD) @ DtX
-    fitted = D @ B
-    rows = [(*c, [float(v) for v in fitted[i]]) for i, c in enumerate(cells)]
-    schema = T.StructType([*[df.schema[a] for a in attrs], T.StructField("_fit", T.ArrayType(T.DoubleType()))])
-    fit_df = F.broadcast(spark.createDataFrame(rows, schema))  # cells x d, bounded above
-    j = df.join(fit_df, list(attrs), "inner")
-    return j.withColumn("residual", F.zip_with(as_double(emb), F.col("_fit"), lambda a, b: a - b)).drop("_fit")
-
-
-def gram_partials(df: DataFrame, vec: str) -> DataFrame:
-    """(i, row) partial Gram rows: each task emits X_p' X_p for its rows, d rows of d values."""
+    names = list(attrs)
+    x = df.select(*names, F.posexplode(emb).alias("_dim", "_v"))
+    cells = materialize_small(x.groupBy(*names, "_dim").agg(F.sum(F.col("_v").cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n")))
+    one_dim = cells.where("_dim = 0")
+    levels = [sorted(r[0] for r in one_dim.select(a).distinct().collect()) for a in names]
+    place = {(a, lv): i + 1 for i, (a, lv) in enumerate((a, lv) for a, lvs in zip(names, levels) for lv in lvs[1:])}
+    p = len(place) + 1
+    # normal equations from counts of single levels and of pairs of levels
+    dtd = np.zeros((p, p))
+    dtd[0, 0] = one_dim.agg(F.sum("_n")).first()[0] or 0
+    for i, a in enumerate(names):
+        for r in one_dim.groupBy(a).agg(F.sum("_n").alias("_n")).collect():
+            if (j := place.get((a, r[0]))):
+                dtd[0, j] = dtd[j, 0] = dtd[j, j] = r["_n"]
+        for b in names[i + 1:]:
+            for r in one_dim.groupBy(a, b).agg(F.sum("_n").alias("_n")).collect():
+                j, k = place.get((a, r[0])), place.get((b, r[1]))
+                if j and k:
+                    dtd[j, k] = dtd[k, j] = r["_n"]
+    sums = [cells.groupBy("_dim").agg(F.sum("_s").alias("_s")).select(F.lit(0).alias("_at"), "_dim", "_s")]
+    for a in names:
+        index = F.create_map(*[y for lv in levels[names.index(a)][1:] for y in (F.lit(lv), F.lit(place[a, lv]))]) \
+            if len(levels[names.index(a)]) > 1 else None
+        if index is not None:
+            by = cells.groupBy(a, "_dim").agg(F.sum("_s").alias("_s"))
+            sums.append(by.select(F.try_element_at(index, F.col(a)).alias("_at"), "_dim", "_s").where("_at is not null"))
+    long = sums[0]
+    for part in sums[1:]:
+        long = long.unionByName(part)
+    table = long.toArrow().to_pydict()
+    d = max(table["_dim"], default=-1) + 1
+    dtx = np.zeros((p, d))
+    dtx[table["_at"], table["_dim"]] = table["_s"]
+    coef = np.linalg.pinv(dtd) @ dtx
+    out, fit = df, None
+    for i, a in enumerate(names):
+        rows = [(lv, (coef[place[a, lv]] if (a, lv) in place else np.zeros(d)) + (coef[0] if i == 0 else 0.0)) for lv in levels[i]]
+        schema = T.StructType([T.StructField(a, df.schema[a].dataType), T.StructField(f"_f{i}", T.ArrayType(T.DoubleType()))])
+        out = out.join(spark.createDataFrame([(lv, v.tolist()) for lv, v in rows], schema), a, "inner")
+        own = F.col(f"_f{i}")
+        fit = own if fit is None else F.zip_with(fit, own, lambda u, w: u + w)
+    residual = F.zip_with(as_double(emb), fit, lambda u, w: u - w)
+    return out.select(*df.columns, residual.alias("residual"))
+
+
+def gram_rows(df: DataFrame, vec: str) -> DataFrame:
+    """(i, row): the rows of the Gram matrix sum_r vec_r vec_r'.
+
+    One partial per core, not per input split, so the shuffle is cores x d x d
+    whatever the number of splits; each row of the matrix is summed where it
+    meets, one array at a time.
+    """
 
     def part(it):
         acc = None
@@ -255,29 +263,31 @@ def gram_partials(df: DataFrame, vec: str) -> DataFrame:
         if acc is not None:
             yield pd.DataFrame({"i": np.arange(acc.shape[0], dtype=np.int64), "row": list(acc)})
 
-    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
-    return df.select(vec).mapInPandas(part, schema)
-
+    def total(it):
+        acc = {}
+        for pdf in it:
+            for i, row in zip(pdf["i"], pdf["row"]):
+                acc[i] = np.array(row) if i not in acc else acc[i] + row
+        if acc:
+            yield pd.DataFrame({"i": list(acc), "row": list(acc.values())})
 
-def gram_matrix(df: DataFrame, vec: str, d: int) -> DataFrame:
-    """(i, j, g) long Gram matrix sum_r vec_r[i] * vec_r[j], summed over the partials."""
-    parts = gram_partials(df, vec)
-    wide = parts.groupBy("i").agg(*[F.sum(F.col("row")[j]).alias(f"g{j}") for j in range(d)])
-    return wide.select("i", F.posexplode(F.array(*[F.col(f"g{j}") for j in range(d)])).alias("j", "g")) \
-        .select("i", F.col("j").cast("long").alias("j"), "g")
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.select(vec).coalesce(cores).mapInPandas(part, schema).repartition("i").mapInPandas(total, schema)
 
 
-def embedding_dim(df: DataFrame, emb: str = "embedding") -> int:
-    return int(df.select(F.max(F.size(emb))).first()[0])
+def gram_matrix(df: DataFrame, vec: str) -> DataFrame:
+    """(i, j, g) long Gram matrix."""
+    return gram_rows(df, vec).select("i", F.posexplode("row").alias("j", "g")).select("i", F.col("j").cast("long").alias("j"), "g")
 
 
-def gram_to_numpy(gram: DataFrame, d: int) -> np.ndarray:
-    """Collect the d x d Gram (a d x d summary, bounded by MAX_GRAM_DIM)."""
-    if d > MAX_GRAM_DIM:
-        raise ValueError("Gram dimension above the driver bound")
+def gram_to_numpy(rows: DataFrame) -> np.ndarray:
+    """The d x d matrix on the driver (a summary: d is the length of an embedding)."""
+    table = rows.toArrow().to_pydict()
+    d = len(table["i"])
     g = np.zeros((d, d))
-    for r in gram.collect():
-        g[r["i"], r["j"]] = r["g"]
+    for i, row in zip(table["i"], table["row"]):
+        g[i] = row
     return g
 
 
@@ -313,14 +323,22 @@ def elbow_index(sigma: Sequence[float]) -> int:
 
 def project(df: DataFrame, vec: str, vectors: np.ndarray, prefix: str = "INTN", scale=None) -> DataFrame:
     """Adds prefix1..k = vec . v_j (scores); ``scale`` divides component j (e.g. sigma_j for unit scores)."""
-    out = df
-    for j in range(vectors.shape[1]):
-        coeffs = F.array(*[F.lit(float(c)) for c in vectors[:, j]])
-        dot = F.aggregate(F.zip_with(F.col(vec), coeffs, lambda a, b: a * b), F.lit(0.0), lambda acc, z: acc + z)
-        if scale is not None and scale[j] > 0:
-            dot = dot / float(scale[j])
-        out = out.withColumn(f"{prefix}{j + 1}", dot)
-    return out
+    k = vectors.shape[1]
+    weights = vectors if scale is None else vectors / np.array([s if s > 0 else 1.0 for s in scale])
+    shared = df.sparkSession.sparkContext.broadcast(weights)  # d x k numbers
+
+    def scores(values):
+        import numpy as np
+        import pyarrow as pa
+
+        w = shared.value
+        x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+        return pa.array(list(x @ w), pa.list_(pa.float64()))
+
+    scores.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    call = F.arrow_udf(scores, T.ArrayType(T.DoubleType()))
+    out = df.withColumn("_scores", call(F.col(vec)))
+    return out.select(*df.columns, *[F.col("_scores")[j].alias(f"{prefix}{j + 1}") for j in range(k)])
 
 
 def nuisance_controls(spark: SparkSession, df: DataFrame, label: str, emb: str = "embedding",
@@ -329,11 +347,9 @@ def nuisance_controls(spark: SparkSession, df: DataFrame, label: str, emb: str =
 
     Returns (rows with INTN1..k, singular values, k).
     """
-    cents = class_centroids(df, label, emb)
+    cents = materialize_small(class_centroids(df, label, emb))  # the Gram pass and the projection read it
     res = residualize(df, cents, label, emb)
-    d = embedding_dim(df, emb)
-    g = gram_to_numpy(gram_matrix(res, "residual", d), d)
-    sigma, v = svd_from_gram(g)
+    sigma, v = svd_from_gram(gram_to_numpy(gram_rows(res, "residual")))
     k = k or elbow_index(sigma)
     out = project(res, "residual", v[:, :k], scale=sigma[:k] if scale == "unit" else None)
     return out.drop("residual"), sigma, k

@@ -25,17 +25,19 @@ def value_counts(spark, sf):
 
 
 @query("crosstab", sql="""
-SELECT l_returnflag, CAST(count_if(l_linestatus = 'F') AS BIGINT) AS n_F, CAST(count_if(l_linestatus = 'O') AS BIGINT) AS n_O
-FROM lineitem GROUP BY l_returnflag""")
+SELECT returnflag, CAST(count_if(l_linestatus = 'F') AS BIGINT) AS n_F,
+       CAST(count_if(l_linestatus IS DISTINCT FROM 'F') AS BIGINT) AS n_other
+FROM (SELECT l_returnflag AS returnflag, l_linestatus FROM lineitem) GROUP BY returnflag""")
 def crosstab(spark, sf):
-    return D.crosstab(load_table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"])
+    """One listed level; what isn't listed is counted as other."""
+    li = load_table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("returnflag"), "l_linestatus")
+    return D.crosstab(li, "returnflag", "l_linestatus", ["F"])
 
 
 @query("distinct_levels", sql="""
-SELECT attribute, CAST(count(*) AS BIGINT) AS n_levels, string_agg(level, ',' ORDER BY level) AS levels FROM (
+SELECT attribute, level, CAST(count(*) OVER (PARTITION BY attribute) AS BIGINT) AS n_levels FROM (
   SELECT DISTINCT 'lang' AS attribute, lang AS level FROM documents WHERE lang IS NOT NULL
-  UNION SELECT DISTINCT 'source', source FROM documents WHERE source IS NOT NULL)
-GROUP BY attribute""")
+  UNION SELECT DISTINCT 'source', source FROM documents WHERE source IS NOT NULL)""")
 def distinct_levels(spark, sf):
     return D.distinct_levels(load_table(spark, sf, "documents"), ["lang", "source"])
 
@@ -52,21 +54,30 @@ def control_summary(spark, sf):
     return out.select("column", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n_not_reported")
 
 
+_ROLE_SQL = "regexp_extract(ComparisonCondition, '^(Base|Short|Long)', 1)"
+
+
 @query("condition_counts", sql=f"""
-SELECT BaseOnLeft AS base_on_left_text,
-  CAST(count_if(regexp_extract(condition, '^(Base|Short|Long)', 1) = 'Base') AS BIGINT) AS n_base,
-  CAST(count_if(regexp_extract(condition, '^(Base|Short|Long)', 1) = 'Short') AS BIGINT) AS n_short,
-  CAST(count_if(regexp_extract(condition, '^(Base|Short|Long)', 1) = 'Long') AS BIGINT) AS n_long,
-  CAST(count(*) AS BIGINT) AS n_total
-FROM (SELECT a.*, s.BaseOnLeft FROM {ANALYSIS_SQL} a JOIN (SELECT event_id, BaseOnLeft FROM
-      (SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN '1' WHEN event_type IN ('view', 'signup') THEN '0'
-       ELSE 'NA' END AS BaseOnLeft FROM events)) s ON s.event_id = a.event_id)
-WHERE condition IS NOT NULL GROUP BY BaseOnLeft""")
+SELECT BaseOnLeft AS base_on_left_text, CAST(count_if({_ROLE_SQL} = 'Base') AS BIGINT) AS n_base,
+  CAST(count_if({_ROLE_SQL} = 'Short') AS BIGINT) AS n_short, CAST(count_if({_ROLE_SQL} = 'Long') AS BIGINT) AS n_long,
+  CAST(count_if({_ROLE_SQL} = '') AS BIGINT) AS n_other, CAST(count(*) AS BIGINT) AS n_total
+FROM {ANALYSIS_SQL} WHERE ComparisonCondition <> '' GROUP BY BaseOnLeft""")
 def condition_counts(spark, sf):
-    from textcontrols.plans.frames import survey_rows
-    a = analysis_rows(spark, sf).join(survey_rows(spark, sf).select("event_id", "BaseOnLeft"), "event_id")
-    out = D.condition_counts(a, "BaseOnLeft", "condition")
-    return out.withColumnRenamed("BaseOnLeft", "base_on_left_text")
+    rows = analysis_rows(spark, sf).where(F.col("ComparisonCondition") != "")
+    return D.condition_counts(rows, "BaseOnLeft", "ComparisonCondition").withColumnRenamed("BaseOnLeft", "base_on_left_text")
+
+
+MEAN_COLS = ["wc_diff", "wc2_diff", "INTN1", "INTN2"]
+
+
+@query("control_means", sql="SELECT experiment, CAST(count(*) AS BIGINT) AS n, " + ", ".join(
+    f"round(avg({c}), 6) AS {c}" for c in MEAN_COLS) + f"""
+FROM (SELECT *, wc_diff * wc_diff AS wc2_diff FROM {FRAME_SQL}) GROUP BY experiment""")
+def control_means(spark, sf):
+    """Means of every control and of the word-count differences per experiment."""
+    f = model_frame(spark, sf).withColumn("wc2_diff", F.col("wc_diff") * F.col("wc_diff"))
+    out = D.means(f, ["experiment"], MEAN_COLS)
+    return out.select("experiment", "n", *[F.round(c, 6).alias(c) for c in MEAN_COLS])
 
 
 @query("condition_means", sql=f"""

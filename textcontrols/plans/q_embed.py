@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -85,9 +86,10 @@ SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_
        (SELECT CAST(count(DISTINCT label) AS BIGINT) FROM embeddings) AS num_classes
 FROM g""")
 def classification_metrics(spark, sf):
-    pred = _classified(spark, sf)
-    model = E.centroid_model(E.class_centroids(_emb(spark, sf), "label"))
-    out = E.classification_metrics(pred, "label", "prediction", len(model), f"in_top{TOPK}")
+    e = _emb(spark, sf)
+    model = E.centroid_model(E.class_centroids(e, "label"))
+    pred = E.nearest_centroid(e.select("vec_id", "label", "embedding"), model, "label", k=TOPK, id_col="vec_id")
+    out = E.classification_metrics(pred, "label", "prediction", len(model[0]), f"in_top{TOPK}")
     return out.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "top_5_accuracy")],
                       F.col("num_classes_in_data").cast("long").alias("num_classes_in_data"),
                       F.col("num_samples").cast("long").alias("num_samples"), "num_classes")
@@ -110,25 +112,13 @@ SELECT m, accuracy, CAST(rank() OVER (ORDER BY accuracy DESC, m) AS INTEGER) AS
     f"SELECT {m} AS m, round(avg(CASE WHEN true_rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {_ranked_sql(m)}"
     for m in SWEEP) + ")")
 def truncation_sweep(spark, sf):
-    e = _emb(spark, sf)
+    e = _emb(spark, sf).select("vec_id", "label", "embedding")
     model = E.centroid_model(E.class_centroids(e, "label"))  # full centroids; truncation = first m dims
-    if E._model_values(model, None) > E.MAX_MODEL_VALUES:  # chunked scoring, one pass per size
-        per = None
-        for m in SWEEP:
-            p = E.nearest_centroid(e.select("vec_id", "label", "embedding"), model, "label", m=m, k=TOPK,
-                                   id_col="vec_id").select(F.lit(m).alias("m"),
-                                                           (F.col("true_rank") == 1).cast("double").alias("ok"))
-            per = p if per is None else per.unionByName(p)
-        acc = per.groupBy("m").agg(F.round(F.avg("ok"), 6).alias("accuracy"))
-        return acc.select("m", "accuracy", F.rank().over(Window.orderBy(F.desc("accuracy"), "m")).alias("rank"))
-    rows = e.select("label", "embedding")
-    hits = []
-    for m in SWEEP:  # every truncation scored on the same row, one pass
-        s = E.score_centroids(rows, model, "embedding", m)
-        hits.append(F.struct(F.lit(m).alias("m"), (F.col("dists")[0]["label"] == F.col("label")).cast("double")
-                             .alias("ok")))
-        rows = s.withColumn(f"_hit{m}", hits[-1]).drop("dists")
-    per = rows.select(F.explode(F.array(*[F.col(f"_hit{m}") for m in SWEEP])).alias("_h")).select("_h.*")
+    per = None
+    for m in SWEEP:
+        p = E.nearest_centroid(e, model, "label", m=m, k=TOPK, id_col="vec_id").select(
+            F.lit(m).alias("m"), (F.col("true_rank") == 1).cast("double").alias("ok"))
+        per = p if per is None else per.unionByName(p)
     acc = per.groupBy("m").agg(F.round(F.avg("ok"), 6).alias("accuracy"))
     # a window over one row per m (3 rows), not over data rows
     return acc.select("m", "accuracy", F.rank().over(Window.orderBy(F.desc("accuracy"), "m")).alias("rank"))
@@ -161,8 +151,7 @@ FROM {RESID_SQL} a JOIN {RESID_SQL} b ON a.vec_id = b.vec_id GROUP BY a.dim, b.d
 def residual_gram(spark, sf):
     e = _emb(spark, sf)
     r = E.residualize(e.select("vec_id", "label", "embedding"), E.class_centroids(e, "label"), "label")
-    d = E.embedding_dim(e)
-    return E.gram_matrix(r, "residual", d).withColumn("g", F.round("g", 6))
+    return E.gram_matrix(r, "residual").withColumn("g", F.round("g", 6))
 
 
 @query("nuisance_svd")
@@ -176,14 +165,30 @@ def nuisance_svd(spark, sf):
 def svd_elbow(spark, sf):
     e = _emb(spark, sf).select("vec_id", "label", "embedding")
     r = E.residualize(e, E.class_centroids(e, "label"), "label")
-    d = E.embedding_dim(e)
-    sigma, _ = E.svd_from_gram(E.gram_to_numpy(E.gram_matrix(r, "residual", d), d))
+    sigma, _ = E.svd_from_gram(E.gram_to_numpy(E.gram_rows(r, "residual")))
     k = E.elbow_index(sigma)
     total = float((sigma ** 2).sum()) or 1.0
     rows = [(i + 1, float(s), float(s * s / total), i + 1 <= k) for i, s in enumerate(sigma)]
     return spark.createDataFrame(rows, "component int, sigma double, explained double, selected boolean")
 
 
+@query("svd_norms", sql=f"""
+WITH g AS (SELECT a.dim AS i, b.dim AS j, sum(a.r * b.r) AS g FROM {RESID_SQL} a JOIN {RESID_SQL} b ON a.vec_id = b.vec_id
+           GROUP BY a.dim, b.dim)
+SELECT round(sum(CASE WHEN i = j THEN g ELSE 0 END), 4) AS sum_sigma2, round(sqrt(sum(g * g)), 4) AS norm_sigma2,
+       round((SELECT sum(r * r) FROM {RESID_SQL}), 4) AS sum_scores2 FROM g""")
+def svd_norms(spark, sf):
+    """What SQL can say of the decomposition: the sum and the norm of the squared singular values, and that all
+    scores together keep the squared length of the residuals."""
+    e = _emb(spark, sf).select("vec_id", "label", "embedding")
+    d = e.select(F.size("embedding")).first()[0]
+    out, sigma, k = E.nuisance_controls(spark, e, "label", k=d)
+    square = sum((F.col(f"INTN{j + 1}") * F.col(f"INTN{j + 1}") for j in range(k)), F.lit(0.0))
+    return out.agg(F.round(F.lit(float((sigma ** 2).sum())), 4).alias("sum_sigma2"),
+                   F.round(F.lit(float(np.sqrt((sigma ** 4).sum()))), 4).alias("norm_sigma2"),
+                   F.round(F.sum(square), 4).alias("sum_scores2"))
+
+
 @query("residual_multi")
 def residual_multi(spark, sf):
     """Residuals on two attributes jointly: label and the sign of the first dimension."""

@@ -183,7 +183,7 @@ FROM {_estimators_sql(3)} GROUP BY estimator""")
 def summary_table(spark, sf):
     from textcontrols.operators.report import summary_table as st
     est = _rounded(_estimators(Suite(spark, sf)), 3)
-    return st(est, "estimator", "experiment", ["F", "O"], prefix="exp_")
+    return st(est, "estimator", "experiment", prefix="exp_")
 
 
 @query("predict_at_means", sql=f"""

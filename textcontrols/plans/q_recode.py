@@ -41,14 +41,14 @@ def analysis_rows(spark, sf):
 def analysis_columns(s):
     """Typed analysis columns from raw survey columns (row-wise: batch or stream)."""
     rating, flag = lenient_double("DVPref_Rating_1"), lenient_double("BaseOnLeft")
-    return s.select("event_id", "user_id", "value", "Q_TerminateFlag", "ComparisonCondition",
+    return s.select("event_id", "user_id", "value", "Q_TerminateFlag", "ComparisonCondition", "BaseOnLeft",
                     rating.alias("rating"), flag.alias("base_on_left"),
                     reverse_score(flag, rating).alias("Pref"),
                     factor_level("ComparisonCondition", CONDITION_LEVELS).alias("condition"),
                     lenient_bool("nuisance_matched").alias("matched"))
 
 
-ANALYSIS_SQL = f"""(SELECT event_id, user_id, value, Q_TerminateFlag, ComparisonCondition, rating, base_on_left,
+ANALYSIS_SQL = f"""(SELECT event_id, user_id, value, Q_TerminateFlag, ComparisonCondition, BaseOnLeft, rating, base_on_left,
   {_pref_sql('base_on_left', 'rating')} AS Pref,
   CASE WHEN ComparisonCondition IN {CONDITION_LEVELS!r} THEN ComparisonCondition END AS condition, matched
 FROM (SELECT *, {_lenient_sql('DVPref_Rating_1')} AS rating, {_lenient_sql('BaseOnLeft')} AS base_on_left,
