@@ -18,9 +18,9 @@ LOOKUP_SQL = f"""(SELECT key, min(pos) AS pos, max_by(vec, pos) AS vec
   GROUP BY key)"""
 
 
-def _first_match_sql(src: str, id_col: str, text_col: str) -> str:
+def _first_match_sql(src: str, id_col: str, text_col: str, lookup: str = LOOKUP_SQL) -> str:
     return f"""(WITH q AS (SELECT {id_col} AS qid, {norm(text_col)} AS n FROM {src}),
-  lk AS {LOOKUP_SQL},
+  lk AS {lookup},
   ex AS (SELECT q.qid, lk.pos FROM q JOIN lk ON q.n = lk.key),
   ct AS (SELECT q.qid, min(lk.pos) AS pos FROM q JOIN lk ON contains(q.n, lk.key) OR contains(lk.key, q.n)
          GROUP BY q.qid)
@@ -60,17 +60,21 @@ def _enriched_doc_pairs(spark, sf):
     return enrich_neighbours(d, "doc_id", "text", benchmark_lookup(spark, sf), N_CONTROLS)
 
 
-_PAIRS_MATCH_SQL = f"""(WITH p AS (SELECT a.doc_id AS pair_id, a.text AS tb, b.text AS tc
+def pairs_match_sql(lookup: str = LOOKUP_SQL) -> str:
+    return f"""(WITH p AS (SELECT a.doc_id AS pair_id, a.text AS tb, b.text AS tc
                 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
-  mb AS {_first_match_sql('p', 'pair_id', 'tb')},
-  mc AS {_first_match_sql('p', 'pair_id', 'tc')},
-  lk AS {LOOKUP_SQL}
+  mb AS {_first_match_sql('p', 'pair_id', 'tb', lookup)},
+  mc AS {_first_match_sql('p', 'pair_id', 'tc', lookup)},
+  lk AS {lookup}
   SELECT p.pair_id, p.tb, p.tc, lb.vec AS bv, lc.vec AS cv,
          mb.pos IS NOT NULL AS base_matched, mc.pos IS NOT NULL AS comp_matched
   FROM p JOIN mb ON mb.qid = p.pair_id JOIN mc ON mc.qid = p.pair_id
   LEFT JOIN lk lb ON lb.pos = mb.pos LEFT JOIN lk lc ON lc.pos = mc.pos)"""
 
 
+_PAIRS_MATCH_SQL = pairs_match_sql()
+
+
 @query("match_rates", sql=f"""
 SELECT CAST(count(*) AS BIGINT) AS n,
        CAST(count_if(base_matched) AS BIGINT) AS matched_base,

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from textcontrols.operators import validate as V
 from textcontrols.operators.draws import batch_means_ess, split_rhat
-from textcontrols.plans.q_models import FRAME_SQL, MODELS, Suite, model_frame
+from textcontrols.operators._util import materialize_small
+from textcontrols.plans.q_models import FRAME_SQL, MODELS, Suite, _loo_sql, _looic, model_frame
 from textcontrols.plans.q_recode import ANALYSIS_SQL, analysis_rows
 from textcontrols.plans.registry import query
 from textcontrols.sources.tables import load_table
@@ -31,31 +32,61 @@ def null_guard(spark, sf):
     return V.null_counts(analysis_rows(spark, sf), _NG_COLS)
 
 
+_GOLDEN_FITS = (("wc", "wc_diff"), ("controls_1", "INTN1"))
+
+
 def _golden(spark, sf):
-    """Golden values from independent aggregates: plain cell means and Spark's regr_* functions."""
+    """Golden estimates and errors from independent aggregates: plain cell means and Spark's regr_* functions.
+
+    Two rows are wrong on purpose: a model the suite does not fit (MISSING) and
+    an error that is off by 1 (MISMATCH).
+    """
     f = model_frame(spark, sf)
-    cells = (f.where(F.col("condition").isNotNull()).groupBy("experiment", "condition")
-             .agg(F.round(F.avg("y"), 3).alias("gt_est"))
-             .select("experiment", F.lit("oracle").alias("model"), F.col("condition").alias("parameter"), "gt_est"))
-    reg = f.groupBy("experiment").agg(F.round(F.regr_intercept("y", "wc_diff"), 3).alias("i"),
-                                      F.round(F.regr_slope("y", "wc_diff"), 3).alias("s"),
-                                      F.round(F.regr_intercept("y", "INTN1"), 3).alias("i1"))
-    wc = reg.select("experiment", F.explode(F.array(
-        F.struct(F.lit("wc").alias("model"), F.lit("Intercept").alias("parameter"), F.col("i").alias("gt_est")),
-        F.struct(F.lit("wc").alias("model"), F.lit("wc_diff").alias("parameter"), F.col("s").alias("gt_est")),
-        F.struct(F.lit("controls_1").alias("model"), F.lit("Intercept").alias("parameter"), F.col("i1").alias("gt_est")),
-        # a golden row for a model the suite does not fit: must come out MISSING (and fail the summary)
-        F.struct(F.lit("controls_3").alias("model"), F.lit("Intercept").alias("parameter"), F.col("i1").alias("gt_est")),
-    )).alias("_g")).select("experiment", "_g.*")
-    return cells.unionByName(wc).withColumn("gt_se", F.lit(None).cast("double"))
-
-
-_GOLDEN_SQL = f"""(SELECT experiment, 'oracle' AS model, condition AS parameter, round(avg(y), 3) AS gt_est
-  FROM {FRAME_SQL} WHERE condition IS NOT NULL GROUP BY experiment, condition
-  UNION ALL SELECT experiment, 'wc', 'Intercept', round(regr_intercept(y, wc_diff), 3) FROM {FRAME_SQL} GROUP BY experiment
-  UNION ALL SELECT experiment, 'wc', 'wc_diff', round(regr_slope(y, wc_diff), 3) FROM {FRAME_SQL} GROUP BY experiment
-  UNION ALL SELECT experiment, 'controls_1', 'Intercept', round(regr_intercept(y, INTN1), 3) FROM {FRAME_SQL} GROUP BY experiment
-  UNION ALL SELECT experiment, 'controls_3', 'Intercept', round(regr_intercept(y, INTN1), 3) FROM {FRAME_SQL} GROUP BY experiment)"""
+    err = lambda var, nu: F.round(F.sqrt(var * nu / (nu - 2)), 3)
+    per = (f.where(F.col("condition").isNotNull()).groupBy("experiment", "condition")
+           .agg(F.avg("y").alias("m"), F.count("y").alias("n"), (F.var_samp("y") * (F.count("y") - 1)).alias("ss")))
+    pool = per.groupBy("experiment").agg((F.sum("n") - F.count("n")).alias("nu"), F.sum("ss").alias("ss"))
+    cells = per.drop("ss").join(pool, "experiment").select(
+        "experiment", F.lit("oracle").alias("model"), F.col("condition").alias("parameter"), F.round("m", 3).alias("gt_est"),
+        err(F.col("ss") / F.col("nu") / F.col("n"), F.col("nu")).alias("gt_se"))
+    aggs = [(F.count(F.lit(1)) - 2).alias("nu"), F.count(F.lit(1)).alias("n")]
+    for m, x in _GOLDEN_FITS:
+        aggs += [F.regr_slope("y", x).alias(f"b_{m}"), F.regr_intercept("y", x).alias(f"a_{m}"), F.regr_sxx("y", x).alias(f"sxx_{m}"),
+                 F.regr_avgx("y", x).alias(f"mx_{m}"), (F.regr_syy("y", x) - F.regr_slope("y", x) * F.regr_sxy("y", x)).alias(f"rss_{m}")]
+    reg = f.groupBy("experiment").agg(*aggs)
+    rows = []
+    for m, x in _GOLDEN_FITS:
+        s2 = F.col(f"rss_{m}") / F.col("nu")
+        at_zero = s2 * (1.0 / F.col("n") + F.col(f"mx_{m}") * F.col(f"mx_{m}") / F.col(f"sxx_{m}"))
+        rows.append(F.struct(F.lit(m).alias("model"), F.lit("Intercept").alias("parameter"), F.round(f"a_{m}", 3).alias("gt_est"),
+                             err(at_zero, F.col("nu")).alias("gt_se")))
+        rows.append(F.struct(F.lit(m).alias("model"), F.lit(x).alias("parameter"), F.round(f"b_{m}", 3).alias("gt_est"),
+                             (err(s2 / F.col(f"sxx_{m}"), F.col("nu")) + (1.0 if m == "controls_1" else 0.0)).alias("gt_se")))
+    rows.append(F.struct(F.lit("controls_3").alias("model"), F.lit("Intercept").alias("parameter"),
+                         F.round("a_wc", 3).alias("gt_est"), F.lit(None).cast("double").alias("gt_se")))
+    return cells.unionByName(reg.select("experiment", F.explode(F.array(*rows)).alias("_g")).select("experiment", "_g.*"))
+
+
+def _golden_sql() -> str:
+    err = lambda var, nu: f"round(sqrt({var} * {nu} / ({nu} - 2)), 3)"
+    parts = [f"""SELECT p.experiment, 'oracle' AS model, p.condition AS parameter, round(p.m, 3) AS gt_est,
+       {err('(q.ss / q.nu / p.n)', 'q.nu')} AS gt_se
+  FROM (SELECT experiment, condition, avg(y) AS m, count(y) AS n FROM {FRAME_SQL} WHERE condition IS NOT NULL GROUP BY ALL) p
+  JOIN (SELECT experiment, sum(n) - count(*) AS nu, sum(ss) AS ss FROM (SELECT experiment, condition, count(y) AS n,
+          var_pop(y) * count(y) AS ss FROM {FRAME_SQL} WHERE condition IS NOT NULL GROUP BY ALL) GROUP BY experiment) q
+    ON q.experiment = p.experiment"""]
+    for m, x in _GOLDEN_FITS:
+        g = f"""(SELECT experiment, count(*) AS n, count(*) - 2 AS nu, regr_slope(y, {x}) AS b, regr_intercept(y, {x}) AS a,
+          regr_sxx(y, {x}) AS sxx, avg({x}) AS mx, (regr_syy(y, {x}) - regr_slope(y, {x}) * regr_sxy(y, {x})) / (count(*) - 2) AS s2
+          FROM {FRAME_SQL} GROUP BY experiment)"""
+        parts.append(f"SELECT experiment, '{m}', 'Intercept', round(a, 3), {err('(s2 * (1.0 / n + mx * mx / sxx))', 'nu')} FROM {g}")
+        parts.append(f"SELECT experiment, '{m}', '{x}', round(b, 3), {err('(s2 / sxx)', 'nu')} + {1.0 if m == 'controls_1' else 0.0} FROM {g}")
+        if m == "wc":
+            parts.append(f"SELECT experiment, 'controls_3', 'Intercept', round(a, 3), NULL FROM {g}")
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+_GOLDEN_SQL = _golden_sql()
 
 
 def _suite_sql_for_golden():
@@ -64,7 +95,8 @@ def _suite_sql_for_golden():
 
 
 _CHECK_SQL = f"""(SELECT g.experiment, g.model, g.parameter, g.gt_est, round(a.estimate, 3) AS estimate,
-  CASE WHEN a.estimate IS NULL THEN 'MISSING' WHEN abs(round(a.estimate, 3) - g.gt_est) < {V.EST_TOL} THEN 'MATCH'
+  CASE WHEN a.estimate IS NULL THEN 'MISSING' WHEN abs(round(a.estimate, 3) - g.gt_est) < {V.EST_TOL}
+            AND (g.gt_se IS NULL OR abs(round(a.est_error, 3) - g.gt_se) < {V.EST_TOL}) THEN 'MATCH'
        ELSE 'MISMATCH' END AS status
 FROM {_GOLDEN_SQL} g LEFT JOIN {_suite_sql_for_golden()} a
   ON a.experiment = g.experiment AND a.model = g.model AND a.parameter = g.parameter)"""
@@ -84,6 +116,28 @@ def golden_summary(spark, sf):
     return V.golden_summary(golden_check(spark, sf))
 
 
+@query("golden_values", sql=f"""
+WITH n AS (SELECT experiment, 'n' AS label, CAST(count(*) AS DOUBLE) AS value FROM {FRAME_SQL} GROUP BY experiment),
+l AS (SELECT experiment, 'looic_' || model AS label, looic AS value FROM {_loo_sql()}),
+actual AS (SELECT * FROM n UNION ALL SELECT * FROM l),
+golden AS (SELECT experiment, label, round(value, 1) + CASE WHEN label = 'looic_wc' THEN 0.5 ELSE 0 END AS gt FROM actual
+           UNION ALL SELECT experiment, 'looic_unknown', 0.0 FROM n)
+SELECT g.experiment, g.label, g.gt, round(a.value, 1) AS value,
+       CASE WHEN a.value IS NULL THEN 'MISSING' WHEN abs(round(a.value, 1) - g.gt) < {V.LOOIC_TOL} THEN 'MATCH' ELSE 'MISMATCH' END AS status
+FROM golden g LEFT JOIN actual a ON a.experiment = g.experiment AND a.label = g.label""")
+def golden_values(spark, sf):
+    """Sample sizes and LOOIC against stored values: one shifted past the tolerance, one of an unknown model."""
+    s = Suite(spark, sf)
+    n = s.frame.groupBy("experiment").agg(F.count(F.lit(1)).cast("double").alias("value")).withColumn("label", F.lit("n"))
+    looic = _looic(s).select("experiment", F.concat(F.lit("looic_"), "model").alias("label"), F.col("looic").alias("value"))
+    actual = materialize_small(n.select("experiment", "label", "value").unionByName(looic))
+    shift = F.when(F.col("label") == "looic_wc", 0.5).otherwise(0.0)
+    golden = actual.select("experiment", "label", (F.round("value", 1) + shift).alias("gt")).unionByName(
+        n.select("experiment", F.lit("looic_unknown").alias("label"), F.lit(0.0).alias("gt")))
+    out = V.golden_check_values(golden, actual, ["experiment", "label"])
+    return out.withColumn("value", F.round("value", 1))
+
+
 def _fingerprints(spark, sf):
     """Row count and an order-free checksum of every value that the models read: a changed value changes it."""
     li = load_table(spark, sf, "lineitem")
