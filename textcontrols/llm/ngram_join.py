@@ -48,7 +48,9 @@ GROUP_TOKENS = 50_000
 #: Sets that ask one copy of a group, and salts of the join back to the copies.
 GROUP_QUERIES, SALTS = 2000, 8
 #: Tokens that a pair must share in its prefixes, in hundredths of a set.
-PREFIX_SHARE = 5
+PREFIX_SHARE = 8
+#: Candidate sets (four numbers each) that are broadcast to the texts.
+BROADCAST_ROWS = 500_000
 #: Hashed words that a worker keeps.
 MAX_WORDS = 400_000
 
@@ -245,6 +247,8 @@ def candidates(docs: DataFrame, reps: DataFrame, words: int, pct: int) -> DataFr
     least = F.greatest(F.lit(1), _ceil_pct(PREFIX_SHARE, partner))
     some = written(reps.select("cid", "n", "doc_id", "text_key").join(hits, "cid").where(F.col("hits") >= least)
                    .select("cid", "n", F.col("doc_id").alias("d"), "text_key"), "some")
+    if some.count() <= BROADCAST_ROWS:  # a counted bound; beyond it the texts are shuffled on their hash
+        some = F.broadcast(some)
     texts = docs.select(F.col("doc_id").alias("e"), "text", F.xxhash64("text").alias("text_key"))
     theirs = (some.join(texts, [some["text_key"] == texts["text_key"], some["d"].eqNullSafe(texts["e"])])
               .select("cid", "n", "text").dropDuplicates(["cid"]))
@@ -253,12 +257,12 @@ def candidates(docs: DataFrame, reps: DataFrame, words: int, pct: int) -> DataFr
 
 def shared_tokens(sets: DataFrame, pct: int) -> DataFrame:
     """(cid, n, s, tokens): the tokens that another set holds too, rarest first; sets with too few of them go."""
-    rows = sets.select("cid", "n", F.explode("tokens").alias("token"))
+    rows = sets.select("cid", F.explode("tokens").alias("token"))
     often = (rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.min("cid").alias("low"), F.max("cid").alias("high"))
              .where("low <> high").select("token", "sets"))
-    kept = (rows.join(often, "token").groupBy("cid", "n")
+    kept = (rows.join(often, "token").groupBy("cid")
             .agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("x")))
-    return (kept.select("cid", "n", F.size("x").cast("long").alias("s"), F.col("x.token").alias("tokens"))
+    return (kept.join(sets.select("cid", "n"), "cid").select("cid", "n", F.size("x").cast("long").alias("s"), F.col("x.token").alias("tokens"))
             .where(F.col("s") >= _ceil_pct(pct, F.col("n"))))
 
 

@@ -74,6 +74,7 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the cleaner drops the shuffle files of what is written once the driver lets go
     return spark.read.schema(df.schema).parquet(path)
 
 
