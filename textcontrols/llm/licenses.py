@@ -60,8 +60,8 @@ CUE = r"licen[sc]e|licensing|copyright|\(c\)|©|rights reserved|public domain|he
 MIN_SAVING_PCT, CONTENDERS = 25, 3
 #: Words of the template that the block must hold in order, in hundredths.
 MIN_WORDING_PCT = 90
-#: Words before and after a cue line that its block takes from long lines.
-MARGIN = 60
+#: Characters before and after a cue that its block takes from long lines.
+MARGIN = 360
 
 SCHEMA = "n_blocks long, licenses array<string>, findings array<struct<license:string,start:long,end:long,saving_pct:int,wording_pct:int,differences:string>>"
 
@@ -86,26 +86,38 @@ def templates() -> tuple[Template, ...]:
 
 
 def blocks(text: str, cue) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks: around each cue, up to MARGIN words within its paragraph; overlaps joined."""
+    """(start, end) of the candidate blocks: the line of a cue and the lines after it that hold one too.
+
+    Of a long line only the words around the cue are taken.
+    """
+
+    def line_end(at: int) -> int:
+        end = text.find("\n", at)
+        return len(text) if end < 0 else end
+
     found: list[tuple[int, int]] = []
-    for m in cue(text):
-        if found and m.start() < found[-1][1]:
+    cues = [m.span() for m in cue(text)]
+    for i, (first, last) in enumerate(cues):
+        if found and first < found[-1][1]:
             continue
-        low, high = text.rfind("\n\n", 0, m.start()) + 1, text.find("\n\n", m.end())
-        high = len(text) if high < 0 else high
-        line = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        start, end = line[0], len(text) if line[1] < 0 else line[1]
-        if end - start > 12 * MARGIN:  # a long line: the words around the cue
-            start, end = max(start, m.start() - 6 * MARGIN), min(end, m.end() + 6 * MARGIN)
-        while end < high and re.search(CUE, text[end:(nxt := (text.find("\n", end + 1) + len(text) + 1) % (len(text) + 1))], re.I):
-            end = nxt if nxt > end else high
-        start = max(start, low, found[-1][1] if found else 0)
-        found.append((start, end))
+        start, end = text.rfind("\n", 0, first) + 1, line_end(last)
+        if end - start > 2 * MARGIN:
+            start, end = max(start, first - MARGIN), min(end, last + MARGIN)
+        else:
+            for a, b in cues[i + 1:]:
+                if a > line_end(end + 1):
+                    break
+                end = max(end, line_end(b))
+        found.append((max(start, found[-1][1] if found else 0), end))
     return found
 
 
 def judge(block: str):
-    """(name, start, end, saving_pct, wording_pct, differences) of the best confirmed template, or None."""
+    """(name, start, end, saving_pct, wording_pct, differences) of the best confirmed template, or None.
+
+    A block that is long beside a template saves little by its dictionary
+    whatever it holds, so the least saving is asked of short blocks only.
+    """
     import zstandard as zstd
 
     raw = block.lower().encode("utf-8", "surrogatepass")
