@@ -23,18 +23,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 def text_key(c) -> list:
-    """Two independent 64-bit hashes of a string: the join key for texts.
-
-    Rows are joined back to per-text results on 16 bytes instead of the whole
-    text, so long texts never cross a shuffle twice.
-    """
+    """Two independent 64-bit hashes of a string: rows are joined to per-text results on 16 bytes, not on the text."""
     return [F.xxhash64(c).alias("_h1"), F.xxhash64(F.lit("textcontrols"), c).alias("_h2")]
 
 
-def double_array(cols) -> "F.Column":
-    return F.array(*[F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in cols])
-
-
 def materialize_small(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small intermediate (moments, lookups) that several branches read.
 
@@ -53,7 +45,7 @@ def materialize_small(df: DataFrame) -> DataFrame:
 
 def dense_rank_by(df: DataFrame, group_col: str, order_col: str, out: str = "code",
                   n_parts: int | None = None) -> DataFrame:
-    """0-based rank of ``order_col`` within ``group_col`` for rows unique on (group, order), distributed.
+    """0-based place of each row in the order of ``order_col`` within ``group_col``, distributed (ties in any order).
 
     The rows are range-partitioned on (group, order) and written once, so each
     partition holds a sorted slice with a stable partition id.  Per (partition,

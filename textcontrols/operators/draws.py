@@ -63,7 +63,7 @@ def paired_draw_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str
             .select(*on, (F.col("_a") - F.col("_b")).alias(value)))
 
 
-def _placed(draws: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def placed_draws(draws: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, chain, value, ``_at`` (0-based place of the draw in its chain, gaps or not) and ``_len`` (draws of the chain)."""
     x = draws.select(F.struct(*keys, "chain").alias("_g"), "draw", F.col(value).alias("_v"))
     placed = dense_rank_by(x, "_g", "draw", "_at")
@@ -76,7 +76,7 @@ def split_rhat(draws: DataFrame, keys: Sequence[str], value: str = "value") -> D
 
     Chains are cut by place; the middle draw of an odd chain is in no half.
     """
-    d = _placed(draws, keys, value)
+    d = placed_draws(draws, keys, value)
     half = F.floor(F.col("_len") / 2)
     d = d.withColumn("_half", F.when(F.col("_at") < half, 0).when(F.col("_at") >= F.col("_len") - half, 1)).where("_half is not null")
     hc = d.groupBy(*keys, "chain", "_half").agg(F.count(F.lit(1)).alias("m"), F.avg(value).alias("mu"),
@@ -93,7 +93,7 @@ def batch_means_ess(draws: DataFrame, keys: Sequence[str], value: str = "value",
     Each chain is cut into ``n_batches`` batches by place; anticorrelated draws
     give more than n, as they should.
     """
-    d = _placed(draws, keys, value).withColumn("_batch", F.floor(F.col("_at") * n_batches / F.col("_len")))
+    d = placed_draws(draws, keys, value).withColumn("_batch", F.floor(F.col("_at") * n_batches / F.col("_len")))
     bm = d.groupBy(*keys, "chain", "_batch").agg(F.avg(value).alias("mu"), F.count(F.lit(1)).alias("m"))
     tot = draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.var_samp(value).alias("v"))
     b = bm.groupBy(*keys).agg(F.var_samp("mu").alias("vb"), F.avg("m").alias("bl"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textcontrols.operators import validate as V
-from textcontrols.operators.draws import batch_means_ess, split_rhat
+from textcontrols.operators.draws import batch_means_ess, draw_quantiles, paired_draw_diff, placed_draws, split_rhat
 from textcontrols.operators._util import materialize_small
 from textcontrols.plans.q_models import FRAME_SQL, MODELS, Suite, _loo_sql, _looic, model_frame
 from textcontrols.plans.q_recode import ANALYSIS_SQL, analysis_rows
@@ -206,3 +206,18 @@ SELECT t.parameter, CAST(t.n AS BIGINT) AS n, round(t.n * t.v / (bb.bl * bb.vb),
 FROM t JOIN bb ON bb.parameter = t.parameter""")
 def draws_ess(spark, sf):
     return batch_means_ess(_draws(spark, sf), ["parameter"], "value").withColumn("ess", F.round("ess", 2))
+
+
+@query("draws_paired_diff", sql=f"""
+WITH d AS (SELECT parameter, chain, place, value FROM {_PLACED_SQL}),
+x AS (SELECT a.value - b.value AS v FROM d a JOIN d b ON a.chain = b.chain AND a.place = b.place
+      WHERE a.parameter = 'click' AND b.parameter = 'view')
+SELECT 'click-view' AS comparison, CAST(count(*) AS BIGINT) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS q025,
+       round(quantile_cont(v, 0.5), 6) AS q500, round(quantile_cont(v, 0.975), 6) AS q975 FROM x""")
+def draws_paired_diff(spark, sf):
+    """Draw by draw differences of two parameters of a draws table, with their quantiles."""
+    d = placed_draws(_draws(spark, sf), ["parameter"], "value").withColumnRenamed("_at", "draw")
+    a, b = (d.where(F.col("parameter") == p).select("chain", "draw", "value") for p in ("click", "view"))
+    diff = paired_draw_diff(a, b, []).withColumn("comparison", F.lit("click-view"))
+    q = draw_quantiles(diff, ["comparison"], "value")
+    return q.select("comparison", "n", *[F.round(c, 6).alias(c) for c in ("mean", "q025", "q500", "q975")])

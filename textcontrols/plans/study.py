@@ -27,6 +27,11 @@ from textcontrols.operators.match import build_lookup, enrich_pairs
 from textcontrols.sources.survey import read_survey_csv
 
 
+# Column names and the 7-point scale of the survey export; callers with others rename or pass them.
+COMPLETE_COL, RATING_COL, FLAG_COL, CONDITION_COL = "Q_TerminateFlag", "DVPref_Rating_1", "BaseOnLeft", "ComparisonCondition"
+SCALE_MAX, SCALE_CENTRE = 7, 4
+
+
 def enrich_survey(spark: SparkSession, survey_path: str, controls: DataFrame, text_col: str = "description",
                   pos_col: str = "position", base_col: str = "Text_Base", comp_col: str = "Text_Comparison",
                   experiment: str | None = None) -> DataFrame:
@@ -43,18 +48,19 @@ def enrich_survey(spark: SparkSession, survey_path: str, controls: DataFrame, te
     return enrich_pairs(raw, base_col, comp_col, lookup, len(ctrl))
 
 
-def analysis_rows(enriched: DataFrame, levels: Sequence[str], complete: str = "Complete") -> DataFrame:
+def analysis_rows(enriched: DataFrame, levels: Sequence[str], complete: str = "Complete",
+                  scale_max: int = SCALE_MAX, centre: int = SCALE_CENTRE) -> DataFrame:
     """Filters and recodes of the analysis step, in order; factor values outside ``levels`` -> null, kept."""
-    d = enriched.where(F.col("Q_TerminateFlag") == complete)
-    rating, flag = lenient_double("DVPref_Rating_1"), lenient_double("BaseOnLeft")
-    d = d.withColumn("Pref", reverse_score(flag, rating))
-    d = d.where(F.col("Pref").isNotNull() & ~F.isnan("Pref") & F.col("ComparisonCondition").isNotNull()
-                & (F.col("ComparisonCondition") != ""))
+    d = enriched.where(F.col(COMPLETE_COL) == complete)
+    rating, flag = lenient_double(RATING_COL), lenient_double(FLAG_COL)
+    d = d.withColumn("Pref", reverse_score(flag, rating, scale_max, centre))
+    d = d.where(F.col("Pref").isNotNull() & ~F.isnan("Pref") & F.col(CONDITION_COL).isNotNull()
+                & (F.col(CONDITION_COL) != ""))
     matched = F.col("nuisance_matched")
     if dict(d.dtypes)["nuisance_matched"] != "boolean":
         matched = lenient_bool("nuisance_matched")
     d = d.where(F.coalesce(matched, F.lit(False)))
-    d = d.withColumn("condition", factor_level("ComparisonCondition", levels))
+    d = d.withColumn("condition", factor_level(CONDITION_COL, levels))
     d = d.withColumn("wc_base", word_count("Text_Base")).withColumn("wc_comparison", word_count("Text_Comparison"))
     d = d.withColumn("wc_diff", F.col("wc_comparison") - F.col("wc_base"))
     return d.withColumn("wc2_diff", F.col("wc_comparison") * F.col("wc_comparison")
