@@ -37,8 +37,8 @@ from pyspark.sql.types import StringType
 from textcontrols.llm.work import require, ship, text_udf
 
 #: Bounds of what a worker keeps: states with their transitions, and encoded matches in each of two generations.
-MAX_STATES = 200_000
-MAX_MATCHES = 200_000
+MAX_STATES = 350_000
+MAX_MATCHES = 400_000
 NEVER = 1 << 60
 
 
