@@ -61,6 +61,21 @@ def test_html_cases(spark, page, want):
     assert row["text"] == want and row["n_chars"] == len(want)
 
 
+def test_html_never_breaks():
+    """Random markup: no crash, no markup left of whole tags, white space as one space."""
+    rng = random.Random(11)
+    bits = ["<p>", "</p>", "<div class='x'>", "</div>", "<li>", "<ul>", "</ul>", "<b", ">", "\"", "'", "&amp;", "&#65;", "<!--", "-->", "<br/>",
+            "<td>", "<table>", "</table>", "<script>", "</script>", " ", "\n", "word ", "many words here. ", "<a href=\"x>", "</a>", "<", "</", "<body>"]
+    for _ in range(2000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
+        text = html_extraction.main_text(page)
+        assert all(line == " ".join(line.split()) and line for line in text.split("\n")) or text == ""
+    deep = "<div>" * 3000 + "text inside " * 20 + "</div>" * 3000
+    assert html_extraction.main_text(deep) == ("text inside " * 20).strip()
+    open_quote = "<p>One two three four five.</p><p title=\"open>Six seven eight nine ten.</p>"
+    assert html_extraction.main_text(open_quote) == "One two three four five.\nSix seven eight nine ten."
+
+
 def test_html_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extraction.extract(df).collect() == []

@@ -27,7 +27,8 @@ from textcontrols.llm.work import require, text_udf
 
 _SPLIT = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<end2>/)?(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)", re.S)  # the last: with a quote left open
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -48,9 +49,9 @@ CLOSES_P = BLOCK - {"body", "html", "tr", "td", "th", "tbody", "thead", "tfoot",
 #: Elements, ARIA roles and words of class or id that mark what is not the article.
 SKIP_TAGS = RAW | frozenset("head nav header footer aside form button select input svg canvas object menu dialog".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-SKIP_WORDS = frozenset("""ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos
+SKIP_WORDS = frozenset("""ad ads advert adverts advertisement advertisements advertising adsense adslot adbox adunit sponsor sponsored sponsors promo promos
 promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer header masthead
-comment comments disqus respond replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter
+comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter
 subscribe subscription signup login share sharing social related recommended pagination pager toolbar widget widgets
 skip hidden""".split())
 #: These are never left out by a word of their class or id.
@@ -104,10 +105,10 @@ def parse(page: str) -> Node:
         at = m.end()
         if m["cdata"] is not None and not node.skip:
             node.parts.append(m["cdata"])
-        if not m["tag"]:
+        tag, attrs = (m["tag"] or m["tag2"] or "").lower(), m["attrs"] or m["attrs2"] or ""
+        if not tag:
             continue
-        tag = m["tag"].lower()
-        if m["end"]:
+        if m["end"] or m["end2"]:
             above = node
             while above is not None and above.tag != tag:
                 above = above.parent if tag in BLOCK or above.tag not in SCOPE else None
@@ -134,10 +135,10 @@ def parse(page: str) -> Node:
             at = close.end() if close else end_of
             node.parts.append(" ")
             continue
-        child = Node(tag, node, node.skip or _skipped(tag, m["attrs"]))
+        child = Node(tag, node, node.skip or _skipped(tag, attrs))
         node.children.append(child)
         node.parts.append(child)
-        if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
+        if tag not in VOID and not attrs.rstrip().endswith("/"):
             node = child
     return root
 
