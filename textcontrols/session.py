@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_SCRATCH: list[tempfile.TemporaryDirectory] = []
+
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -60,7 +62,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset: name a shared folder for checkpoints")
-        d = tempfile.mkdtemp(prefix="textcontrols-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        scratch = tempfile.TemporaryDirectory(prefix="textcontrols-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"),
+                                              ignore_cleanup_errors=True)
+        _SCRATCH.append(scratch)  # goes when the process ends
+        d = scratch.name
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
