@@ -39,6 +39,7 @@ def test_scan_parser_sees_scans(spark):
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_plan_shape(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")  # whole schemas in the printed plan
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan
     assert "CartesianProduct" not in plan
