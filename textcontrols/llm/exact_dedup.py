@@ -35,7 +35,7 @@ BASES = (911382323, 972663749)
 #: Bytes of a chunk, and of a row of the inner product.
 CHUNK, ROW = 1 << 20, 256
 #: Rows of a group that are compared in one slot, and salts of the group join.
-SLOT_ROWS, SALTS = 1000, 8
+SLOT_ROWS, SALTS = 100, 8
 
 _KEY = ["n_bytes", "h1", "h2"]
 
