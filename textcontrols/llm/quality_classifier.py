@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from textcontrols.llm.work import WORD_PATTERN, require, written
+from textcontrols.llm.work import WORD_PATTERN, require, sliced, written
 
 #: Transformed statistics, in the order of the vectors.
 STATISTICS = (
@@ -35,7 +35,7 @@ STATISTICS = (
     "log_digits", "log_punctuation", "distinct_words", "repeated_lines", "log_compression", "repeated_pairs",
 )
 #: Share of the pooled covariance in a class covariance, and of the diagonal in the result.
-TO_POOLED, TO_DIAGONAL = 0.2, 0.05
+TO_POOLED, TO_DIAGONAL = 0.7, 0.05
 THRESHOLD = 0.3
 #: Log-density differences are divided by this: the statistics are not quite normal, and the tails too sure.
 TEMPER = 2.0
@@ -66,7 +66,7 @@ def statistics(text: str) -> list[float]:
 
 @F.arrow_udf(ArrayType(DoubleType()))
 def statistics_of(texts: pa.Array) -> pa.Array:
-    return pa.array([statistics(t or "") for t in texts.to_pylist()], pa.list_(pa.float64()))
+    return pa.array([statistics(t or "") for t in sliced(texts)], pa.list_(pa.float64()))
 
 
 @dataclass(frozen=True)
