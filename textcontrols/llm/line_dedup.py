@@ -33,11 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from textcontrols.llm.work import arrow_schema, map_columns, require, written
+from textcontrols.llm.work import arrow_schema, map_columns, require, sliced, written
 
 MIN_WORDS = 4
 #: Partners of a document in one slot, and salts of the join on line hashes.
-SLOT_PAIRS, SALTS = 500, 8
+SLOT_PAIRS, SALTS = 100, 8
 
 SEQUENCE = "d long, t long, h1 array<long>, h2 array<long>, w array<int>"
 
@@ -191,7 +191,7 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
         out = set(places)
         return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
 
-    return pa.array([left(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist())], pa.string())
+    return pa.array([left(t, g) for t, g in zip(sliced(texts), sliced(gone))], pa.string())
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
