@@ -46,7 +46,7 @@ from textcontrols.llm.work import WORD_PATTERN, arrow_schema, map_columns, requi
 #: Tokens of the sets that one group holds at most (a larger set is a group by itself).
 GROUP_TOKENS = 50_000
 #: Sets that ask one copy of a group, and salts of the join back to the copies.
-GROUP_QUERIES, SALTS = 2000, 8
+GROUP_QUERIES, SALTS = 500, 8
 #: Tokens that a pair must share in its prefixes, in hundredths of a set.
 PREFIX_SHARE = 8
 #: Candidate sets (four numbers each) that are broadcast to the texts.

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from textcontrols.llm.work import require, ship, text_udf
+from textcontrols.llm.work import require, ship, sliced, text_udf
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -122,6 +122,6 @@ def masked(text: Column, ranks: str, pattern: str) -> Column:
                 at = max(at, b)
             return "".join([*parts, t[at:]])
 
-        return pa.array([mask(t) for t in texts.to_pylist()], pa.string())
+        return pa.array([mask(t) for t in sliced(texts)], pa.string())
 
     return call(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -48,6 +48,12 @@ def map_columns(df: DataFrame, start: Callable[[], Callable[..., Iterable[tuple]
     return df.mapInArrow(run, schema)
 
 
+def sliced(values: pa.Array) -> Iterator:
+    """Python values of an Arrow array, a slice at a time: a batch holds up to 64 MB of text."""
+    for at in range(0, len(values), SLICE_ROWS):
+        yield from values.slice(at, SLICE_ROWS).to_pylist()
+
+
 def text_udf(start: Callable[[], Callable[[str], tuple]], schema: str):
     """Column function text -> struct; a null text counts as empty.  ``start()`` runs once for each batch."""
     fields = arrow_schema(schema)
@@ -56,7 +62,7 @@ def text_udf(start: Callable[[], Callable[[str], tuple]], schema: str):
     @F.arrow_udf(kind)
     def call(texts: pa.Array) -> pa.Array:
         step = start()
-        rows = [step(t or "") for t in texts.to_pylist()]
+        rows = [step(t or "") for t in sliced(texts)]
         cols = list(zip(*rows)) or [()] * len(fields)
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields)], fields=list(fields))
 
@@ -84,15 +90,16 @@ def ship() -> None:
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}-src.zip"
+    folder = tempfile.TemporaryDirectory(prefix="ship-", ignore_cleanup_errors=True)  # goes when the driver ends
+    path = Path(folder.name) / f"{package.name}-src.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     context.addPyFile(str(path))
-    _SHIPPED.add(context.applicationId)
+    _SHIPPED[context.applicationId] = folder
 
 
-_SHIPPED: set[str] = set()
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def require(df: DataFrame, *names: str) -> None:
