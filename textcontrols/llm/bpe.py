@@ -37,7 +37,7 @@ from pyspark.sql.types import StringType
 from textcontrols.llm.work import require, ship, text_udf
 
 #: Bounds of what a worker keeps: states with their transitions, and encoded matches in each of two generations.
-MAX_STATES = 350_000
+MAX_STATES = 500_000
 MAX_MATCHES = 400_000
 NEVER = 1 << 60
 
@@ -64,10 +64,6 @@ class Merges:
             parts[best:best + 2] = [joined]
         return parts
 
-    def is_token(self, piece: bytes) -> bool:
-        """Whether merging the piece alone gives it as one token."""
-        return piece in self.ranks and self._edges(piece) is not None
-
     def _edges(self, token: bytes) -> tuple[list, list] | None:
         """The pieces at the left and at the right edge over time, each with the rank at which it grows.
 
@@ -143,10 +139,11 @@ class Transducer:
         pending += bytes((byte,))
         n, merges = len(pending), self.merges
         edges, beside, prefixes = merges.edges, merges.beside, merges.prefixes
+        ranks = merges.ranks
         for start in range(max(0, n - merges.longest), n):  # exactly one last token fits
             piece = pending[start:]
-            if piece in edges or merges.is_token(piece):
-                if edges[piece] is None:
+            if piece in ranks:
+                if (edges[piece] if piece in edges else merges._edges(piece)) is None:
                     continue
                 left = before if start == 0 else pending[start - sizes[start - 1]:start]
                 if left is None or beside(left, piece):
@@ -176,7 +173,7 @@ class Transducer:
             to = self.number[state] = len(self.states)
             self.states.append(state)
             self.moves.append({})
-        move = self.moves[at][byte] = (to, tuple([merges.ranks[t] for t in out]))
+        move = self.moves[at][byte] = (to, tuple([ranks[t] for t in out]))
         return move
 
     def encode(self, piece: bytes) -> list[int]:
@@ -268,13 +265,15 @@ def _start(path: str, pattern: str):
         finally:
             gc.enable()
 
+    token_bytes = c.bytes_of.__getitem__
+
     def whole(text: str) -> tuple:
         pairs = c.matches(text)
-        names = " ".join([name for name, _ in pairs])
-        ids = chain.from_iterable([x for _, x in pairs])
+        names = " ".join([pair[0] for pair in pairs])
+        ids = chain.from_iterable([pair[1] for pair in pairs])
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         back, n = hashlib.sha256(), 0
-        while part := [c.bytes_of[i] for i in islice(ids, DECODE_STEP)]:
+        while part := list(map(token_bytes, islice(ids, DECODE_STEP))):
             n += len(part)
             back.update(machine.decode(b"".join(part)).encode("utf-8"))
         back.update(machine.decode(b"", True).encode("utf-8"))
