@@ -63,14 +63,15 @@ def raw_key(c, prefix: str = "_r") -> list:
 def distinct_texts(df: DataFrame, text_cols: Sequence[str]) -> DataFrame:
     """(_r1, _r2, n): each distinct raw text once, normalised; the only step that shuffles texts.
 
-    The aggregate collapses repeated texts on the map side, so a text in a
-    third of all rows leaves one row for each task.
+    Texts are normalised before the exchange, which all branches of the match
+    share, so that is done once.  The aggregate collapses repeated texts on the
+    map side, so a text in a third of all rows leaves one row for each task.
     """
-    raw = None
+    found = None
     for c in text_cols:
-        part = df.select(*raw_key(c), F.col(c).alias("_raw"))
-        raw = part if raw is None else raw.unionByName(part)
-    return raw.groupBy("_r1", "_r2").agg(F.max("_raw").alias("_raw")).select("_r1", "_r2", normalize_text("_raw").alias("n"))
+        part = df.select(*raw_key(c), normalize_text(c).alias("n"))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("_r1", "_r2").agg(F.max("n").alias("n"))
 
 
 def _anchor(c: Column) -> Column:
@@ -115,7 +116,8 @@ def match_distinct_texts(texts: DataFrame, lookup: DataFrame, empty_matches: boo
     wanted = keys.select(*[h.alias(f"_k{i}") for i, h in enumerate(text_key(F.col("key")), 1)], "pos")
     if not empty_matches:
         hashed = hashed.where(~F.col("_e"))
-    exact = hashed.join(wanted, ["_k1", "_k2"]).select(*ids, "pos")
+    # ids and positions only, written once: every branch below leaves these texts out
+    exact = materialize_small(hashed.join(wanted, ["_k1", "_k2"]).select(*ids, "pos"))
 
     rest = texts.where(F.col("n") != "").join(exact.select(*ids), ids, "left_anti")
     anchored = keys.select("key", "pos", _anchor(F.col("key")).alias("_a")).where("_a is not null").select("key", "pos", "_a.*")
