@@ -316,6 +316,31 @@ def test_license_scan(spark, empty):
     assert licenses.scan(empty).collect() == []
 
 
+@pytest.mark.parametrize("lead", ["", "# ", " * ", "// "])
+def test_license_blocks_hold_whole_notices(lead):
+    """Every template lies whole in a block: hard-wrapped, in comments, and inside lines that are long."""
+    import textwrap
+    cue = re.compile(licenses.CUE, re.I).finditer
+    prose = "much other prose of no such matter " * 200
+    for text in (t for texts in licenses.TEMPLATES.values() for t in texts):
+        for width in (40, 79):
+            lines = textwrap.wrap("Copyright (c) 2020 Jane Doe. " + text, width - len(lead))
+            page = "An opening.\n" + "".join(f"{lead}{x}\n" for x in ["", *lines, ""]) + "Other prose.\n"
+            (a, b), = licenses.blocks(page, cue)
+            assert " ".join(lines) in " ".join(page[a:b].replace("\n" + lead, "\n").split())
+        for page in (prose + text + " " + prose, "Copyright (c) 2020 Jane Doe " + text + " " + prose):
+            assert any(text in page[a:b] for a, b in licenses.blocks(page, cue))
+
+
+def test_license_notice_wrapped_and_unwrapped():
+    import textwrap
+    step = licenses._start()
+    for name in ("MIT", "GPL-3.0", "ISC"):
+        text = licenses.TEMPLATES[name][1]
+        for page in (textwrap.fill(text, 72), "\n".join(" * " + x for x in textwrap.wrap(text, 70)), "Copyright (c) 2020 Jane Doe " + text):
+            assert step(page)[1] == [name], page
+
+
 # --- quality rules ------------------------------------------------------
 
 def brute_rules(text):

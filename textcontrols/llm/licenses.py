@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Lines that speak of licences, copyright, permission or warranty, with their
-neighbours, make candidate blocks.  A block is compressed by itself and with
+Paragraphs that speak of licences, copyright, permission or warranty make
+candidate blocks, neighbouring ones one block.  A block is compressed by itself and with
 each template as zstandard raw dictionary; templates are ranked by the share of
 the size that the dictionary saves.  The best ones are confirmed by the exact
 wording: the words of the template that the block holds in order, and the
@@ -60,8 +60,9 @@ CUE = r"licen[sc]e|licensing|copyright|\(c\)|©|rights reserved|public domain|he
 MIN_SAVING_PCT, CONTENDERS = 25, 3
 #: Words of the template that the block must hold in order, in hundredths.
 MIN_WORDING_PCT = 90
-#: Characters before and after a cue that its block takes from long lines.
-MARGIN = 360
+#: Characters before and after a cue that its block takes from long paragraphs: twice the longest template.
+REACH = 2 * max(len(text) for texts in TEMPLATES.values() for text in texts)
+_SAID = re.compile(r"[^\W_]")
 
 SCHEMA = "n_blocks long, licenses array<string>, findings array<struct<license:string,start:long,end:long,saving_pct:int,wording_pct:int,differences:string>>"
 
@@ -86,30 +87,45 @@ def templates() -> tuple[Template, ...]:
 
 
 def blocks(text: str, cue) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks: the line of a cue and the lines after it that hold one too.
+    """(start, end) of the candidate blocks: the paragraph of each cue, neighbouring paragraphs with cues joined.
 
-    Of a long line only the words around the cue are taken.
+    A paragraph ends at a line without letters and digits, so comment marks do
+    not hold it together.  Of a longer one, REACH characters before and after
+    each cue are taken, cut at white space; what overlaps is one block.
     """
+    found: list[list[int]] = []
+    low = high = -1  # the paragraph of the cue before
+    for m in cue(text):
+        first, last = m.span()
+        if not low <= first < high:
+            low, high = _paragraph(text, first)
+        start, end = max(low, first - REACH), max(last, min(high, last + REACH))
+        while start > low and not text[start - 1].isspace():
+            start -= 1
+        while end < high and not text[end].isspace():
+            end += 1
+        if found and (start <= found[-1][1] or not _SAID.search(text, found[-1][1], start)):
+            found[-1][1] = max(found[-1][1], end)
+        else:
+            found.append([start, end])
+    return [(a, b) for a, b in found]
 
-    def line_end(at: int) -> int:
-        end = text.find("\n", at)
-        return len(text) if end < 0 else end
 
-    found: list[tuple[int, int]] = []
-    cues = [m.span() for m in cue(text)]
-    for i, (first, last) in enumerate(cues):
-        if found and first < found[-1][1]:
-            continue
-        start, end = text.rfind("\n", 0, first) + 1, line_end(last)
-        if end - start > 2 * MARGIN:
-            start, end = max(start, first - MARGIN), min(end, last + MARGIN)
-        else:
-            for a, b in cues[i + 1:]:
-                if a > line_end(end + 1):
-                    break
-                end = max(end, line_end(b))
-        found.append((max(start, found[-1][1] if found else 0), end))
-    return found
+def _paragraph(text: str, at: int) -> tuple[int, int]:
+    """The lines around a place up to the next ones without letters and digits."""
+    start = text.rfind("\n", 0, at) + 1
+    while start:
+        before = text.rfind("\n", 0, start - 1) + 1
+        if not _SAID.search(text, before, start):
+            break
+        start = before
+    end = text.find("\n", at)
+    while end >= 0:
+        after = text.find("\n", end + 1)
+        if not _SAID.search(text, end, len(text) if after < 0 else after):
+            break
+        end = after
+    return start, len(text) if end < 0 else end
 
 
 def judge(block: str):
