@@ -341,6 +341,33 @@ def test_license_notice_wrapped_and_unwrapped():
             assert step(page)[1] == [name], page
 
 
+def test_every_license_wording_is_named():
+    """Each template, wrapped, in comments and on a long line, gives its own licence and no other."""
+    import textwrap
+    step, prose = licenses._start(), "much other prose of no such matter " * 200
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for page in (text, textwrap.fill(text, 60), "\n".join(" * " + x for x in textwrap.wrap(text, 50)), prose + text + " " + prose):
+                assert step(page)[1] == [name], page
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", ["Apache-2.0", "MIT"]),
+    ("a: MIT License\nb: ISC License\nc: GPL-2.0\nd: BSD 3-Clause\ne: zlib License", ["MIT", "ISC", "GPL-2.0", "BSD-3-Clause", "Zlib"]),
+    ("Released under the MIT License. " + "few words " * 30 + "Licensed under CC BY 4.0. " + "few words " * 300, ["MIT", "CC-BY-4.0"]),
+    ("Released under the MIT License.\n" * 3, ["MIT"] * 3),
+    ("This work is licensed under the GNU General Public License, version 1.", []), ("Licensed under the Apache License, Version 1.1.", []),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", []),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+     "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1"]),
+    (licenses.BSD_OPENING + licenses.BSD_CLAUSES + licenses.BSD_WARRANTY, ["BSD-2-Clause"]),
+])
+def test_every_license_of_a_block(text, want):
+    _, names, findings = licenses._start()(text)
+    assert [f["license"] for f in findings] == want and names == sorted(set(want))
+    assert all(a["end"] <= b["start"] for a, b in zip(findings, findings[1:]))
+
+
 # --- quality rules ------------------------------------------------------
 
 def brute_rules(text):

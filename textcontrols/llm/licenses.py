@@ -3,9 +3,11 @@
 Paragraphs that speak of licences, copyright, permission or warranty make
 candidate blocks, neighbouring ones one block.  A block is compressed by itself and with
 each template as zstandard raw dictionary; templates are ranked by the share of
-the size that the dictionary saves.  The best ones are confirmed by the exact
-wording: the words of the template that the block holds in order, and the
-words that it adds or lacks.
+the size that the dictionary saves.  Each template of whose words the block
+has enough is confirmed by the exact wording: the words of the template that
+the block holds in order, and the words that it adds or lacks.  Words that
+name a licence or its version must not differ.  Every confirmed match that no
+better one overlaps is a finding.
 
 Defined results: a null or empty text has no block; texts of any length are
 scanned whole; ties in the saving go to the template that comes first;
@@ -16,48 +18,143 @@ columns are not read.
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcontrols.llm.work import require, text_udf
 
-# The customary wordings by which public licences are named or granted.
+# Wordings by which public licences are granted or noticed.
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+    "Software, and to permit persons to whom the Software is furnished to do so")
+MIT_WARRANTY = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+BSD_OPENING = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+               "that the following conditions are met:")
+BSD_CLAUSES = (
+    " Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution.")
+BSD_NAMES = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission.")
+BSD_WARRANTY = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+ISC_GRANT = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+             "granted")
+ISC_NOTICE = ", provided that the above copyright notice and this permission notice appear in all copies."
+ISC_WARRANTY = (
+    " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+    "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+    "THIS SOFTWARE.")
+
+
+def _gnu(kind: str, version: str, short: str) -> tuple[str, ...]:
+    """The notice of a GNU licence, and how its name is written."""
+    full = f"GNU {kind} Public License"
+    notice = (f"is free software: you can redistribute it and/or modify it under the terms of the {full} as published by the "
+              f"Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+    return (f"This work is licensed under the {full}, version {version}.", "This program " + notice,
+            f"{full}, version {version}", f"{full} v{version}", f"version {version} of the {full}",
+            f"{full} as published by the Free Software Foundation; version {version}",
+            f"{full} as published by the Free Software Foundation, version {version}", *short.split("|"))
+
+
+def _creative(kind: str, *short: str) -> tuple[str, ...]:
+    return (*(f"Licensed under {x} 4.0." for x in short), *(f"{x} 4.0" for x in short),
+            f"This work is licensed under a Creative Commons {kind} 4.0 International License.",
+            f"Creative Commons {kind} 4.0")
+
+
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
-            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-            "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    "MIT": ("Released under the MIT License.", MIT_GRANT + ", subject to the following conditions:",
+            MIT_GRANT + ", subject to the following conditions: The above copyright notice and this permission notice shall be "
+            "included in all copies or substantial portions of the Software." + MIT_WARRANTY, "MIT License", "MIT Licence"),
+    "MIT-0": (MIT_GRANT + ".", MIT_GRANT + "." + MIT_WARRANTY, "MIT No Attribution License", "MIT-0 License"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-                   "compliance with the License. You may obtain a copy of the License at"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",
-                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-                "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-                "option) any later version."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License.",
-                     "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                     "that the following conditions are met:"),
-    "ISC": ("Released under the ISC License.",
-            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",
-                     "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",
-                     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0-1.0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights."),
+                   "compliance with the License. You may obtain a copy of the License at",
+                   "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                   "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+                   "See the License for the specific language governing permissions and limitations under the License.",
+                   "Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"),
+    "GPL-3.0": _gnu("General", "3", "GPLv3|GPL v3|GPL version 3|GPL-3.0"),
+    "GPL-2.0": _gnu("General", "2", "GPLv2|GPL v2|GPL version 2|GPL-2.0"),
+    "LGPL-3.0": _gnu("Lesser General", "3", "LGPLv3|LGPL v3|LGPL version 3|LGPL-3.0"),
+    "LGPL-2.1": _gnu("Lesser General", "2.1", "LGPLv2.1|LGPL v2.1|LGPL version 2.1|LGPL-2.1"),
+    "LGPL-2.0": _gnu("Library General", "2", "LGPLv2|LGPL v2|LGPL version 2|LGPL-2.0"),
+    "AGPL-3.0": _gnu("Affero General", "3", "AGPLv3|AGPL v3|AGPL version 3|AGPL-3.0"),
+    # The opening is common to all BSD licences and without the clauses it names none of them.
+    "BSD": (BSD_OPENING,),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", BSD_OPENING + BSD_CLAUSES,
+                     BSD_OPENING + BSD_CLAUSES + BSD_WARRANTY, "BSD 2-Clause", "2-Clause BSD", "Simplified BSD License"),
+    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", BSD_OPENING + BSD_CLAUSES + BSD_NAMES,
+                     BSD_OPENING + BSD_CLAUSES + BSD_NAMES + BSD_WARRANTY, "BSD 3-Clause", "3-Clause BSD",
+                     "New BSD License", "Modified BSD License"),
+    "ISC": ("Released under the ISC License.", ISC_GRANT + ISC_NOTICE, ISC_GRANT + ISC_NOTICE + ISC_WARRANTY, "ISC License"),
+    "0BSD": (ISC_GRANT + ".", ISC_GRANT + "." + ISC_WARRANTY, "Zero-Clause BSD", "BSD Zero Clause License", "0BSD License"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+                "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                "distributed with this file, You can obtain one at", "Mozilla Public License, v. 2.0",
+                "Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+                "2.0 which is available at", "Eclipse Public License 2.0", "Eclipse Public License, version 2.0",
+                "Eclipse Public License v. 2.0", "EPL 2.0"),
+    "EPL-1.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+                "v1.0 which accompanies this distribution, and is available at", "Eclipse Public License 1.0",
+                "Eclipse Public License, version 1.0", "Eclipse Public License v. 1.0", "EPL 1.0"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",
+                "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+                "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, "
+                "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties "
+                "to whom the Software is furnished to do so, all subject to the following:",
+                "Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",
+                  "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+                  "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+                  "for any purpose, commercial or non-commercial, and by any means.",
+                  "Released under the Unlicense.", "The Unlicense"),
+    "Zlib": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+             "alter it and redistribute it freely, subject to the following restrictions:",
+             "Released under the zlib License.", "zlib License"),
+    "CC-BY-4.0": _creative("Attribution", "CC BY"),
+    "CC-BY-SA-4.0": _creative("Attribution-ShareAlike", "CC BY-SA"),
+    "CC-BY-NC-4.0": _creative("Attribution-NonCommercial", "CC BY-NC"),
+    "CC-BY-ND-4.0": _creative("Attribution-NoDerivatives", "CC BY-ND"),
+    "CC-BY-NC-SA-4.0": _creative("Attribution-NonCommercial-ShareAlike", "CC BY-NC-SA"),
+    "CC-BY-NC-ND-4.0": _creative("Attribution-NonCommercial-NoDerivatives", "CC BY-NC-ND"),
+    "CC0-1.0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights.",
+                "has waived all copyright and related or neighboring rights to", "CC0 1.0"),
     "all-rights-reserved": ("All rights reserved.",),
 }
+TEMPLATES = {name: (*texts, *([] if name in ("BSD", "all-rights-reserved") else [f"SPDX-License-Identifier: {name}"]))
+             for name, texts in TEMPLATES.items()}
+#: Words that tell licences apart, besides those with a digit: none may be lacking, and none be added
+#: but those that other text holds too.
+NAME_WORDS = frozenset("""mit apache gnu gpl lgpl agpl lesser affero library bsd zero new modified simplified isc mozilla mpl eclipse epl
+boost unlicense zlib cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives noderivs neither""".split())
+COMMON = frozenset("library new modified by".split())
 
-CUE = r"licen[sc]e|licensing|copyright|\(c\)|©|rights reserved|public domain|hereby granted|redistribut|warrant|spdx|creative commons|\bcc[ -]by|\bcc0"
-#: Saving by the dictionary, in hundredths of the plain size, that makes a template a contender; contenders confirmed.
-MIN_SAVING_PCT, CONTENDERS = 25, 3
+CUE = (r"licen[sc]e|licensing|copyright|\(c\)|©|rights\W+reserved|public\W+domain|hereby\W+granted|redistribut|warrant|spdx"
+       r"|creative\W+commons|\bcc[ -]by|\bcc0|permission\W+(?:is|to)\b|\b[al]?gpl|\b[em]pl\b|\b0?bsd\b")
 #: Words of the template that the block must hold in order, in hundredths.
 MIN_WORDING_PCT = 90
 #: Characters before and after a cue that its block takes from long paragraphs: twice the longest template.
@@ -67,23 +164,41 @@ _SAID = re.compile(r"[^\W_]")
 SCHEMA = "n_blocks long, licenses array<string>, findings array<struct<license:string,start:long,end:long,saving_pct:int,wording_pct:int,differences:string>>"
 
 
+#: Words as they count in a comparison: without marks at their ends, parted by hyphens unless these are often left out.
+_WORD = re.compile(r"(?:non|no|share)-(?:commercial|derivatives|derivs|alike)\b|[^\W_]+(?:[.'’/][^\W_]+)*", re.I)
+_VERSION = re.compile(r"(a?gpl|lgpl|mpl|epl|)v?(\d+(?:\.\d+)*?)(?:\.0)*")
+
+
 class Template:
     def __init__(self, name: str, text: str):
         import zstandard as zstd
 
         self.name, self.words = name, wording(text)
+        self.counts = Counter(self.words)
+        self.keys = {w for w in self.words if w in NAME_WORDS or any(map(str.isdigit, w))}
+        self.adds = max(2, len(self.words) // 5) if len(self.words) > 4 else 0
         kind = zstd.ZstdCompressionDict(text.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
         self.compress = zstd.ZstdCompressor(level=3, dict_data=kind, write_content_size=False, write_dict_id=False).compress
 
 
+def words_at(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The words of a text and where each lies: lower case, 'v2.0' and '2.0' as '2', 'gplv3' as 'gpl' and '3'."""
+    words, seats = [], []
+    for m in _WORD.finditer(text):
+        word = m[0].lower()
+        version = _VERSION.fullmatch(word) if word[-1].isdigit() else None
+        words += [x for x in version.groups() if x] if version else [word.replace("-", "")]
+        seats += [m.span()] * (len(words) - len(seats))
+    return words, seats
+
+
 def wording(text: str) -> list[str]:
-    """Words as they count in a comparison: lower case, without marks at their ends."""
-    return [w for w in (x.strip(".,;:()\"'") for x in text.lower().split()) if w]
+    return words_at(text)[0]
 
 
 @lru_cache(maxsize=1)
 def templates() -> tuple[Template, ...]:
-    return tuple(Template(name, text) for name, texts in TEMPLATES.items() for text in texts)
+    return tuple(Template(name, text) for name, texts in TEMPLATES.items() for text in texts if text)
 
 
 def blocks(text: str, cue) -> list[tuple[int, int]]:
@@ -128,43 +243,95 @@ def _paragraph(text: str, at: int) -> tuple[int, int]:
     return start, len(text) if end < 0 else end
 
 
-def judge(block: str):
-    """(name, start, end, saving_pct, wording_pct, differences) of the best confirmed template, or None.
+def _row(row: np.ndarray, same: np.ndarray, i: int) -> np.ndarray:
+    """Next row of the least numbers of words lacked and added, a match being free; a match may start anywhere."""
+    new = row + 1
+    np.minimum(new[1:], np.where(same, row[:-1], row[:-1] + 2), out=new[1:])
+    new[0] = i
+    steps = np.arange(len(new), dtype=np.int32)
+    return np.minimum.accumulate(new - steps) + steps
 
-    A block that is long beside a template saves little by its dictionary
-    whatever it holds, so the least saving is asked of short blocks only.
+
+def matches(ids: np.ndarray, wanted: list[int], cost: int) -> Iterator[list[tuple[int, int]]]:
+    """Alignments of ``wanted`` with parts of ``ids`` that lack and add ``cost`` words or fewer, apart from each other, best first.
+
+    An alignment is its pairs (place in ids, place in wanted), both rising.
+    """
+    row = np.zeros(len(ids) + 1, np.int32)
+    for i, w in enumerate(wanted, 1):
+        row = _row(row, ids == w, i)
+    ends = np.flatnonzero((row[1:] <= cost) & np.isin(ids, wanted)) + 1
+    taken = np.zeros(len(ids) + 1, bool)
+    for end in ends[np.argsort(row[ends], kind="stable")].tolist():
+        low = max(0, end - len(wanted) - cost)
+        used = np.flatnonzero(taken[low:end])
+        low += int(used[-1]) + 1 if len(used) else 0
+        if low >= end:
+            continue
+        part = ids[low:end]
+        rows = [np.zeros(len(part) + 1, np.int32)]
+        for i, w in enumerate(wanted, 1):
+            rows.append(_row(rows[-1], part == w, i))
+        i, j, pairs = len(wanted), len(part), []
+        while i and j:
+            if part[j - 1] == wanted[i - 1] and rows[i][j] == rows[i - 1][j - 1]:
+                i, j = i - 1, j - 1
+                pairs.append((low + j, i))
+            elif rows[i][j] == rows[i - 1][j] + 1:
+                i -= 1
+            else:
+                j -= 1
+        if pairs and pairs[0][0] == end - 1:
+            yield pairs[::-1]
+            taken[pairs[-1][0]:end] = True
+
+
+def judge(block: str) -> list[tuple]:
+    """(name, start, end, saving_pct, wording_pct, differences) of the confirmed templates that do not overlap, in order.
+
+    Each template of whose words the block has enough is confirmed at every
+    place; where confirmed ones overlap, the one that holds the most words
+    stays, then the one of the larger share, then of the larger saving.
     """
     import zstandard as zstd
 
+    words, seats = words_at(block)
+    have = Counter(words)
+    near = [(i, t) for i, t in enumerate(templates())
+            if t.keys <= have.keys() and 100 * sum(min(n, have[w]) for w, n in t.counts.items()) >= MIN_WORDING_PCT * len(t.words)]
+    if not near:
+        return []
     raw = block.lower().encode("utf-8", "surrogatepass")
     plain = len(zstd.ZstdCompressor(level=3, write_content_size=False).compress(raw))
-    ranked = sorted(((100 * (plain - len(t.compress(raw))) // plain, -i, t) for i, t in enumerate(templates())), reverse=True)
-    words, best = wording(block), None
-    seats = [m.span() for m in re.finditer(r"\S+", block) if m[0].strip(".,;:()\"'")]
-    for saving, _, t in ranked[:CONTENDERS]:
-        if saving < MIN_SAVING_PCT and len(words) <= 3 * len(t.words):
-            break
-        matched = [m for m in SequenceMatcher(None, words, t.words, autojunk=False).get_matching_blocks() if m.size]
-        held = sum(m.size for m in matched)
-        share = 100 * held // len(t.words)
-        if share < MIN_WORDING_PCT:
-            continue
-        first, last = matched[0].a, matched[-1].a + matched[-1].size
-        kept = {m.b + k for m in matched for k in range(m.size)}
-        inside = {m.a + k for m in matched for k in range(m.size)}
-        lacks = ["-" + w for i, w in enumerate(t.words) if i not in kept]
-        adds = ["+" + words[i] for i in range(first, last) if i not in inside]
-        if len(adds) > max(2, held // 5):
-            continue
-        found = (share, held, saving), (t.name, seats[first][0], seats[last - 1][1], saving, share, " ".join(lacks + adds))
-        if best is None or found[0] > best[0]:
-            best = found
-    return best and best[1]
+    number = {w: i for i, w in enumerate(have)}
+    ids, found = np.array([number[w] for w in words], np.int32), []
+    for order, t in near:
+        saving = max(0, 100 * (plain - len(t.compress(raw))) // plain)
+        lack = len(t.words) - -(-MIN_WORDING_PCT * len(t.words) // 100)
+        for pairs in matches(ids, [number.get(w, -1) for w in t.words], lack + t.adds):
+            held, first, last = len(pairs), pairs[0][0], pairs[-1][0] + 1
+            kept, inside = {b for _, b in pairs}, {a for a, _ in pairs}
+            lacks = [w for i, w in enumerate(t.words) if i not in kept]
+            adds = [words[i] for i in range(first, last) if i not in inside]
+            if len(lacks) > lack or len(adds) > t.adds or t.keys & set(lacks) or (NAME_WORDS - COMMON) & set(adds):
+                continue
+            share = 100 * held // len(t.words)
+            said = " ".join([*("-" + w for w in lacks), *("+" + w for w in adds)])
+            found.append(((-held, -share, -saving, order, first), first, last, (t.name, saving, share, said)))
+    taken, kept = np.zeros(len(words), bool), []
+    for _, first, last, said in sorted(found):
+        if not taken[first:last].any():
+            taken[first:last] = True
+            start, end = seats[first][0], seats[last - 1][1]
+            while end < len(block) and not block[end].isspace() and not _SAID.match(block[end]):
+                end += 1
+            kept.append((said[0], start, end, *said[1:]))
+    return sorted(kept, key=lambda x: x[1])
 
 
 def _start():
     cue = re.compile(CUE, re.I).finditer
-    known: dict[str, tuple | None] = {}
+    known: dict[str, list[tuple]] = {}
 
     def step(text: str) -> tuple:
         found, spans = [], blocks(text, cue)
@@ -172,8 +339,7 @@ def _start():
             block = text[start:end]
             if block not in known:
                 known[block] = judge(block)
-            if known[block]:
-                name, a, b, *rest = known[block]
+            for name, a, b, *rest in known[block]:
                 found.append({"license": name, "start": start + a, "end": start + b, "saving_pct": rest[0],
                               "wording_pct": rest[1], "differences": rest[2]})
         return len(spans), sorted({x["license"] for x in found}), found
