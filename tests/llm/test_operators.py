@@ -76,6 +76,29 @@ def test_html_never_breaks():
     assert html_extraction.main_text(open_quote) == "One two three four five.\nSix seven eight nine ten."
 
 
+def paragraphs(low, high):
+    return [f"Paragraph number {i} tells of something else that happened in the long story of the town and the river." for i in range(low, high)]
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div>{a}</div><div>{b}</div></body>", "<body><article>{a}</article><article>{b}</article></body>",
+    "<body><div><div>{a}</div><div>{b}</div></div></body>", "<body><main>{a}</main><div>{b}</div></body>", "{a}<div>{b}</div>",
+    "<body><div><article>{a}</article></div><div class=x><div><article>{b}</article></div><a href=z>"
+    + "linked words that go on </a><a href=z>" * 99 + "</a></div></body>",
+])
+@pytest.mark.parametrize("n", [3, 10, 17])
+def test_html_reads_every_part_of_a_split_article(page, n):
+    a, b = paragraphs(0, n), paragraphs(n, 20)
+    mark = lambda x: "".join(f"<p>{t}</p>" for t in x)
+    assert html_extraction.main_text(page.format(a=mark(a), b=mark(b))) == "\n".join(a + b)
+
+
+def test_html_reads_loose_text_beside_the_core():
+    a, b = paragraphs(0, 3), paragraphs(3, 20)
+    page = "<body>" + "<br><br>".join(a) + "<div>" + "".join(f"<p>{t}</p>" for t in b) + "</div><a href=x>Home</a> | <a href=y>Up</a></body>"
+    assert html_extraction.main_text(page) == " ".join(a) + "\n" + "\n".join(b)
+
+
 def test_html_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extraction.extract(df).collect() == []

@@ -6,7 +6,8 @@ other node gets its composite text density: characters for each tag, adjusted
 by the share of characters and tags that lie in links.  A node's density sum
 adds the densities of its children.  The node with the largest sum marks the
 article; the least density on its path from the body is the threshold, and
-each branch that reaches it gives its own node of the largest sum.
+each branch up to the body that reaches it, at its size, is read too, without the containers
+below it beside the path to the branch's own node of the largest sum.
 
 Defined results: null, empty and tag-only pages give an empty text and 0; an
 unclosed or unopened tag is closed as browsers do; a page of any length is
@@ -151,11 +152,22 @@ def _order(root: Node) -> list[Node]:
     return found
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    plain = max(1, chars - link_chars)
+    base = chars / plain * link_chars + share * chars + math.e
+    inner = chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
+    return chars / tags * math.log(max(1.0, inner)) / math.log(math.log(base) + math.e - 1)
+
+
+def _length(text: str) -> int:
+    return len(_SPACE.sub(" ", text).strip())
+
+
 def densities(root: Node) -> list[Node]:
     """Set characters, tags, densities and density sums; the nodes, parents first."""
     nodes = _order(root)
     for node in reversed(nodes):
-        node.chars = sum(len(_SPACE.sub(" ", p).strip()) for p in node.parts if isinstance(p, str))
+        node.chars = sum(_length(p) for p in node.parts if isinstance(p, str))
         for c in node.children:
             node.chars += c.chars
             node.tags += c.tags + 1
@@ -165,13 +177,8 @@ def densities(root: Node) -> list[Node]:
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
     share = root.link_chars / max(1, root.chars)
     for node in nodes:
-        if not node.chars:
-            continue
-        chars, tags = node.chars, max(1, node.tags)
-        plain = max(1, chars - node.link_chars)
-        base = chars / plain * node.link_chars + share * chars + math.e
-        inner = chars / max(1, node.link_chars) * tags / max(1, node.link_tags)
-        node.density = chars / tags * math.log(max(1.0, inner)) / math.log(math.log(base) + math.e - 1)
+        if node.chars:
+            node.density = _density(node.chars, max(1, node.tags), node.link_chars, node.link_tags, share)
     for node in nodes:
         node.total = sum(c.density for c in node.children if not c.skip)
         if any(isinstance(p, str) and p.strip() for p in node.parts):
@@ -179,31 +186,92 @@ def densities(root: Node) -> list[Node]:
     return nodes
 
 
-def article(root: Node) -> tuple[Node, set[int]] | None:
-    """The subtree to read and the ids of branches in it that fall below the threshold.
+def article(root: Node) -> bool:
+    """Set ``skip`` on what is not the article; False if the page has no text.
 
     The node of the largest density sum is the core.  The threshold is the
-    least density from it up to the body.  The subtree widens from the core to
-    the outermost ``article`` or ``main`` around it, or else to below the body;
-    of what that adds beside the path, containers below the threshold go.
+    least density from it up to the body.  From the core to the outermost
+    ``article`` or ``main`` around it, or else to below the body, containers
+    below the threshold go.  Above, each branch, and each run of text between
+    branches, stays if it reaches the threshold; of a branch that does not,
+    each ``article`` or ``main`` that does.
     """
     nodes = [n for n in densities(root) if n.chars and not n.skip]
     if not nodes:
-        return None
+        return False
     core = max(nodes, key=lambda n: n.total)
     while core.tag not in BLOCK and core.parent is not None:
         core = core.parent
-    path = [core, *(a for a in _above(core) if a.tag != "html")]
-    least = min(n.density for n in path)
+    with_body = any(n.tag == "body" for n in [core, *_above(core)])
+    path = [core, *(a for a in _above(core) if a is not root or not with_body)]
+    reaches = _threshold(core, path, root.link_chars / max(1, root.chars))
     named = [n for n in path if n.tag in ("article", "main")]
-    inner = [n for n in path if n.tag != "body"] or path
-    region = named[-1] if named else inner[-1]
-    below = set()
-    for n in path[1:path.index(region) + 1]:
+    inner = [n for n in path if n.tag != "body" and n is not root] or path
+    near = path.index(named[-1] if named else inner[-1]) + 1
+    _trim(path[:near], reaches)
+    above = path[near:] if path[-1] is root else [*path[near:], root]
+    _branches(above, set(map(id, path)), reaches, {id(a) for n in nodes if n.tag in ("article", "main") for a in (n, *_above(n))})
+    return True
+
+
+def _threshold(core: Node, path: list[Node], share: float):
+    """Function of a run of strings and nodes: does it reach the least density on the path?
+
+    Composite density grows with the size at equal characters a tag, so a part
+    is held against what the path's node of the least density would have if it
+    were of the part's size; a short part of an article counts as a long one.
+    """
+
+    def scaled(n: Node, chars: int) -> float:
+        f = chars / n.chars
+        return _density(chars, max(1, n.tags) * f, n.link_chars * f, n.link_tags * f, share)
+
+    lowest = min(path, key=lambda n: scaled(n, core.chars))
+
+    def reaches(*run) -> bool:
+        inline = [y for y in run if isinstance(y, Node) and not y.skip]
+        chars = sum(_length(y) if isinstance(y, str) else y.chars for y in run)
+        tags = inline[0].tags if len(run) == len(inline) == 1 else sum(y.tags + 1 for y in inline if y.tag != "br")
+        links = sum(y.link_chars for y in inline), sum(y.link_tags for y in inline)
+        return chars > 0 and _density(chars, max(1, tags), *links, share) >= scaled(lowest, chars) * (1 - 1e-9)
+
+    return reaches
+
+
+def _trim(path: list[Node], reaches) -> None:
+    """Leave out the containers below the threshold beside a path that leads upwards."""
+    for child, n in zip(path, path[1:]):
         for c in n.children:
-            if c not in path and c.tag in CONTAINERS and c.density < least:
-                below.add(id(c))
-    return region, below
+            if c is not child and c.tag in CONTAINERS and not reaches(c):
+                c.skip = True
+
+
+def _branches(above: list[Node], path: set[int], reaches, holders: set[int]) -> None:
+    """Leave out what lies below the threshold in the nodes ``above``, and so on in branches that hold an article."""
+    todo, held = [(n, False) for n in above], path | holders
+    for n, low in todo:
+        parts, run = [], []
+        for x in [*n.parts, None]:
+            if isinstance(x, str) or x is not None and x.tag not in BLOCK and id(x) not in held:
+                run.append(x)
+                continue
+            if not low and reaches(*run):
+                parts += run
+            run = []
+            if x is None:
+                break
+            parts.append(x)
+            if id(x) in path or x.skip or not x.chars:
+                continue
+            if reaches(x):
+                best = max((y for y in _order(x) if y.chars and not y.skip), key=lambda y: y.total)
+                up = [best, *_above(best)]
+                _trim(up[:up.index(x) + 1], reaches)
+            elif id(x) in holders and x.tag not in ("article", "main"):
+                todo.append((x, True))
+            else:
+                x.skip = True
+        n.parts = parts
 
 
 def _above(node: Node) -> list[Node]:
@@ -214,7 +282,7 @@ def _above(node: Node) -> list[Node]:
     return found
 
 
-def blocks(node: Node, left_out: set[int] = frozenset()) -> list[str]:
+def blocks(node: Node) -> list[str]:
     """Texts of the blocks below a node, white space as one space, without empty ones."""
     found: list[list[str]] = [[]]
     todo: list = [node]
@@ -224,7 +292,7 @@ def blocks(node: Node, left_out: set[int] = frozenset()) -> list[str]:
             found[-1].append(x)
         elif x is None:
             found.append([])
-        elif not x.skip and id(x) not in left_out:
+        elif not x.skip:
             cut = x.tag in BLOCK
             todo.extend([None] * cut + x.parts[::-1] + [None] * cut)
             if x.tag == "br":
@@ -235,8 +303,8 @@ def blocks(node: Node, left_out: set[int] = frozenset()) -> list[str]:
 def main_text(page: str) -> str:
     if not page or not page.strip():
         return ""
-    found = article(parse(page))
-    return "\n".join(blocks(*found)) if found else ""
+    root = parse(page)
+    return "\n".join(blocks(root)) if article(root) else ""
 
 
 def _start():
