@@ -99,6 +99,21 @@ def test_html_reads_loose_text_beside_the_core():
     assert html_extraction.main_text(page) == " ".join(a) + "\n" + "\n".join(b)
 
 
+@pytest.mark.parametrize("page", [
+    "<body><div class='content has-sidebar'><article>{a}{b}</article></div></body>", "<body><div class='no-sidebar'>{a}{b}</div></body>",
+    "<body><div class='layout-fixed-header'><main>{a}{b}</main></div><div class='sidebar'><p>Side side side side side.</p></div></body>",
+    "<body><div id='discussion-paper'><div class='share-price-report'>{a}{b}</div></div><section id='comments'><p>{c}</p></section></body>",
+    "<body><div class='notice-of-election'><article>{a}</article></div><div class='notice'><article>{b}</article></div></body>",
+    "<body><div class='notice'>{a}</div><div class='notice'>{b}</div></body>",
+    "<body><div>{a}{b}</div><section class='comments'><p>{c}</p><p>{c}</p><p>{c}</p></section></body>",
+])
+def test_html_words_of_a_class_drop_no_article(page):
+    a, b = paragraphs(0, 9), paragraphs(9, 20)
+    mark = lambda x: "".join(f"<p>{t}</p>" for t in x)
+    page = page.format(a=mark(a), b=mark(b), c="Reader says a great deal more than the article itself does say here.")
+    assert html_extraction.main_text(page) == "\n".join(a + b)
+
+
 def test_html_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extraction.extract(df).collect() == []

@@ -1,7 +1,11 @@
 """Main text of HTML pages by composite text density.
 
 Each page is parsed into a tree.  Elements that never hold the article
-(scripts, menus, forms, notices, adverts, comments, ...) are left out.  Every
+(scripts, menus, forms, ...) are left out.  Words of a class or id that speak
+of notices, adverts, comments and the like lower a node's claim to be the
+article; such a node is left out unless it holds the article all the same (the
+node of the largest claim, or an ``article`` or ``main`` element) or has only
+words of such a one; then densities decide.  Every
 other node gets its composite text density: characters for each tag, adjusted
 by the share of characters and tags that lie in links.  A node's density sum
 adds the densities of its children.  The node with the largest sum marks the
@@ -57,35 +61,40 @@ subscribe subscription signup login share sharing social related recommended pag
 skip hidden""".split())
 #: These are never left out by a word of their class or id.
 KEEP_TAGS = frozenset("html body main article".split())
+#: What densities count for in the sums at and below a node with such a word.
+LOWERED = 0.25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "parts", "skip", "weak", "claim", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", skip: bool = False):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: "Node | None", skip: bool = False, weak: frozenset = frozenset()):
+        self.tag, self.parent, self.skip, self.weak = tag, parent, skip, weak
+        self.claim = LOWERED if weak else parent.claim if parent else 1.0
         self.children: list[Node] = []
         self.parts: list = []  # strings and nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _skipped(tag: str, attrs: str) -> bool:
+def _skipped(tag: str, attrs: str) -> tuple[bool, frozenset]:
+    """Is an element left out, and the words of its class or id that lower its claim."""
+    weak: frozenset = frozenset()
     if tag in SKIP_TAGS:
-        return True
+        return True, weak
     if tag in KEEP_TAGS or not attrs.strip():
-        return False
+        return False, weak
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, weak
         if key == "role" and value.lower() in SKIP_ROLES:
-            return True
-        if key in ("class", "id") and any(w.lower() in SKIP_WORDS for w in _NAME.findall(value)):
-            return True
+            return True, weak
+        if key in ("class", "id"):
+            weak |= SKIP_WORDS.intersection(w.lower() for w in _NAME.findall(value))
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, weak
+    return False, weak
 
 
 def parse(page: str) -> Node:
@@ -136,7 +145,8 @@ def parse(page: str) -> Node:
             at = close.end() if close else end_of
             node.parts.append(" ")
             continue
-        child = Node(tag, node, node.skip or _skipped(tag, attrs))
+        skip, weak = _skipped(tag, attrs)
+        child = Node(tag, node, node.skip or skip, weak)
         node.children.append(child)
         node.parts.append(child)
         if tag not in VOID and not attrs.rstrip().endswith("/"):
@@ -167,7 +177,8 @@ def densities(root: Node) -> list[Node]:
     """Set characters, tags, densities and density sums; the nodes, parents first."""
     nodes = _order(root)
     for node in reversed(nodes):
-        node.chars = sum(_length(p) for p in node.parts if isinstance(p, str))
+        node.chars = 0 if node.skip else sum(_length(p) for p in node.parts if isinstance(p, str))
+        node.tags = node.link_chars = node.link_tags = 0
         for c in node.children:
             node.chars += c.chars
             node.tags += c.tags + 1
@@ -177,12 +188,13 @@ def densities(root: Node) -> list[Node]:
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
     share = root.link_chars / max(1, root.chars)
     for node in nodes:
+        node.density = 0.0
         if node.chars:
             node.density = _density(node.chars, max(1, node.tags), node.link_chars, node.link_tags, share)
     for node in nodes:
-        node.total = sum(c.density for c in node.children if not c.skip)
+        node.total = sum(c.density * c.claim for c in node.children if not c.skip)
         if any(isinstance(p, str) and p.strip() for p in node.parts):
-            node.total = max(node.total, node.density)
+            node.total = max(node.total, node.density * node.claim)
     return nodes
 
 
@@ -200,6 +212,19 @@ def article(root: Node) -> bool:
     if not nodes:
         return False
     core = max(nodes, key=lambda n: n.total)
+    if any(n.weak for n in nodes):
+        held = {id(a) for n in nodes if n is core or n.tag in ("article", "main") for a in (n, *_above(n))}
+        said = frozenset().union(*(n.weak for n in nodes if id(n) in held))
+        weak = {id(n) for n in nodes if n.weak and id(n) not in held and not n.weak <= said}
+        below: set[int] = set()
+        for n in _order(root)[1:]:
+            if id(n) in weak or id(n.parent) in below:
+                below.add(id(n))
+        if any(id(n) not in below and any(isinstance(p, str) and p.strip() for p in n.parts) for n in nodes):  # some text is left
+            for n in _order(root):
+                n.skip = n.skip or id(n) in below
+        nodes = [n for n in densities(root) if n.chars and not n.skip]
+        core = max(nodes, key=lambda n: n.total)
     while core.tag not in BLOCK and core.parent is not None:
         core = core.parent
     with_body = any(n.tag == "body" for n in [core, *_above(core)])
