@@ -282,6 +282,38 @@ def test_patience_is_an_alignment():
         assert line_dedup.patience(a, a) == [(i, i) for i in range(len(a))]
 
 
+def brute_runs(a, b, words, least=line_dedup.MIN_WORDS):
+    """Places of b in any run of lines that a holds too, of the words."""
+    held = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+    return {k for i in range(len(b)) for j in range(i + 1, len(b) + 1)
+            if sum(words[i:j]) >= least and tuple(b[i:j]) in held for k in range(i, j)}
+
+
+def test_no_common_block_is_left():
+    rng = random.Random(13)
+    for _ in range(1500):
+        a, b = ([rng.randint(0, 7) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        words = [(0, 1, 1, 2, 3, 4, 5, 9)[x] for x in b]
+        gone, want = set(line_dedup.deletions(a, b, words)), brute_runs(a, b, words)
+        assert gone <= want and all(words[j] == 0 for j in want - gone)
+
+
+def test_crossing_and_repeated_lines_go(spark):
+    x, y = "a line of many words", "another line of many words"
+    rows = [(1, f"{x}\n{y}"), (2, f"{y}\n{x}"), (3, f"{y}\n{x}"), (4, f"{x}\nown words of four only\n{x}")]
+    got = {r["row"]["doc_id"]: r["left"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "", 4: "own words of four only"}
+
+
+def test_no_line_of_an_earlier_document_is_left(spark):
+    """All pairs: no line of MIN_WORDS words or more that any earlier document holds stays."""
+    seen = set()
+    got = {r["doc_id"]: r["text"] or "" for r in QUERIES["op4_line_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    for d, t in sorted(pairs_of(docs_of(spark, "/root/testdata/sf0.01"))):
+        assert not seen & {x.strip() for x in got[d].split("\n") if len(x.split()) >= line_dedup.MIN_WORDS}
+        seen |= {x.strip() for x in (t or "").split("\n")}
+
+
 # --- BPE ----------------------------------------------------------------
 
 def reference():

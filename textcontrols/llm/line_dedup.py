@@ -8,7 +8,8 @@ n * n, and every line that an earlier document holds is covered by some pair.
 A pair is aligned with patience diff: lines unique in both, in the longest
 increasing order, are anchors; runs grow from them and the gaps are aligned in
 the same way.  Aligned blocks of MIN_WORDS words or more are deleted from the
-later document.  Alignments read the documents as they came, so the earliest
+later document, and so are the blocks that both hold but one alignment leaves:
+crossing ones, and ones that the later document has more often.  Alignments read the documents as they came, so the earliest
 holder of a line keeps it and no order of work matters.
 
 A document that is the earliest holder for very many others is copied to as
@@ -23,9 +24,10 @@ an empty table; other columns are passed by.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -39,6 +41,9 @@ MIN_WORDS = 4
 #: Partners of a document in one slot, and salts of the join on line hashes.
 SLOT_PAIRS, SALTS = 100, 8
 
+#: Fingerprints of runs of lines: polynomials in BASE modulo a prime.
+BASE, PRIME = 0x5A17C3D9E8B24F6180D3A7B5C91E4F27, (1 << 127) - 1
+
 SEQUENCE = "d long, t long, h1 array<long>, h2 array<long>, w array<int>"
 
 
@@ -113,8 +118,62 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def windows(words: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """Shortest runs of lines of ``least`` words or more, from each line on and up to each line, as (start, end).
+
+    Any run of so many words is covered by those of them that lie in it.
+    """
+    total = [0, *accumulate(words)]
+    for start in range(len(words)):
+        end = bisect_left(total, total[start] + least)
+        if end < len(total):
+            yield start, end
+    for end in range(1, len(total)):
+        if total[end] >= least:
+            yield bisect_right(total, total[end] - least) - 1, end
+
+
+def _prints(lines: list, of: dict) -> list[int]:
+    """Fingerprints of the lines up to each place."""
+    found = [0]
+    for x in lines:
+        found.append((found[-1] * BASE + of.setdefault(x, len(of) + 1)) % PRIME)
+    return found
+
+
+def common_runs(a: list, b: list, words: list[int], least: int) -> set[int]:
+    """Places of ``b`` that lie in a run of ``least`` words or more that ``a`` holds too; ``words`` are those of b's lines."""
+    of: dict = {}
+    size = dict(zip(b, words))
+    power = [1]
+    for _ in range(max(len(a), len(b))):
+        power.append(power[-1] * BASE % PRIME)
+
+    def runs(lines: list, counts: list[int]) -> Iterator[tuple[tuple[int, int], int, int]]:
+        upto = _prints(lines, of)
+        for s, e in windows(counts, least):
+            yield (e - s, (upto[e] - upto[s] * power[e - s]) % PRIME), s, e
+
+    of_b = list(runs(b, words))
+    held = {key for key, _, _ in runs(a, [size.get(x, least) for x in a])}
+    gone, at = set(), [0] * (len(b) + 1)
+    for key, s, e in of_b:
+        if key in held:
+            at[s] += 1
+            at[e] -= 1
+    for place, n in enumerate(accumulate(at[:-1])):
+        if n:
+            gone.add(place)
+    return gone
+
+
 def deletions(a: list, b: list, words: list[int], least: int = MIN_WORDS) -> list[int]:
-    """Places in the later document ``b`` that lie in aligned blocks of ``least`` words or more."""
+    """Places in the later document ``b`` that lie in blocks of ``least`` words or more of the earlier one.
+
+    One alignment leaves what crosses it, or comes more often in ``b``.  If a
+    line of ``a`` is left, every block common to both is taken, whatever its
+    order, so that none stays.
+    """
     gone: list[int] = []
     block: list[int] = []
     last = None
@@ -125,7 +184,10 @@ def deletions(a: list, b: list, words: list[int], least: int = MIN_WORDS) -> lis
             block = []
         block.append(j)
         last = i, j
-    return gone
+    out, held = set(gone), set(a)
+    if any(words[j] and j not in out and x in held for j, x in enumerate(b)):
+        out |= common_runs(a, b, words, least)
+    return sorted(out)
 
 
 OUT = "d long, t long, gone array<int>"
