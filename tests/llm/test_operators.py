@@ -314,6 +314,17 @@ def test_no_line_of_an_earlier_document_is_left(spark):
         seen |= {x.strip() for x in (t or "").split("\n")}
 
 
+def test_runs_of_short_lines_and_unspaced_scripts_go(spark):
+    verse = "\n".join(f"verse {i}" for i in range(300))
+    chinese = "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 30
+    rows = [(1, f"one\n{verse}\nend"), (2, f"two\n\n{verse}\nfin"), (3, "verse 7\nother\nthings"), (4, "甲\n" + chinese), (5, f"乙\n{chinese}\n丙"),
+            (6, "a\n\nb\n\nc\n\nd e"), (7, "x\na\n\nb\n\nc\n\nd e\ny"), (8, "start\na line of many words\ntail"), (9, "a line of many words\nhead"),
+            (10, "own\na line of many words\ntail\nown too")]
+    got = {r["row"]["doc_id"]: r["left"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(rows) | {2: "two\n\nfin", 5: "乙\n丙", 7: "x\ny", 9: "head", 10: "own\nown too"}
+    assert got == want
+
+
 # --- BPE ----------------------------------------------------------------
 
 def reference():

@@ -4,7 +4,8 @@ Every line is hashed.  Documents that share lines overlap: each shared line
 pairs a document with the earliest document that holds the line, rare lines
 and frequent ones alike, so a line in n documents makes n - 1 pairs and not
 n * n, and every line that an earlier document holds is covered by some pair.
-(Lines of fewer than MIN_WORDS words, which recur by chance, make no pair.)
+Lines of fewer than MIN_WORDS words, which recur by chance, make a pair in runs
+that have so many together.  Scripts without blanks count by characters.
 A pair is aligned with patience diff: lines unique in both, in the longest
 increasing order, are anchors; runs grow from them and the gaps are aligned in
 the same way.  Aligned blocks of MIN_WORDS words or more are deleted from the
@@ -24,6 +25,7 @@ an empty table; other columns are passed by.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -38,23 +40,42 @@ from pyspark.sql.types import StringType
 from textcontrols.llm.work import arrow_schema, map_columns, require, sliced, written
 
 MIN_WORDS = 4
+#: Characters that count as a word: of scripts without blanks between words, and of any line.
+UNSPACED_CHARS, LINE_CHARS = 2, 40
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 #: Partners of a document in one slot, and salts of the join on line hashes.
 SLOT_PAIRS, SALTS = 100, 8
 
 #: Fingerprints of runs of lines: polynomials in BASE modulo a prime.
 BASE, PRIME = 0x5A17C3D9E8B24F6180D3A7B5C91E4F27, (1 << 127) - 1
 
-SEQUENCE = "d long, t long, h1 array<long>, h2 array<long>, w array<int>"
+SEQUENCE = "d long, t long, h1 array<long>, h2 array<long>, w array<int>, pairing array<long>"
 
 
-def _hash_lines():
+def weights(lines: list[str], spaced: bool = False) -> list[int]:
+    """Words of each line; of scripts without blanks two characters, and of any line 40, count as one at least.
+
+    ``spaced``: no line holds such a script.
+    """
+    if spaced:
+        return [max(len(x.split()), len(x) // LINE_CHARS) for x in lines]
+    return [max(len(x.split()), len(x) // LINE_CHARS, sum(map(len, _UNSPACED.findall(x))) // UNSPACED_CHARS) for x in lines]
+
+
+def _hash_lines(least: int):
     mask, half = (1 << 64) - 1, 1 << 63
 
     def step(ids, keys, texts):
         for d, t, text in zip(ids, keys, texts):
             lines = text.split("\n")
-            whole = [xxhash.xxh3_128_intdigest(x.strip().encode("utf-8", "surrogatepass")) for x in lines]
-            yield (d, t, [(h >> 64) - half for h in whole], [(h & mask) - half for h in whole], [len(x.split()) for x in lines])
+            whole = [xxhash.xxh3_128_digest(x.strip().encode("utf-8", "surrogatepass")) for x in lines]
+            w = weights([x.strip() for x in lines], text.isascii() or not _UNSPACED.search(text))
+            numbers = [int.from_bytes(h, "big") for h in whole]
+            pairing = {(h >> 64) - half for h, n in zip(numbers, w) if n >= least}
+            if any(0 < n < least for n in w):
+                pairing.update(xxhash.xxh3_64_intdigest(b"".join(whole[a:b])) - half
+                               for a, b in windows(w, least) if b > a + 1 and w[a] and w[b - 1])
+            yield (d, t, [(h >> 64) - half for h in numbers], [(h & mask) - half for h in numbers], w, list(pairing))
 
     return step
 
@@ -217,10 +238,9 @@ def _d(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
 
 
-def overlaps(sequences: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(fd, ft, d, t): each document with the earliest holder of each of its shared lines."""
-    lines = sequences.select("d", "t", F.explode(F.arrays_zip("h1", "w")).alias("x")).where(F.col("x.w") >= least)
-    lines = lines.select("d", "t", F.col("x.h1").alias("h"))
+def overlaps(sequences: DataFrame) -> DataFrame:
+    """(fd, ft, d, t): each document with the earliest holder of each of its shared lines and runs of short lines."""
+    lines = sequences.select("d", "t", F.explode("pairing").alias("h"))
     holder = F.struct("d", "t")
     shared = (lines.groupBy("h").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first <> last")
               .select("h", "first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")))
@@ -232,8 +252,8 @@ def overlaps(sequences: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 def places_to_delete(docs: DataFrame, doc_id: str, text: str, least: int = MIN_WORDS) -> DataFrame:
     """(d, t, gone): document keys and the places of the lines that go."""
     keyed = docs.select(_d(F.col(doc_id)).alias("d"), F.xxhash64(text).alias("t"), F.col(text).alias("x")).where(F.col("x").isNotNull())
-    sequences = written(map_columns(keyed, _hash_lines, SEQUENCE).dropDuplicates(["d", "t"]), "lines")
-    pairs = written(overlaps(sequences, least), "pairs")
+    sequences = written(map_columns(keyed, lambda: _hash_lines(least), SEQUENCE).dropDuplicates(["d", "t"]), "lines")
+    pairs = written(overlaps(sequences), "pairs")
     slots = pairs.groupBy("fd", "ft").agg(F.ceil(F.count(F.lit(1)) / SLOT_PAIRS).cast("int").alias("slots"))
     later = (pairs.join(slots, ["fd", "ft"]).withColumn("slot", F.pmod(F.xxhash64("d", "t"), F.col("slots")).cast("int"))
              .join(sequences, ["d", "t"]).select("fd", "ft", "slot", F.lit(True).alias("later"), "d", "t", "h1", "h2", "w"))
