@@ -587,6 +587,24 @@ def test_random_strings(text, found):
     assert any(k == 3 for _, k, _ in secrets.finder(RANKS, PATTERN)(text)) is found
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+                                      "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+def test_random_keys_are_found_by_characters_per_token(alphabet):
+    """No expression comes before the vocabulary: every key of fewer than 2 characters a token is found, and nearly all are such."""
+    rng, find = random.Random(17), secrets.finder(RANKS, PATTERN)
+    encode = secrets._encoder(RANKS, PATTERN)
+    for n in (20, 32):
+        keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(400)]
+        keys = [k for k in keys if not re.search("[0-9a-f]{24}", k)]
+        efficient = sum(len(k) >= 2 * len(encode(k)) for k in keys)
+        assert sum(not find(f"see {k} here") for k in keys) == efficient <= 0.03 * len(keys)
+
+
+@pytest.mark.parametrize("name", ["MAX_RETRY_COUNT_2_TIMES", "KUBERNETES_SERVICE_PORT_443", "content_type_id_2024_v2", "-" * 30, "usr/local/lib/python3/site-packages"])
+def test_names_are_no_secrets(name):
+    assert secrets.finder(RANKS, PATTERN)(name) == []
+
+
 # --- quality classifier -------------------------------------------------
 
 def test_classifier(spark, corpus, empty):

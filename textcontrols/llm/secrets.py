@@ -29,15 +29,17 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 MIN_ASSIGNED = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the greedy run AKIA[A-Z0-9]+ of 20 characters or more
 HEX = r"[0-9a-f]{24,}"  # the greedy run [0-9a-f]+ of 24 characters or more
-#: Candidates of the method: unbroken runs that mix letters and digits.
+#: Candidates of the method: long unbroken runs.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Fewer characters for each token than this is random; prose and names have 3 to 5.
 MAX_CHARS_PER_TOKEN = 2.0
 #: Hexadecimal digests by length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs.
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-#: Names joined by separators or capitals, and numbers: readable pieces of three letters or more, or digits only.
+#: Names joined by separators or capitals, and numbers: pieces of three letters or more, or digits only.
 IDENTIFIER = r"[+/_=-]*(?:(?:[A-Za-z][a-z]{2,}|[A-Z]{3,}|[0-9]{1,8})(?:[+/_=-]+|$|(?=[A-Z0-9])|(?<=[0-9])(?=[a-z])))+"
+#: The pieces of letters, and the characters for each token, in lower case, that make one readable.
+PIECE, NAME_CHARS_PER_TOKEN = r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]", 2.5
 PLACEHOLDER = "[SECRET]"
 
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
@@ -57,15 +59,17 @@ def finder(path: str, pattern: str):
     assign = re.compile(ASSIGN, re.I | re.A).finditer
     access, hexes, runs = (re.compile(p).finditer for p in (ACCESS, HEX, CANDIDATE))
     uuid, name = re.compile(UUID).fullmatch, re.compile(IDENTIFIER).fullmatch
+    pieces = re.compile(PIECE).findall
     is_hex = re.compile(r"[0-9a-fA-F]+").fullmatch
     encode = _encoder(path, pattern)
 
+    def readable(s: str) -> bool:
+        return bool(name(s)) and all(len(x) >= NAME_CHARS_PER_TOKEN * len(encode(x.lower())) for x in pieces(s))
+
     def random(s: str) -> bool:
-        if s.isalpha() or s.isdigit() or not any(map(str.isdigit, s)):
-            return False
-        if uuid(s) or name(s) or len(s) in DIGEST_LENGTHS and is_hex(s):
+        if s.isdigit() or not any(map(str.isalnum, s)) or len(s) >= MAX_CHARS_PER_TOKEN * len(encode(s)):
             return False
-        return len(s) < MAX_CHARS_PER_TOKEN * len(encode(s))
+        return not (uuid(s) or len(s) in DIGEST_LENGTHS and is_hex(s) or readable(s))
 
     def find(text: str) -> list[tuple[int, int, int]]:
         found = [(m.start(), 0, m.end()) for m in assign(text) if m.end(2) - m.start(2) >= MIN_ASSIGNED]
