@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from textcontrols.llm import (
-    bpe, exact_dedup, html_extraction, licenses, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secrets,
+    bpe, exact_dedup, html_extraction, licenses, line_dedup, merkle, ngram_join, packing, quality_classifier, quality_rules, secrets,
 )
 from textcontrols.sources.tables import load_table
 
@@ -87,3 +87,58 @@ def op8(spark, sf_dir):
 def op4(spark, sf_dir):
     found = line_dedup.dedup(load_table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", F.col("left").alias("text"), "n_lines", "n_removed_lines")
+
+
+#: Unsigned CRC-32 of a decimal number, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::UBIGINT)),
+      lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1::UBIGINT)))), 4294967295::UBIGINT)"""
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+@query("op11_merkle", f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+         CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+low AS (
+  SELECT g, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT g, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 15) // 16) FROM low WHERE n > 1 GROUP BY g, lvl, pos // 16),
+sub AS (SELECT g, h AS subroot, lvl AS height FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lvl, g AS pos, subroot AS h, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 15) // 16) FROM high WHERE n > 1 GROUP BY lvl, pos // 16),
+node AS (
+  SELECT g AS part, lvl, pos, h, n FROM low
+  UNION ALL SELECT NULL, lvl, pos, h, n FROM high),
+way AS (
+  SELECT l.g, l.pos, n.lvl AS step, n.pos AS place, n.h, n.pos = (l.pos >> (4 * n.lvl)) AS own
+  FROM leaves l JOIN node n ON n.part = l.g AND n.n > 1 AND n.pos // 16 = (l.pos >> (4 * n.lvl)) // 16
+  UNION ALL
+  SELECT l.g, l.pos, s.height + n.lvl, n.pos, n.h, n.pos = (l.g >> (4 * n.lvl))
+  FROM leaves l JOIN sub s ON s.g = l.g JOIN node n ON n.part IS NULL AND n.n > 1 AND n.pos // 16 = (l.g >> (4 * n.lvl)) // 16),
+proof AS (
+  SELECT g, pos, sha256(coalesce(string_agg(CASE WHEN NOT own THEN h END, '' ORDER BY step, place), '')) AS proof_sha256, max(step) AS last FROM way GROUP BY g, pos),
+folded AS (
+  SELECT g, pos, 0 AS step, coalesce(changed, leaf) AS h FROM leaves
+  UNION ALL
+  SELECT f.g, f.pos, f.step + 1, sha256(string_agg(CASE WHEN w.own THEN f.h ELSE w.h END, '' ORDER BY w.place))
+  FROM folded f JOIN way w ON w.g = f.g AND w.pos = f.pos AND w.step = f.step GROUP BY f.g, f.pos, f.step),
+root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.subroot, r.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.root AS verified
+FROM leaves l JOIN sub s ON s.g = l.g CROSS JOIN root r LEFT JOIN proof p ON p.g = l.g AND p.pos = l.pos
+JOIN folded f ON f.g = l.g AND f.pos = l.pos AND f.step = coalesce(p.last + 1, 0)""")
+def op11(spark, sf_dir):
+    return merkle.audit(load_table(spark, sf_dir, "documents"))
