@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from textcontrols.llm import (
-    bpe, exact_dedup, html_extraction, licenses, line_dedup, merkle, ngram_join, packing, quality_classifier, quality_rules, secrets,
+    bpe, exact_dedup, filter_audit, html_extraction, licenses, line_dedup, merkle, ngram_join, packing, quality_classifier, quality_rules,
+    secrets,
 )
 from textcontrols.sources.tables import load_table
 
@@ -142,3 +143,37 @@ FROM leaves l JOIN sub s ON s.g = l.g CROSS JOIN root r LEFT JOIN proof p ON p.g
 JOIN folded f ON f.g = l.g AND f.pos = l.pos AND f.step = coalesce(p.last + 1, 0)""")
 def op11(spark, sf_dir):
     return merkle.audit(load_table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_audit", """
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+said AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+         (CASE WHEN len(words) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN min(w.doc_id) OVER (PARTITION BY t) < w.doc_id THEN 16 ELSE 0 END) AS mask
+  FROM w LEFT JOIN said ON said.doc_id = w.doc_id),
+h AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM m GROUP BY part, mask),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31),
+steps AS (
+  SELECT filter_order, s.step, (SELECT bit FROM l WHERE c = filter_order[s.step]) AS own,
+         coalesce((SELECT sum(bit) FROM l WHERE instr(filter_order, c) < s.step), 0)::INTEGER AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) s)
+SELECT part, filter_order, step::INTEGER AS step,
+  coalesce(sum(n) FILTER (WHERE mask & (own | earlier) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & earlier <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (WHERE mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(bad) FILTER (WHERE mask & own <> 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (WHERE mask & own <> 0), 0)::BIGINT AS shapley
+FROM h, steps GROUP BY part, filter_order, step""")
+def op12(spark, sf_dir):
+    return filter_audit.audit(spark, f"{sf_dir.rstrip('/')}/documents.parquet", load_table(spark, sf_dir, "labels"))
