@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from textcontrols.llm import (
-    bpe, exact_dedup, filter_audit, html_extraction, licenses, line_dedup, merkle, ngram_join, packing, quality_classifier, quality_rules,
-    secrets,
+    bpe, embedding_dedup, exact_dedup, filter_audit, html_extraction, licenses, line_dedup, merkle, ngram_join, packing, quality_classifier,
+    quality_rules, secrets,
 )
 from textcontrols.sources.tables import load_table
 
@@ -177,3 +177,19 @@ SELECT part, filter_order, step::INTEGER AS step,
 FROM h, steps GROUP BY part, filter_order, step""")
 def op12(spark, sf_dir):
     return filter_audit.audit(spark, f"{sf_dir.rstrip('/')}/documents.parquet", load_table(spark, sf_dir, "labels"))
+
+
+@query("op13_embedding_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+       vec_id <= coalesce(least.b, vec_id) AS kept
+FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id""")
+def op13(spark, sf_dir):
+    return embedding_dedup.dedup(load_table(spark, sf_dir, "embeddings"))
