@@ -153,14 +153,15 @@ def deltas(stream: DataFrame, labels: DataFrame, buckets: int, doc_id: str = "do
 
 
 def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES, doc_id: str = "doc_id", text: str = "text",
-             part: str = "source", work: str | None = None) -> DataFrame:
+             part: str = "source", work: str | None = None, buckets: int | None = None) -> DataFrame:
     """(part, mask, label, n) of a Parquet table, streamed in about ``batches`` micro-batches.
 
     ``work`` names a folder for the stream's checkpoint and counters: a run
-    that was broken off goes on from there.
+    that was broken off, or for which files have come since, goes on from there
+    (with the same ``buckets``; by default they follow the rows).
     """
     table = spark.read.parquet(path)
-    buckets = max(1, -(-table.count() // BUCKET_TEXTS))
+    buckets = buckets or max(1, -(-table.count() // BUCKET_TEXTS))
     work = work or f"{checkpoint_dir(spark).rstrip('/')}/llm-audit-{uuid.uuid4().hex}"
     alone = path.rstrip("/")
     alone = f"{alone[:-1]}[{alone[-1]}]"  # a pattern of just this name: the path may be a file or a folder

@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +64,10 @@ def _places(height: int) -> tuple[list[int], ...]:
     return tuple((address(height + 1, d, np.arange(FAN ** d)) * DIGEST).tolist() for d in range(height + 1))
 
 
-def height_of(n: int) -> int:
-    """Levels below the root of a block in a layer of ``n`` nodes."""
+def height_of(n: int, levels: int = LEVELS) -> int:
+    """Levels below the root of a block in a layer of ``n`` nodes; ``levels`` at most."""
     height = 0
-    while FAN ** height < n and height < LEVELS:
+    while FAN ** height < n and height < levels:
         height += 1
     return height
 
@@ -163,64 +163,64 @@ def _map(df: DataFrame, step: Callable[[dict], Iterable[list]], schema: str) ->
     return df.mapInArrow(run, schema)
 
 
-def _blocks(nodes: DataFrame, name: str, *payload: str) -> DataFrame:
+def _blocks(nodes: DataFrame, levels: int, name: str, *payload: str) -> DataFrame:
     """(g, pos, n, node, payload) in blocks: g, block, n, m (its leaves), nodes (the layout), arrays of the payload; written."""
-    size = FAN ** LEVELS
+    size = FAN ** levels
     held = F.sort_array(F.collect_list(F.struct((F.col("pos") % size).cast("int").alias("slot"), "node", *payload)))
     rows = (nodes.groupBy("g", F.expr(f"pos div {size}").alias("block")).agg(F.max("n").alias("n"), held.alias("held"))
             .select("g", "block", "n", F.size("held").alias("m"), F.col("held.node").alias("leaves"), *[F.col(f"held.{c}").alias(c) for c in payload]))
 
     @F.arrow_udf("binary")
     def laid_out(n: pa.Array, leaves: pa.Array) -> pa.Array:
-        return pa.array([grow(leaves[i].as_py(), height_of(n[i].as_py())) for i in range(len(n))], pa.binary())
+        return pa.array([grow(leaves[i].as_py(), height_of(n[i].as_py(), levels)) for i in range(len(n))], pa.binary())
 
     return written(rows.select("g", "block", "n", "m", laid_out("n", "leaves").alias("nodes"), *payload), name)
 
 
-def _tops(blocks: DataFrame) -> DataFrame:
+def _tops(blocks: DataFrame, levels: int) -> DataFrame:
     """Block roots: the nodes of the next layer."""
-    return blocks.select("g", F.col("block").alias("pos"), F.ceil(F.col("n") / FAN ** LEVELS).cast("long").alias("n"),
-                         F.substring("nodes", 1, DIGEST).alias("node"), (F.col("n") <= FAN ** LEVELS).alias("whole"))
+    return blocks.select("g", F.col("block").alias("pos"), F.ceil(F.col("n") / FAN ** levels).cast("long").alias("n"),
+                         F.substring("nodes", 1, DIGEST).alias("node"), (F.col("n") <= FAN ** levels).alias("whole"))
 
 
-def _layers(nodes: DataFrame, most: int, name: str, *payload: str) -> tuple[list[DataFrame], DataFrame]:
+def _layers(nodes: DataFrame, most: int, levels: int, name: str, *payload: str) -> tuple[list[DataFrame], DataFrame]:
     """The blocks of every layer from the leaves up, and (g, node) of the roots; ``most`` is the largest n."""
-    layers, roots = [_blocks(nodes, name, *payload)], None
+    layers, roots = [_blocks(nodes, levels, name, *payload)], None
     while True:
-        tops = _tops(layers[-1])
+        tops = _tops(layers[-1], levels)
         done = tops.where("whole").select("g", "node")
         roots = done if roots is None else roots.unionByName(done)
-        most = -(-most // FAN ** LEVELS)
+        most = -(-most // FAN ** levels)
         if most <= 1:
             return layers, roots
-        layers.append(_blocks(tops.where("not whole"), name))
+        layers.append(_blocks(tops.where("not whole"), levels, name))
 
 
-def _paths(layers: list[DataFrame], known: DataFrame, name: str) -> DataFrame:
+def _paths(layers: list[DataFrame], known: DataFrame, levels: int) -> DataFrame:
     """``known`` holds (g, path, subroot) of the roots; (g, block, path, subroot) of every block of the lowest layer."""
     found = ["g", "block", "path", "subroot"]
     begin = known.select("g", F.lit(0).cast("long").alias("block"), "path", "subroot")
     here = None
     for layer in reversed(layers):
-        own = layer.where(F.col("n") <= FAN ** LEVELS).select("g").join(begin, "g").select(*found)  # one block for each g
+        own = layer.where(F.col("n") <= FAN ** levels).select("g").join(begin, "g").select(*found)  # one block for each g
         here = own if here is None else own.unionByName(here)
         if layer is not layers[0]:
             rows = layer.select("g", "block", "n", "m", "nodes").join(here, ["g", "block"])
-            here = written(_map(rows, _down, "g long, block long, path binary, subroot binary"), name)
+            here = written(_map(rows, partial(_down, levels), "g long, block long, path binary, subroot binary"), "paths")
     return here
 
 
-def _down(row: dict) -> Iterable[list]:
+def _down(levels: int, row: dict) -> Iterable[list]:
     """Paths of the blocks below, whose roots are the leaves of a block."""
-    first = row["block"] * FAN ** LEVELS
-    found = paths(row["nodes"], row["m"], height_of(row["n"]), row["path"])
+    first = row["block"] * FAN ** levels
+    found = paths(row["nodes"], row["m"], height_of(row["n"], levels), row["path"])
     yield [[row["g"]] * row["m"], list(range(first, first + row["m"])), found, [row["subroot"]] * row["m"]]
 
 
-def _over(row: dict) -> Iterable[list]:
+def _over(levels: int, row: dict) -> Iterable[list]:
     """Paths of the parts, whose subroots are the leaves of a block of the tree over them."""
-    (_, place, found, _), = _down(row | {"subroot": None})
-    height = height_of(row["n"])
+    (_, place, found, _), = _down(levels, row | {"subroot": None})
+    height = height_of(row["n"], levels)
     yield [place, found, [row["nodes"][a:a + DIGEST] for a in _places(height)[height][:row["m"]]]]
 
 
@@ -228,13 +228,15 @@ def _over(row: dict) -> Iterable[list]:
 class Manifest:
     """Written tables of a manifest: blocks of every layer of the parts and of the tree over them, parts, root."""
 
+    levels: int  # below the root of a block
     part_layers: list[DataFrame]
     root_layers: list[DataFrame]
     parts: DataFrame  # part, n, g, subroot
     root: DataFrame  # one row, node; none if there is no leaf
 
 
-def build(leaves: DataFrame, part: str = "part", order: str = "doc_id", node: str = "leaf", *payload: str) -> Manifest:
+def build(leaves: DataFrame, part: str = "part", order: str = "doc_id", node: str = "leaf",
+          payload: Sequence[str] = (), levels: int = LEVELS) -> Manifest:
     """Manifest of a table with one digest (binary) for each row; the payload is kept beside the leaves."""
     rows = leaves.select(F.col(part).alias("part"), F.col(order).alias("doc_id"), F.col(node).alias("node"), *payload)
     placed = _in_order(rows, ["part", "doc_id", "node"], "leaves")
@@ -248,11 +250,11 @@ def build(leaves: DataFrame, part: str = "part", order: str = "doc_id", node: st
     runs = runs.select(F.col("_pid").alias("rp"), F.col("part").alias("p"), "first", "before", "n", "g")
     at = placed.join(runs, (F.col("_pid") == F.col("rp")) & F.col("part").eqNullSafe(F.col("p")))
     nodes = at.select("g", (F.col("_local") - F.col("first") + F.col("before")).alias("pos"), "n", "node", "doc_id", *payload)
-    low, subroots = _layers(nodes, most or 0, "blocks", "doc_id", *payload)
+    low, subroots = _layers(nodes, most or 0, levels, "blocks", "doc_id", *payload)
     parts = written(parts.join(subroots.withColumnRenamed("node", "subroot"), "g").select("part", "n", "g", "subroot"), "subroots")
     over = parts.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("pos"), F.lit(n_parts).cast("long").alias("n"), F.col("subroot").alias("node"))
-    high, root = _layers(over, n_parts, "tree")
-    return Manifest(low, high, parts, written(root.select("node"), "root"))
+    high, root = _layers(over, n_parts, levels, "tree")
+    return Manifest(levels, low, high, parts, written(root.select("node"), "root"))
 
 
 def proofs(found: Manifest, changed: str) -> DataFrame:
@@ -260,18 +262,19 @@ def proofs(found: Manifest, changed: str) -> DataFrame:
 
     The root is recomputed from the digest ``changed`` of the payload, where there is one, and the leaf's siblings.
     """
+    levels = found.levels
     top = found.root.first()  # one digest
     root = top["node"].hex() if top else None
     known = found.root.select(F.lit(0).cast("long").alias("g"), F.lit(b"").alias("path"), F.lit(b"").alias("subroot"))
-    high = found.root_layers[0].join(_paths(found.root_layers, known, "paths"), ["g", "block"])
-    by_part = written(_map(high.select("block", "g", "n", "m", "nodes", "path"), _over, "g long, path binary, subroot binary"), "paths")
+    high = found.root_layers[0].join(_paths(found.root_layers, known, levels), ["g", "block"])
+    by_part = written(_map(high.select("block", "g", "n", "m", "nodes", "path"), partial(_over, levels), "g long, path binary, subroot binary"), "paths")
     low = found.part_layers[0]
-    ready = low.join(_paths(found.part_layers, by_part, "paths"), ["g", "block"])
+    ready = low.join(_paths(found.part_layers, by_part, levels), ["g", "block"])
     id_type = low.schema["doc_id"].dataType.elementType.simpleString()
 
     def step(row: dict) -> Iterable[list]:
         subroot = row["subroot"].hex()
-        height, nodes = height_of(row["n"]), row["nodes"]
+        height, nodes = height_of(row["n"], levels), row["nodes"]
         leaves = [nodes[a:a + DIGEST] for a in _places(height)[height][:row["m"]]]
         proof, folded = [], []
         for leaf, other, path in zip(leaves, row[changed], paths(nodes, row["m"], height, row["path"])):
@@ -285,7 +288,7 @@ def proofs(found: Manifest, changed: str) -> DataFrame:
 
 
 def audit(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), part: str = "source",
-          order: str = "doc_id", text: str = "text", every: int = 5) -> DataFrame:
+          order: str = "doc_id", text: str = "text", every: int = 5, levels: int = LEVELS) -> DataFrame:
     """Proofs of all rows; of those whose id's checksum ``every`` divides, the root is recomputed with the text's A-Z lower-cased."""
     require(docs, *fields, part, order, text)
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -293,4 +296,4 @@ def audit(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang",
     hit = F.crc32(F.col(order).cast("string").cast("binary")) % every == 0
     leaves = docs.select(F.col(part).alias("part"), F.col(order).alias("doc_id"), leaf_of(*map(F.col, fields)).alias("leaf"),
                          F.when(hit, leaf_of(*lowered)).alias("changed"))
-    return proofs(build(written(leaves, "digests"), "part", "doc_id", "leaf", "changed"), "changed")
+    return proofs(build(written(leaves, "digests"), payload=("changed",), levels=levels), "changed")
