@@ -70,3 +70,41 @@ def t_quantile_sql(nu_sql: str) -> str:
     far = f"{Z975!r} + ({g[0]!r} + ({g[1]!r} + ({g[2]!r} + {g[3]!r} / {n}) / {n}) / {n}) / {n}"
     near = "list_extract([" + ", ".join(map(repr, t_table())) + f"]::DOUBLE[], CAST({nu_sql} AS INTEGER))"
     return f"(CASE WHEN {n} > {TABLE_DF} THEN {far} WHEN {n} >= 1 THEN {near} END)"
+
+
+# The coefficients of algorithm AS 241 (Wichura 1988), highest power first, of the
+# centre, the tails and the far tails: numerator, denominator.
+NORMAL_CENTRE = (
+    (2.5090809287301226727e+3, 3.3430575583588128105e+4, 6.7265770927008700853e+4, 4.5921953931549871457e+4,
+     1.3731693765509461125e+4, 1.9715909503065514427e+3, 1.3314166789178437745e+2, 3.3871328727963666080e+0),
+    (5.2264952788528545610e+3, 2.8729085735721942674e+4, 3.9307895800092710610e+4, 2.1213794301586595867e+4,
+     5.3941960214247511077e+3, 6.8718700749205790830e+2, 4.2313330701600911252e+1, 1.0))
+NORMAL_TAIL = (
+    (7.7454501427834140764e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e+0,
+     3.64784832476320460504e+0, 5.76949722146069140550e+0, 4.63033784615654529590e+0, 1.42343711074968357734e+0),
+    (1.05075007164441684324e-9, 5.4759380849953449460e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1,
+     6.89767334985100004550e-1, 1.67638483018380384940e+0, 2.05319162663775882187e+0, 1.0))
+NORMAL_FAR = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2,
+     2.96560571828504891230e-1, 1.78482653991729133580e+0, 5.46378491116411436990e+0, 6.65790464350110377720e+0),
+    (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4,
+     1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0))
+
+
+def _ratio(coefficients, r):
+    """Numerator over denominator by Horner's rule."""
+    parts = []
+    for row in coefficients:
+        value = F.lit(row[0])
+        for c in row[1:]:
+            value = value * r + F.lit(c)
+        parts.append(value)
+    return parts[0] / parts[1]
+
+
+def normal_quantile(p):
+    """Quantile of the standard normal distribution, 0 < p < 1, to about 1e-15 (column expression)."""
+    q = p - F.lit(0.5)
+    tail = F.sqrt(-F.log(F.when(q <= 0, p).otherwise(1 - p)))
+    far = F.when(tail <= 5, _ratio(NORMAL_TAIL, tail - 1.6)).otherwise(_ratio(NORMAL_FAR, tail - 5))
+    return F.when(F.abs(q) <= 0.425, q * _ratio(NORMAL_CENTRE, 0.180625 - q * q)).otherwise(F.signum(q) * far)

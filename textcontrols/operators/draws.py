@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textcontrols.operators._util import DEFAULT_BROADCAST_ROWS, dense_rank_by
+from textcontrols.operators._util import DEFAULT_BROADCAST_ROWS, dense_rank_by, slices, stored
 
 # The reported interval probabilities.
 PROBS = (0.025, 0.5, 0.975)
@@ -20,24 +20,36 @@ PROBS = (0.025, 0.5, 0.975)
 def draw_quantiles(draws: DataFrame, keys: Sequence[str], value: str, probs=PROBS) -> DataFrame:
     """Exact quantiles (linear interpolation, R type 7) and the mean per group.
 
-    The values are range-partitioned and numbered in order (no group is held
-    together); only the two order statistics next to each quantile go on.
+    The values are cut into ranges, equal ones apart by their row, so a value
+    that most rows share is spread as well.  Counts of the slices say which of
+    them hold the two order statistics next to each quantile; only those are
+    sorted and numbered.
     """
-    x = draws.select(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    placed = dense_rank_by(x, "_g", "_v", "_at")
-    size = placed.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
-    sized = placed.join(F.broadcast(size) if _few(size) else size, "_g")
-    aggs = [F.first("n").alias("n"), F.first("mean").alias("mean")]
-    near = F.lit(False)
+    x = (draws.select(F.struct(*keys).alias("_g"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+         .withColumn("_row", F.monotonically_increasing_id()))
+    cut = slices(x, ["_g", "_v", "_row"]).drop("_row")
+    held = cut.groupBy("_g", "_pid").agg(F.count(F.lit(1)).alias("_c"))
+    own = Window.partitionBy("_g")  # a row for each slice
+    before = own.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    held = stored(held.select("_g", "_pid", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), F.sum("_c").over(own).alias("n")), "held")
+    size = cut.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
     names = [f"q{str(p).replace('0.', '').ljust(3, '0')}" for p in probs]
-    for p, nm in zip(probs, names):
-        h = (F.col("n") - 1) * F.lit(p)
+    place = {p: (F.col("n") - 1) * F.lit(p) for p in probs}
+    inside = lambda at: (F.col("_off") <= at) & (at < F.col("_off") + F.col("_c"))
+    asked = F.lit(False)
+    for h in place.values():
+        asked = asked | inside(F.floor(h)) | inside(F.floor(h) + 1)
+    some = held.where(asked).select("_g", "_pid", "_off", "n")  # at most two slices for each quantile of a group
+    rows = cut.join(F.broadcast(some) if _few(some) else some, ["_g", "_pid"])
+    rows = rows.withColumn("_at", F.col("_off") + F.row_number().over(Window.partitionBy("_pid", "_g").orderBy("_v")) - 1)
+    aggs, near = [], F.lit(False)
+    for h, nm in zip(place.values(), names):
         low = F.floor(h)
         near = near | (F.col("_at") == low) | (F.col("_at") == low + 1)
         share = F.when(F.col("_at") == low, 1 - (h - low)).when(F.col("_at") == low + 1, h - low)
         aggs.append(F.sum(F.col("_v") * share).alias(nm))
-    got = sized.where(near).groupBy("_g").agg(*aggs)
-    return got.select("_g.*", "n", "mean", *names)
+    got = rows.where(near).groupBy("_g").agg(*aggs)
+    return size.join(got, "_g").select("_g.*", "n", "mean", *names)
 
 
 def _few(groups: DataFrame) -> bool:
@@ -105,8 +117,8 @@ def batch_means_ess(draws: DataFrame, keys: Sequence[str], value: str = "value",
 def rank_diagnostics(draws: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Rank-normalised split R-hat (max of bulk and folded tail) and bulk ESS per parameter.
 
-    For a sampler's draws table: one group holds the draws of one parameter,
-    whose number the sampler sets and the data don't.  Chains may differ in
+    One task for each parameter: for tables of many short groups.  ``rank_draws``
+    holds the distributed form, which gives the same numbers.  Chains may differ in
     length; every draw counts.  The ESS may exceed the number of draws S, up to
     S * log10(S), as for anticorrelated draws.
     """

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textcontrols.operators import validate as V
+from textcontrols.functions.stats import NORMAL_CENTRE, NORMAL_FAR, NORMAL_TAIL
 from textcontrols.operators.draws import batch_means_ess, draw_quantiles, paired_draw_diff, placed_draws, split_rhat
+from textcontrols.operators.rank_draws import rank_ess, rank_rhat
 from textcontrols.operators._util import materialize_small
 from textcontrols.plans.q_models import FRAME_SQL, MODELS, Suite, _loo_sql, _looic, model_frame
 from textcontrols.plans.q_recode import ANALYSIS_SQL, analysis_rows
@@ -208,6 +210,65 @@ def draws_ess(spark, sf):
     return batch_means_ess(_draws(spark, sf), ["parameter"], "value").withColumn("ess", F.round("ess", 2))
 
 
+def _horner(row, r):
+    text = repr(row[0]) + "::DOUBLE"
+    for c in row[1:]:
+        text = f"({text} * {r} + {c!r}::DOUBLE)"
+    return text
+
+
+def _ratio_sql(coefficients, r):
+    return f"({_horner(coefficients[0], r)} / {_horner(coefficients[1], r)})"
+
+
+def _scores_sql(name, table, value):
+    """CTEs ``name``: the rows of ``table`` with ``z``, the normal scores of the average ranks of ``value`` by parameter."""
+    return f"""{name}_r AS (SELECT *, (rank() OVER (PARTITION BY parameter ORDER BY {value}) + (count(*) OVER (PARTITION BY parameter, {value}) - 1) / 2.0 - 0.375)
+    / (count(*) OVER (PARTITION BY parameter) + 0.25) - 0.5 AS q FROM {table}),
+{name}_t AS (SELECT *, 0.180625 - q * q AS r, sqrt(-ln(CASE WHEN q <= 0 THEN q + 0.5 ELSE 0.5 - q END)) AS tail FROM {name}_r),
+{name} AS (SELECT *, CASE WHEN abs(q) <= 0.425 THEN q * {_ratio_sql(NORMAL_CENTRE, "r")}
+    ELSE sign(q) * CASE WHEN tail <= 5 THEN {_ratio_sql(NORMAL_TAIL, "(tail - 1.6)")} ELSE {_ratio_sql(NORMAL_FAR, "(tail - 5)")} END END AS z,
+    place >= len - len // 2 AS half FROM {name}_t)"""
+
+
+def _spread_sql(name, table):
+    return f"""{name}_h AS (SELECT parameter, chain, half, count(*) AS m, avg(z) AS mu, var_samp(z) AS s2 FROM {table}
+    WHERE len // 2 > 1 AND (place < len // 2 OR half) GROUP BY ALL),
+{name} AS (SELECT parameter, avg(m) AS n, avg(s2) AS w, coalesce(var_samp(mu), 0) AS b, sum(m) AS total, max(m) AS longest FROM {name}_h GROUP BY parameter)"""
+
+
+@query("draws_rank_rhat", sql=f"""
+WITH p AS {_PLACED_SQL},
+mid AS (SELECT parameter, quantile_cont(value, 0.5) AS middle FROM p GROUP BY parameter),
+f AS (SELECT p.parameter, chain, place, len, abs(value - middle) AS value FROM p JOIN mid ON mid.parameter = p.parameter),
+{_scores_sql("bulk", "p", "value")}, {_scores_sql("tail", "f", "value")}, {_spread_sql("sb", "bulk")}, {_spread_sql("st", "tail")},
+c AS (SELECT parameter, count(DISTINCT chain) AS n_chains, count(*) AS n_draws FROM p GROUP BY parameter)
+SELECT c.parameter, n_chains, n_draws,
+       round(greatest(sqrt(((sb.n - 1) / sb.n * sb.w + sb.b) / sb.w), sqrt(((st.n - 1) / st.n * st.w + st.b) / st.w)), 6) AS rhat
+FROM c JOIN sb ON sb.parameter = c.parameter JOIN st ON st.parameter = c.parameter""")
+def draws_rank_rhat(spark, sf):
+    return rank_rhat(_draws(spark, sf), ["parameter"]).withColumn("rhat", F.round("rhat", 6))
+
+
+@query("draws_rank_ess", sql=f"""
+WITH p AS {_PLACED_SQL}, {_scores_sql("bulk", "p", "value")}, {_spread_sql("sb", "bulk")},
+x AS (SELECT parameter, chain, half, CASE WHEN half THEN place - (len - len // 2) ELSE place END AS place, len // 2 AS held,
+             z - avg(z) OVER (PARTITION BY parameter, chain, half) AS x FROM bulk WHERE len // 2 > 1 AND (place < len // 2 OR half)),
+s AS (SELECT a.parameter, a.chain, a.half, a.held, b.place - a.place AS lag, sum(a.x * b.x) AS s
+      FROM x a JOIN x b ON b.parameter = a.parameter AND b.chain = a.chain AND b.half = a.half AND b.place >= a.place GROUP BY ALL),
+m AS (SELECT parameter, lag, avg(s / held) AS acov FROM s GROUP BY parameter, lag),
+rho AS (SELECT m.parameter, lag, CASE WHEN lag = 0 THEN 1.0 ELSE 1 - (w - acov) / (w * (n - 1) / n + b) END AS rho
+        FROM m JOIN sb ON sb.parameter = m.parameter),
+pairs AS (SELECT parameter, lag // 2 AS k, sum(rho) AS pair FROM rho GROUP BY parameter, lag // 2 HAVING count(*) = 2),
+falling AS (SELECT parameter, k, pair, min(pair) OVER (PARTITION BY parameter ORDER BY k ROWS UNBOUNDED PRECEDING) AS least FROM pairs),
+kept AS (SELECT parameter, sum(least) AS pairs FROM falling WHERE least > 0 GROUP BY parameter),
+c AS (SELECT parameter, count(DISTINCT chain) AS n_chains, count(*) AS n_draws FROM p GROUP BY parameter)
+SELECT c.parameter, n_chains, n_draws, round(total / greatest(2 * coalesce(pairs, 0) - 1, 1 / log10(greatest(total, 11))), 2) AS ess_bulk
+FROM c JOIN sb ON sb.parameter = c.parameter LEFT JOIN kept ON kept.parameter = c.parameter""")
+def draws_rank_ess(spark, sf):
+    return rank_ess(_draws(spark, sf), ["parameter"]).withColumn("ess_bulk", F.round("ess_bulk", 2))
+
+
 @query("draws_paired_diff", sql=f"""
 WITH d AS (SELECT parameter, chain, place, value FROM {_PLACED_SQL}),
 x AS (SELECT a.value - b.value AS v FROM d a JOIN d b ON a.chain = b.chain AND a.place = b.place
