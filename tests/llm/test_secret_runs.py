@@ -74,7 +74,7 @@ def plain(text, base, tokens):
         j = i
         while j < len(text) and text[j] in RUN and not taken[j]:
             j += 1
-        if j - i >= 16 and is_random(text[i:j], tokens):
+        if j - i >= 20 and is_random(text[i:j], tokens):
             found.append((i, j))
         i = j
     return found

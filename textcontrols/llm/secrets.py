@@ -34,7 +34,7 @@ MIN_ASSIGNED = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the greedy run AKIA[A-Z0-9]+ of 20 characters or more
 HEX = r"[0-9a-f]{24,}"  # the greedy run [0-9a-f]+ of 24 characters or more
 #: Candidates of the method: unbroken runs, and parts of them, of this many characters or more.
-MIN_RUN = 16
+MIN_RUN = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
 #: Fewer characters for each token than this is random; prose and names have 3 to 5.
 MAX_CHARS_PER_TOKEN = 2.0
