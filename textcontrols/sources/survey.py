@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcontrols.functions.recode import PANDAS_NULL_TOKENS, null_tokens_to_null
+from textcontrols.sources.csv_ranges import read_csv_ranges
 
 
 def null_tokens(df: DataFrame, tokens: Sequence[str] = PANDAS_NULL_TOKENS,
@@ -26,10 +27,10 @@ def read_survey_csv(spark: SparkSession, path: str, date_col: str = "StartDate",
     Exports may carry two metadata rows under the header (question texts and
     import ids).  Rows have no position in a distributed read, so the two rows
     are recognised by content: their ``date_col`` holds "Date" or "ImportId",
-    which a real timestamp never does.  Quoted fields may span lines.
+    which a real timestamp never does.  Quoted fields may span lines; a large
+    file is read by many tasks all the same (``csv_ranges``).
     """
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("inferSchema", False).csv(path))
+    df = read_csv_ranges(spark, path)
     if date_col in df.columns:
         df = df.where(~F.coalesce(F.col(date_col).rlike("Date|ImportId"), F.lit(False)))
     if apply_null_tokens:
@@ -44,7 +45,6 @@ def read_analysis_csv(spark: SparkSession, path: str) -> DataFrame:
     read with a null marker that never occurs; every null then came from an
     empty field and becomes "", and the literal "NA" becomes null.
     """
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("nullValue", "\u0000").csv(path))
+    df = read_csv_ranges(spark, path, nullValue="\u0000")
     return df.select(*[F.when(F.col(c).isNull(), F.lit("")).when(F.col(c) == "NA", F.lit(None))
                        .otherwise(F.col(c)).alias(c) for c in df.columns])
