@@ -628,3 +628,35 @@ def test_discriminant_equals_densities():
     n = np.array([400.0, 400.0])
     model = quality_classifier.discriminant(n, np.array([v.sum(0) for v in x]), np.array([v.T @ v for v in x]))
     assert (model.scores(x[1]) > 0.5).mean() > 0.95 and (model.scores(x[0]) < 0.5).mean() > 0.95
+
+
+ARTICLE_NAMES = ["discussion", "related-work", "header-files", "social-impact", "notice-period", "share-price", "sidebars", "comments-on-the-text", "menus",
+                 "advert-history", "footer-notes"]
+
+
+@pytest.mark.parametrize("name", ARTICLE_NAMES)
+def test_html_ids_of_headings_and_sections_stay(name):
+    a = paragraphs(0, 12)
+    mark = lambda x: "".join(f"<p>{t}</p>" for t in x)
+    head = f"<main>{mark(a[:4])}<h2 id='{name}'>A heading of its own</h2>{mark(a[4:])}</main>"
+    assert html_extraction.main_text(f"<body>{head}</body>") == "\n".join([*a[:4], "A heading of its own", *a[4:]])
+    if name in ("sidebars", "menus"):
+        return  # a container of such a name is one
+    for wrap in ("article", "main", "div"):
+        parts = "".join(f"<section id='{n}'><h2>{n}</h2>{mark(a[3 * i:3 * i + 3])}</section>" for i, n in enumerate(("introduction", "methods", name, "conclusion")))
+        got = html_extraction.main_text(f"<body><{wrap}>{parts}</{wrap}></body>")
+        assert [t for t in a if t not in got.split("\n")] == [], (wrap, name)
+
+
+def test_html_boxes_of_the_article_stay_and_what_lies_beside_goes():
+    a = paragraphs(0, 12)
+    mark = lambda x: "".join(f"<p>{t}</p>" for t in x)
+    box = "<div class='alert alert-info'><p>Before the tests are run, the whole library has to be built once with all of its parts in place.</p></div>"
+    said = "Before the tests are run, the whole library has to be built once with all of its parts in place."
+    advert = "<div class='ad-slot'><p>Buy the finest boots of the whole town today and get a second pair of them for nothing at all.</p></div>"
+    comments = "<section class='comments'><div class='comment'><p>I have read this article and I do not agree with a single word of it, I must say.</p></div></section>"
+    notice = "<div id='cookie-notice'><p>This page keeps small files on your computer in order to know you again when you come back to it.</p></div>"
+    for page in (f"<body><article>{mark(a[:6])}{box}{advert}{mark(a[6:])}</article>{comments}{notice}</body>",
+                 f"<body><main><article>{mark(a[:6])}{box}{mark(a[6:])}{comments}</article></main>{notice}</body>",
+                 f"<body>{notice}<div class='content'>{mark(a[:6])}{box}{mark(a[6:])}</div><div class='reader-comments'>{comments}</div></body>"):
+        assert html_extraction.main_text(page) == "\n".join([*a[:6], said, *a[6:]])

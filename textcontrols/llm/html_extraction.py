@@ -1,11 +1,12 @@
 """Main text of HTML pages by composite text density.
 
 Each page is parsed into a tree.  Elements that never hold the article
-(scripts, menus, forms, ...) are left out.  Words of a class or id that speak
-of notices, adverts, comments and the like lower a node's claim to be the
-article; such a node is left out unless it holds the article all the same (the
-node of the largest claim, or an ``article`` or ``main`` element) or has only
-words of such a one; then densities decide.  Every
+(scripts, menus, forms, ...) are left out.  A class or id that speaks of
+nothing but notices, adverts, comments and the like lowers a container's claim
+to be the article, never that of a heading, paragraph or inline element; such a node is left out unless it holds the article all the same (the
+node of the largest claim, or an ``article`` or ``main`` element), has only
+words of such a one, or lies within the article, or as one of several sections beside it, under a word
+that articles use too (a discussion, a notice): then densities decide.  Every
 other node gets its composite text density: characters for each tag, adjusted
 by the share of characters and tags that lie in links.  A node's density sum
 adds the densities of its children.  The node with the largest sum marks the
@@ -59,8 +60,13 @@ promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs
 comment comments disqus respond reply replies discussion cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter
 subscribe subscription signup login share sharing social related recommended pagination pager toolbar widget widgets
 skip hidden""".split())
-#: These are never left out by a word of their class or id.
-KEEP_TAGS = frozenset("html body main article".split())
+#: Such words that an article's own sections and boxes use too: within the article the density decides.
+SHARED_WORDS = frozenset("""discussion related notice notices alert header footer share sharing social reply replies respond disclaimer
+banner consent promotion widget widgets recommended subscription signup login menu menus modal overlay popup toolbar search""".split())
+#: A class or an id speaks of these only if it has no other words than them and words of place and layout.
+LAYOUT_WORDS = frozenset("""a area article bar block blog body bottom box col column container content div entry fixed global group holder
+info inline inner item items left list lists main medium outer page panel post posts primary reader readers right row secondary section
+site slot small sticky style text thread top unit user users view warning wrap wrapper""".split())
 #: What densities count for in the sums at and below a node with such a word.
 LOWERED = 0.25
 
@@ -82,16 +88,21 @@ def _skipped(tag: str, attrs: str) -> tuple[bool, frozenset]:
     weak: frozenset = frozenset()
     if tag in SKIP_TAGS:
         return True, weak
-    if tag in KEEP_TAGS or not attrs.strip():
+    if not attrs.strip():
         return False, weak
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if tag in ("html", "body", "main", "article"):
+            break
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True, weak
         if key == "role" and value.lower() in SKIP_ROLES:
             return True, weak
-        if key in ("class", "id"):
-            weak |= SKIP_WORDS.intersection(w.lower() for w in _NAME.findall(value))
+        if key in ("class", "id") and tag in CONTAINERS:
+            for name in value.split():
+                words = {w.lower() for w in _NAME.findall(name)}
+                if all(w in SKIP_WORDS or w in LAYOUT_WORDS or w.isdigit() for w in words):
+                    weak |= words & SKIP_WORDS
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True, weak
     return False, weak
@@ -212,10 +223,14 @@ def article(root: Node) -> bool:
     if not nodes:
         return False
     core = max(nodes, key=lambda n: n.total)
+    doubtful: list[Node] = []
     if any(n.weak for n in nodes):
         held = {id(a) for n in nodes if n is core or n.tag in ("article", "main") for a in (n, *_above(n))}
         said = frozenset().union(*(n.weak for n in nodes if id(n) in held))
-        weak = {id(n) for n in nodes if n.weak and id(n) not in held and not n.weak <= said}
+        spoken = [n for n in nodes if n.weak and id(n) not in held and not n.weak <= said]
+        holder = next((n for n in [core, *_above(core)] if n.tag in ("article", "main")), core)
+        doubtful = [n for n in spoken if n.weak <= SHARED_WORDS and (holder in _above(n) or _one_of_sections(n))]
+        weak = {id(n) for n in spoken} - set(map(id, doubtful))
         below: set[int] = set()
         for n in _order(root)[1:]:
             if id(n) in weak or id(n.parent) in below:
@@ -230,6 +245,8 @@ def article(root: Node) -> bool:
     with_body = any(n.tag == "body" for n in [core, *_above(core)])
     path = [core, *(a for a in _above(core) if a is not root or not with_body)]
     reaches = _threshold(core, path, root.link_chars / max(1, root.chars))
+    for n in doubtful:
+        n.skip = n.skip or not reaches(n)
     named = [n for n in path if n.tag in ("article", "main")]
     inner = [n for n in path if n.tag != "body" and n is not root] or path
     near = path.index(named[-1] if named else inner[-1]) + 1
@@ -239,6 +256,12 @@ def article(root: Node) -> bool:
     return True
 
 
+def _one_of_sections(node: Node) -> bool:
+    """Do two or more containers of the same tag stand beside it that no word speaks against?"""
+    beside = [c for c in node.parent.children if c is not node and c.tag == node.tag and c.chars and not c.skip and not c.weak] if node.parent else []
+    return node.tag == "section" and len(beside) > 1
+
+
 def _threshold(core: Node, path: list[Node], share: float):
     """Function of a run of strings and nodes: does it reach the least density on the path?
 
