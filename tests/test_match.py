@@ -85,3 +85,32 @@ def test_empty_lookup_all_unmatched(spark):
     pairs = spark.createDataFrame([(0, "a", "b")], "pid int, Text_Base string, Text_Comparison string")
     e = enrich_pairs(pairs, "Text_Base", "Text_Comparison", empty, 2).collect()[0]
     assert (e.INTN1, e.INTN2, e.nuisance_matched) == (0.0, 0.0, False)
+
+
+def test_only_texts_with_a_candidate_are_exchanged(spark, monkeypatch):
+    """Of the other texts the table that is shuffled holds hashes only; a key's anchor is the window that the fewest keys share."""
+    from textcontrols.operators import match as M
+    seen = {}
+    real = M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name="stage": seen.setdefault(name, real(df, name)))
+    keys = [(i, f"start of the usual opening words then item{i} part{i} piece{i} and end", 0.0, 0.0) for i in range(30)]
+    texts = [(i, f"the usual opening words of text number {i} tell nothing that a key holds") for i in range(300)]
+    texts += [(1000 + i, f"before {keys[i][1]} after") for i in range(30)]
+    got = match_column(spark.createDataFrame(texts, "qid int, text string"), "text", _lookup(spark, keys)).collect()
+    assert {r.qid: r.pos for r in got} == {i: i - 1000 if i >= 1000 else None for i, _ in texts}
+    assert seen["texts"].where("n is not null").count() == 30 and seen["texts"].count() == 330
+
+
+def test_a_frequent_anchor_is_spread(spark, monkeypatch):
+    """Keys of which the only inner word is in every text: its texts are joined in parts, to the same result."""
+    from textcontrols.operators import match as M
+    monkeypatch.setattr(M, "HOT_TEXTS", 50)
+    keys = [(0, "of the town", 0.0, 0.0), (1, "in the river", 0.0, 0.0)]
+    texts = [(i, f"word{i} {'of the town' if i % 3 == 0 else 'in the river' if i % 3 == 1 else 'by the sea'} word{i}") for i in range(600)]
+    got = match_column(spark.createDataFrame(texts, "qid int, text string"), "text", _lookup(spark, keys)).collect()
+    assert {r.qid: r.pos for r in got} == {i: (i % 3 if i % 3 < 2 else None) for i, _ in texts}
+    hot = spark.createDataFrame([(i, -i, 7) for i in range(600)], "_r1 long, _r2 long, g long")
+    plan = M._anchor_join(hot, spark.createDataFrame([(7, 0)], "g long, pos long"))
+    assert plan.count() == 600
+    salts = hot.select(F.pmod(F.xxhash64("_r1", "_r2"), F.lit(12)).alias("s")).groupBy("s").count().collect()
+    assert len(salts) == 12 and max(r["count"] for r in salts) <= 2 * sorted(r["count"] for r in salts)[6]

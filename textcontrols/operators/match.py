@@ -9,28 +9,38 @@ Semantics (a dictionary lookup followed by a linear scan):
    the query or the query contains the key;
 4. otherwise no match.
 
-Plan: rows give two 64-bit hashes and word counts; texts cross one shuffle, to
-their distinct values.  Exact hits are an equi-join on hashes.  What has none
-looks for containment by equi-joins too: whatever string is contained holds
-its inner words whole, so the hash of three of them (of one, or of its first
-characters, where there are fewer) is among the hashes of the container.
-Candidates go back to the distinct texts, where they lie, and are compared.
-No join is a nested loop and no text goes to a row.
+Plan: one scan normalises the texts, gives two 64-bit hashes of each and looks
+for anchors.  Whatever string is contained holds its inner words whole, so
+three of them (one, or its first characters, where there are fewer) are
+somewhere in its container.  Of a key's windows the one that the fewest keys
+share is its anchor; a Bloom filter of all keys' anchors goes to the scan, and
+only a text that may have a candidate crosses a shuffle, once for all its
+copies; of the others the hashes do.  Exact hits are an equi-join on hashes,
+candidates one on anchors, of which frequent ones are salted by count.  Pairs
+are ids and positions until texts and keys are compared.  No join is a nested
+loop and no text goes to a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcontrols.functions.text import normalize_text, word_count
-from textcontrols.operators._util import materialize_small, text_key
+from textcontrols.operators._util import materialize_small, stored, text_key
+from textcontrols.session import send_package
 
 #: Kinds of anchors: three inner words, one inner word, or the first characters (1 to HEAD).
 THREE_WORDS, ONE_WORD, HEAD = 100, 50, 6
-_BLANKS = r"\s+"
+#: Bits of the filter for each anchor, its least and most bits (2 ** 28: 32 MB), bits of a chunk.
+BITS, LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 1 << 16, 1 << 28, 1 << 16
+#: Texts of one anchor that meet in one task; keys are broadcast up to this many bytes, counted.
+HOT_TEXTS, KEY_BYTES = 5_000, 32 << 20
 
 
 def build_lookup(catalog: DataFrame, text_col: str, pos_col: str, value_cols: Sequence[str] | str,
@@ -60,82 +70,199 @@ def raw_key(c, prefix: str = "_r") -> list:
     return [h.alias(f"{prefix}{i}") for i, h in enumerate(text_key(c), 1)]
 
 
-def distinct_texts(df: DataFrame, text_cols: Sequence[str]) -> DataFrame:
-    """(_r1, _r2, n): each distinct raw text once, normalised; the only step that shuffles texts.
-
-    Texts are normalised before the exchange, which all branches of the match
-    share, so that is done once.  The aggregate collapses repeated texts on the
-    map side, so a text in a third of all rows leaves one row for each task.
+def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    """64-bit finaliser of hashes of a kind."""
+    x = x + np.uint64((kind + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Pieces:
+    """Words and characters of a batch of texts as flat arrays, and hashes of their windows."""
+
+    def __init__(self, texts: pa.Array):
+        import pandas as pd
+
+        self.texts = texts
+        words = pc.ascii_split_whitespace(texts)
+        self.n_words = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        known = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object), categorize=False) if len(coded.dictionary) else np.zeros(0, np.uint64)
+        self.words = known[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
+        self.n_chars = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self._chars: np.ndarray | None = None
+
+    @property
+    def chars(self) -> np.ndarray:
+        if self._chars is None:
+            joined = "".join(t or "" for t in self.texts.to_pylist())
+            self._chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        return self._chars
+
+    def windows(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in the row, hash) of all windows of a kind."""
+        flat, lengths, wide = (self.words, self.n_words, 3 if kind == THREE_WORDS else 1) if kind >= ONE_WORD else (self.chars, self.n_chars, kind)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        held = np.flatnonzero(place + wide <= lengths[row]) if len(flat) else np.zeros(0, np.int64)
+        x = np.zeros(len(held), np.uint64)
+        for j in range(wide):
+            x = x * np.uint64(0x100000001B3) + flat[held + j]
+        return row[held], place[held], _mixed(x, kind).view(np.int64)
+
+    def kinds(self) -> np.ndarray:
+        """The kind of anchor of each text as a contained one; 0 for the empty text."""
+        return np.where(self.n_words >= 5, THREE_WORDS, np.where(self.n_words >= 3, ONE_WORD, np.minimum(self.n_chars, HEAD)))
+
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, hash) of the windows that any container of a text holds whole: of its inner words, else its first characters."""
+        kinds, found = self.kinds(), []
+        for kind in np.unique(kinds[kinds > 0]).tolist():
+            row, place, h = self.windows(kind)
+            last = self.n_words[row] - (4 if kind == THREE_WORDS else 2)
+            inner = (place >= 1) & (place <= last) if kind >= ONE_WORD else place == 0
+            keep = inner & (kinds[row] == kind)
+            found.append((row[keep], place[keep], h[keep]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def _key_windows(every: bool):
+    """Keys (pos, key) -> (pos, g, kind): windows that a container holds whole, or ``every`` window of each kind."""
+    def run(batches):
+        for batch in batches:
+            texts = Pieces(batch.column("key"))
+            pos = batch.column("pos").to_numpy(zero_copy_only=False)
+            for kind in ([*range(1, HEAD + 1), ONE_WORD, THREE_WORDS] if every else (0,)):
+                row, _, g = texts.windows(kind) if every else texts.own()
+                of = np.full(len(g), kind) if every else texts.kinds()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(pos[row], pa.int64()), pa.array(g, pa.int64()), pa.array(of, pa.int32())], names=["pos", "g", "kind"])
+
+    return run
+
+
+def bloom_bits(hashes: DataFrame) -> np.ndarray | None:
+    """Bloom filter (two probes) of a column ``g`` of 64-bit hashes as bytes; None if there are none."""
+    n = hashes.count()
+    if not n:
+        return None
+    m = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS * n - 1).bit_length()))
+    at = hashes.select(F.explode(F.array(F.col("g").bitwiseAND(m - 1), F.shiftrightunsigned("g", 32).bitwiseAND(m - 1))).alias("p"))
+    words = at.groupBy(F.floor(F.col("p") / CHUNK_BITS).alias("chunk"), F.floor(F.pmod("p", F.lit(CHUNK_BITS)) / 64).cast("int").alias("w")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b"))
+
+    @F.arrow_udf("binary")
+    def packed(w: pa.Array, b: pa.Array) -> pa.Array:
+        found = []
+        for places, bits in zip(w, b):
+            chunk = np.zeros(CHUNK_BITS // 64, np.int64)
+            chunk[places.values.to_numpy()] = bits.values.to_numpy()
+            found.append(chunk.tobytes())
+        return pa.array(found, pa.binary())
+
+    chunks = words.groupBy("chunk").agg(F.collect_list(F.struct("w", "b")).alias("x")).select("chunk", packed(F.col("x.w"), F.col("x.b")).alias("x"))
+    bits = np.zeros(m // 8, np.uint8)
+    for r in chunks.toLocalIterator():  # m bits in all
+        at_byte = int(r["chunk"]) * CHUNK_BITS // 8
+        bits[at_byte:at_byte + CHUNK_BITS // 8] = np.frombuffer(bytes(r["x"]), np.uint8)
+    return bits
+
+
+_PROBED = "_r1 long, _r2 long, _k1 long, _k2 long, _e boolean, n string, own long, a array<long>, b boolean"
+
+
+def _probe(kinds: Sequence[int], anchors: np.ndarray | None, places: np.ndarray | None):
+    """Texts with their hashes -> their anchor ``own``, the anchors ``a`` that some key may have, and whether a key may hold ``own``, ``b``.
+
+    A text without a candidate is null from here on.
     """
-    found = None
-    for c in text_cols:
-        part = df.select(*raw_key(c), normalize_text(c).alias("n"))
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("_r1", "_r2").agg(F.max("n").alias("n"))
-
-
-def _anchor(c: Column) -> Column:
-    """(kind, h) of a string that may be contained: what any container must hold; null for the empty string."""
-    w = F.split(c, _BLANKS)
-    head = F.least(F.length(c), F.lit(HEAD))
-    make = lambda kind, *x: F.struct(F.lit(kind).cast("int").alias("kind"), F.xxhash64(*x).alias("h"))
-    return (F.when(F.size(w) >= 5, make(THREE_WORDS, w[1], w[2], w[3]))
-            .when(F.size(w) >= 3, make(ONE_WORD, w[1]))
-            .when(head > 0, F.struct(head.cast("int").alias("kind"), F.xxhash64(F.substring(c, F.lit(1), head)).alias("h"))))
-
-
-def _held(c: Column, kinds: Sequence[int]) -> Column:
-    """Distinct (kind, h) of all places of a container, for the kinds asked for."""
-
-    def places(bound: Column, last, h) -> Column:
-        """``h`` of each place 1 .. last(x); x is bound once, not computed at each place."""
-        return F.flatten(F.transform(F.array(bound), lambda x: F.when(
-            last(x) >= 1, F.transform(F.sequence(F.lit(1), last(x)), lambda i: h(x, i))).otherwise(F.array().cast("array<bigint>"))))
-
-    def of_kind(kind: int) -> Column:
-        if kind == THREE_WORDS:
-            found = places(F.split(c, _BLANKS), lambda w: F.size(w) - 2,
-                           lambda w, i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
-        elif kind == ONE_WORD:
-            found = places(F.split(c, _BLANKS), F.size, lambda w, i: F.xxhash64(F.get(w, i - 1)))
-        else:
-            found = places(c, lambda x: F.length(x) - (kind - 1), lambda x, i: F.xxhash64(F.substring(x, i, F.lit(kind))))
-        return F.transform(F.array_distinct(found), lambda x: F.struct(F.lit(kind).cast("int").alias("kind"), x.alias("h")))
-
-    return F.concat(*[of_kind(k) for k in kinds])
-
-
-def match_distinct_texts(texts: DataFrame, lookup: DataFrame, empty_matches: bool = True) -> DataFrame:
-    """Match distinct texts ``(_r1, _r2, n)`` -> ``(_r1, _r2, pos, exact)``; matched texts only."""
+    def may(bits: np.ndarray | None, g: np.ndarray) -> np.ndarray:
+        if bits is None:
+            return np.zeros(len(g), bool)
+        mask = np.int64(len(bits) * 8 - 1)
+        hit = np.ones(len(g), bool)
+        for p in (g & mask, (g.view(np.uint64) >> np.uint64(32)).view(np.int64) & mask):
+            hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        return hit
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                texts, n = Pieces(batch.column("n")), batch.num_rows
+                rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for kind in kinds:
+                    row, _, g = texts.windows(kind)
+                    hit = may(anchors, g)
+                    rows.append(row[hit])
+                    found.append(g[hit])
+                row, g = np.concatenate(rows), np.concatenate(found)
+                order = np.argsort(row, kind="stable")
+                ends = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
+                own, known = np.zeros(n, np.int64), np.zeros(n, bool)
+                r, _, h = texts.own()
+                own[r[::-1]], known[r] = h[::-1], True  # the first window
+                inside = known & (np.bincount(r, ~may(places, h), n) == 0)  # a key that holds the text holds all its windows
+                text = batch.column("n").take(pa.array(np.arange(n), mask=~(inside | (np.diff(ends) > 0))))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("_r1", "_r2", "_k1", "_k2", "_e")), text, pa.array(own, mask=~known),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(g[order], pa.int64())), pa.array(inside)],
+                    names=["_r1", "_r2", "_k1", "_k2", "_e", "n", "own", "a", "b"])
+
+    return run
+
+
+def _anchor_join(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_r1, _r2, pos) of the texts (_r1, _r2, g) and keys (g, pos) of the same anchor; an anchor of many texts is salted by their count."""
+    hot = texts.groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_TEXTS).select("g", F.ceil(F.col("_n") / HOT_TEXTS).cast("int").alias("_s"))
+    hot = F.broadcast(materialize_small(hot))  # at most rows / HOT_TEXTS of them
+    salts = F.coalesce("_s", F.lit(1))
+    left = texts.join(hot, "g", "left").withColumn("_salt", F.pmod(F.xxhash64("_r1", "_r2"), salts).cast("int")).drop("_s")
+    right = keys.join(hot, "g", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_s")
+    return left.join(right, ["g", "_salt"]).select("_r1", "_r2", "pos")
+
+
+def match_texts(df: DataFrame, text_cols: Sequence[str], lookup: DataFrame, empty_matches: bool = True) -> DataFrame:
+    """Match the texts of ``df`` -> ``(_r1, _r2, pos, exact)``, once for each distinct raw text; matched texts only."""
     ids = ["_r1", "_r2"]
+    send_package(df.sparkSession)
     keys = lookup.select("key", "pos")
-    kinds = F.collect_set(_anchor(F.col("key"))["kind"]).alias("kinds")
-    # one row with a few numbers: which kinds of anchors the keys have, and what an empty text or key decides
-    known = keys.agg(F.min("pos").alias("first"), F.min(F.when(F.col("key") == "", F.col("pos"))).alias("empty"), kinds).first()
-    hashed = texts.select(*ids, *[h.alias(f"_k{i}") for i, h in enumerate(text_key(F.col("n")), 1)], (F.col("n") == "").alias("_e"))
+    spelled = keys.where(F.col("key") != "")
+    windows = spelled.mapInArrow(_key_windows(False), "pos long, g long, kind int")
+    shared = windows.groupBy("g").agg(F.count_distinct("pos").alias("n"))
+    rarest = windows.join(shared, "g").groupBy("pos").agg(F.min_by(F.struct("g", "kind"), F.struct("n", "g")).alias("x"))
+    anchors = materialize_small(rarest.select("pos", "x.g", "x.kind"))
+    places = stored(spelled.mapInArrow(_key_windows(True), "pos long, g long, kind int").select("pos", "g").distinct(), "places")
+    # one row with a few numbers: what an empty text or key decides, and how large the keys are
+    known = keys.agg(F.min("pos").alias("first"), F.min(F.when(F.col("key") == "", F.col("pos"))).alias("empty"), F.sum(F.octet_length("key")).alias("bytes")).first()
+    kinds = sorted(r["kind"] for r in anchors.select("kind").distinct().collect())  # at most HEAD + 2
+    anchor_bits, place_bits = bloom_bits(anchors.select("g")), bloom_bits(places.select("g"))
+
+    rows = None
+    for c in text_cols:
+        part = df.select(*raw_key(c), normalize_text(c).alias("n"))
+        rows = part if rows is None else rows.unionByName(part)
+    hashes = rows.select(*ids, "n", *[h.alias(f"_k{i}") for i, h in enumerate(text_key(F.col("n")), 1)], (F.col("n") == "").alias("_e"))
+    # of a text without a candidate only hashes cross the shuffle
+    seen = stored(hashes.mapInArrow(_probe(kinds, anchor_bits, place_bits), _PROBED).dropDuplicates(ids), "texts")
+    hashed = seen.select(*ids, "_k1", "_k2", "_e")
     wanted = keys.select(*[h.alias(f"_k{i}") for i, h in enumerate(text_key(F.col("key")), 1)], "pos")
     if not empty_matches:
         hashed = hashed.where(~F.col("_e"))
     # ids and positions only, written once: every branch below leaves these texts out
     exact = materialize_small(hashed.join(wanted, ["_k1", "_k2"]).select(*ids, "pos"))
 
-    rest = texts.where(F.col("n") != "").join(exact.select(*ids), ids, "left_anti")
-    anchored = keys.select("key", "pos", _anchor(F.col("key")).alias("_a")).where("_a is not null").select("key", "pos", "_a.*")
-    parts = []
-    if known["kinds"]:
-        holds = rest.select(*ids, F.explode(_held(F.col("n"), sorted(known["kinds"]))).alias("_a")).select(*ids, "_a.*")
-        parts.append(holds.join(anchored, ["kind", "h"]).select(*ids, "key", "pos"))
-    every = [*range(1, HEAD + 1), ONE_WORD, THREE_WORDS]
-    inside = keys.where(F.col("key") != "").select("key", "pos", F.explode(_held(F.col("key"), every)).alias("_a")).select("key", "pos", "_a.*")
-    small = rest.select(*ids, _anchor(F.col("n")).alias("_a")).select(*ids, "_a.*")
-    parts.append(small.join(inside, ["kind", "h"]).select(*ids, "key", "pos"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    best = (rest.join(found.distinct(), ids).where(F.contains("n", "key") | F.contains("key", "n"))
+    rest = seen.where("n is not null").select(*ids, "n", "own", "a", "b").join(exact.select(*ids), ids, "left_anti")
+    holds = _anchor_join(rest.select(*ids, F.explode(F.array_distinct("a")).alias("g")), anchors.select("g", "pos"))
+    inside = _anchor_join(rest.where("b").select(*ids, F.col("own").alias("g")), places)
+    found = holds.unionByName(inside).distinct()
+    texts = keys.where(F.col("key") != "")
+    texts = F.broadcast(texts) if (known["bytes"] or 0) <= KEY_BYTES else texts
+    best = (rest.select(*ids, "n").join(found, ids).join(texts, "pos").where(F.contains("n", "key") | F.contains("key", "n"))
             .groupBy(*ids).agg(F.min("pos").alias("pos")))
     if known["empty"] is not None:  # an empty key is in every text
-        best = (rest.select(*ids, F.lit(known["empty"]).alias("pos")).unionByName(best)
+        others = hashed.where(~F.col("_e")).select(*ids).join(exact.select(*ids), ids, "left_anti")
+        best = (others.select(*ids, F.lit(known["empty"]).alias("pos")).unionByName(best)
                 .groupBy(*ids).agg(F.min("pos").alias("pos")))
     out = exact.select(*ids, "pos", F.lit(True).alias("exact")).unionByName(best.select(*ids, "pos", F.lit(False).alias("exact")))
     if empty_matches and known["empty"] is None and known["first"] is not None:  # an empty text is in every key
@@ -150,7 +277,7 @@ def match_column(df: DataFrame, text_col: str, lookup: DataFrame, empty_matches:
 
     With ``keep`` the text itself needn't go through the join.
     """
-    m = match_distinct_texts(distinct_texts(df, [text_col]), lookup, empty_matches)
+    m = match_texts(df, [text_col], lookup, empty_matches)
     keyed = df.select(*(keep if keep is not None else ["*"]), *raw_key(text_col))
     # matched texts -> rows: an equi-join on 16 bytes; AQE broadcasts the match table when its
     # runtime size is small and splits skewed keys otherwise
@@ -181,7 +308,7 @@ def enrich_pairs(df: DataFrame, base_col: str, comp_col: str, lookup: DataFrame,
     ``base_matched``, ``comp_matched``, ``wc_base``, ``wc_comparison``, ``wc_diff``.
     """
     kept = [c for c in (keep if keep is not None else df.columns) if c not in ("wc_base", "wc_comparison", "wc_diff")]
-    m = match_distinct_texts(distinct_texts(df, [base_col, comp_col]), lookup, empty_matches)
+    m = match_texts(df, [base_col, comp_col], lookup, empty_matches)
     rows = df.select(*kept, *raw_key(base_col, "_b"), *raw_key(comp_col, "_c"),
                      word_count(base_col).alias("wc_base"), word_count(comp_col).alias("wc_comparison"))
     mb = m.select(F.col("_r1").alias("_b1"), F.col("_r2").alias("_b2"), F.col("pos").alias("_bpos"))

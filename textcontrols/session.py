@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _SCRATCH: list[tempfile.TemporaryDirectory] = []
+_SENT: set[str] = set()
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -70,3 +73,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def send_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once for each application: their Python steps import it."""
+    context = spark.sparkContext
+    if context.applicationId in _SENT:
+        return
+    here = Path(__file__).resolve().parent
+    scratch = tempfile.TemporaryDirectory(prefix="textcontrols-code-", ignore_cleanup_errors=True)
+    _SCRATCH.append(scratch)  # goes when the process ends
+    archive = Path(scratch.name) / "textcontrols-modules.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    context.addPyFile(str(archive))
+    _SENT.add(context.applicationId)

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from textcontrols.session import send_package
+
 QUOTE, COMMA = '"', ","
 
 #: Kinds of output: a whole record, the end of a record begun before, the middle of one, a record that goes on.
@@ -140,6 +142,7 @@ def _pieces(first: dict[tuple, bool]):
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(file, start, nth, text): the records of CSV files; ``start`` and ``nth`` order the records of a file."""
+    send_package(spark)
     lines = _lines(spark, path)
     states = lines.mapInArrow(_states, _STATES)
     # a few values for each range: the number of ranges is that of the scan's tasks, which the driver plans anyway
