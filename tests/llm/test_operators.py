@@ -437,8 +437,10 @@ def test_every_license_wording_is_named():
     ("a: MIT License\nb: ISC License\nc: GPL-2.0\nd: BSD 3-Clause\ne: zlib License", ["MIT", "ISC", "GPL-2.0", "BSD-3-Clause", "Zlib"]),
     ("Released under the MIT License. " + "few words " * 30 + "Licensed under CC BY 4.0. " + "few words " * 300, ["MIT", "CC-BY-4.0"]),
     ("Released under the MIT License.\n" * 3, ["MIT"] * 3),
-    ("This work is licensed under the GNU General Public License, version 1.", []), ("Licensed under the Apache License, Version 1.1.", []),
-    ("Licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", []),
+    ("This work is licensed under the GNU General Public License, version 1.", []), ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", ["CC-BY-SA-3.0"]),
+    ("Licensed under the Apache License, Version 1.7.", []),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 3.7 Unported License.", []),
     ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
      "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1"]),
     (licenses.BSD_OPENING + licenses.BSD_CLAUSES + licenses.BSD_WARRANTY, ["BSD-2-Clause"]),
@@ -449,6 +451,96 @@ def test_every_license_of_a_block(text, want):
     assert all(a["end"] <= b["start"] for a, b in zip(findings, findings[1:]))
 
 
+@pytest.mark.parametrize("text,want", [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", ["GPL-2.0-or-later"]),
+    ("# spdx-license-identifier: (lgpl-2.1+ AND BSD-3-Clause) OR GPL-2.0-only WITH Classpath-exception-2.0",
+     ["LGPL-2.1-or-later", "BSD-3-Clause", "GPL-2.0-only"]),
+    ("SPDX-License-Identifier: LicenseRef-Own", []), ("SPDX-License-Identifier: MIT.", ["MIT"]),
+    ("This work is not under the MIT License.", []), ("It was never released under the ISC License.", []),
+    ("Files are no longer under GPLv3.", []), ("The code isn't BSD 3-Clause.", []),
+    ("Not only the MIT License applies.", ["MIT"]), ("It was not. The MIT License applies.", ["MIT"]),
+    ("See https://creativecommons.org/licenses/by-nc/3.0/ for more.", ["CC-BY-NC-3.0"]), ("Licensed under CC BY 3.0.", ["CC-BY-3.0"]),
+    ("Under the Artistic License 2.0", ["Artistic-2.0"]), ("under the EUPL v1.2", ["EUPL-1.2"]), ("CDDL, Version 1.0", ["CDDL-1.0"]),
+    ("the GNU Free Documentation License, Version 1.3", ["GFDL-1.3"]), ("WTFPL", ["WTFPL"]), ("PostgreSQL License", ["PostgreSQL"]),
+])
+def test_license_expressions_and_negations(text, want):
+    findings = licenses._start()(text)[2]
+    assert [f["license"] for f in findings] == want
+    assert all(a["end"] <= b["start"] for a, b in zip(findings, findings[1:])) and all(f["start"] < f["end"] <= len(text) for f in findings)
+
+
+def test_licenses_are_decided_by_compression(monkeypatch):
+    """Without a dictionary nothing is found; with dictionaries exchanged another licence ranks first and wins the overlap."""
+    # The MIT wording lacks five words of this grant, which is all of the MIT-0 wording.
+    text = licenses.MIT_GRANT + "."
+    known = {t.name: t for t in licenses.templates()}
+    before = [t.name for _, t in licenses.rank(text)[1]]
+    assert before.index("MIT-0") < before.index("ISC") and [f[0] for f in licenses.judge(text)] == ["MIT-0"]
+    licenses._place.cache_clear()
+    monkeypatch.setattr(known["MIT-0"], "compress", known["ISC"].compress)
+    after = [t.name for _, t in licenses.rank(text)[1]]
+    assert after[0] == "MIT" != before[-1] and [f[0] for f in licenses.judge(text)] == ["MIT"]
+    licenses._place.cache_clear()
+    for t in known.values():
+        monkeypatch.setattr(t, "compress", bytes)
+    assert licenses.rank(text)[1] == [] and licenses.judge(text) == []
+    licenses._place.cache_clear()
+
+
+def test_short_license_namings_pass_the_ranking():
+    """No wording is lost in a long block of other words, wherever it stands."""
+    import random
+    rng = random.Random(5)
+    prose = [w for texts in licenses.TEMPLATES.values() for w in texts[0].split() if w.isalpha() and w.lower() not in licenses.NAME_WORDS]
+    for t in licenses.templates():
+        for text in licenses.TEMPLATES[t.name]:
+            words = [rng.choice(prose) for _ in range(150)]
+            words.insert(rng.randrange(150), text)
+            assert t.name in [x.name for _, x in licenses.rank(" ".join(words))[1]], text
+
+
+def test_license_differences_equal_another_alignment():
+    """Words lacked and added, against a longest common subsequence by the plain table."""
+    import random
+    rng, text = random.Random(3), licenses.TEMPLATES["PostgreSQL"][0]
+    wanted = licenses.wording(text)
+    n, confirmed = len(wanted), 0
+    limit = n // 10
+    for _ in range(60):
+        words = text.rstrip(".").split()
+        for at in sorted(rng.sample(range(8, n - 8), rng.randrange(limit + 3)), reverse=True):
+            del words[at]
+        for _ in range(rng.randrange(n // 5 + 3)):
+            words.insert(rng.randrange(8, len(words) - 8), rng.choice(["zebra", "heron", "software"]))
+        said = licenses.wording(" ".join(words))
+        table = [[0] * (n + 1) for _ in range(len(said) + 1)]
+        for i, a in enumerate(said):
+            for j, b in enumerate(wanted):
+                table[i + 1][j + 1] = table[i][j] + 1 if a == b else max(table[i][j + 1], table[i + 1][j])
+        held = table[-1][-1]
+        found = [f for f in licenses.judge(" ".join(words)) if f[0] == "PostgreSQL"]
+        assert bool(found) == (n - held <= limit and len(said) - held <= n // 5), (words, found)
+        if found:
+            confirmed += 1
+            marks = found[0][5].split()
+            assert sum(x[0] == "-" for x in marks) == n - held and sum(x[0] == "+" for x in marks) == len(said) - held
+            assert found[0][4] == 100 * held // n
+    assert 10 < confirmed < 60
+
+
+def test_license_repeated_rows_clashing_columns_and_long_texts(spark):
+    import time
+    rows = [(1, "MIT License", "x", 1)] * 3 + [(2, None, "MIT License", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string, r int")
+    got = licenses.scan(df).collect()
+    assert [r["licenses"] for r in got if r["doc_id"] == 1] == [["MIT"]] * 3 and [r["n_blocks"] for r in got if r["doc_id"] == 2] == [0]
+    start = time.time()
+    found = licenses._start()("see the MIT License, " * 30_000 + "and GPLv2")[2]
+    assert len(found) == 30_001 and found[-1]["license"] == "GPL-2.0" and time.time() - start < 30
+
+
+
 # --- quality rules ------------------------------------------------------
 
 def brute_rules(text):

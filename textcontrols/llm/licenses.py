@@ -1,16 +1,20 @@
 """License scans by conditional compression.
 
 Paragraphs that speak of licences, copyright, permission or warranty make
-candidate blocks, neighbouring ones one block.  A block is compressed by itself and with
-each template as zstandard raw dictionary; templates are ranked by the share of
-the size that the dictionary saves.  Each template of whose words the block
-has enough is confirmed by the exact wording: the words of the template that
-the block holds in order, and the words that it adds or lacks.  Words that
-name a licence or its version must not differ.  Every confirmed match that no
-better one overlaps is a finding.
+candidate blocks, neighbouring ones one block.  A template is a licence with
+all its wordings, held as one zstandard raw dictionary.  Every block, and the
+place of every cue in it, is compressed by itself and with every template.  A
+template's reduction is the larger of the block's and of its best place's (in a long
+block a naming of some letters is lost in the noise).  Templates that reduce
+by MIN_SAVING bytes or more are the candidates, ranked by the reduction.  The exact wording confirms them at each place: the words of a wording that the block
+holds in order, and the words that it adds or lacks.  Words that name a licence
+or its version must not differ, and a naming that is negated is none.  Where
+confirmed ones overlap, the text that they share in is compressed with each: the
+one of the largest reduction, less DIFFERENCE bytes for each differing word,
+stays.  An SPDX tag names each licence of its expression, as it is written there.
 
 Defined results: a null or empty text has no block; texts of any length are
-scanned whole; ties in the saving go to the template that comes first;
+scanned whole; ties in the reduction go to the template that comes first;
 repeated rows get equal results; an empty table gives an empty table; other
 columns are not read.
 """
@@ -19,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -78,10 +82,46 @@ def _gnu(kind: str, version: str, short: str) -> tuple[str, ...]:
             f"{full} as published by the Free Software Foundation, version {version}", *short.split("|"))
 
 
-def _creative(kind: str, *short: str) -> tuple[str, ...]:
-    return (*(f"Licensed under {x} 4.0." for x in short), *(f"{x} 4.0" for x in short),
-            f"This work is licensed under a Creative Commons {kind} 4.0 International License.",
-            f"Creative Commons {kind} 4.0")
+#: Paragraphs by which the texts of these licences begin, or grant.
+BODIES = {
+    "Apache-2.0": ("\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 "
+                   "through 9 of this document.",
+                   "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, "
+                   "worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare "
+                   "Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such "
+                   "Derivative Works in Source or Object form."),
+    "GPL-3.0": ("The licenses for most software and other practical works are designed to take away your freedom to share and "
+                "change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and "
+                "change all versions of a program--to make sure it remains free software for all its users.",),
+    "GPL-2.0": ("The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU "
+                "General Public License is intended to guarantee your freedom to share and change free software--to make sure the "
+                "software is free for all its users. This General Public License applies to most of the Free Software "
+                "Foundation's software and to any other program whose authors commit to using it.",),
+    "LGPL-3.0": ("This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the "
+                 "GNU General Public License, supplemented by the additional permissions listed below.",),
+    "LGPL-2.1": ("This license, the Lesser General Public License, applies to some specially designated software packages--typically "
+                 "libraries--of the Free Software Foundation and other authors who decide to use it.",),
+    "AGPL-3.0": ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, "
+                 "specifically designed to ensure cooperation with the community in the case of network server software.",),
+}
+#: The Creative Commons licences: code and name; versions, and what stands behind a version.
+CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+            "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+            "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CREATIVE_VERSIONS = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic"}
+
+
+def _creative(code: str, version: str) -> tuple[str, ...]:
+    kind, named = CREATIVE[code], f"CC {code} {version}"
+    return (f"Licensed under {named}.", named,
+            f"This work is licensed under a Creative Commons {kind} {version} {CREATIVE_VERSIONS[version]} License.",
+            f"Creative Commons {kind} {version}", f"creativecommons.org/licenses/{code.lower()}/{version}")
+
+
+def _documentation(version: str) -> tuple[str, ...]:
+    full = f"GNU Free Documentation License, Version {version}"
+    return ("Permission is granted to copy, distribute and/or modify this document under the terms of the "
+            f"{full} or any later version published by the Free Software Foundation", full, f"GFDL {version}")
 
 
 TEMPLATES = {
@@ -135,31 +175,55 @@ TEMPLATES = {
     "Zlib": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
              "alter it and redistribute it freely, subject to the following restrictions:",
              "Released under the zlib License.", "zlib License"),
-    "CC-BY-4.0": _creative("Attribution", "CC BY"),
-    "CC-BY-SA-4.0": _creative("Attribution-ShareAlike", "CC BY-SA"),
-    "CC-BY-NC-4.0": _creative("Attribution-NonCommercial", "CC BY-NC"),
-    "CC-BY-ND-4.0": _creative("Attribution-NoDerivatives", "CC BY-ND"),
-    "CC-BY-NC-SA-4.0": _creative("Attribution-NonCommercial-ShareAlike", "CC BY-NC-SA"),
-    "CC-BY-NC-ND-4.0": _creative("Attribution-NonCommercial-NoDerivatives", "CC BY-NC-ND"),
+    **{f"CC-{code}-{version}": _creative(code, version) for version in CREATIVE_VERSIONS for code in CREATIVE},
     "CC0-1.0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights.",
                 "has waived all copyright and related or neighboring rights to", "CC0 1.0"),
+    "Apache-1.1": ("Licensed under the Apache License, Version 1.1.", "Apache License, Version 1.1",
+                   "Apache Software License, Version 1.1", "Apache License 1.1"),
+    "Artistic-2.0": ("Released under the Artistic License 2.0.", "Artistic License 2.0", "Artistic License, Version 2.0"),
+    "Artistic-1.0": ("Released under the Artistic License 1.0.", "Artistic License 1.0", "Artistic License, Version 1.0"),
+    **{f"EUPL-{v}": (f"Licensed under the EUPL, Version {v}", f"European Union Public Licence v. {v}",
+                     f"European Union Public License, Version {v}", f"EUPL v{v}") for v in ("1.2", "1.1")},
+    **{f"CDDL-{v}": (f"Common Development and Distribution License, Version {v}", f"CDDL, Version {v}", f"CDDL v{v}")
+       for v in ("1.0", "1.1")},
+    **{f"GFDL-{v}": _documentation(v) for v in ("1.3", "1.2", "1.1")},
+    "PostgreSQL": ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, "
+                   "and without a written agreement is hereby granted, provided that the above copyright notice and this "
+                   "paragraph and the following two paragraphs appear in all copies.",
+                   "Released under the PostgreSQL License.", "PostgreSQL License", "PostgreSQL Licence"),
+    "WTFPL": ("Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is "
+              "allowed as long as the name is changed.", "Do What The Fuck You Want To Public License", "WTFPL"),
     "all-rights-reserved": ("All rights reserved.",),
 }
-TEMPLATES = {name: (*texts, *([] if name in ("BSD", "all-rights-reserved") else [f"SPDX-License-Identifier: {name}"]))
+TEMPLATES = {name: (*texts, *BODIES.get(name, ()), *([] if name in ("BSD", "all-rights-reserved") else [f"SPDX-License-Identifier: {name}"]))
              for name, texts in TEMPLATES.items()}
 #: Words that tell licences apart, besides those with a digit: none may be lacking, and none be added
 #: but those that other text holds too.
 NAME_WORDS = frozenset("""mit apache gnu gpl lgpl agpl lesser affero library bsd zero new modified simplified isc mozilla mpl eclipse epl
-boost unlicense zlib cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives noderivs neither""".split())
-COMMON = frozenset("library new modified by".split())
+boost unlicense zlib cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives noderivs neither
+artistic eupl cddl gfdl postgresql wtfpl""".split())
+COMMON = frozenset("library new modified by artistic".split())
 
 CUE = (r"licen[sc]e|licensing|copyright|\(c\)|©|rights\W+reserved|public\W+domain|hereby\W+granted|redistribut|warrant|spdx"
-       r"|creative\W+commons|\bcc[ -]by|\bcc0|permission\W+(?:is|to)\b|\b[al]?gpl|\b[em]pl\b|\b0?bsd\b")
+       r"|creative\W+commons|\bcc[ -]by|\bcc0|permission\W+(?:is|to)\b|\b[al]?gpl|\b[em]pl\b|\b0?bsd\b|\b(?:eu|wtf)pl\b|\bcddl\b|\bgfdl\b")
+#: A template that reduces a block by fewer bytes is no candidate for it: a naming of five letters may save no whole byte.
+MIN_SAVING = 0
+#: Compressed before every piece, with and without a dictionary: without it zstandard leaves short texts as they are.
+LEAD = "the quick brown fox jumps over the lazy dog while five boxing wizards watch, 0123456789 times: "
+#: Bytes that a word added or lacked weighs against the bytes saved, where confirmed templates overlap.
+DIFFERENCE = 4
+#: Characters of a block that are compressed at once, so that the dictionary stays in reach.
+PIECE = 1 << 15
+#: Words before a naming of at most NAMING words that may negate it.
+NEGATED_WITHIN, NAMING = 4, 8
 #: Words of the template that the block must hold in order, in hundredths.
 MIN_WORDING_PCT = 90
 #: Characters before and after a cue that its block takes from long paragraphs: twice the longest template.
 REACH = 2 * max(len(text) for texts in TEMPLATES.values() for text in texts)
 _SAID = re.compile(r"[^\W_]")
+_CUE = re.compile(CUE, re.I)
+#: Characters around a cue that make its place.
+NEAR = 16
 
 SCHEMA = "n_blocks long, licenses array<string>, findings array<struct<license:string,start:long,end:long,saving_pct:int,wording_pct:int,differences:string>>"
 
@@ -169,16 +233,48 @@ _WORD = re.compile(r"(?:non|no|share)-(?:commercial|derivatives|derivs|alike)\b|
 _VERSION = re.compile(r"(a?gpl|lgpl|mpl|epl|)v?(\d+(?:\.\d+)*?)(?:\.0)*")
 
 
-class Template:
-    def __init__(self, name: str, text: str):
-        import zstandard as zstd
+def _parameters():
+    """Level 12 with matches of three bytes or more: at lower levels short namings save nothing."""
+    import zstandard as zstd
+
+    return zstd.ZstdCompressionParameters.from_level(12, source_size=1024, min_match=3, write_content_size=False, write_dict_id=False)
+
 
-        self.name, self.words = name, wording(text)
+class Wording:
+    """One wording of a template: its words, those that must not be lacked, and how many may be lacked and added."""
+
+    def __init__(self, text: str):
+        self.words = wording(text)
         self.counts = Counter(self.words)
         self.keys = {w for w in self.words if w in NAME_WORDS or any(map(str.isdigit, w))}
+        self.lacks = len(self.words) - -(-MIN_WORDING_PCT * len(self.words) // 100)
         self.adds = max(2, len(self.words) // 5) if len(self.words) > 4 else 0
-        kind = zstd.ZstdCompressionDict(text.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        self.compress = zstd.ZstdCompressor(level=3, dict_data=kind, write_content_size=False, write_dict_id=False).compress
+
+    def confirmed(self, words: list[str], ids: np.ndarray, number: dict[str, int], have: Counter) -> Iterator[tuple]:
+        """(first, last, words held, words lacked, words added) of each place that holds the wording."""
+        held = sum(min(n, have[w]) for w, n in self.counts.items())
+        if not self.keys <= have.keys() or held < len(self.words) - self.lacks:
+            return
+        for pairs in matches(ids, [number.get(w, -1) for w in self.words], self.lacks + self.adds):
+            first, last = pairs[0][0], pairs[-1][0] + 1
+            kept, inside = {b for _, b in pairs}, {a for a, _ in pairs}
+            lacks = [w for i, w in enumerate(self.words) if i not in kept]
+            adds = [words[i] for i in range(first, last) if i not in inside]
+            if not (len(lacks) > self.lacks or len(adds) > self.adds or self.keys & set(lacks) or (NAME_WORDS - COMMON) & set(adds)):
+                yield first, last, len(pairs), lacks, adds
+
+
+class Template:
+    """A licence: its wordings, and a compressor whose dictionary they are."""
+
+    def __init__(self, name: str, texts: Iterable[str]):
+        import zstandard as zstd
+
+        self.name, self.wordings = name, [Wording(text) for text in texts]
+        short_last = "\n".join(sorted(texts, key=len, reverse=True))  # what is near costs least to point at
+        known = zstd.ZstdCompressionDict(short_last.lower().encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(compression_params=_parameters())
+        self.compress = zstd.ZstdCompressor(dict_data=known, compression_params=_parameters()).compress
 
 
 def words_at(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -198,7 +294,21 @@ def wording(text: str) -> list[str]:
 
 @lru_cache(maxsize=1)
 def templates() -> tuple[Template, ...]:
-    return tuple(Template(name, text) for name, texts in TEMPLATES.items() for text in texts if text)
+    return tuple(Template(name, texts) for name, texts in TEMPLATES.items())
+
+
+@lru_cache(maxsize=1)
+def _plain():
+    import zstandard as zstd
+
+    return zstd.ZstdCompressor(compression_params=_parameters()).compress
+
+
+def reductions(text: str, among: Iterable[Template]) -> tuple[int, list[int]]:
+    """Compressed bytes of a text, and how many of them each template's dictionary saves, piece by piece."""
+    pieces = [(LEAD + text[at:at + PIECE].lower()).encode("utf-8", "surrogatepass") for at in range(0, len(text), PIECE)]
+    plain = [len(_plain()(raw)) for raw in pieces]
+    return sum(plain), [sum(n - len(t.compress(raw)) for n, raw in zip(plain, pieces)) for t in among]
 
 
 def blocks(text: str, cue) -> list[tuple[int, int]]:
@@ -286,51 +396,121 @@ def matches(ids: np.ndarray, wanted: list[int], cost: int) -> Iterator[list[tupl
             taken[pairs[-1][0]:end] = True
 
 
-def judge(block: str) -> list[tuple]:
-    """(name, start, end, saving_pct, wording_pct, differences) of the confirmed templates that do not overlap, in order.
+#: An SPDX tag and its expression; what follows WITH is an exception, no licence.
+_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*((?:\([ \t]*)*[\w.+-]+(?:[ \t)]+(?:AND|OR|WITH)[ \t]+(?:\([ \t]*)*[\w.+-]+)*)", re.I)
+_IDENTIFIER = re.compile(r"(?:\b(WITH)[ \t]+)?([\w.+-]+)", re.I)
+_SUFFIX = re.compile(r"(.+?)(-only|-or-later|\+)?\.?", re.I)
+
+
+def tagged(block: str) -> tuple[list[tuple[int, int]], list[tuple[str, str, int, int]]]:
+    """The spans of the SPDX tags, and (template, licence as written, start, end) of each identifier; a tag's first one begins with it."""
+    tags, found = [], []
+    known = {name.lower(): name for name in TEMPLATES}
+    for tag in _TAG.finditer(block):
+        tags.append(tag.span())
+        start = tag.start()
+        for m in _IDENTIFIER.finditer(block, *tag.span(1)):
+            if m[1] or m[2].upper() in ("AND", "OR"):
+                continue
+            stem, suffix = _SUFFIX.fullmatch(m[2]).groups()
+            if name := known.get(stem.lower()):
+                suffix = (suffix or "").lower().replace("+", "-or-later")
+                found.append((name, name + suffix, start, m.end(2) - m[2].endswith(".")))
+            start = m.end()
+    return tags, found
+
+
+def negated(block: str, words: list[str], seats: list[tuple[int, int]], first: int) -> bool:
+    """Whether the same sentence says not, never, nor or no longer just before a word; 'not only' negates nothing."""
+    for i in range(first - 1, max(-1, first - 1 - NEGATED_WITHIN), -1):
+        if re.search(r"[.!?;](?:\s|$)|\n\W*\n", block[seats[i][1]:seats[i + 1][0]]):
+            return False
+        word, after = words[i], words[i + 1]
+        if word in ("not", "never", "nor") or word.endswith(("n't", "n’t")):
+            return after != "only"
+        if word == "no" and after == "longer":
+            return True
+    return False
+
+
+@lru_cache(maxsize=4096)
+def _place(text: str) -> list[int]:
+    return reductions(text, templates())[1]
 
-    Each template of whose words the block has enough is confirmed at every
-    place; where confirmed ones overlap, the one that holds the most words
-    stays, then the one of the larger share, then of the larger saving.
-    """
-    import zstandard as zstd
 
+def rank(block: str) -> tuple[int, list[tuple[int, Template]]]:
+    """Compressed bytes of a block, and (bytes saved, template) of the candidates, the largest reduction first."""
+    plain, saved = reductions(block, templates())
+    for m in _CUE.finditer(block):
+        saved = list(map(max, saved, _place(block[max(0, m.start() - NEAR):m.end() + NEAR])))
+    found = sorted((-n, i) for i, n in enumerate(saved) if n >= MIN_SAVING)
+    return plain, [(-n, templates()[i]) for n, i in found]
+
+
+def judge(block: str) -> list[tuple]:
+    """(name, start, end, saving_pct, wording_pct, differences) of the confirmed templates that do not overlap, in order."""
+    plain, ranked = rank(block)
+    if not ranked:
+        return []
+    share = {t.name: min(100, 100 * n // plain) for n, t in ranked}
+    tags, said = tagged(block)
+    kept = [(licence, start, end, share[name], 100, "") for name, licence, start, end in said if name in share]
     words, seats = words_at(block)
     have = Counter(words)
-    near = [(i, t) for i, t in enumerate(templates())
-            if t.keys <= have.keys() and 100 * sum(min(n, have[w]) for w, n in t.counts.items()) >= MIN_WORDING_PCT * len(t.words)]
-    if not near:
-        return []
-    raw = block.lower().encode("utf-8", "surrogatepass")
-    plain = len(zstd.ZstdCompressor(level=3, write_content_size=False).compress(raw))
     number = {w: i for i, w in enumerate(have)}
-    ids, found = np.array([number[w] for w in words], np.int32), []
-    for order, t in near:
-        saving = max(0, 100 * (plain - len(t.compress(raw))) // plain)
-        lack = len(t.words) - -(-MIN_WORDING_PCT * len(t.words) // 100)
-        for pairs in matches(ids, [number.get(w, -1) for w in t.words], lack + t.adds):
-            held, first, last = len(pairs), pairs[0][0], pairs[-1][0] + 1
-            kept, inside = {b for _, b in pairs}, {a for a, _ in pairs}
-            lacks = [w for i, w in enumerate(t.words) if i not in kept]
-            adds = [words[i] for i in range(first, last) if i not in inside]
-            if len(lacks) > lack or len(adds) > t.adds or t.keys & set(lacks) or (NAME_WORDS - COMMON) & set(adds):
-                continue
-            share = 100 * held // len(t.words)
-            said = " ".join([*("-" + w for w in lacks), *("+" + w for w in adds)])
-            found.append(((-held, -share, -saving, order, first), first, last, (t.name, saving, share, said)))
-    taken, kept = np.zeros(len(words), bool), []
-    for _, first, last, said in sorted(found):
-        if not taken[first:last].any():
-            taken[first:last] = True
-            start, end = seats[first][0], seats[last - 1][1]
-            while end < len(block) and not block[end].isspace() and not _SAID.match(block[end]):
-                end += 1
-            kept.append((said[0], start, end, *said[1:]))
+    ids = np.array([number[w] for w in words], np.int32)
+    for i, (start, end) in enumerate(seats):  # words of a tag are no wording
+        while tags and tags[0][1] <= start:
+            tags.pop(0)
+        if tags and tags[0][0] < end:
+            ids[i] = -2
+    found = []
+    for at, (_, t) in enumerate(ranked):
+        for w in t.wordings:
+            for first, last, held, lacks, adds in w.confirmed(words, ids, number, have):
+                if len(w.words) > NAMING or not negated(block, words, seats, first):
+                    found.append((first, last, at, held, 100 * held // len(w.words), lacks, adds))
+    for group in _overlapping(sorted(found, key=lambda x: x[:3])):
+        kept += _winners(block, seats, [t for _, t in ranked], group, share)
     return sorted(kept, key=lambda x: x[1])
 
 
+def _overlapping(found: list[tuple]) -> Iterator[list[tuple]]:
+    """Runs of matches that overlap, of matches in the order of their first words."""
+    group, high = [], 0
+    for match in found:
+        if group and match[0] >= high:
+            yield group
+            group = []
+        group.append(match)
+        high = max(high, match[1]) if len(group) > 1 else match[1]
+    if group:
+        yield group
+
+
+def _winners(block: str, seats: list[tuple[int, int]], ranked: list[Template], group: list[tuple], share: dict) -> Iterator[tuple]:
+    """The matches of a group that stay: by reduction of the group's text less the weight of differing words, then by words held."""
+    names = sorted({match[2] for match in group})
+    weight = dict.fromkeys(names, 0)
+    if len(names) > 1:
+        text = block[seats[group[0][0]][0]:seats[max(match[1] for match in group) - 1][1]]
+        saved = dict(zip(names, reductions(text, [ranked[i] for i in names])[1]))
+        for i in names:
+            weight[i] = max(saved[i] - DIFFERENCE * (len(m[5]) + len(m[6])) for m in group if m[2] == i)
+    taken: list[tuple[int, int]] = []
+    for first, last, rank, _, wording_pct, lacks, adds in sorted(group, key=lambda m: (-weight[m[2]], m[2], -m[3], m[0])):
+        if any(first < b and a < last for a, b in taken):
+            continue
+        taken.append((first, last))
+        start, end = seats[first][0], seats[last - 1][1]
+        while end < len(block) and not block[end].isspace() and not _SAID.match(block[end]):
+            end += 1
+        name = ranked[rank].name
+        yield name, start, end, share[name], wording_pct, " ".join([*("-" + w for w in lacks), *("+" + w for w in adds)])
+
+
 def _start():
-    cue = re.compile(CUE, re.I).finditer
+    cue = _CUE.finditer
     known: dict[str, list[tuple]] = {}
 
     def step(text: str) -> tuple:
