@@ -2,15 +2,14 @@
 
 Attribute representation = class centroids; classification = nearest
 centroid; attribute-orthogonal controls = residuals after removing the class
-means, their Gram matrix and its eigen-decomposition (the SVD of the
-residuals), projected back onto the rows.
+means, their Gram matrix and their SVD, projected back onto the rows.
 
 Plans: centroids come from one aggregate over ``posexplode`` (partial
 aggregation leaves labels x dims rows per task).  The centroid model (labels x
 dims numbers) goes to the workers in blocks of bounded bytes and is scored by
 matrix operations on Arrow batches; no join, no literals.  The Gram matrix is
-summed from one partial per core, row by row; only the d x d result reaches
-the driver for the eigen-decomposition, and scores are matrix products.
+summed from one partial per split, row by row; singular values come from QR factors
+(``tsqr``), of which one of d x d numbers reaches the driver; scores are matrix products.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textcontrols.operators._util import materialize_small
+from textcontrols.operators.tsqr import singular_vectors
 
 # Largest block of a centroid model that one pass sends to the workers, in bytes.
 BLOCK_BYTES = 128 << 20
@@ -247,9 +247,8 @@ def residualize_attributes(df: DataFrame, attrs: Sequence[str], emb: str = "embe
 def gram_rows(df: DataFrame, vec: str) -> DataFrame:
     """(i, row): the rows of the Gram matrix sum_r vec_r vec_r'.
 
-    One partial per core, not per input split, so the shuffle is cores x d x d
-    whatever the number of splits; each row of the matrix is summed where it
-    meets, one array at a time.
+    One partial per input split, whatever cores are at hand: a split of 128 MB sends d x d
+    numbers.  Each row of the matrix is summed where it meets, one array at a time.
     """
 
     def part(it):
@@ -272,8 +271,7 @@ def gram_rows(df: DataFrame, vec: str) -> DataFrame:
             yield pd.DataFrame({"i": list(acc), "row": list(acc.values())})
 
     schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.select(vec).coalesce(cores).mapInPandas(part, schema).repartition("i").mapInPandas(total, schema)
+    return df.select(vec).mapInPandas(part, schema).repartition("i").mapInPandas(total, schema)
 
 
 def gram_matrix(df: DataFrame, vec: str) -> DataFrame:
@@ -343,13 +341,13 @@ def project(df: DataFrame, vec: str, vectors: np.ndarray, prefix: str = "INTN",
 
 def nuisance_controls(spark: SparkSession, df: DataFrame, label: str, emb: str = "embedding",
                       k: int | None = None, scale: str = "score") -> tuple[DataFrame, np.ndarray, int]:
-    """Attribute-orthogonal controls: residualise, Gram, eigen, elbow (when k is None), project.
+    """Attribute-orthogonal controls: residualise, QR by a tree, singular vectors, elbow (when k is None), project.
 
     Returns (rows with INTN1..k, singular values, k).
     """
-    cents = materialize_small(class_centroids(df, label, emb))  # the Gram pass and the projection read it
+    cents = materialize_small(class_centroids(df, label, emb))  # the QR pass and the projection read it
     res = residualize(df, cents, label, emb)
-    sigma, v = svd_from_gram(gram_to_numpy(gram_rows(res, "residual")))
+    sigma, v = singular_vectors(res, "residual")
     k = k or elbow_index(sigma)
     out = project(res, "residual", v[:, :k], scale=sigma[:k] if scale == "unit" else None)
     return out.drop("residual"), sigma, k

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textcontrols.operators import embed as E
+from textcontrols.operators.tsqr import singular_vectors
 from textcontrols.plans.registry import query
 from textcontrols.sources.tables import load_table
 
@@ -165,7 +166,7 @@ def nuisance_svd(spark, sf):
 def svd_elbow(spark, sf):
     e = _emb(spark, sf).select("vec_id", "label", "embedding")
     r = E.residualize(e, E.class_centroids(e, "label"), "label")
-    sigma, _ = E.svd_from_gram(E.gram_to_numpy(E.gram_rows(r, "residual")))
+    sigma, _ = singular_vectors(r, "residual")
     k = E.elbow_index(sigma)
     total = float((sigma ** 2).sum()) or 1.0
     rows = [(i + 1, float(s), float(s * s / total), i + 1 <= k) for i, s in enumerate(sigma)]
@@ -189,6 +190,18 @@ def svd_norms(spark, sf):
                    F.round(F.sum(square), 4).alias("sum_scores2"))
 
 
+@query("svd_tsqr", sql=f"""
+SELECT a.dim AS i, b.dim AS j, round(sum(a.r * b.r), 6) AS g
+FROM {RESID_SQL} a JOIN {RESID_SQL} b ON a.vec_id = b.vec_id GROUP BY a.dim, b.dim""")
+def svd_tsqr(spark, sf):
+    """The residuals' products of dimensions, put together again from singular values and vectors of the QR tree."""
+    e = _emb(spark, sf)
+    r = E.residualize(e.select("vec_id", "label", "embedding"), E.class_centroids(e, "label"), "label")
+    sigma, v = singular_vectors(r, "residual")
+    scaled = spark.createDataFrame([(row.tolist(),) for row in sigma[:, None] * v.T], "row array<double>")
+    return E.gram_matrix(scaled, "row").withColumn("g", F.round("g", 6))
+
+
 @query("residual_multi")
 def residual_multi(spark, sf):
     """Residuals on two attributes jointly: label and the sign of the first dimension."""
