@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textcontrols.operators import embed as E
+from textcontrols.operators.level_effects import residualize_levels
 from textcontrols.operators.tsqr import singular_vectors
 from textcontrols.plans.registry import query
 from textcontrols.sources.tables import load_table
@@ -212,6 +213,22 @@ def residual_multi(spark, sf):
                     F.round(F.aggregate("residual", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"))
 
 
+@query("residual_levels", sql="""
+SELECT attribute, level, CAST(count(*) AS BIGINT) AS n, 0.0::DOUBLE AS largest_sum FROM (
+  SELECT 'label' AS attribute, CAST(label AS VARCHAR) AS level FROM embeddings
+  UNION ALL SELECT 'sign', CASE WHEN embedding[1] >= 0 THEN 'pos' ELSE 'neg' END FROM embeddings)
+GROUP BY attribute, level""")
+def residual_levels(spark, sf):
+    """Residuals on two attributes by conjugate gradients: within every level each dimension sums to nothing."""
+    e = _emb(spark, sf).select("vec_id", F.col("label").cast("string").alias("label"), "embedding",
+                               F.when(F.col("embedding")[0] >= 0, "pos").otherwise("neg").alias("sign"))
+    r = residualize_levels(e, ["label", "sign"])
+    at = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("level")) for a in ("label", "sign")]))
+    long = r.select(at.alias("_at"), F.posexplode("residual").alias("dim", "v"))
+    sums = long.groupBy("_at.attribute", "_at.level", "dim").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"))
+    return sums.groupBy("attribute", "level").agg(F.max("c").alias("n"), F.round(F.max(F.abs("s")), 5).alias("largest_sum"))
+
+
 _FOLD_SQL = f"((vec_id % 2147483648 + 2147483648) % 2147483648 * 2654435761 + {SEED}) % {FOLDS}"
 _TRAIN_CENTROIDS_SQL = f"""(SELECT label, dim, avg(v) AS centroid FROM {EXPLODED_SQL}
   WHERE {_FOLD_SQL} <> 0 GROUP BY label, dim)"""
