@@ -74,3 +74,19 @@ def test_blocks_of_classes_equal_one_block(spark):
     got = sorted((r.vec_id, r.prediction, r.true_rank) for r in E.nearest_centroid(
         e, model, "label", id_col="vec_id", block_bytes=3 * 8 * model[1].shape[1]).collect())  # 3 classes per block
     assert got == want
+
+
+def test_prefix_hits_equal_a_scoring_for_each_size(spark):
+    e = _emb(spark).select("vec_id", "label", "embedding")
+    model = E.centroid_model(E.class_centroids(e, "label"))
+    sizes = (32, 1, 64, 7)  # in any order
+    out = E.nearest_by_prefix(e, model, "label", sizes)
+    got = {r.vec_id: r.hits for r in out.collect()}
+    for i, m in enumerate(sizes):
+        want = {r.vec_id: r.prediction == r.label for r in E.nearest_centroid(e, model, "label", m=m).collect()}
+        assert {k: v[i] for k, v in got.items()} == want
+    assert out.where("false").collect() == []
+    unknown = e.withColumn("label", F.lit(-5).cast(e.schema["label"].dataType)).limit(3)
+    assert all(not any(r.hits) for r in E.nearest_by_prefix(unknown, model, "label", sizes).collect())
+    plan = out.select("hits")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1

@@ -133,6 +133,40 @@ def nearest_centroid(df: DataFrame, model: tuple[list, np.ndarray], label: str,
     return df.join(g.drop(label), id_col, "inner").withColumn(f"in_top{k}", F.col("true_rank") <= k)
 
 
+def nearest_by_prefix(df: DataFrame, model: tuple[list, np.ndarray], label: str, sizes: Sequence[int],
+                      emb: str = "embedding") -> DataFrame:
+    """Adds ``hits`` (array<boolean>): for each size m, whether the true class is nearest by the first m dimensions.
+
+    One pass of one kernel: the squared differences between one size and the next
+    are added to the distances so far.  Ties go to the first label; a label that
+    the model lacks is never hit.  The model is one block (``BLOCK_BYTES``).
+    """
+    labels, vectors = model
+    if vectors.nbytes > BLOCK_BYTES:
+        raise ValueError("a model of more than one block: use nearest_centroid for each size")
+    cuts = sorted(range(len(sizes)), key=lambda i: sizes[i])
+    shared = df.sparkSession.sparkContext.broadcast((labels, vectors, [(i, sizes[i]) for i in cuts]))
+
+    def hits(values, own):
+        import numpy as np
+        import pyarrow as pa
+
+        names, centers, at = shared.value
+        x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+        place = {name: i for i, name in enumerate(names)}
+        true = np.array([place.get(v, -1) for v in own.to_pylist()], np.int64)
+        dists, low = np.zeros((len(x), len(names))), 0
+        found = np.zeros((len(x), len(at)), bool)
+        for i, m in at:
+            for c, center in enumerate(centers):
+                dists[:, c] += ((x[:, low:m] - center[low:m]) ** 2).sum(axis=1)
+            found[:, i], low = dists.argmin(axis=1) == true, m
+        return pa.array(list(found), pa.list_(pa.bool_()))
+
+    hits.__annotations__ = {"values": pa.Array, "own": pa.Array, "return": pa.Array}
+    return df.withColumn("hits", F.arrow_udf(hits, T.ArrayType(T.BooleanType()))(F.col(emb), F.col(label)))
+
+
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                            num_classes: int | None = None, topk_col: str | None = "in_top5") -> DataFrame:
     """accuracy, macro F1, weighted F1, top-k accuracy, classes and samples: one row.

@@ -116,11 +116,9 @@ SELECT m, accuracy, CAST(rank() OVER (ORDER BY accuracy DESC, m) AS INTEGER) AS
 def truncation_sweep(spark, sf):
     e = _emb(spark, sf).select("vec_id", "label", "embedding")
     model = E.centroid_model(E.class_centroids(e, "label"))  # full centroids; truncation = first m dims
-    per = None
-    for m in SWEEP:
-        p = E.nearest_centroid(e, model, "label", m=m, k=TOPK, id_col="vec_id").select(
-            F.lit(m).alias("m"), (F.col("true_rank") == 1).cast("double").alias("ok"))
-        per = p if per is None else per.unionByName(p)
+    hits = E.nearest_by_prefix(e, model, "label", SWEEP).select("hits")
+    per = hits.select(F.explode(F.arrays_zip(F.array(*[F.lit(m) for m in SWEEP]).alias("m"), F.col("hits").alias("ok"))).alias("x"))
+    per = per.select(F.col("x.m").alias("m"), F.col("x.ok").cast("double").alias("ok"))
     acc = per.groupBy("m").agg(F.round(F.avg("ok"), 6).alias("accuracy"))
     # a window over one row per m (3 rows), not over data rows
     return acc.select("m", "accuracy", F.rank().over(Window.orderBy(F.desc("accuracy"), "m")).alias("rank"))
