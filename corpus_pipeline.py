@@ -7,6 +7,8 @@ columns of documents; what a stage drops or edits is gone for the next.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from textcontrols.sources.tables import load_table
 
 #: Near copies: shingles of five words, Jaccard similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY_PCT = 5, 80
+#: Bytes that a task gives to Python at once, unless the session says otherwise; workers are kept, with the most they ever held.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def _with_text(columns: list[str], row: str, text) -> list:
@@ -70,12 +74,23 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, TOKENIZER, PATTERN)
 
 
+def _in_batches(stage):
+    """The stage, in a session whose batches are bounded by their bytes; the setting stays, as the result runs later."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not spark.conf.get(BATCH_SETTING, None):
+            spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_classifier", quality_stage),
-    ("line_dedup", line_stage),
-    ("ngram_join", near_copy_stage),
-    ("secret_scan", secret_stage),
-    ("packing", packing_stage),
+    ("quality_classifier", _in_batches(quality_stage)),
+    ("line_dedup", _in_batches(line_stage)),
+    ("ngram_join", _in_batches(near_copy_stage)),
+    ("secret_scan", _in_batches(secret_stage)),
+    ("packing", _in_batches(packing_stage)),
 ]
 
 #: Models, components and token ids are beyond SQL; tests hold the stages against brute force.

@@ -2,9 +2,13 @@
 
 import collections
 import re
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as P
-from textcontrols.llm import secrets
+from textcontrols.llm import line_dedup, ngram_join, secrets
 from textcontrols.llm.queries import PATTERN, RANKS
 from textcontrols.llm.work import written
 
@@ -56,3 +60,31 @@ def test_awkward_rows(spark, corpus, empty):
                 assert out.columns == table.columns, name
                 docs = out
         assert (out.count() == 0) == (table is empty)
+
+
+def test_lines_are_taken_out_once(spark):
+    """The condition on what is left and the text that stays come from one call, in one worker for each task."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = dict(P.STAGES)["line_dedup"](spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def held_mb(step, batch) -> float:
+    """Peak of Python's own memory while a step works off a batch."""
+    tracemalloc.start()
+    for _ in step(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_steps_hold_a_slice_of_a_batch():
+    rows, n = 4000, 300
+    longs = pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * n, n, dtype=np.int32)), pa.array(np.arange(rows * n) << 32))
+    at = pa.array(np.arange(rows))
+    asks = [at, at, at, at, pa.array([0] * rows), pa.array([True] * rows), at, pa.array([n] * rows), at, longs]
+    assert held_mb(ngram_join._ask_groups(80), pa.RecordBatch.from_arrays(asks, names=[str(i) for i in range(10)])) < 15
+    assert held_mb(ngram_join._open_groups(80), pa.RecordBatch.from_arrays([at, at, at, at, longs], names=list("abcde"))) < 15
+    lines = [at, at, at, pa.array([True] * rows), at, at, longs, longs, longs]
+    assert held_mb(line_dedup._align(4), pa.RecordBatch.from_arrays(lines, names=[str(i) for i in range(9)])) < 25

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from textcontrols.llm.work import arrow_schema, map_columns, require, sliced, written
+from textcontrols.llm.work import arrow_schema, map_columns, require, rows_of, sliced, written
 
 MIN_WORDS = 4
 #: Characters that count as a word: of scripts without blanks between words, and of any line.
@@ -222,7 +222,7 @@ def _align(least: int):
         key, first = None, []
         for batch in batches:
             found = []
-            for fd, ft, slot, later, d, t, h1, h2, w in zip(*(c.to_pylist() for c in batch.columns)):
+            for fd, ft, slot, later, d, t, h1, h2, w in rows_of([batch]):
                 lines = list(zip(h1, h2))
                 if not later:
                     key, first = (fd, ft, slot), lines
@@ -265,8 +265,7 @@ def places_to_delete(docs: DataFrame, doc_id: str, text: str, least: int = MIN_W
     return found.groupBy("d", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-@F.arrow_udf(StringType())
-def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+def _left(texts: pa.Array, gone: pa.Array) -> pa.Array:
     def left(text, places):
         if text is None or not places:
             return text
@@ -276,6 +275,10 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array([left(t, g) for t, g in zip(sliced(texts), sliced(gone))], pa.string())
 
 
+#: Not to be repeated: a condition on its result would otherwise be a second call, in a second worker for each task.
+_without = F.arrow_udf(_left, StringType()).asNondeterministic()
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """``row`` (struct of all columns of ``docs``), ``left`` (the text that stays), n_lines and n_removed_lines of every row."""
     require(docs, doc_id, text)

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textcontrols.llm.components import components
-from textcontrols.llm.work import WORD_PATTERN, arrow_schema, map_columns, require, written
+from textcontrols.llm.work import WORD_PATTERN, arrow_schema, map_columns, require, rows_of, written
 
 #: Tokens of the sets that one group holds at most (a larger set is a group by itself).
 GROUP_TOKENS = 50_000
@@ -192,13 +192,12 @@ def _open_groups(pct: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
-        for batch in batches:
-            for g1, g2, *member in zip(*(c.to_pylist() for c in batch.columns)):
-                if (g1, g2) != key:
-                    if len(members) > 1 and (edges := list(Matrix(members, pct).links())):
-                        yield out(edges)
-                    key, members = (g1, g2), []
-                members.append(tuple(member))
+        for g1, g2, *member in rows_of(batches):
+            if (g1, g2) != key:
+                if len(members) > 1 and (edges := list(Matrix(members, pct).links())):
+                    yield out(edges)
+                key, members = (g1, g2), []
+            members.append(tuple(member))
         if len(members) > 1 and (edges := list(Matrix(members, pct).links())):
             yield out(edges)
 
@@ -213,7 +212,7 @@ def _ask_groups(pct: int):
         key, members, roots, matrix = None, [], [], None
         for batch in batches:
             edges = []
-            for g1, g2, g3, g4, salt, asks, cid, n, root, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+            for g1, g2, g3, g4, salt, asks, cid, n, root, tokens in rows_of([batch]):
                 if (g1, g2, g3, g4, salt) != key:
                     key, members, roots, matrix = (g1, g2, g3, g4, salt), [], [], None
                 if not asks:
