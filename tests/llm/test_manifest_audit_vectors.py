@@ -4,9 +4,12 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -208,6 +211,19 @@ def test_audit_goes_on_where_it_stopped(spark, tmp_path):
     assert audited(filter_audit.over_orders(spark.createDataFrame(found, "part string, mask int, label int, n long"))) == plain_audit(docs, labels)
 
 
+def test_state_holds_no_disk_in_reserve(spark, tmp_path):
+    """A store for each partition: what they reserve of the disk counts, not what they have written."""
+    path, began = str(tmp_path / "documents.parquet"), time.time()
+    docs, labels = audit_rows(60, 2)
+    spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1).write.parquet(path)
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    filter_audit.counters(spark, path, said).collect()
+    local = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", "/tmp")
+    files = [f for f in Path(local).glob("spark-*/StateStoreId*/**/MANIFEST*") if f.stat().st_mtime >= began - 1]
+    assert files  # the stores are open still
+    assert max(f.stat().st_blocks * 512 for f in files) < 1 << 20
+
+
 def test_arrive_retracts():
     state, seen = {}, filter_audit.Counters()
     filter_audit.arrive(state, "k", 4, 9, [("p", 1, 2)], [], seen)

@@ -43,7 +43,9 @@ LETTERS = "ABCDE"
 SEEN = 16  # the bit of E
 #: Micro-batches of a table, and distinct texts of a bucket of the state.
 BATCHES, BUCKET_TEXTS = 4, 128
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state is on disk and in the checkpoint, not on the heap; each partition's store holds no disk in reserve (4 MB or more).
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 #: count: part, label (1: good, 2: toxic), rows.
 _COUNTS = "array<struct<part: string, label: int, n: long>>"
@@ -166,15 +168,16 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     alone = path.rstrip("/")
     alone = f"{alone[:-1]}[{alone[-1]}]"  # a pattern of just this name: the path may be a file or a folder
     stream = (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max(1, -(-len(table.inputFiles()) // batches))).parquet(alone))
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)  # the state is on disk and in the checkpoint, not on the heap
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (deltas(stream, labels, buckets, doc_id, text, part).writeStream.format("parquet").option("path", f"{work}/counters")
                  .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     changes = spark.read.schema(_DELTA).parquet(f"{work}/counters")
     return changes.groupBy("part", "mask", "label").agg(F.sum("n").alias("n")).where("n <> 0")
 
