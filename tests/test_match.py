@@ -1,7 +1,12 @@
 """Ordered matching: the literal fixture and the traps of empty/null text."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from textcontrols.operators import match
 from textcontrols.operators.match import build_lookup, enrich_pairs, match_column, match_rates
 
 LOOKUP = [(0, "alpha beta", 1.0, 2.0), (1, "alpha beta gamma", 3.0, 5.0), (2, "delta", 7.0, 11.0)]
@@ -114,3 +119,53 @@ def test_a_frequent_anchor_is_spread(spark, monkeypatch):
     assert plan.count() == 600
     salts = hot.select(F.pmod(F.xxhash64("_r1", "_r2"), F.lit(12)).alias("s")).groupBy("s").count().collect()
     assert len(salts) == 12 and max(r["count"] for r in salts) <= 2 * sorted(r["count"] for r in salts)[6]
+
+
+def test_windows_in_pieces(monkeypatch):
+    """Windows cut at any place are those of each text by itself."""
+    texts = ["", "alpha beta gamma delta epsilon zeta", None, "ab", "é漢🙂 x", "a", " lone ", "one two three four"]
+    whole = {kind: np.concatenate([np.stack(w) for w in match.Pieces(pa.array(texts)).windows(kind)], axis=1) for kind in (1, 3, match.ONE_WORD, match.THREE_WORDS)}
+    own = np.stack(match.Pieces(pa.array(texts)).own())
+    for size in (1, 2, 5):
+        monkeypatch.setattr(match, "WINDOWS", size)
+        pieces = match.Pieces(pa.array(texts))
+        for kind, want in whole.items():
+            assert np.array_equal(np.concatenate([np.stack(w) for w in pieces.windows(kind)], axis=1), want)
+        assert np.array_equal(np.stack(pieces.own()), own)
+    for kind, want in whole.items():
+        sizes = [0 if t is None else len(t.split(" ")) if kind >= match.ONE_WORD else len(t) for t in texts]
+        wide = 3 if kind == match.THREE_WORDS else 1 if kind == match.ONE_WORD else kind
+        assert want[:2].T.tolist() == [[i, j] for i, n in enumerate(sizes) for j in range(n - wide + 1)]
+
+
+def test_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(match, "SLICE_BYTES", 10)
+    monkeypatch.setattr(match, "SLICE_ROWS", 3)
+    texts = ["", None, "abc", "x" * 50, "", "abcdefghij", "k", None, None, None, "é" * 4]
+    parts = [b.column("t").to_pylist() for b in match._slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"]), "t")]
+    assert sum(parts, []) == texts
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 10) for p in parts)
+
+
+def held_mb(step, batch) -> float:
+    tracemalloc.start()
+    for _ in step(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_memory_of_a_task_is_bounded():
+    """Neither many texts nor long ones are taken apart as a whole."""
+    words = " ".join(f"w{i % 700}" for i in range(900))
+    n = 1000
+    keys = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([words] * n)], names=["pos", "key"])
+    assert held_mb(match._key_windows(True), keys) < 60
+    numbers = [pa.array(range(n))] * 4
+    names = ["_r1", "_r2", "_k1", "_k2", "_e", "n"]
+    texts = pa.RecordBatch.from_arrays([*numbers, pa.array([False] * n), pa.array([words] * n)], names=names)
+    one = pa.RecordBatch.from_arrays([*(c.slice(0, 1) for c in texts.columns[:5]), pa.array([" ".join([words] * 500)])], names=names)
+    bits = np.zeros(8192, np.uint8)
+    for batch in (texts, one):
+        assert held_mb(match._probe([1, 4, match.THREE_WORDS], bits, bits), batch) < 80

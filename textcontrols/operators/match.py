@@ -23,7 +23,7 @@ loop and no text goes to a row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ from textcontrols.session import send_package
 THREE_WORDS, ONE_WORD, HEAD = 100, 50, 6
 #: Bits of the filter for each anchor, its least and most bits (2 ** 28: 32 MB), bits of a chunk.
 BITS, LEAST_BITS, MOST_BITS, CHUNK_BITS = 16, 1 << 16, 1 << 28, 1 << 16
+#: Rows and bytes of text that a task takes apart at once, and windows that it holds: each takes some hundred bytes.
+SLICE_ROWS, SLICE_BYTES, WINDOWS = 1024, 1 << 20, 1 << 16
 #: Texts of one anchor that meet in one task; keys are broadcast up to this many bytes, counted.
 HOT_TEXTS, KEY_BYTES = 5_000, 32 << 20
 
@@ -78,6 +80,17 @@ def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of SLICE_ROWS rows and SLICE_BYTES of the column's text at most; a longer text is a part by itself."""
+    upto = np.cumsum(pc.binary_length(batch.column(name)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+        end = min(max(end, at + 1), at + SLICE_ROWS)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 class Pieces:
     """Words and characters of a batch of texts as flat arrays, and hashes of their windows."""
 
@@ -97,19 +110,26 @@ class Pieces:
     def chars(self) -> np.ndarray:
         if self._chars is None:
             joined = "".join(t or "" for t in self.texts.to_pylist())
-            self._chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            self._chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         return self._chars
 
-    def windows(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place in the row, hash) of all windows of a kind."""
+    def windows(self, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, place in the row, hash) of all windows of a kind, in their order, from WINDOWS places at a time."""
         flat, lengths, wide = (self.words, self.n_words, 3 if kind == THREE_WORDS else 1) if kind >= ONE_WORD else (self.chars, self.n_chars, kind)
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        held = np.flatnonzero(place + wide <= lengths[row]) if len(flat) else np.zeros(0, np.int64)
-        x = np.zeros(len(held), np.uint64)
-        for j in range(wide):
-            x = x * np.uint64(0x100000001B3) + flat[held + j]
-        return row[held], place[held], _mixed(x, kind).view(np.int64)
+        ends = np.cumsum(lengths)
+        for at in range(0, len(flat), WINDOWS):
+            upto = min(at + WINDOWS, len(flat))
+            first, last = np.searchsorted(ends, (at, upto - 1), side="right")
+            rows = np.arange(first, last + 1)
+            row = np.repeat(rows, np.minimum(ends[rows], upto) - np.maximum(ends[rows] - lengths[rows], at))
+            spot = np.arange(at, upto)
+            place = spot - (ends - lengths)[row]
+            held = place + wide <= lengths[row]
+            row, place, spot = row[held], place[held], spot[held]
+            x = np.zeros(len(spot), np.uint64)
+            for j in range(wide):
+                x = x * np.uint64(0x100000001B3) + flat[spot + j]
+            yield row, place, _mixed(x, kind).view(np.int64)
 
     def kinds(self) -> np.ndarray:
         """The kind of anchor of each text as a contained one; 0 for the empty text."""
@@ -119,24 +139,25 @@ class Pieces:
         """(row, place, hash) of the windows that any container of a text holds whole: of its inner words, else its first characters."""
         kinds, found = self.kinds(), []
         for kind in np.unique(kinds[kinds > 0]).tolist():
-            row, place, h = self.windows(kind)
-            last = self.n_words[row] - (4 if kind == THREE_WORDS else 2)
-            inner = (place >= 1) & (place <= last) if kind >= ONE_WORD else place == 0
-            keep = inner & (kinds[row] == kind)
-            found.append((row[keep], place[keep], h[keep]))
+            for row, place, h in self.windows(kind):
+                last = self.n_words[row] - (4 if kind == THREE_WORDS else 2)
+                inner = (place >= 1) & (place <= last) if kind >= ONE_WORD else place == 0
+                keep = inner & (kinds[row] == kind)
+                found.append((row[keep], place[keep], h[keep]))
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def _key_windows(every: bool):
     """Keys (pos, key) -> (pos, g, kind): windows that a container holds whole, or ``every`` window of each kind."""
     def run(batches):
-        for batch in batches:
-            texts = Pieces(batch.column("key"))
-            pos = batch.column("pos").to_numpy(zero_copy_only=False)
-            for kind in ([*range(1, HEAD + 1), ONE_WORD, THREE_WORDS] if every else (0,)):
-                row, _, g = texts.windows(kind) if every else texts.own()
-                of = np.full(len(g), kind) if every else texts.kinds()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(pos[row], pa.int64()), pa.array(g, pa.int64()), pa.array(of, pa.int32())], names=["pos", "g", "kind"])
+        for whole in batches:
+            for batch in _slices(whole, "key"):
+                texts = Pieces(batch.column("key"))
+                pos = batch.column("pos").to_numpy(zero_copy_only=False)
+                for kind in ([*range(1, HEAD + 1), ONE_WORD, THREE_WORDS] if every else (0,)):
+                    for row, _, g in texts.windows(kind) if every else [texts.own()]:
+                        of = np.full(len(g), kind) if every else texts.kinds()[row]
+                        yield pa.RecordBatch.from_arrays([pa.array(pos[row], pa.int64()), pa.array(g, pa.int64()), pa.array(of, pa.int32())], names=["pos", "g", "kind"])
 
     return run
 
@@ -187,15 +208,14 @@ def _probe(kinds: Sequence[int], anchors: np.ndarray | None, places: np.ndarray
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for batch in _slices(whole, "n"):
                 texts, n = Pieces(batch.column("n")), batch.num_rows
                 rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for kind in kinds:
-                    row, _, g = texts.windows(kind)
-                    hit = may(anchors, g)
-                    rows.append(row[hit])
-                    found.append(g[hit])
+                    for row, _, g in texts.windows(kind):
+                        hit = may(anchors, g)
+                        rows.append(row[hit])
+                        found.append(g[hit])
                 row, g = np.concatenate(rows), np.concatenate(found)
                 order = np.argsort(row, kind="stable")
                 ends = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
