@@ -43,7 +43,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned repeated lines go; so does a document that held nothing else."""
-    found = line_dedup.dedup(docs)
+    found = line_dedup.dedup(docs, once=True)
     kept = found.where((F.col("n_removed_lines") == 0) | (F.trim(F.col("left")) != ""))
     return kept.select(*_with_text(docs.columns, "row", F.col("left")))
 

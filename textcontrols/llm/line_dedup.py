@@ -275,17 +275,21 @@ def _left(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array([left(t, g) for t, g in zip(sliced(texts), sliced(gone))], pa.string())
 
 
+_without = F.arrow_udf(_left, StringType())
 #: Not to be repeated: a condition on its result would otherwise be a second call, in a second worker for each task.
-_without = F.arrow_udf(_left, StringType()).asNondeterministic()
+_without_once = F.arrow_udf(_left, StringType()).asNondeterministic()
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
-    """``row`` (struct of all columns of ``docs``), ``left`` (the text that stays), n_lines and n_removed_lines of every row."""
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS, once: bool = False) -> DataFrame:
+    """``row`` (struct of all columns of ``docs``), ``left`` (the text that stays), n_lines and n_removed_lines of every row.
+
+    ``once``: ``left`` is made by one call, whatever conditions on it follow; all columns of ``docs`` are then read.
+    """
     require(docs, doc_id, text)
     gone = places_to_delete(docs, doc_id, text, least)
     rows = docs.select(F.struct("*").alias("row"), _d(F.col(doc_id)).alias("d"), F.xxhash64(text).alias("t"))
     full = rows.join(gone, ["d", "t"], "left")
     value = F.col("row").getField(text)
     lines = F.when(value.isNull(), 0).otherwise(F.length(value) - F.length(F.replace(value, F.lit("\n"), F.lit(""))) + 1)
-    return full.select("row", _without(value, F.col("gone")).alias("left"), lines.cast("long").alias("n_lines"),
+    return full.select("row", (_without_once if once else _without)(value, F.col("gone")).alias("left"), lines.cast("long").alias("n_lines"),
                        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"))
