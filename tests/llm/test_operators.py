@@ -358,6 +358,23 @@ def test_bounded_caches_change_nothing(monkeypatch):
         assert codec.encode(text) == tk.encode_ordinary(text)
 
 
+def test_states_stay_bounded_within_a_match(monkeypatch):
+    """One long match makes no more states than are kept; those that went on in several ways outlast the others."""
+    ranks, tk = reference()
+    monkeypatch.setattr(bpe, "MAX_STATES", 400)
+    machine, rng, most = bpe.Transducer(ranks), random.Random(5), 0
+    for _ in range(3):
+        piece = bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=5000))
+        assert machine.encode(piece) == tk._encode_single_piece(piece)
+        most = max(most, len(machine.states))
+        assert len(machine.moves) == len(machine.number) == len(machine.states)
+    assert 200 < most <= 400
+    machine.encode(b"zq")
+    kept = machine.states[machine.moves[0][ord("z")][0]]
+    at = machine._thin(machine.number[kept])
+    assert machine.states[0] == machine.start and machine.states[at] == kept and len(machine.states) <= 202
+
+
 def test_stream_decoding_holds_back_unfinished_characters():
     codec = bpe.codec(RANKS, PATTERN)
     by_byte = [codec.transducer.merges.ranks[bytes([b])] for b in "é🙂".encode()]

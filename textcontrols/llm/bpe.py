@@ -8,8 +8,8 @@ A state is what the future can still depend on: the last token whose place is
 settled and the bytes after it.  Tokens leave the transducer as soon as every
 position from which a token could still grow has them in common, which is
 after at most the longest token's bytes of lookahead.  States and transitions
-are made when first met and dropped together when there are too many, as in
-lazy determinisation of regular expressions.
+are made when first met; when there are too many, those that went on in one
+way only are dropped, and made again if they are met again.
 
 Decoding is a stream: token bytes pass through an incremental UTF-8 state
 machine that holds an unfinished character back until its bytes have come.
@@ -36,9 +36,10 @@ from pyspark.sql.types import StringType
 
 from textcontrols.llm.work import require, ship, text_udf
 
-#: Bounds of what a worker keeps: states with their transitions, and encoded matches in each of two generations.
-MAX_STATES = 500_000
-MAX_MATCHES = 400_000
+#: Bounds of what a worker keeps: states with their transitions, encoded matches in each of two generations, tested pairs of tokens.
+MAX_STATES = 400_000
+MAX_MATCHES = 200_000
+MAX_PAIRS = 500_000
 NEVER = 1 << 60
 
 
@@ -50,7 +51,7 @@ class Merges:
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.prefixes = {k[:i] for k in ranks for i in range(1, len(k) + 1)}
-        self._beside: dict[tuple[bytes, bytes], bool] = {}
+        self._beside: dict[int, bool] = {}
         self.edges: dict[bytes, tuple[list, list] | None] = {}
 
     def merge(self, piece: bytes, until: int = 1) -> list[bytes]:
@@ -92,10 +93,11 @@ class Merges:
         """
         if left is None:
             return True
-        known = self._beside.get((left, right))
+        pair = self.ranks[left] << 32 | self.ranks[right]
+        known = self._beside.get(pair)
         if known is not None:
             return known
-        if len(self._beside) > MAX_STATES:
+        if len(self._beside) > MAX_PAIRS:
             self._beside.clear()
         a, b, i, j, known = self._edges(left)[1], self._edges(right)[0], 0, 0, None
         while known is None:
@@ -109,22 +111,32 @@ class Merges:
                 i += 1
             else:
                 j += 1
-        self._beside[left, right] = known
+        self._beside[pair] = known
         return known
 
 
 class Transducer:
-    """State: (settled token before, pending bytes, size of the last token at each pending position)."""
+    """State: (settled token before, pending bytes, size of the last token at each pending position, positions that may grow)."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.start = (None, b"", ())
+        self.start = (None, b"", (), ())
         self.number = {self.start: 0}
         self.states = [self.start]
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.same: dict[tuple[int, ...], tuple[int, ...]] = {}  # sizes and output that many states share, held once
+
+    def _thin(self, at: int) -> int:
+        """Half of the states at most stay: those that went on in most ways (two at least), the start, and ``at``, whose new number it returns."""
+        ways = sorted(map(len, self.moves), reverse=True)
+        least = max(2, ways[min(MAX_STATES // 2, len(ways) - 1)] + 1)
+        stay = [i for i, moves in enumerate(self.moves) if len(moves) >= least or i in (0, at)]
+        number = {i: k for k, i in enumerate(stay)}
+        self.moves = [{byte: (number[to], out) for byte, (to, out) in self.moves[i].items() if to in number} for i in stay]
+        self.states = [self.states[i] for i in stay]
+        self.number = {state: k for k, state in enumerate(self.states)}
+        self.same.clear()
+        return number[at]
 
     def _tokens(self, pending: bytes, sizes: tuple[int, ...]) -> list[bytes]:
         """Tokens of the pending bytes, by going back from token to token."""
@@ -134,61 +146,73 @@ class Transducer:
             end -= sizes[end - 1]
         return found[::-1]
 
+    @staticmethod
+    def _first(sizes: tuple[int, ...], end: int) -> int:
+        """Where the first token on the way to a position ends; 0 if none begins the pending bytes."""
+        while (start := end - sizes[end - 1]) > 0:
+            end = start
+        return 0 if start else end
+
     def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, pending, sizes = self.states[at]
+        before, pending, sizes, may_grow = self.states[at]
         pending += bytes((byte,))
         n, merges = len(pending), self.merges
-        edges, beside, prefixes = merges.edges, merges.beside, merges.prefixes
-        ranks = merges.ranks
-        for start in range(max(0, n - merges.longest), n):  # exactly one last token fits
+        edges, beside, prefixes, ranks = merges.edges, merges.beside, merges.prefixes, merges.ranks
+        open_from: list[int] = []  # positions that a token can still grow from: none that could not a byte ago, but the newest
+        size = 0
+        for start in chain(may_grow, (n - 1,)):
             piece = pending[start:]
-            if piece in ranks:
-                if (edges[piece] if piece in edges else merges._edges(piece)) is None:
-                    continue
+            if piece not in prefixes:
+                continue
+            open_from.append(start)
+            if not size and piece in ranks and (edges[piece] if piece in edges else merges._edges(piece)) is not None:
                 left = before if start == 0 else pending[start - sizes[start - 1]:start]
-                if left is None or beside(left, piece):
-                    sizes += (n - start,)
-                    break
-        # positions that a token can still grow from, and the end: what they have in common is settled
+                if left is None or beside(left, piece):  # exactly one last token fits
+                    size = n - start
+        if size:
+            sizes += (size,)
+        # those positions, and the end: what they have in common is settled
         out: list[bytes] = []
-        open_from = [p for p in range(n) if pending[p:] in prefixes]
         open_from.append(n)
         while open_from[0] > 0:
-            first: list[int] = []  # where the first token on the way to each position ends
-            for p, size in enumerate(sizes, 1):
-                first.append(p if size == p else first[p - size - 1] if p - size > 0 else 0)
-            cut = first[open_from[0] - 1]
-            if cut == 0 or any(first[p - 1] != cut for p in open_from):
+            cut = self._first(sizes, open_from[0])
+            if cut == 0 or any([self._first(sizes, p) != cut for p in open_from[1:]]):
                 break
             out.append(pending[:cut])
             pending, sizes = pending[cut:], sizes[cut:]
             open_from = [p - cut for p in open_from]
         if out:
-            before = out[-1]
+            before = merges.bytes_of[ranks[out[-1]]]
         if pending and open_from[0] > 0:
             before = None  # no token starts there any more
-        state = (before, pending, sizes)
+        open_from.pop()
+        may_grow = tuple(open_from)
+        state = (before, pending, self.same.setdefault(sizes, sizes), self.same.setdefault(may_grow, may_grow))
         to = self.number.get(state)
         if to is None:
             to = self.number[state] = len(self.states)
             self.states.append(state)
             self.moves.append({})
-        move = self.moves[at][byte] = (to, tuple([ranks[t] for t in out]))
+        said = tuple([ranks[t] for t in out])
+        move = self.moves[at][byte] = (to, self.same.setdefault(said, said))
         return move
 
     def encode(self, piece: bytes) -> list[int]:
         ranks = self.merges.ranks
         if piece in ranks:
             return [ranks[piece]]
-        if len(self.states) > MAX_STATES:
-            self._reset()
         at, ids, moves = 0, [], self.moves
         for byte in piece:
-            move = moves[at].get(byte) or self._move(at, byte)
+            move = moves[at].get(byte)
+            if move is None:
+                if len(self.states) >= MAX_STATES:
+                    at = self._thin(at)
+                    moves = self.moves
+                move = self._move(at, byte)
             at, out = move
             if out:
                 ids.extend(out)
-        _, pending, sizes = self.states[at]
+        _, pending, sizes, _ = self.states[at]
         ids.extend([ranks[t] for t in self._tokens(pending, sizes)])
         return ids
 
@@ -203,22 +227,22 @@ class Codec:
         self.finditer = regex.compile(pattern).finditer
         self.transducer = Transducer(ranks)
         self.bytes_of = self.transducer.merges.bytes_of
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.name_of = {i: str(i) for i in self.bytes_of}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def matches(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        """For each match of the pattern its ids, as decimals joined by spaces and as numbers."""
+    def matches(self, text: str) -> list[tuple[int, ...]]:
+        """For each match of the pattern its ids."""
         found, known = self.find(text), self.known
         fresh = set(found).difference(known)
         if len(known) > MAX_MATCHES:  # the last generation stays at hand
             self.older, self.known = known, {}
             known, fresh = self.known, set(found)
         for m in fresh:
-            pair = self.older.get(m)
-            if pair is None:
-                ids = self.transducer.encode(m.encode("utf-8", "surrogatepass"))
-                pair = " ".join(map(str, ids)), tuple(ids)
-            known[m] = pair
+            ids = self.older.get(m)
+            if ids is None:
+                ids = tuple(self.transducer.encode(m.encode("utf-8", "surrogatepass")))
+            known[m] = ids
         said = [known[m] for m in found]
         for m in fresh:
             if len(m) > 64:
@@ -226,7 +250,7 @@ class Codec:
         return said
 
     def encode(self, text: str) -> list[int]:
-        return [i for _, ids in self.matches(text) for i in ids]
+        return list(chain.from_iterable(self.matches(text)))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -265,19 +289,18 @@ def _start(path: str, pattern: str):
         finally:
             gc.enable()
 
-    token_bytes = c.bytes_of.__getitem__
+    token_bytes, token_name = c.bytes_of.__getitem__, c.name_of.__getitem__
 
     def whole(text: str) -> tuple:
-        pairs = c.matches(text)
-        names = " ".join([pair[0] for pair in pairs])
-        ids = chain.from_iterable([pair[1] for pair in pairs])
+        ids = chain.from_iterable(c.matches(text))
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        back, n = hashlib.sha256(), 0
-        while part := list(map(token_bytes, islice(ids, DECODE_STEP))):
+        names, back, n = hashlib.sha256(), hashlib.sha256(), 0
+        while part := list(islice(ids, DECODE_STEP)):
+            names.update(((" " if n else "") + " ".join(map(token_name, part))).encode())
             n += len(part)
-            back.update(machine.decode(b"".join(part)).encode("utf-8"))
+            back.update(machine.decode(b"".join(map(token_bytes, part))).encode("utf-8"))
         back.update(machine.decode(b"", True).encode("utf-8"))
-        return n, hashlib.sha256(names.encode()).hexdigest(), back.hexdigest()
+        return n, names.hexdigest(), back.hexdigest()
 
     return step
 
